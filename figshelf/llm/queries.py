@@ -1,6 +1,6 @@
 """The corpus queries and, where SQL can say the same, their DuckDB SQL."""
 
-from figshelf.llm import quality
+from figshelf.llm import lines, quality
 
-QUERIES = {"op10_quality": quality.op10_quality}
-ORACLE_SQL = {"op10_quality": quality.OP10_SQL}
+QUERIES = {"op7_line_dedup": lines.op7_line_dedup, "op10_quality": quality.op10_quality}
+ORACLE_SQL = {"op7_line_dedup": lines.OP7_SQL, "op10_quality": quality.OP10_SQL}
