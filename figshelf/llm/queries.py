@@ -1,6 +1,6 @@
 """The corpus queries and, where SQL can say the same, their DuckDB SQL."""
 
-from figshelf.llm import lines, mixing, passages, quality, token_files
+from figshelf.llm import lines, mixing, packing, passages, quality, token_files
 
-QUERIES = {"op4_mixing": mixing.op4_mixing, "op2_token_files": token_files.op2_token_files, "op5_passage_dedup": passages.op5_passage_dedup, "op7_line_dedup": lines.op7_line_dedup, "op10_quality": quality.op10_quality}
+QUERIES = {"op8_packing": packing.op8_packing, "op4_mixing": mixing.op4_mixing, "op2_token_files": token_files.op2_token_files, "op5_passage_dedup": passages.op5_passage_dedup, "op7_line_dedup": lines.op7_line_dedup, "op10_quality": quality.op10_quality}
 ORACLE_SQL = {"op5_passage_dedup": passages.OP5_SQL, "op7_line_dedup": lines.OP7_SQL, "op10_quality": quality.OP10_SQL}
