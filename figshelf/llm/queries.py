@@ -1,6 +1,6 @@
 """The corpus queries and, where SQL can say the same, their DuckDB SQL."""
 
-from figshelf.llm import chat, lines, mixing, packing, passages, quality, token_files
+from figshelf.llm import chat, lines, mixing, neighbours, packing, passages, quality, token_files
 
-QUERIES = {"op9_chat": chat.op9_chat, "op8_packing": packing.op8_packing, "op4_mixing": mixing.op4_mixing, "op2_token_files": token_files.op2_token_files, "op5_passage_dedup": passages.op5_passage_dedup, "op7_line_dedup": lines.op7_line_dedup, "op10_quality": quality.op10_quality}
-ORACLE_SQL = {"op9_chat": chat.OP9_SQL, "op5_passage_dedup": passages.OP5_SQL, "op7_line_dedup": lines.OP7_SQL, "op10_quality": quality.OP10_SQL}
+QUERIES = {"op1_neighbours": neighbours.op1_neighbours, "op9_chat": chat.op9_chat, "op8_packing": packing.op8_packing, "op4_mixing": mixing.op4_mixing, "op2_token_files": token_files.op2_token_files, "op5_passage_dedup": passages.op5_passage_dedup, "op7_line_dedup": lines.op7_line_dedup, "op10_quality": quality.op10_quality}
+ORACLE_SQL = {"op1_neighbours": neighbours.OP1_SQL, "op9_chat": chat.OP9_SQL, "op5_passage_dedup": passages.OP5_SQL, "op7_line_dedup": lines.OP7_SQL, "op10_quality": quality.OP10_SQL}
