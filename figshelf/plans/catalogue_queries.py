@@ -1,4 +1,448 @@
 """The registered queries over the figure catalogue and the SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from figshelf.functions import captions, extra
+from figshelf.functions.citations import encode_citations
+from figshelf.functions.geometry import bbox_paths, bbox_rects, flatten_chars, rect_distance, round_rects
+from figshelf.operators import annotate, catalogue, layout, notes
+from figshelf.plans.fixtures import duck, page_chars, scratch, view
+from figshelf.sources import results
+from figshelf.streaming.annotate import annotate_stream, reader_events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+STAMP = "2024-05-01 12:00:00"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """annotations with their tags as an array."""
+    rows = view(spark, sf_dir, "annotations")
+    return rows.withColumn("tags", F.filter(F.array("tag1", "tag2"), lambda t: t.isNotNull())).drop("tag1", "tag2")
+
+
+def flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.flip_regions(view(spark, sf_dir, "figures"), view(spark, sf_dir, "doc_pages"))
+
+
+ANY = "coalesce(regexp_matches(tag1, '^(Figure|Table)'), false) OR coalesce(regexp_matches(tag2, '^(Figure|Table)'), false)"
+FIRST = "annotation_type = 'image' AND coalesce(regexp_matches(tag1, '^(Figure|Table)'), false)"
+R = ", r AS (SELECT f.* EXCLUDE (y1, y2), p.vy2 - f.y2 AS y1, p.vy2 - f.y1 AS y2 FROM figures f JOIN doc_pages p ON f.attachment_id = p.attachment_id AND p.page = 0)"
+DIST = "sqrt(pow(greatest({a}x1 - {b}x2, {b}x1 - {a}x2, 0), 2) + pow(greatest({a}y1 - {b}y2, {b}y1 - {a}y2, 0), 2))"
+NEAR = (
+    ", d AS (SELECT r.figure_id, char_offset, " + DIST.format(a="r.", b="c.c") + " AS d FROM r JOIN chars c ON r.attachment_id = c.attachment_id AND r.page = c.page),"
+    " m AS (SELECT figure_id, min(d) AS least FROM d GROUP BY figure_id),"
+    " n AS (SELECT d.figure_id, min(char_offset) AS char_offset FROM d JOIN m ON d.figure_id = m.figure_id AND d.d = m.least GROUP BY d.figure_id)"
+)
+KEYS = (
+    ", k AS (SELECT r.figure_id, lpad(CAST(r.page AS VARCHAR), 5, '0') || '|' || lpad(CAST(CASE WHEN p.page IS NULL THEN 0 ELSE coalesce(n.char_offset, 0) END AS VARCHAR), 6, '0') || '|' ||"
+    " lpad(CAST(CASE WHEN p.page IS NULL THEN 0 ELSE CAST(floor(greatest(p.vy2 - p.vy1 - r.y2, 0)) AS BIGINT) END AS VARCHAR), 5, '0') AS sort_key"
+    " FROM r LEFT JOIN doc_pages p ON r.attachment_id = p.attachment_id AND r.page = p.page LEFT JOIN n ON r.figure_id = n.figure_id)"
+)
+FOUND = ", m AS (SELECT a.*, (SELECT min(f.file_name) FROM files f WHERE starts_with(f.file_name, a.attachment_key)) AS file_found FROM attachments a)"
+
+
+def _key(*columns: str) -> str:
+    """The annotation key in DuckDB: hex digits by their place in the alphabet of hex digits."""
+    digest = "md5(" + " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in columns) + ")"
+    digit = lambda i: f"(strpos('0123456789abcdef', substr({digest}, {i}, 1)) - 1)"
+    group = lambda g: f"({digit(g)} * 4096 + {digit(g + 1)} * 256 + {digit(g + 2)} * 16 + {digit(g + 3)})"
+    return " || ".join(f"substr('{annotate.ALPHABET}', {group(4 * i + 1)} % 33 + 1, 1)" for i in range(8))
+
+
+FIGURE_ROW = "fig_type, name, page, caption, render_url, x1, y1, x2, y2"
+
+
+@query("a1_a9_result_files", duck("figures attachments", f"SELECT attachment_key || '.json' AS file_name, row_number() OVER (PARTITION BY f.attachment_id ORDER BY figure_id) - 1 AS figure_index, {FIGURE_ROW} FROM figures f JOIN attachments a ON f.attachment_id = a.attachment_id"))
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's figures written as its JSON file, and all files read again."""
+    path = scratch(spark, "result-files")
+    results.write_figures(view(spark, sf_dir, "figures"), view(spark, sf_dir, "attachments"), path)
+    return results.read_figures(spark, path).drop("path").withColumn("figure_index", F.col("figure_index").cast("long"))
+
+
+@query("a2_decode", "SELECT CAST(doc_id AS VARCHAR) AS path, md5(text) AS digest, length(text) AS n FROM documents WHERE text IS NOT NULL")
+def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return results.decode_with_fallback(files).select("path", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("n"))
+
+
+@query("a3_match_results", duck("attachments files", FOUND + " SELECT attachment_id, file_found FROM m"))
+def match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.match_results(view(spark, sf_dir, "attachments"), view(spark, sf_dir, "files")).select("attachment_id", "file_found")
+
+
+@query("a4_outcome", duck("attachments files figures", FOUND + """, c AS (SELECT attachment_id, count(*) AS n FROM figures GROUP BY attachment_id)
+  SELECT m.attachment_id, CASE WHEN file_found IS NULL THEN 'not_found' WHEN coalesce(n, 0) > 0 THEN 'parsed' ELSE 'empty' END AS outcome,
+  CAST(CASE WHEN file_found IS NULL THEN 0 ELSE coalesce(n, 0) END AS BIGINT) AS n_figures FROM m LEFT JOIN c ON m.attachment_id = c.attachment_id"""))
+def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.extraction_outcome(view(spark, sf_dir, "attachments"), view(spark, sf_dir, "files"), view(spark, sf_dir, "figures"))
+
+
+@query("a5_safe_names", duck("attachments", "SELECT attachment_id, file_name, replace(file_name, ',', '_') AS new_name FROM attachments WHERE contains(file_name, ',')"))
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.safe_file_names(view(spark, sf_dir, "attachments"))
+
+
+@query("a6_pending", duck("attachments files", FOUND + " SELECT attachment_id, attachment_key FROM m WHERE file_found IS NULL"))
+def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.pending_attachments(view(spark, sf_dir, "attachments"), view(spark, sf_dir, "files")).select("attachment_id", "attachment_key")
+
+
+@query("a7_images", duck("figures images", "SELECT figure_id, 'data:image/png;base64,' || to_base64(content) AS image FROM figures JOIN images ON render_url = path"))
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.attach_images(view(spark, sf_dir, "figures"), view(spark, sf_dir, "images")).select("figure_id", "image")
+
+
+@query("b1_flip", duck("figures doc_pages", R + " SELECT figure_id, x1, y1, x2, y2 FROM r"))
+def flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flipped(spark, sf_dir).select("figure_id", *layout.RECT)
+
+
+@query("b2_round", duck("figures", "SELECT figure_id, round(x1 / 7, 3) AS x1, round(y1 / 7, 3) AS y1, round(x2 / 7, 3) AS x2, round(y2 / 7, 3) AS y2 FROM figures"))
+def round_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rects = round_rects(F.array(F.array(*(F.col(c) / 7 for c in layout.RECT))))
+    return view(spark, sf_dir, "figures").select("figure_id", rects.alias("r")).select("figure_id", *(F.col("r")[0][i].alias(c) for i, c in enumerate(layout.RECT)))
+
+
+@query("b3_b4_labels", duck("figures", "SELECT figure_id, fig_type || ' ' || name AS tag, CAST(page + 1 AS VARCHAR) AS page_label FROM figures"))
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "figures").select("figure_id", captions.figure_tag(F.col("fig_type"), F.col("name")).alias("tag"), captions.page_label(F.col("page")).alias("page_label"))
+
+
+IDENTITY = ("attachment_id", "figure_id", "page", "x1", "y1", "x2", "y2")
+
+
+@query("b5_keys", duck("figures", f"SELECT figure_id, {_key(*IDENTITY)} AS key FROM figures"))
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "figures").select("figure_id", annotate.annotation_key(*map(F.col, IDENTITY)).alias("key"))
+
+
+def annotations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = flipped(spark, sf_dir)
+    order = layout.reading_order_key_by_page(regions, page_chars(spark, sf_dir), view(spark, sf_dir, "doc_pages"))
+    return annotate.build_annotations(regions, order, F.to_timestamp(F.lit(STAMP)))
+
+
+def flat(annotations: DataFrame) -> DataFrame:
+    rect = F.get("position.rects", F.lit(0))
+    names = ("attachment_id", "annotation_id", "annotation_type", "color", "page_label", "sort_index", "text", "comment", "key", "date_created", "date_modified", "author_name")
+    return annotations.select(*names, F.get("tags", F.lit(0)).alias("tag"), *(F.get(rect, F.lit(i)).alias(c) for i, c in enumerate(layout.RECT)))
+
+
+B6_SQL = duck("figures doc_pages chars", R + NEAR + KEYS + f""" SELECT attachment_id, r.figure_id AS annotation_id, 'image' AS annotation_type, '#d2d8e2' AS color,
+  CAST(page + 1 AS VARCHAR) AS page_label, sort_key AS sort_index, '' AS text, caption AS comment, {_key("attachment_id", "r.figure_id", "page", "x1", "y1", "x2", "y2")} AS key,
+  '2024-05-01T12:00:00.000Z' AS date_created, '2024-05-01T12:00:00.000Z' AS date_modified, 'figshelf' AS author_name, fig_type || ' ' || name AS tag,
+  round(x1, 3) AS x1, round(y1, 3) AS y1, round(x2, 3) AS x2, round(y2, 3) AS y2 FROM r JOIN k ON r.figure_id = k.figure_id""")
+
+
+@query("b6_annotations", B6_SQL)
+def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(annotations_of(spark, sf_dir))
+
+
+@query("a8_saved_annotations", B6_SQL)
+def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations written twice: the replay adds nothing."""
+    path = scratch(spark, "annotations")
+    made = annotations_of(spark, sf_dir)
+    results.write_annotations(made, path)
+    results.write_annotations(spark.read.parquet(path).drop("bucket"), path)
+    return flat(spark.read.parquet(path))
+
+
+@query("b7_figures", duck("figures doc_pages", R + """, c AS (SELECT *, coalesce(nullif(caption, ''), 'Untitled Figure/Table') AS cap FROM r)
+  SELECT c.attachment_id, figure_id AS annotation_id, cap AS caption, coalesce(nullif(regexp_extract(cap, '([0-9]+)', 1), ''), '0') AS name, c.page, round(x1, 3) AS x1,
+  p.vy2 - round(y2, 3) AS y1, round(x2, 3) AS x2, p.vy2 - round(y1, 3) AS y2, CASE WHEN regexp_matches(cap, '(?i)(fig|figure|图)') THEN 'Figure' ELSE 'Table' END AS fig_type
+  FROM c JOIN doc_pages p ON c.attachment_id = p.attachment_id AND p.page = 0"""))
+def inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = flipped(spark, sf_dir)
+    none = regions.select("figure_id", F.lit("").alias("sort_key"))
+    made = annotate.build_annotations(regions, none, F.to_timestamp(F.lit(STAMP)))
+    return annotate.annotations_to_figures(made, view(spark, sf_dir, "doc_pages"))
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as paragraphs of ten lines of sixty characters, in words of six."""
+    c = lambda x: F.struct(F.array("cx1", "cy1", "cx2", "cy2").alias("rect"))  # noqa: E731, ARG005
+    group = lambda df, by, new, old: df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col(old).alias("v")))), lambda x: x["v"]).alias(new))
+    rows = view(spark, sf_dir, "chars").select("attachment_id", "page", F.col("char_offset").alias("n"), c(None).alias("ch"))
+    page = ["attachment_id", "page"]
+    words = group(rows.withColumn("w", F.floor(F.col("n") / 6)), [*page, "w"], "chars", "ch").select(*page, F.col("w").alias("n"), F.struct("chars").alias("word"))
+    lines = group(words.withColumn("l", F.floor(F.col("n") / 10)), [*page, "l"], "words", "word").select(*page, F.col("l").alias("n"), F.struct("words").alias("line"))
+    paragraphs = group(lines.withColumn("p", F.floor(F.col("n") / 10)), [*page, "p"], "lines", "line").select(*page, F.col("p").alias("n"), F.struct("lines").alias("paragraph"))
+    return group(paragraphs, page, "paragraphs", "paragraph")
+
+
+@query("c1_flatten_chars", duck("chars", "SELECT attachment_id, page, count(*) AS n, sum(char_offset * cx1) AS a, sum(char_offset * cy2) AS b FROM chars GROUP BY attachment_id, page"))
+def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = page_text(spark, sf_dir).select("attachment_id", "page", F.posexplode(flatten_chars(F.col("paragraphs"))).alias("o", "c"))
+    return rows.groupBy("attachment_id", "page").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o") * F.col("c.rect")[0]).alias("a"), F.sum(F.col("o") * F.col("c.rect")[3]).alias("b"))
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "positions").groupBy("position_id", "page").agg(F.sort_array(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("rects"))
+    return rows.withColumn("next", F.when(F.col("position_id") % 2 == 0, F.slice("rects", 2, 1)))
+
+
+BOX = "min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2"
+
+
+def corners(df: DataFrame) -> DataFrame:
+    return df.select("position_id", *(F.col("b")[i].alias(c) for i, c in enumerate(layout.RECT)))
+
+
+@query("c2_bbox_rects", duck("positions", f"SELECT position_id, {BOX} FROM positions WHERE position_id % 2 = 1 OR rect_no = 1 GROUP BY position_id"))
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box on the page after the position's: of the next page's rectangles where there are any."""
+    return corners(positions(spark, sf_dir).select("position_id", bbox_rects(F.col("rects"), F.col("next"), F.col("page"), F.col("page") + 1).alias("b")))
+
+
+@query("c3_bbox_paths", duck("positions", "SELECT position_id, least(min(x1), min(x2)) AS x1, least(min(y1), min(y2)) AS y1, greatest(max(x1), max(x2)) AS x2, greatest(max(y1), max(y2)) AS y2 FROM positions GROUP BY position_id"))
+def path_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.transform("rects", lambda r: F.concat(r, F.array(F.lit(1e9))))
+    return corners(positions(spark, sf_dir).select("position_id", bbox_paths(odd).alias("b")))
+
+
+@query("c4_rect_distance", duck("figures", "SELECT a.figure_id, b.figure_id AS other_id, " + DIST.format(a="a.", b="b.") + " AS distance FROM figures a JOIN figures b ON a.attachment_id = b.attachment_id AND a.page = b.page AND a.figure_id < b.figure_id"))
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of figures on one page of one document."""
+    a = view(spark, sf_dir, "figures").select("attachment_id", "page", "figure_id", *layout.RECT)
+    b = a.select("attachment_id", "page", F.col("figure_id").alias("other_id"), *(F.col(c).alias(f"o{c}") for c in layout.RECT))
+    pairs = a.join(b, ["attachment_id", "page"]).where("figure_id < other_id")
+    return pairs.select("figure_id", "other_id", rect_distance(tuple(map(F.col, layout.RECT)), tuple(F.col(f"o{c}") for c in layout.RECT)).alias("distance"))
+
+
+@query("d1_nearest_char", duck("figures doc_pages chars", R + NEAR + " SELECT figure_id, char_offset AS \"offset\" FROM n"))
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.nearest_char_by_page(flipped(spark, sf_dir), page_chars(spark, sf_dir))
+
+
+@query("d1_nearest_char_long", duck("figures doc_pages chars", R + NEAR + " SELECT figure_id, char_offset AS \"offset\" FROM n"))
+def nearest_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.nearest_char(flipped(spark, sf_dir), view(spark, sf_dir, "chars"))
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = view(spark, sf_dir, "annotations").select("annotation_id", "annotation_type", "comment", "key")
+    lines = view(spark, sf_dir, "note_lines").join(more, "annotation_id")
+    return notes.resolve_parents(lines, view(spark, sf_dir, "attachments"), view(spark, sf_dir, "items"))
+
+
+L = ", l AS (SELECT n.note_id, n.seq, n.annotation_id, n.attachment_id, a.annotation_type, a.comment, a.key, t.file_name AS attachment_title, t.parent_item_id AS item_id, i.title AS item_title FROM note_lines n JOIN annotations a ON n.annotation_id = a.annotation_id LEFT JOIN attachments t ON n.attachment_id = t.attachment_id LEFT JOIN items i ON t.parent_item_id = i.item_id)"
+RUNS = ", u AS (SELECT *, CASE WHEN lag(attachment_id) OVER w IS DISTINCT FROM attachment_id OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS fresh FROM l WINDOW w AS (PARTITION BY note_id ORDER BY seq)), v AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY note_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_no FROM u)"
+SPANS = ", x AS (SELECT note_id, item_id, row_number() OVER w AS rn, lag(item_id) OVER w AS before FROM l WINDOW w AS (PARTITION BY note_id ORDER BY seq)), s AS (SELECT note_id, bool_or(rn > 1 AND before IS DISTINCT FROM item_id) AS spans_items FROM x GROUP BY note_id)"
+GROUPS = ", g AS (SELECT note_id, run_no, any_value(attachment_id) AS attachment_id, any_value(item_id) AS item_id, any_value(attachment_title) AS attachment_title, any_value(item_title) AS item_title, count(*) AS n_lines, string_agg('<p>' || coalesce(comment, '') || ' [' || key || ']</p>' || chr(10), '' ORDER BY seq) AS body FROM v GROUP BY note_id, run_no)"
+HEADS = ", h AS (SELECT g.*, CASE WHEN spans_items AND coalesce(item_title, '') <> '' AND (lag(item_id) OVER w IS DISTINCT FROM item_id) THEN item_title END AS item_heading, CASE WHEN item_id IS NULL OR count(*) OVER (PARTITION BY g.note_id, item_id) > 1 THEN attachment_title END AS attachment_heading FROM g JOIN s ON g.note_id = s.note_id WINDOW w AS (PARTITION BY g.note_id ORDER BY run_no))"
+NOTES = "note_lines annotations attachments items"
+
+
+@query("d2_parents", duck(NOTES, L + " SELECT note_id, seq, attachment_title, CAST(item_id AS VARCHAR) AS item_id, item_title FROM l"))
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolved(spark, sf_dir).select("note_id", "seq", "attachment_title", F.col("item_id").cast("string").alias("item_id"), "item_title")
+
+
+@query("d3_missing_images", duck("annotations cache_images", "SELECT annotation_id, attachment_id FROM annotations a WHERE annotation_type = 'image' AND NOT EXISTS (SELECT 1 FROM cache_images c WHERE c.annotation_id = a.annotation_id)"))
+def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.missing_images(tagged(spark, sf_dir), view(spark, sf_dir, "cache_images")).select("annotation_id", "attachment_id")
+
+
+@query("d4_with_figures", duck("annotations", f"SELECT attachment_id, bool_or({ANY}) AS has_figures FROM annotations GROUP BY attachment_id"))
+def with_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.documents_with_figures(tagged(spark, sf_dir))
+
+
+@query("e1_e2_is_figure", duck("annotations", f"SELECT annotation_id, ({ANY}) AS any_tag, ({FIRST}) AS first_tag FROM annotations"))
+def is_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged(spark, sf_dir).select("annotation_id", captions.is_figure_any_tag(F.col("tags")).alias("any_tag"), captions.is_figure_first_tag(F.col("annotation_type"), F.col("tags")).alias("first_tag"))
+
+
+@query("e3_filter_active", duck("filters", "SELECT filter_id, author IS NOT NULL OR color IS NOT NULL OR tag IS NOT NULL OR query <> '' AS active FROM filters"))
+def active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())
+    return view(spark, sf_dir, "filters").select("filter_id", captions.filter_active(part("author"), part("color"), part("tag"), F.col("query")).alias("active"))
+
+
+@query("e4_views", duck("annotations", f"SELECT annotation_id, ({ANY}) IS DISTINCT FROM true AS figures_hidden, CASE WHEN ({ANY}) THEN true ELSE hidden END AS normal_hidden FROM annotations"))
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figure view without a filter, and the normal view under one."""
+    rows = tagged(spark, sf_dir)
+    figure = catalogue.apply_view(rows, True, False).withColumnRenamed("hidden", "figures_hidden").withColumn("hidden", F.col("annotation_id") % 7 == 0)
+    return catalogue.apply_view(figure, False, True).select("annotation_id", "figures_hidden", F.col("hidden").alias("normal_hidden"))
+
+
+@query("e5_search_captions", duck("figures", "SELECT figure_id, caption FROM figures WHERE regexp_matches(caption, '(?i)FIG.*(low|urgent)')"))
+def search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.search_captions(view(spark, sf_dir, "figures"), "FIG.*(low|urgent)").select("figure_id", "caption")
+
+
+@query("e6_select_figures", duck("annotations", f"SELECT annotation_id, attachment_id FROM annotations WHERE annotation_type = 'image' AND ({ANY})"))
+def select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.select_figures(tagged(spark, sf_dir)).select("annotation_id", "attachment_id")
+
+
+@query("f1_schema_version", duck(NOTES, L + " SELECT note_id, CASE WHEN bool_or(annotation_type = 'underline') THEN 10 ELSE 9 END AS schema_version FROM l GROUP BY note_id"))
+def version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.note_schema_version(resolved(spark, sf_dir))
+
+
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "citations").select("note_id", "seq", F.array("u1", "u2").alias("uris"))
+
+
+@query("f2_dedupe_citations")
+def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.dedupe_citations(cited(spark, sf_dir)).select("note_id", F.explode("items").alias("i")).select("note_id", "i.seq", F.array_join("i.uris", " ").alias("uris"))
+
+
+@query("g1_runs", duck(NOTES, L + RUNS + " SELECT note_id, seq, run_no FROM v"))
+def run_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.group_runs(resolved(spark, sf_dir)).select("note_id", "seq", "run_no")
+
+
+@query("g2_spans_items", duck(NOTES, L + SPANS + " SELECT note_id, spans_items FROM s"))
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.spans_items(resolved(spark, sf_dir))
+
+
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = resolved(spark, sf_dir)
+    return notes.headings(notes.runs(notes.group_runs(lines)), notes.spans_items(lines))
+
+
+@query("g3_g4_headings", duck(NOTES, L + RUNS + SPANS + GROUPS + HEADS + " SELECT note_id, run_no, n_lines, item_heading, attachment_heading FROM h"))
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headed(spark, sf_dir).select("note_id", "run_no", "n_lines", "item_heading", "attachment_heading")
+
+
+@query("g5_gallery_index", duck("annotations", f", e AS (SELECT *, row_number() OVER (PARTITION BY attachment_id ORDER BY annotation_id) - 1 AS place FROM annotations WHERE annotation_type = 'image' AND ({ANY})) SELECT attachment_id, CAST(coalesce(min(place) FILTER (tag1 = 'Figure 11'), -1) AS INTEGER) AS gallery_index FROM e GROUP BY attachment_id"))
+def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.gallery_index(tagged(spark, sf_dir), "Figure 11")
+
+
+@query("h1_order_by_page", duck("figures", "SELECT attachment_id, figure_id, page, CAST(row_number() OVER (PARTITION BY attachment_id ORDER BY page, figure_id) AS INTEGER) AS rank FROM figures"))
+def by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.order_by_page(view(spark, sf_dir, "figures")).select("attachment_id", "figure_id", "page", "rank")
+
+
+@query("h2_reading_order", duck("figures doc_pages chars", R + NEAR + KEYS + " SELECT figure_id, sort_key FROM k"))
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.reading_order_key_by_page(flipped(spark, sf_dir), page_chars(spark, sf_dir), view(spark, sf_dir, "doc_pages"))
+
+
+@query("h3_ranked_search")
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.ranked_search(view(spark, sf_dir, "figures"), "fig 1 urg", 100).select("figure_id", "caption", "score")
+
+
+CATALOGUE = "figure_id, caption"
+
+
+@query("i1_append", duck("figures", f"SELECT {CATALOGUE} FROM figures UNION ALL SELECT -figure_id, caption FROM figures"))
+def append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = view(spark, sf_dir, "figures").select("figure_id", "caption")
+    return catalogue.append_figures(have, have.withColumn("figure_id", -F.col("figure_id")))
+
+
+@query("i2_update", duck("figures edits", "SELECT f.figure_id, CASE WHEN e.figure_id IS NOT NULL THEN e.caption ELSE f.caption END AS caption FROM figures f LEFT JOIN edits e ON f.figure_id = e.figure_id"))
+def update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.update_captions(view(spark, sf_dir, "figures"), view(spark, sf_dir, "edits")).select("figure_id", "caption")
+
+
+@query("i3_remove", duck("figures edits", "SELECT f.figure_id, f.caption FROM figures f WHERE NOT EXISTS (SELECT 1 FROM edits e WHERE e.figure_id = f.figure_id)"))
+def remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.remove_figures(view(spark, sf_dir, "figures"), view(spark, sf_dir, "edits")).select("figure_id", "caption")
+
+
+@query("i4_clear", duck("annotations", f"SELECT annotation_id, annotation_type FROM annotations WHERE NOT ({FIRST})"))
+def clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.clear_figure_annotations(tagged(spark, sf_dir)).select("annotation_id", "annotation_type")
+
+
+@query("j1_j4_captions", duck("figures", """SELECT figure_id, coalesce(nullif(regexp_extract(caption, '([0-9]+)', 1), ''), '0') AS number,
+  CASE WHEN regexp_matches(caption, '(?i)(fig|figure|图)') THEN 'Figure' ELSE 'Table' END AS kind, coalesce(nullif(caption, ''), 'Untitled Figure/Table') AS shown,
+  CASE WHEN length(caption) > 15 THEN left(caption, 15) || '...' ELSE caption END AS short FROM figures"""))
+def caption_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("caption")
+    return view(spark, sf_dir, "figures").select("figure_id", captions.caption_number(c).alias("number"), captions.classify_caption(c).alias("kind"), captions.default_caption(c).alias("shown"), captions.short_caption(c, 15).alias("short"))
+
+
+@query("j5_encoded_citations")
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.dedupe_citations(cited(spark, sf_dir)).select("note_id", encode_citations(F.col("items")).alias("encoded"))
+
+
+@query("j6_note_bodies", duck(NOTES, L + RUNS + SPANS + GROUPS + HEADS + """ SELECT note_id, md5(string_agg(coalesce('<h2>' || item_heading || '</h2>' || chr(10), '') ||
+  coalesce('<h3>' || attachment_heading || '</h3>' || chr(10), '') || body || chr(10), '' ORDER BY run_no)) AS digest FROM h GROUP BY note_id"""))
+def note_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bodies of the notes, as j6_notes has them between the title and the end of the div."""
+    html = _notes(spark, sf_dir)
+    return html.select("note_id", F.md5(F.regexp_extract("html", r"(?s)</h1>\n(.*)</div>$", 1).cast("binary")).alias("digest"))
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = view(spark, sf_dir, "annotations").select("annotation_id", "annotation_type", "comment", "key")
+    lines = view(spark, sf_dir, "note_lines").join(more, "annotation_id")
+    return notes.create_notes(lines, view(spark, sf_dir, "attachments"), view(spark, sf_dir, "items"), cited(spark, sf_dir))
+
+
+@query("j6_notes")
+def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _notes(spark, sf_dir)
+
+
+X = ", e AS (SELECT item_id, line, p FROM (SELECT item_id, unnest(string_split(extra, chr(10))) AS line, unnest(range(1, len(string_split(extra, chr(10))) + 1)) AS p FROM item_extra) z), q AS (SELECT item_id, line, p, strpos(line, ': ') AS c FROM e), kv AS (SELECT item_id, left(line, c - 1) AS key, substr(line, c + 2) AS value, p FROM q WHERE c > 1), free AS (SELECT item_id, string_agg(line, chr(10) ORDER BY p) AS text FROM q WHERE c <= 1 GROUP BY item_id), last AS (SELECT item_id, key, arg_max(value, p) AS value, min(p) AS p FROM kv GROUP BY item_id, key)"
+
+
+@query("j7_parse_extra", duck("item_extra", X + " SELECT item_id, key, value FROM last UNION ALL SELECT i.item_id, '__nonStandard__', coalesce(free.text, '') FROM item_extra i LEFT JOIN free ON i.item_id = free.item_id"))
+def parse_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra.last_wins(spark)
+    return view(spark, sf_dir, "item_extra").select("item_id", F.explode(extra.parse_extra(F.col("extra"))))
+
+
+@query("j8_get_extra", duck("item_extra", X + " SELECT i.item_id, d.value AS doi, CAST(NULL AS VARCHAR) AS none FROM item_extra i LEFT JOIN last d ON i.item_id = d.item_id AND d.key = 'DOI'"))
+def get_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra.last_wins(spark)
+    return view(spark, sf_dir, "item_extra").select("item_id", extra.get_extra(F.col("extra"), "DOI").alias("doi"), extra.get_extra(F.col("extra"), "none").alias("none"))
+
+
+@query("j9_set_extra", duck("item_extra", X + ", w AS (SELECT item_id, key, CASE WHEN key = 'DOI' THEN '10.2/new' ELSE value END AS value, p FROM last UNION ALL SELECT item_id, 'Place', 'shelf', 1000000 FROM item_extra) SELECT i.item_id, free.text || chr(10) || (SELECT string_agg(w.key || ': ' || w.value, chr(10) ORDER BY w.p) FROM w WHERE w.item_id = i.item_id) AS extra FROM item_extra i JOIN free ON i.item_id = free.item_id"))
+def set_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra.last_wins(spark)
+    one = extra.set_extra(F.col("extra"), "DOI", F.lit("10.2/new"))
+    return view(spark, sf_dir, "item_extra").select("item_id", extra.set_extra(one, "Place", F.lit("shelf")).alias("extra"))
+
+
+@query("k1_annotate_stream", duck("figures doc_pages chars", R + NEAR + KEYS + """ SELECT attachment_id, sort_key AS sort_index, caption AS comment, fig_type || ' ' || name AS tag,
+  round(x1, 3) AS x1, round(y1, 3) AS y1, round(x2, 3) AS x2, round(y2, 3) AS y2 FROM r JOIN k ON r.figure_id = k.figure_id"""))
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result files of all documents taken up by the stream, and the annotations that it saves."""
+    files, out, checkpoint = (scratch(spark, f"stream-{x}") for x in ("files", "out", "state"))
+    attachments = view(spark, sf_dir, "attachments")
+    results.write_figures(view(spark, sf_dir, "figures"), attachments, files)
+    for _ in range(2):  # the second run finds nothing new
+        annotate_stream(spark, files, out, checkpoint, attachments, page_chars(spark, sf_dir), view(spark, sf_dir, "doc_pages"), STAMP).awaitTermination()
+    return flat(spark.read.parquet(out)).select("attachment_id", "sort_index", "comment", "tag", *layout.RECT)
+
+
+@query("k2_reader_events", duck("notifications", "SELECT event_id, event FROM notifications WHERE type = 'tab' AND id IS NOT NULL AND kind = 'reader'"))
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "notifications")
+    ids = F.filter(F.array("id"), lambda x: x.isNotNull())
+    shaped = rows.select("event_id", "event", "type", ids.alias("ids"), F.create_map(F.coalesce("id", F.lit("")), F.struct(F.col("kind").alias("type"))).alias("extra"))
+    return reader_events(shaped).select("event_id", "event")
