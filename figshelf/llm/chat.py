@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import new_folder
+from figshelf.llm.common import bounded_batches, new_folder
 
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")}
 OTHER, OTHER_END = "[ROLE ", " [/ROLE]"
@@ -100,6 +100,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
 
     A conversation's text is its `formatted` in order of seq; begin counts the code points before.
     """
+    bounded_batches(turns.sparkSession)
     rows = turns.select(F.col(f"`{id_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
 

@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+BATCH_ROWS, BATCH_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 CHUNK_BYTES = 4 << 20  # text handled by numpy at once inside a task
 
 
@@ -20,6 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Unless the session says otherwise, hand BATCH_ROWS rows at a time to Python: rows hold whole texts."""
+    if spark.conf.get(BATCH_CONF) == "10000":  # Spark's default
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (tests) one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,7 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in df.dtypes))).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts(n_rows: int, per_part: int) -> int:

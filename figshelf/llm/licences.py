@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from figshelf.llm.common import documents
+from figshelf.llm.common import bounded_batches, documents
 
 MAX_GAP = 3
 
@@ -157,6 +157,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: its id, n_matches, n_sentences in them, n_unmatched sentences, licences (distinct, sorted,
     joined by a comma), first_begin (code points before the first match, null if none)."""
 
+    bounded_batches(docs.sparkSession)
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = {"n_matches": [], "n_sentences": [], "n_unmatched": [], "licences": [], "first_begin": []}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import documents, text_bytes, written
+from figshelf.llm.common import bounded_batches, documents, text_bytes, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -87,6 +87,7 @@ def _with_drops(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the shared lines gone; a column n_chars, if there is one of type long, follows the text."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     place, chars = names.index(text_col), names.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
     schema = docs.schema
@@ -111,6 +112,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per row: its id, n_lines before, n_dropped, and the SHA-256 of the text that dedup_lines leaves."""
 
+    bounded_batches(docs.sparkSession)
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [(n, gone, hashlib.sha256(text).hexdigest()) for text, n, gone in (without(t, d, min_chars) for t, d in zip(_texts(batch.column(1)), batch.column(2).to_pylist()))]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import documents, parts, written
+from figshelf.llm.common import bounded_batches, documents, parts, written
 from figshelf.llm.words import mix
 
 MOST_EPOCHS, BLOCK_WORDS, BLOCK_DOCS, BLOCKS_PER_SHARD, SEED, MAX_SOURCES = 3, 20_000, 2_000, 64, 20_240_501, 100_000
@@ -82,6 +82,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     r is a hash of the row's text: ids may repeat.
     """
+    bounded_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("r"), F.col(f"`{source_col}`").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
     sized = written(rows, "sizes")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import parts, written
+from figshelf.llm.common import bounded_batches, parts, written
 
 K, EVERY, BLOCK, TILE = 10, 100, 8192, 2048
 
@@ -92,6 +92,7 @@ def nearest_in_cell(queries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: tu
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of every row whose id is divisible by `every`."""
+    bounded_batches(vectors.sparkSession)
     v = F.col(f"`{vector_col}`")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     good = vectors.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import documents, row_chunks, text_bytes, written
+from figshelf.llm.common import bounded_batches, documents, row_chunks, text_bytes, written
 from figshelf.llm.words import U, Words, words_of
 
 WINDOW, MINIMISER, HOT = 50, 20, 5000
@@ -224,6 +224,7 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, size: int = MINIMISER, hot: int = HOT) -> DataFrame:
     """docs; of texts that lose words the rest is joined by one space, other texts stay as they are."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     place = names.index(text_col)
 
@@ -242,6 +243,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, size: int = MINIMISER, hot: int = HOT) -> DataFrame:
     """Per row: its id, n_words, n_removed, and the SHA-256 of the kept words joined by one space."""
 
+    bounded_batches(docs.sparkSession)
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [(n, gone, hashlib.sha256(b" ".join(words)).hexdigest()) for words, n, gone in (kept_words(t, bool(h), s, window) for t, s, h in zip(_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()))]

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from figshelf.llm.common import documents, row_chunks, text_bytes
+from figshelf.llm.common import bounded_batches, documents, row_chunks, text_bytes
 from figshelf.llm.words import U, Words, covered, mix, repeated, words_of
 
 MIN_WORDS, WINDOW, MAX_REPEAT_WORDS = 10, 5, 20
@@ -137,6 +137,7 @@ def _scored(text: pa.Array) -> dict[str, np.ndarray]:
 def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id and FEATURES. A map over the rows: nothing is shuffled."""
 
+    bounded_batches(docs.sparkSession)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -148,6 +149,7 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, unchanged and with all their columns, whatever these are called."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import documents, new_folder, parts
+from figshelf.llm.common import bounded_batches, documents, new_folder, parts
 from figshelf.llm.tokens import Encoder, as_u32
 from figshelf.llm.words import U, mix
 
@@ -136,6 +136,7 @@ class IndexFile:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", docs_per_task: int = DOCS_PER_TASK, shard_bytes: int = SHARD_BYTES, keys_per_index: int = KEYS_PER_INDEX) -> int:
     """Write docs as a data set into folder (new or empty); the number of index files."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     n_docs = docs.count()
     n_index = parts(n_docs, keys_per_index)
@@ -223,6 +224,7 @@ class TokenFiles:
 
 def read_token_files(spark: SparkSession, folder: str, n_index: int) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the index and the shards."""
+    bounded_batches(spark)
     keys = spark.read.parquet(f"{folder}/keys")
     id_type = keys.dtypes[0][1]
 
