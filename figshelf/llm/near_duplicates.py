@@ -6,14 +6,14 @@ is at least PER_CENT / 100. A component's id is the smallest document id in it.
 
 1. Texts with one and the same set are one class, shown by its smallest id.
 2. Trees: a class enters a node for each root token, the least of its shingles in one of TOKENS random
-   orders (TREES trees of TOKENS / TREES roots). A node of more than SMALL classes branches: each of its
-   classes goes on to FAN children, chosen by its next minwise tokens, down to DEPTH levels.
+   orders (TREES trees of TOKENS / TREES roots). A node of more than about SMALL classes branches: each of its
+   classes goes on to FAN children, chosen by its next minwise tokens; so do nodes of over LARGE, DEPTH levels down.
 3. A small node is compared exhaustively, first by sketches of a byte for each token: a class stays if
    another agrees with it in at least AGREE bytes. (At similarity 0.75 a pair fails that with
    probability 4e-8.) What stays is compared by whole sets, and a link counts only if these confirm it.
-4. The first tree's links make components. The other trees then compare only classes of different
-   components, so a group of thousands of near copies costs no more than one tree. Within a node links
-   that join nothing new are neither looked for nor written.
+4. The first tree's links make components. All trees after it compare only classes of different
+   components, and no pair that the first tree has compared. Within a node links that join nothing new
+   are neither looked for nor written.
 
 A pair with similarity 0.75 shares each root with probability 0.75: it misses all TOKENS = 24 with 4e-15.
 A node of more than LARGE classes on the last level is cut into blocks: the first tree compares each block
@@ -34,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import documents, row_chunks, text_bytes, written
+from figshelf.llm.common import bounded_batches, documents, row_chunks, text_bytes, written
 from figshelf.llm.components import components
 from figshelf.llm.words import U, Words, mix, words_of
 
 SHINGLE, PER_CENT = 5, 75
-TOKENS, TREES, FAN, DEPTH = 24, 8, 3, 3
-SMALL, LARGE, LARGE_SHINGLES, AGREE = 256, 4096, 4_000_000, 6
+TOKENS, TREES, FAN, DEPTH = 24, 8, 2, 4
+SMALL, LARGE, LARGE_SHINGLES, AGREE = 1024, 4096, 4_000_000, 6
+ROOTS = TOKENS // TREES
+FEW = 10_000  # classes, of 24 bytes each, that may be broadcast
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -89,24 +91,39 @@ def signatures(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, f"id {rows.dtypes[0][1]}, r long, n long, cls binary, tokens array<long>")
 
 
-def leaves(members: DataFrame) -> DataFrame:
-    """(t, root, v, sketch, n): classes by the nodes where they are compared. members: (v, tokens)."""
-    sketch = F.to_binary(F.concat_ws("", F.transform("tokens", lambda x: F.lpad(F.hex(x.bitwiseAND(255)), 2, "0"))), F.lit("hex"))
-    level = members.select("v", F.posexplode("tokens").alias("root", "token")).select("v", "root", F.col("root").alias("k"), F.xxhash64("root", "token").alias("t"))
-    out = None
+def leaves(members: DataFrame, roots: int) -> tuple[DataFrame, DataFrame]:
+    """Classes by the nodes where they are compared, (t, v, label, sketch, n), and (v, flags).
+
+    members: (v, tokens, label, flags). Nodes of one label have nothing to join and go. A node is small if
+    its pairs of different labels are: with n classes, m of the commonest label, at most SMALL * SMALL of
+    n * (n - m). Below the roots LARGE takes the place of SMALL: classes still together after two tokens are
+    alike, and branching parts them no more. flags tells for each root of the first tree how its node was compared:
+    0 as a whole, 1 in its children, 2 in another way.
+    """
+    first = members.select("v", "label", F.posexplode(F.slice("tokens", 1, roots)).alias("k", "token"))
+    level = first.select("v", "label", "k", F.col("k").alias("root"), F.xxhash64("k", "token").alias("t"))
+    out, how = None, None
     for depth in range(DEPTH):
-        sized = level.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        known = written(level.join(sized, "t"), "nodes")
-        big = known.where(F.col("n") > SMALL)
-        done = depth == DEPTH - 1 or big.isEmpty()
-        here = known if done else known.where(F.col("n") <= SMALL)
+        small = SMALL if depth == 0 else LARGE
+        by_label = level.groupBy("t", "label").agg(F.count(F.lit(1)).alias("c"))
+        sized = by_label.groupBy("t").agg(F.sum("c").alias("n"), F.max("c").alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        known = written(level.join(sized.select("t", "n", (F.col("n") * (F.col("n") - F.col("m")) > small * small).alias("big")), "t"), "nodes")
+        done = depth == DEPTH - 1 or known.where("big").isEmpty()
+        here = known if done else known.where("NOT big")
         out = here if out is None else out.unionByName(here)
+        parted = known.where(F.col("big") | (F.col("n") > LARGE)).select("v", "root", F.when((F.col("n") > LARGE) & (F.lit(done) | ~F.col("big")), 2).otherwise(min(depth + 1, 2)).alias("how"))
+        how = parted if how is None else how.unionByName(parted)
         if done:
             break
-        nexts = F.explode(F.sequence(F.lit(1), F.lit(FAN)))
-        on = big.select("t", "root", "v", "k", nexts.alias("step")).withColumn("k", F.pmod(F.col("k") + F.col("step"), F.lit(TOKENS)))
-        level = on.join(members, "v").select("v", "root", "k", F.xxhash64("t", "k", F.get("tokens", F.col("k"))).alias("t"))
-    return out.join(members.select("v", sketch.alias("sketch")), "v").select("t", "root", "v", "sketch", "n")
+        on = known.where("big").select("t", "v", "label", "root", "k", F.explode(F.sequence(F.lit(1), F.lit(FAN))).alias("step"))
+        on = on.withColumn("k", F.pmod(F.col("k") + F.col("step"), F.lit(TOKENS)))
+        level = on.join(members.select("v", "tokens"), "v").select("v", "label", "k", "root", F.xxhash64("t", "k", F.get("tokens", F.col("k"))).alias("t"))
+    mine = [F.coalesce(F.max(F.when(F.col("root") == j, F.col("how"))), F.lit(0)) for j in range(ROOTS)]
+    flags = how.groupBy("v").agg(F.concat(*(F.lpad(F.hex(x), 2, "0") for x in mine)).alias("flags"))
+    # a byte of each token, then four of each that a pair of the first tree meets by, then the flags
+    parts = [F.lpad(F.hex(x.bitwiseAND(mask)), 2 * n, "0") for n, mask, last in ((1, 255, TOKENS), (4, 0xFFFFFFFF, ROOTS + FAN)) for x in (F.get("tokens", F.lit(j)) for j in range(last))]
+    sketch = F.to_binary(F.concat(*parts, "flags"), F.lit("hex"))
+    return out.join(members.select("v", sketch.alias("sketch")), "v").select("t", "v", "label", "sketch", "n"), flags
 
 
 def _node_batches(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
@@ -132,49 +149,61 @@ def _edges(t: np.ndarray) -> list[int]:
     return np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)])).tolist()
 
 
-def likely(sketches: np.ndarray) -> np.ndarray:
-    """Which rows of a byte matrix agree with another row in at least AGREE columns."""
-    n = len(sketches)
+def likely(sketches: np.ndarray, labels: np.ndarray, second: bool) -> np.ndarray:
+    """Which sketches agree in at least AGREE bytes with one of another label.
+
+    second: not counting pairs that the first tree has compared. These have a root of it in common and, if that
+    root's node was compared in its children, a child as well.
+    """
+    n, near = len(sketches), sketches[:, :TOKENS]
+    token = np.ascontiguousarray(sketches[:, TOKENS : TOKENS + 4 * (ROOTS + FAN)]).view(np.uint32)
+    flags = sketches[:, TOKENS + 4 * (ROOTS + FAN) :]
     found = np.zeros(n, bool)
     for lo in range(0, n, 64):
         todo = lo + np.flatnonzero(~found[lo : lo + 64])
-        if len(todo):
-            same = (sketches[todo, None, :] == sketches[None, :, :]).sum(2, dtype=np.uint8) >= AGREE
-            same[np.arange(len(todo)), todo] = False
-            found[todo] |= same.any(1)
-            found |= same.any(0)
+        if not len(todo):
+            continue
+        same = (near[todo, None, :] == near[None, :, :]).sum(2, dtype=np.uint8) >= AGREE
+        same &= labels[todo, None] != labels[None, :]
+        if second and same.any():
+            meets = token[todo, None, :] == token[None, :, :]
+            for j in range(ROOTS):
+                how = flags[todo, j][:, None]
+                same &= ~(meets[:, :, j] & ((how == 0) | (how == 1) & meets[:, :, j + 1 : j + 1 + FAN].any(2)))
+        found[todo] |= same.any(1)
+        found |= same.any(0)
     return found
 
 
-def sketch_survivors(leaf: DataFrame) -> DataFrame:
-    """(t, root, v, n): the classes that have a likely partner in their node."""
+def sketch_survivors(leaf: DataFrame, second: bool) -> DataFrame:
+    """(t, v, label, n): the classes that have a likely partner in their node; all of a node of over LARGE."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _node_batches(batches):
-            sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, TOKENS)
-            found = np.ones(table.num_rows, bool)
+            sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            found, label = np.ones(table.num_rows, bool), table["label"].to_numpy()
             edge = _edges(table["t"].to_numpy())
             for a, b in zip(edge[:-1], edge[1:]):
-                found[a:b] = likely(sketches[a:b])
+                found[a:b] = likely(sketches[a:b], label[a:b], second)
             yield from table.drop_columns(["sketch"]).filter(pa.array(found)).to_batches()
 
     fits = F.col("n") <= LARGE
-    small = leaf.where(fits).select("t", "root", "v", "n", "sketch").repartition("t").sortWithinPartitions("t")
-    return small.mapInArrow(keep, "t long, root int, v long, n long").unionByName(leaf.where(~fits).select("t", "root", "v", "n"))
+    small = leaf.where(fits).select("t", "v", "label", "n", "sketch").repartition("t").sortWithinPartitions("t")
+    return small.mapInArrow(keep, "t long, v long, label long, n long").unionByName(leaf.where(~fits).select("t", "v", "label", "n"))
 
 
 def link_node(ids: np.ndarray, labels: np.ndarray, codes: np.ndarray, edge: np.ndarray, n_codes: int) -> list[tuple[int, int]]:
     """Links that join the components of one node. codes[edge[i]:edge[i + 1]]: the set of ids[i]."""
     n, size = len(ids), np.diff(edge)
     group = np.unique(labels, return_inverse=True)[1]
-    mark = np.zeros(n_codes, np.int64)
+    mark = np.zeros(n_codes, np.uint8)
     out = []
     for i in range(n):
         other = (group != group[i]) & (np.arange(n) > i) & (100 * np.minimum(size, size[i]) >= PER_CENT * np.maximum(size, size[i]))
         if not other.any():
             continue
         mark[codes[edge[i] : edge[i + 1]]] = 1
-        both = np.add.reduceat(mark[codes], edge[:-1])
+        both = np.add.reduceat(mark[codes], edge[:-1], dtype=np.int64)
         mark[codes[edge[i] : edge[i + 1]]] = 0
         for j in np.flatnonzero(other & (100 * both >= PER_CENT * (size + size[i] - both))).tolist():
             if group[j] != group[i]:
@@ -184,20 +213,20 @@ def link_node(ids: np.ndarray, labels: np.ndarray, codes: np.ndarray, edge: np.n
 
 
 def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): confirmed links of classes with different labels. nodes: (t, v, label)."""
+    """(a, b): pairs of different labels that a confirmed link of their classes joins. nodes: (t, v, label)."""
     mixed = nodes.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("s2")).where("x < y")
     # nodes with the very same classes are compared once
     once = mixed.groupBy("n", "s1", "s2").agg(F.min("t").alias("t")).select("t")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _node_batches(batches):
-            found, v, label = [], table["v"].to_numpy(), table["label"].to_numpy()
+            found, label = [], table["label"].to_numpy()
             column = table["shingles"].combine_chunks()
             data, offsets = text_bytes(column)
             edge = _edges(table["t"].to_numpy())
             for a, b in zip(edge[:-1], edge[1:]):
                 codes = np.unique(data[offsets[a] : offsets[b]].view(U) if (offsets[a] % 8 == 0 and data.ctypes.data % 8 == 0) else np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), U), return_inverse=True)
-                found += link_node(v[a:b], label[a:b], codes[1], (offsets[a : b + 1] - offsets[a]) // 8, len(codes[0]))
+                found += link_node(label[a:b], label[a:b], codes[1], (offsets[a : b + 1] - offsets[a]) // 8, len(codes[0]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     rows = nodes.select("t", "v", "label").join(once, "t").join(sets, "v").select("t", "v", "label", "shingles")
@@ -216,44 +245,59 @@ def _blocks(nodes: DataFrame, star: bool) -> DataFrame:
     return pair.select(F.xxhash64("t", F.least("own", "other"), F.greatest("own", "other")).alias("t"), "v", "label")
 
 
+def _collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for _, sets, edge in _sets(batch.column(1)):
+            raw = sets.tobytes()
+            made += [raw[8 * a : 8 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["v", "shingles"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, r, n_shingles, component_id, kept): one row per row of docs; r is a hash of its text.
 
     kept marks the row that stays of each component: the one whose id is the component's.
     """
+    bounded_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("r"))
     signed = written(signatures(rows), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("r").alias("r")))
     classes = written(signed.where("n > 0").groupBy("cls").agg(first.alias("f"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).select("cls", F.col("f.id").alias("id"), F.col("f.r").alias("r"), "n", "tokens", F.monotonically_increasing_id().alias("v")), "classes")
 
-    alive = written(sketch_survivors(leaves(classes.select("v", "tokens"))), "survivors")
-    members = classes.select("v", "id", "r", "n").join(alive.select("v").distinct(), "v")
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for _, sets, edge in _sets(batch.column(1)):
-                raw = sets.tobytes()
-                made += [raw[8 * a : 8 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["v", "shingles"])
-
-    wanted = members.select("v", F.col("id").alias("id_"), F.col("r").alias("r_"))
-    texts = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(F.col("id_")) & rows["r"].eqNullSafe(F.col("r_"))).select("v", "text")
-    sets = written(texts.mapInArrow(collect, "v long, shingles binary"), "sets").dropDuplicates(["v"])
-    sized = alive.join(classes.select("v", F.col("n").alias("size")), "v")
-    weight = sized.groupBy("t").agg(F.sum("size").alias("weight"))
-    nodes = written(alive.join(weight, "t"), "nodes")
-    fits = (F.col("n") <= LARGE) & (F.col("weight") <= LARGE_SHINGLES)
-
-    def pass_(nodes: DataFrame, star: bool) -> DataFrame:
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(v, shingles) of classes, from the text of the row that shows each."""
+        ids = written(classes.select("v", F.col("id").alias("id_"), F.col("r").alias("r_")).join(wanted, "v"), "wanted")
+        ids = F.broadcast(ids) if ids.count() <= FEW else ids.hint("shuffle_hash")
+        texts = rows.join(ids, rows["id"].eqNullSafe(F.col("id_")) & rows["r"].eqNullSafe(F.col("r_"))).select("v", "text")
+        return written(texts.mapInArrow(_collect_sets, "v long, shingles binary"), "sets").dropDuplicates(["v"])
+
+    def links_of(alive: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
+        weight = alive.join(classes.select("v", F.col("n").alias("size")), "v").groupBy("t").agg(F.sum("size").alias("weight"))
+        nodes = written(alive.join(weight, "t"), "weighed")
+        fits = (F.col("n") <= LARGE) & (F.col("weight") <= LARGE_SHINGLES)
         small, large = nodes.where(fits).select("t", "v", "label"), nodes.where(~fits)
-        return written(_links(small.unionByName(_blocks(large, star)), sets), "links")
-
-    one = pass_(nodes.where(F.col("root") < TOKENS // TREES).withColumn("label", F.col("v")), True)
+        if star:  # nodes of few, long sets are compared whole in the first tree too
+            cut = _blocks(large.where(F.col("n") <= LARGE), False).unionByName(_blocks(large.where(F.col("n") > LARGE), True))
+        else:
+            cut = _blocks(large, False)
+        return written(_links(small.unionByName(cut), sets), "links")
+
+    tokens, fresh = classes.select("v", "tokens"), F.lit("00" * ROOTS)
+    leaf, flags = leaves(tokens.withColumn("label", F.col("v")).withColumn("flags", fresh), ROOTS)
+    alive = written(sketch_survivors(leaf, False), "survivors")
+    sets = sets_of(alive.select("v").distinct())
+    one = links_of(alive, sets, True)
     label = components(one)
-    rest = pass_(nodes.join(label, "v", "left").withColumn("label", F.coalesce("label", "v")), False)
-    label = components(one.unionByName(rest))
+    tokens = tokens.join(label, "v", "left").join(flags, "v", "left")
+    tokens = tokens.withColumns({"label": F.coalesce("label", "v"), "flags": F.coalesce("flags", fresh)})
+    alive = written(sketch_survivors(leaves(written(tokens, "labelled"), TOKENS)[0], True), "survivors")
+    more = sets_of(alive.select("v").distinct().join(sets.select("v"), "v", "left_anti"))
+    # the links that are left join labels; a class without a link so far is its own label
+    rest = components(links_of(alive, sets.unionByName(more), False)).select(F.col("v").alias("old"), F.col("label").alias("new"))
+    joined = label.join(rest, label["label"] == rest["old"], "left").select("v", F.coalesce("new", "label").alias("label"))
+    label = joined.unionByName(rest.join(label.select("v"), rest["old"] == label["v"], "left_anti").select(F.col("old").alias("v"), F.col("new").alias("label")))
 
     joined = label.join(classes.select("v", "cls", "id"), "v")
     least = joined.groupBy("label").agg(F.min("id").alias("component"))
@@ -266,6 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: one of each component, and every text without words."""
+    bounded_batches(docs.sparkSession)
     found = near_duplicates(docs, id_col, text_col).where("kept")
     # ids may repeat inside a component: one row of them stays
     some = found.where("n_shingles > 0").groupBy("component_id").agg(F.min("r").alias("r")).withColumn("one", F.lit(True))
