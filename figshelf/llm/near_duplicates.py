@@ -266,10 +266,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("r").alias("r")))
     classes = written(signed.where("n > 0").groupBy("cls").agg(first.alias("f"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).select("cls", F.col("f.id").alias("id"), F.col("f.r").alias("r"), "n", "tokens", F.monotonically_increasing_id().alias("v")), "classes")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(v, shingles) of classes, from the text of the row that shows each."""
+    def sets_of(wanted: DataFrame, may_be_few: bool) -> DataFrame:
+        """(v, shingles) of classes, from the text of the row that shows each; few: without moving all texts."""
         ids = written(classes.select("v", F.col("id").alias("id_"), F.col("r").alias("r_")).join(wanted, "v"), "wanted")
-        ids = F.broadcast(ids) if ids.count() <= FEW else ids.hint("shuffle_hash")
+        ids = F.broadcast(ids) if may_be_few and ids.count() <= FEW else ids.hint("shuffle_hash")
         texts = rows.join(ids, rows["id"].eqNullSafe(F.col("id_")) & rows["r"].eqNullSafe(F.col("r_"))).select("v", "text")
         return written(texts.mapInArrow(_collect_sets, "v long, shingles binary"), "sets").dropDuplicates(["v"])
 
@@ -287,13 +287,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens, fresh = classes.select("v", "tokens"), F.lit("00" * ROOTS)
     leaf, flags = leaves(tokens.withColumn("label", F.col("v")).withColumn("flags", fresh), ROOTS)
     alive = written(sketch_survivors(leaf, False), "survivors")
-    sets = sets_of(alive.select("v").distinct())
+    sets = sets_of(alive.select("v").distinct(), False)
     one = links_of(alive, sets, True)
     label = components(one)
     tokens = tokens.join(label, "v", "left").join(flags, "v", "left")
     tokens = tokens.withColumns({"label": F.coalesce("label", "v"), "flags": F.coalesce("flags", fresh)})
     alive = written(sketch_survivors(leaves(written(tokens, "labelled"), TOKENS)[0], True), "survivors")
-    more = sets_of(alive.select("v").distinct().join(sets.select("v"), "v", "left_anti"))
+    more = sets_of(alive.select("v").distinct().join(sets.select("v"), "v", "left_anti"), True)
     # the links that are left join labels; a class without a link so far is its own label
     rest = components(links_of(alive, sets.unionByName(more), False)).select(F.col("v").alias("old"), F.col("label").alias("new"))
     joined = label.join(rest, label["label"] == rest["old"], "left").select("v", F.coalesce("new", "label").alias("label"))
