@@ -17,7 +17,8 @@ import numpy as np
 
 REMEMBERED, LONGEST, STRETCH = 700_000, 64, 1 << 20
 CHUNK = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-ODD_SPACE = re.compile(r"[^\S \n]|<\|")
+# White space of Python or Unicode other than the space and \\n.
+ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT_AT = re.compile(r"(?<=[^ \n]) (?=[^ \n])")
 
 
@@ -60,12 +61,12 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _chunks(self, text: str) -> list[str] | None:
-        if self.spaces == "dropped" and "<|" not in text:
-            return text.replace("\n", " ").split(" ")
-        if self.spaces == "kept" and not ODD_SPACE.search(text):
-            return CHUNK.findall(text)
-        return None
+    def _whole(self, text: str) -> bool:
+        """Whether a text must be encoded in one piece."""
+        return self.spaces is None or "<|" in text or self.spaces == "kept" and any(c in text for c in ODD_SPACE)
+
+    def _chunks(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ") if self.spaces == "dropped" else CHUNK.findall(text)
 
     @staticmethod
     def stretches(text: str) -> Iterator[str]:
@@ -80,13 +81,11 @@ class Encoder:
         """The ids of each text as little-endian unsigned integers of self.width bytes."""
         if len(self.memo) > REMEMBERED:
             self.memo = {"": b""}
-        memo, out, todo = self.memo, [], []
-        for text in texts:
-            if self.spaces is None or "<|" in text or self.spaces == "kept" and ODD_SPACE.search(text):
-                todo.append(None)
-                continue
-            todo.append([self._chunks(part) for part in self.stretches(text)])
-        new = list({c for parts in todo if parts for chunks in parts for c in chunks if c not in memo})
+        memo, out = self.memo, []
+        todo = [None if self._whole(text) else [self._chunks(part) for part in self.stretches(text)] for text in texts]
+        seen: set[str] = set()
+        seen.update(*(chunks for parts in todo if parts for chunks in parts))
+        new = list(seen.difference(memo))
         for lo in range(0, len(new), 10_000):
             for chunk, made in zip(new[lo : lo + 10_000], self.tokenizer.encode_batch_fast(new[lo : lo + 10_000], add_special_tokens=False)):
                 memo[chunk] = self._bytes(made.ids)
