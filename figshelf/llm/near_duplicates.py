@@ -255,8 +255,9 @@ def _collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, r, n_shingles, component_id, kept): one row per row of docs; r is a hash of its text.
+    """(id, r, n_shingles, label, component_id, kept): one row per row of docs; r is a hash of its text.
 
+    label tells components apart, as unrelated texts may share an id or have none; it is null without words.
     kept marks the row that stays of each component: the one whose id is the component's.
     """
     bounded_batches(docs.sparkSession)
@@ -301,10 +302,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     joined = label.join(classes.select("v", "cls", "id"), "v")
     least = joined.groupBy("label").agg(F.min("id").alias("component"))
-    grown = joined.join(least, "label").select("cls", "component")
-    of_class = classes.select("cls", "id").join(grown, "cls", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
-    linked = signed.where("n > 0").join(of_class, "cls").select("id", "r", F.col("n").alias("n_shingles"), "component_id")
-    alone = signed.where("n = 0").select("id", "r", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    grown = joined.join(least, "label").select("cls", "component", "label")
+    of_class = classes.select("cls", "id", "v").join(grown, "cls", "left").select("cls", F.coalesce("label", "v").alias("label"), F.coalesce("component", "id").alias("component_id"))
+    linked = signed.where("n > 0").join(of_class, "cls").select("id", "r", F.col("n").alias("n_shingles"), "label", "component_id")
+    alone = signed.where("n = 0").select("id", "r", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
@@ -312,8 +313,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs that stay: one of each component, and every text without words."""
     bounded_batches(docs.sparkSession)
     found = near_duplicates(docs, id_col, text_col).where("kept")
-    # ids may repeat inside a component: one row of them stays
-    some = found.where("n_shingles > 0").groupBy("component_id").agg(F.min("r").alias("r")).withColumn("one", F.lit(True))
+    # ids may repeat inside a component: one row of them stays; and across components: one row of each
+    some = found.where("n_shingles > 0").groupBy("label").agg(F.first("component_id").alias("component_id"), F.min("r").alias("r")).drop("label").withColumn("one", F.lit(True))
     none = found.where("n_shingles = 0").select("component_id", "r").distinct().withColumn("one", F.lit(False))
     keep = some.unionByName(none).select(F.col("component_id").alias("__fs_id"), F.col("r").alias("__fs_r"), F.col("one").alias("__fs_one"))
     same = docs[id_col].eqNullSafe(F.col("__fs_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__fs_r"))

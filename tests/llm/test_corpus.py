@@ -173,6 +173,17 @@ def test_near_duplicates(docs, none, limits, monkeypatch):
         assert near_duplicates.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("id_", [None, 7])
+def test_near_duplicates_keeps_unrelated_texts_of_one_id(spark, id_):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(9)]
+    near, numbered = texts[0] + " one more", texts[1] + " one more"  # a copy without an id, and one under an id that is less
+    rows = [(id_, t) for t in [*texts, texts[2], near, "", ""]] + [(3, numbered)]
+    kept = Counter((r["doc_id"], r["text"]) for r in near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first = next(t for t in (texts[0], near) if kept[id_, t])  # either of the two, but one
+    assert kept == Counter([(id_, first), *((id_, t) for t in texts[2:]), (id_, ""), (id_, ""), (3, numbered)])
+
+
 def test_components(spark):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
