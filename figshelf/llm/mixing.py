@@ -78,7 +78,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int, draws: dict[int, np
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_EPOCHS, block_words: int = BLOCK_WORDS, block_docs: int = BLOCK_DOCS, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """(id, r, size, source_size, target, shards): per row the shard of each time that it is taken.
+    """(id, r, source, size, source_size, target, shards): per row the shard of each time that it is taken.
 
     r is a hash of the row's text: ids may repeat.
     """
@@ -157,16 +157,27 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     cut = taken.where("room IS NOT NULL").select("s", "id", "r", "size", "room", "shards").groupBy("s").applyInArrow(fit, f"s int, id {sized.dtypes[0][1]}, r long, size long, shards array<long>")
     all_ = taken.where("room IS NULL").select("s", "id", "r", "size", "shards").unionByName(cut)
-    return all_.join(F.broadcast(sources.select("s", "source_size", "target")), "s").select("id", "r", "size", "source_size", "target", "shards")
+    return all_.join(F.broadcast(sources.select("s", "source", "source_size", "target")), "s").select("id", "r", "source", "size", "source_size", "target", "shards")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mix: rows of docs, each as often as it is taken, shard by shard and shuffled within each."""
-    plan = mix_plan(docs, id_col, text_col, source_col, seed=seed).where(F.size("shards") > 0).groupBy("id", "r").agg(F.first("shards").alias("__fs_shards"))
-    plan = plan.select(F.col("id").alias("__fs_id"), F.col("r").alias("__fs_r"), "__fs_shards")
-    same = docs[id_col].eqNullSafe(F.col("__fs_id")) & (F.xxhash64(docs[text_col]) == F.col("__fs_r"))
+    # equal rows of a source share a block, so their plans differ at most by the last draw, in the block cut short
+    plan = mix_plan(docs, id_col, text_col, source_col, seed=seed).groupBy("id", "r", "source").agg(F.max("shards").alias("most"), F.min("shards").alias("least"), F.count(F.lit(1)).alias("n"), F.sum(F.size("shards")).alias("draws"))
+    full = F.col("draws") - F.col("n") * F.size("least")
+    plan = written(plan.where(F.size("most") > 0).select(*(F.col(c).alias(f"__fs_{c}") for c in ("id", "r", "source", "most", "least")), full.alias("__fs_full")), "plan")
+    keys = ["__fs_id", "__fs_r", "__fs_source"]
+    same = docs[id_col].eqNullSafe(F.col("__fs_id")) & (F.xxhash64(docs[text_col]) == F.col("__fs_r")) & docs[source_col].cast("string").eqNullSafe(F.col("__fs_source"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    taken = docs.join(plan.hint("shuffle_hash"), same).select(*columns, F.col("__fs_id"), F.posexplode("__fs_shards").alias("__fs_epoch", "__fs_shard"))
+    even = docs.join(plan.where("__fs_most = __fs_least").hint("shuffle_hash"), same)
+    taken = even.select(*columns, "__fs_id", F.col("__fs_most").alias("__fs_shards"))
+    uneven = written(plan.where("__fs_most <> __fs_least"), "uneven")
+    if not uneven.isEmpty():  # repeated rows of a block cut short: as many of them as planned get the last draw
+        others = F.to_json(F.struct(*columns))
+        copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(others)))
+        shards = F.when(copy <= F.col("__fs_full"), F.col("__fs_most")).otherwise(F.col("__fs_least"))
+        taken = taken.unionByName(docs.join(uneven, same).select(*columns, "__fs_id", shards.alias("__fs_shards")))
+    taken = taken.select(*columns, "__fs_id", F.posexplode("__fs_shards").alias("__fs_epoch", "__fs_shard"))
     local = F.xxhash64(F.lit(seed), "__fs_id", "__fs_epoch")
     return taken.repartition("__fs_shard").sortWithinPartitions("__fs_shard", local).select(*columns)
 

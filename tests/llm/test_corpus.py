@@ -232,6 +232,20 @@ def test_mixing(docs, none):
             mixing.MAX_SOURCES = old
 
 
+def test_mixing_takes_each_repeated_row_by_its_own_plan(spark):
+    # one id and text in sources of different targets, and equal rows of which the block cut short takes a part
+    shared = [(i, f"{i} shared words", s) for i in range(40) for s in ("a", "b", "c")]
+    equal = [(None, "some more words", "b")] * 101 + [(7, "five words in each row", None)] * 60
+    repeated = spark.createDataFrame(shared + equal, "doc_id long, text string, source string").repartition(4)
+    want = Counter()
+    for r in mixing.mix_plan(repeated).collect():
+        want[r["id"], r["r"], r["source"]] += len(r["shards"])
+    made = mixing.mixed(repeated).withColumn("hash", F.xxhash64("text")).collect()
+    assert Counter((r["doc_id"], r["hash"], r["source"]) for r in made) == +want
+    some = [n for k, n in want.items() if k[0] is None or k == (7, None)]
+    assert any(n % 101 for n in some) and len({n for k, n in want.items() if k[0] in range(40)}) > 1
+
+
 def test_splitting_tree_adds_up():
     quotas = np.array([50, 0, 7, 200])
     draws = {s: np.arange(q) for s, q in enumerate(quotas.tolist()) if q}
