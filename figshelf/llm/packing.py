@@ -8,7 +8,8 @@ group is packed in one task of bounded size:
 1. best-fit decreasing gives a first packing;
 2. then bins that are not full exchange documents: a donor, the emptiest bin left, gives a document to
    a fuller bin (move), trades one of its documents for a smaller one (one for one), two of its documents
-   for a smaller one, or one for two smaller ones (two for one). Every step makes the fuller bin fuller, so the sum
+   for a smaller one, or one for two smaller ones (two for one); pairs count by their two sizes, of which
+   a bin has few, however many documents it has. Every step makes the fuller bin fuller, so the sum
    of squared fills rises and the search ends; a donor that has nothing left is a bin saved. It stops
    where no step is left, where STALE passes have saved no bin, or where a lower bound is met.
 
@@ -30,7 +31,7 @@ from figshelf.llm.common import bounded_batches, documents, parts, written
 from figshelf.llm.tokens import Encoder, as_u32
 
 CAPACITY, GROUP, END_ID = 2048, 16_384, 0
-MOST_PAIRED, STALE = 12, 2  # documents in a bin whose pairs are tried; passes in a row that may save no bin
+STALE = 2  # passes in a row that may save no bin
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -66,16 +67,23 @@ def fewest(sizes: np.ndarray, capacity: int) -> int:
     return max(-(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
 
 
-def pairs_in(group: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs of items of one group, for groups of at most `most` items: first, second, both sizes."""
-    order = np.argsort(group, kind="stable")
-    g = group[order]
-    small = np.bincount(group)[g] <= most
-    first, second = [], []
-    for k in range(1, most):
-        same = np.flatnonzero((g[k:] == g[:-k]) & small[k:])
+def pairs_in(group: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of items of one group, one for each two sizes that it has: first, second, both sizes.
+
+    A group within a capacity has fewer than sqrt(2 * capacity) sizes.
+    """
+    order = np.lexsort((sizes, group))
+    g, s = group[order], sizes[order]
+    again = np.zeros(len(order), bool)
+    again[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1])
+    twice = np.flatnonzero(again & ~np.concatenate(([False], again))[:-1])  # the second item of a size
+    first, second = [order[twice - 1]], [order[twice]]
+    order, g = order[~again], g[~again]
+    k = 1
+    while len(same := np.flatnonzero(g[k:] == g[:-k])):
         first.append(order[same])
         second.append(order[same + k])
+        k += 1
     i, j = np.concatenate(first), np.concatenate(second)
     return i, j, sizes[i] + sizes[j]
 
@@ -118,12 +126,14 @@ class Search:
             if len(fit := np.flatnonzero(room >= self.sizes[i])):
                 return self._do(donor, int(fit[np.argmin(room[fit])]), [i], [], room)
         singles = [([i], int(self.sizes[i])) for i in own.tolist()]
-        doubles = [([i, j], int(n)) for i, j, n in zip(*(x.tolist() for x in pairs_in(np.zeros(len(own), np.int64), self.sizes[own], MOST_PAIRED)))] if len(own) > 1 else []
-        doubles = [([int(own[i]), int(own[j])], n) for (i, j), n in doubles]
+        i, j, both = pairs_in(np.zeros(len(own), np.int64), self.sizes[own])
+        each = np.unique(both, return_index=True)[1]
+        doubles = [([a, b], n) for a, b, n in zip(own[i[each]].tolist(), own[j[each]].tolist(), both[each].tolist())]
         if self._exchange(donor, singles + doubles, np.arange(len(self.sizes))[:, None], self.sizes, room):
             return True
-        i, j, both = pairs_in(self.bin_of, self.sizes, MOST_PAIRED)
-        return self._exchange(donor, singles, np.stack([i, j], 1), both, room)
+        open_ = np.flatnonzero((room[self.bin_of] > 0) & (self.sizes < self.sizes[own].max()))
+        i, j, both = pairs_in(self.bin_of[open_], self.sizes[open_])
+        return self._exchange(donor, singles, np.stack([open_[i], open_[j]], 1), both, room)
 
     def _exchange(self, donor: int, give: list[tuple[list[int], int]], back: np.ndarray, back_size: np.ndarray, room: np.ndarray) -> bool:
         """The best trade of something in give for something smaller in back, a row of items of one bin each."""

@@ -324,6 +324,26 @@ def test_local_search_saves_bins():
     assert packing.pack(np.zeros(0, np.int64), 2048) == []
 
 
+@pytest.mark.parametrize("n", [2, 13, 40])
+def test_pairs_of_every_two_sizes(n):
+    rng = np.random.default_rng(n)
+    group, sizes = rng.integers(0, 5, 5 * n), rng.integers(1, 30, 5 * n)
+    i, j, both = packing.pairs_in(group, sizes)
+    assert (i != j).all() and (group[i] == group[j]).all() and (both == sizes[i] + sizes[j]).all()
+    got = Counter((g, *sorted(p)) for g, *p in zip(group[i].tolist(), sizes[i].tolist(), sizes[j].tolist()))
+    want = {(int(group[a]), *sorted((int(sizes[a]), int(sizes[b])))) for a in range(5 * n) for b in range(a) if group[a] == group[b]}
+    assert set(got) == want and max(got.values()) == 1
+
+
+def test_bins_of_many_pieces_exchange_pairs():
+    # a 40 goes only in exchange for two 19s, which are in a bin of 14 pieces; then two 7s of such a bin only for a 12
+    for sizes, donor in ((np.array([40] * 2 + [19] * 2 + [5] * 12, np.int64), 2), (np.array([7] * 13 + [12, 86], np.int64), 13)):
+        search = packing.Search([list(range(donor)), list(range(donor, len(sizes)))], sizes, 100)
+        room = search.capacity - search.fill
+        room[0] = 0
+        assert search.step(0, room) and search.fill.max() == 100
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 24))
