@@ -193,6 +193,14 @@ def test_result_files(spark, tmp_path):
     assert results.pending_attachments(owners, files, force=True).count() == 4
 
 
+def test_keys_of_many_lengths_are_all_matched(spark):
+    keys = [(n, f"{n:03}" + "k" * (n - 3)) for n in range(3, 304)]
+    owners = spark.createDataFrame(keys, "attachment_id long, attachment_key string")
+    files = spark.createDataFrame([(f"{k}{end}",) for _, k in keys for end in (".json", "-2.json")], "file_name string")
+    assert {r["attachment_id"]: r["file_found"] for r in results.match_results(owners, files).collect()} == {n: f"{k}-2.json" for n, k in keys}
+    assert results.pending_attachments(owners, files).count() == 0
+
+
 def test_images(spark):
     figures = spark.createDataFrame([(1, "data:image/png;base64,AA"), (2, "u"), (3, "u"), (4, "gone"), (5, None)], "figure_id long, render_url string")
     images = spark.createDataFrame([("u", bytearray(b"png"))], "path string, content binary")
