@@ -65,13 +65,23 @@ def note_schema_version(lines: DataFrame) -> DataFrame:
     return lines.groupBy("note_id").agg(F.when(F.bool_or(F.col("annotation_type") == "underline"), 10).otherwise(9).alias("schema_version"))
 
 
+def first_citations(citations: DataFrame) -> DataFrame:
+    """(note_id, seq, uris): of the citations of a note with the same URIs the first, as later ones are never kept.
+
+    Citations that name no URI are never rejected and all stay.
+    """
+    names = F.coalesce(F.exists("uris", lambda u: u.isNotNull()), F.lit(False))
+    first = citations.where(names).groupBy("note_id", "uris").agg(F.min(F.struct("seq")).alias("first")).select("note_id", F.col("first.seq").alias("seq"), "uris")
+    return first.unionByName(citations.where(~names).select("note_id", "seq", "uris"))
+
+
 def dedupe_citations(citations: DataFrame) -> DataFrame:
     """(note_id, items): in order of seq, the citations that share no URI with one kept before.
 
-    The fold depends on its order and runs over one note at a time.
+    The fold depends on its order and runs over one note at a time, over its different lists of URIs.
     """
     items = F.sort_array(F.collect_list(F.struct("seq", "uris")))
-    return citations.groupBy("note_id").agg(keep_disjoint(items).alias("items"))
+    return first_citations(citations).groupBy("note_id").agg(keep_disjoint(items).alias("items"))
 
 
 def note_html(groups: DataFrame, citations: DataFrame, versions: DataFrame, title: str = "图表") -> DataFrame:

@@ -100,6 +100,15 @@ def test_disjoint_property(spark):
     assert keep_disjoint is not None
 
 
+def test_repeated_citations_are_not_collected(spark):
+    lists = [["a", "b"], ["b", "c"], ["c", None], [], None, [None]]
+    rows = [(1, i, lists[i % 6]) for i in range(600)] + [(2, 5, ["a"]), (2, None, ["a"])]
+    df = spark.createDataFrame(rows, "note_id long, seq long, uris array<string>").repartition(3)
+    assert notes.first_citations(df).count() == 3 + 300 + 1
+    got = {r["note_id"]: [x["seq"] for x in r["items"]] for r in notes.dedupe_citations(df).collect()}
+    assert got == {1: [i for i in range(600) if i in (0, 2) or i % 6 > 2], 2: [None]}
+
+
 def test_nearest_and_sort_key(spark):
     pages = spark.createDataFrame([(1, 0, 0.0, 0.0, 600.0, 800.0), (1, 123456, 0.0, 0.0, 600.0, 800.0)], "attachment_id long, page int, vx1 double, vy1 double, vx2 double, vy2 double")
     regions = spark.createDataFrame(
