@@ -233,6 +233,24 @@ def test_stream_takes_up_new_files_and_replays_nothing(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
 
 
+def test_stream_saves_one_file_of_an_attachment(spark, tmp_path):
+    owners = spark.createDataFrame([(1, "AAA"), (2, "BBB")], "attachment_id long, attachment_key string")
+    pages = spark.createDataFrame([(i, 0, 0.0, 0.0, 600.0, 800.0) for i in (1, 2)], "attachment_id long, page int, vx1 double, vy1 double, vx2 double, vy2 double")
+    chars = spark.createDataFrame([(1, 0, [(0.0, 0.0, 1.0, 1.0)])], "attachment_id long, page int, chars array<struct<cx1:double,cy1:double,cx2:double,cy2:double>>")
+    src, out = tmp_path / "in", f"file://{tmp_path}/out"
+    src.mkdir()
+    run = lambda state: annotate_stream(spark, f"file://{src}", out, f"file://{tmp_path}/{state}", owners, chars, pages, "2024-01-01 00:00:00").awaitTermination()
+    saved = lambda: sorted(r["comment"] for r in spark.read.parquet(out).collect())
+    (src / "AAA.json").write_text(json.dumps([figure("a"), figure("b")]))
+    run("s1")
+    (src / "AAA-copy.json").write_text(json.dumps([figure("copy")]))
+    (src / "BBB.json").write_text(json.dumps([figure("c")]))
+    run("s1")
+    assert saved() == ["a", "b", "c"]
+    run("s2")  # a lost checkpoint: both files in one batch, and still those of the first
+    assert saved() == ["a", "b", "c"]
+
+
 def test_column_functions_run_without_python(spark):
     df = spark.createDataFrame([("A: 1", "Fig. 1", ["Figure 1"])], "extra string, caption string, tags array<string>")
     extra.last_wins(spark)
