@@ -1,19 +1,21 @@
-"""What the corpus operators share: the shared folder, written tables and Arrow batches."""
+"""What the corpus operators share: written tables, names of columns and Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-BATCH_ROWS, BATCH_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
-CHUNK_BYTES = 4 << 20  # text handled by numpy at once inside a task
+from figshelf.sources.storage import new_folder, remove
+
+#: Arrow batches handed to Python, where the session does not say otherwise: rows hold whole texts.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("2000", "-1"), "spark.sql.execution.arrow.maxBytesPerBatch": ("8m", "1b")}
+CHUNK_BYTES = 1 << 20  # text handled by numpy at once inside a task
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,49 +23,77 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Unless the session says otherwise, hand BATCH_ROWS rows at a time to Python: rows hold whole texts."""
-    if spark.conf.get(BATCH_CONF) == "10000":  # Spark's default
-        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    """Bound the rows and bytes that Python gets at once, by those settings of BATCH_CONF that the session has not set."""
+    for key, (value, unset) in BATCH_CONF.items():
+        if spark.conf.get(key, unset) == unset:
+            spark.conf.set(key, value)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests) one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="figshelf-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+Writer = Callable[..., DataFrame]
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
+def written(df: DataFrame, name: str, keep: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives a lost executor. Removed when the driver's Python ends."""
+    return _table(df, new_folder(df.sparkSession, name))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended already; the folder is the cluster's to clear
-        pass
+def _table(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[Writer]:
+    """A `written` whose tables are removed at the end of the block, but for those to keep: results read these later on."""
+    made = []
+
+    def write(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = new_folder(spark, name)
+        if not keep:
+            made.append(path)
+        return _table(df, path)
+
+    try:
+        yield write
+    finally:
+        for path in made:
+            remove(spark, path)
 
 
 def parts(n_rows: int, per_part: int) -> int:
     return max(1, -(-n_rows // per_part))
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has, in either case of letters."""
+    taken, mark = {c.lower() for c in df.columns}, "__fs"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(f, schema) by the columns' places, as mapInArrow takes no names with dots or backticks in them."""
+    made = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = [f"c{k}" for k in range(len(made))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in f(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names)
+
+    numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return numbered.mapInArrow(run, StructType([StructField(n, x.dataType) for n, x in zip(names, made)])).toDF(*made.fieldNames())
+
+
 def hash128(column) -> list:
     """Two independent 64-bit hashes of a column; together the key of a group of equal values."""
     return [F.xxhash64(column), F.xxhash64(F.lit(0x5DEECE66D), column)]
@@ -92,3 +122,20 @@ def row_chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[i
         hi = min(n, max(lo + 1, hi))
         yield lo, hi
         lo = hi
+
+
+#: Bits of each of MAPS bitmaps, as bitmap_construct_agg makes them: 4 KB each, 4 MB in all at any size of input.
+MAP_BITS, MAPS = 32_768, 1024
+
+
+def likely_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose hash `key` (a long) may be among those of wanted: all that are, and few others while wanted is small.
+
+    A filter of at most MAPS bitmaps is broadcast; it keeps rows without a partner out of the shuffle that follows.
+    """
+    number, place, bits = free_names(rows, "map", "bit", "bits")
+    bit = F.pmod(F.col(key), F.lit(MAP_BITS * MAPS))
+    maps = wanted.select((bit / MAP_BITS).cast("long").alias(number), (bit % MAP_BITS).alias(place)).groupBy(number).agg(F.bitmap_construct_agg(place).alias(bits))
+    marked = rows.withColumns({number: (bit / MAP_BITS).cast("long"), place: (bit % MAP_BITS).cast("int")})
+    byte = F.conv(F.hex(F.substr(bits, (F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.join(F.broadcast(maps), number).where(F.getbit(byte, F.col(place) % 8) == 1).select(*(col(c) for c in rows.columns))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import written
+from figshelf.llm.common import Writer
+from figshelf.llm.common import written as write_table
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, written: Writer = write_table) -> DataFrame:
     """(v, label): for every end of a link (a, b) one end of its component, the same for all of it.
 
     Each round every vertex moves to the neighbour that is least in a fresh random order (or stays, if

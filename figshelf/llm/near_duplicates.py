@@ -15,7 +15,9 @@ is at least PER_CENT / 100. A component's id is the smallest document id in it.
    components, and no pair that the first tree has compared. Within a node links that join nothing new
    are neither looked for nor written.
 
-A pair with similarity 0.75 shares each root with probability 0.75: it misses all TOKENS = 24 with 4e-15.
+A pair with similarity 0.75 shares each root with probability 0.75, so where no node branches it misses all
+TOKENS = 24 with 4e-15. A node that branches keeps it with 1 - 0.25 ** FAN = 0.94 a level: with every root
+branching at all DEPTH - 1 levels below it, a miss has some 1.5e-4. tests/llm measures the share of pairs found.
 A node of more than LARGE classes on the last level is cut into blocks: the first tree compares each block
 with itself and with the first block; the other trees all pairs of blocks that still hold different
 components. So no bucket is capped, and no task holds more than about LARGE sets.
@@ -31,18 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import bounded_batches, documents, row_chunks, text_bytes, written
+from figshelf.llm.common import CHUNK_BYTES, Writer, bounded_batches, col, documents, free_names, likely_in, row_chunks, text_bytes, working_tables, written
 from figshelf.llm.components import components
-from figshelf.llm.words import U, Words, mix, words_of
+from figshelf.llm.words import U, Words, mix, stretches, words_of
 
 SHINGLE, PER_CENT = 5, 75
 TOKENS, TREES, FAN, DEPTH = 24, 8, 2, 4
 SMALL, LARGE, LARGE_SHINGLES, AGREE = 1024, 4096, 4_000_000, 6
 ROOTS = TOKENS // TREES
-FEW = 10_000  # classes, of 24 bytes each, that may be broadcast
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +63,23 @@ def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(text, np.arange(len(words.first)))
 
 
+def long_set(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() of one long text, a stretch of it at a time."""
+    found, n_words = [], 0
+    for number, words in stretches(data, SHINGLE - 1, lower=True):
+        found.append(np.unique(words.windows(SHINGLE, words.hashes())[1]))
+        n_words = number + len(words)
+    if n_words < SHINGLE:
+        return shingle_sets(words_of(data, np.array([0, len(data)]), lower=True))
+    grams = np.unique(np.concatenate(found))
+    return grams, np.array([0, len(grams)])
+
+
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data, offsets = text_bytes(column)
     for lo, hi in row_chunks(offsets):
-        yield lo, *shingle_sets(words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=True))
+        part = data[offsets[lo] : offsets[hi]]
+        yield lo, *(shingle_sets(words_of(part, offsets[lo : hi + 1] - offsets[lo], lower=True)) if len(part) <= CHUNK_BYTES else long_set(part))
 
 
 def signatures(rows: DataFrame) -> DataFrame:
@@ -91,7 +105,7 @@ def signatures(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, f"id {rows.dtypes[0][1]}, r long, n long, cls binary, tokens array<long>")
 
 
-def leaves(members: DataFrame, roots: int) -> tuple[DataFrame, DataFrame]:
+def leaves(members: DataFrame, roots: int, written: Writer) -> tuple[DataFrame, DataFrame]:
     """Classes by the nodes where they are compared, (t, v, label, sketch, n), and (v, flags).
 
     members: (v, tokens, label, flags). Nodes of one label have nothing to join and go. A node is small if
@@ -107,6 +121,7 @@ def leaves(members: DataFrame, roots: int) -> tuple[DataFrame, DataFrame]:
         small = SMALL if depth == 0 else LARGE
         by_label = level.groupBy("t", "label").agg(F.count(F.lit(1)).alias("c"))
         sized = by_label.groupBy("t").agg(F.sum("c").alias("n"), F.max("c").alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        sized = written(sized, "node-sizes")  # both sides of the join come straight from a shuffle: a hot node's rows are split
         known = written(level.join(sized.select("t", "n", (F.col("n") * (F.col("n") - F.col("m")) > small * small).alias("big")), "t"), "nodes")
         done = depth == DEPTH - 1 or known.where("big").isEmpty()
         here = known if done else known.where("NOT big")
@@ -261,49 +276,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept marks the row that stays of each component: the one whose id is the component's.
     """
     bounded_batches(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("r"))
-    signed = written(signatures(rows), "signatures")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("r").alias("r")))
-    classes = written(signed.where("n > 0").groupBy("cls").agg(first.alias("f"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).select("cls", F.col("f.id").alias("id"), F.col("f.r").alias("r"), "n", "tokens", F.monotonically_increasing_id().alias("v")), "classes")
-
-    def sets_of(wanted: DataFrame, may_be_few: bool) -> DataFrame:
-        """(v, shingles) of classes, from the text of the row that shows each; few: without moving all texts."""
-        ids = written(classes.select("v", F.col("id").alias("id_"), F.col("r").alias("r_")).join(wanted, "v"), "wanted")
-        ids = F.broadcast(ids) if may_be_few and ids.count() <= FEW else ids.hint("shuffle_hash")
-        texts = rows.join(ids, rows["id"].eqNullSafe(F.col("id_")) & rows["r"].eqNullSafe(F.col("r_"))).select("v", "text")
-        return written(texts.mapInArrow(_collect_sets, "v long, shingles binary"), "sets").dropDuplicates(["v"])
-
-    def links_of(alive: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
-        weight = alive.join(classes.select("v", F.col("n").alias("size")), "v").groupBy("t").agg(F.sum("size").alias("weight"))
-        nodes = written(alive.join(weight, "t"), "weighed")
-        fits = (F.col("n") <= LARGE) & (F.col("weight") <= LARGE_SHINGLES)
-        small, large = nodes.where(fits).select("t", "v", "label"), nodes.where(~fits)
-        if star:  # nodes of few, long sets are compared whole in the first tree too
-            cut = _blocks(large.where(F.col("n") <= LARGE), False).unionByName(_blocks(large.where(F.col("n") > LARGE), True))
-        else:
-            cut = _blocks(large, False)
-        return written(_links(small.unionByName(cut), sets), "links")
-
-    tokens, fresh = classes.select("v", "tokens"), F.lit("00" * ROOTS)
-    leaf, flags = leaves(tokens.withColumn("label", F.col("v")).withColumn("flags", fresh), ROOTS)
-    alive = written(sketch_survivors(leaf, False), "survivors")
-    sets = sets_of(alive.select("v").distinct(), False)
-    one = links_of(alive, sets, True)
-    label = components(one)
-    tokens = tokens.join(label, "v", "left").join(flags, "v", "left")
-    tokens = tokens.withColumns({"label": F.coalesce("label", "v"), "flags": F.coalesce("flags", fresh)})
-    alive = written(sketch_survivors(leaves(written(tokens, "labelled"), TOKENS)[0], True), "survivors")
-    more = sets_of(alive.select("v").distinct().join(sets.select("v"), "v", "left_anti"), True)
-    # the links that are left join labels; a class without a link so far is its own label
-    rest = components(links_of(alive, sets.unionByName(more), False)).select(F.col("v").alias("old"), F.col("label").alias("new"))
-    joined = label.join(rest, label["label"] == rest["old"], "left").select("v", F.coalesce("new", "label").alias("label"))
-    label = joined.unionByName(rest.join(label.select("v"), rest["old"] == label["v"], "left_anti").select(F.col("old").alias("v"), F.col("new").alias("label")))
-
-    joined = label.join(classes.select("v", "cls", "id"), "v")
-    least = joined.groupBy("label").agg(F.min("id").alias("component"))
-    grown = joined.join(least, "label").select("cls", "component", "label")
-    of_class = classes.select("cls", "id", "v").join(grown, "cls", "left").select("cls", F.coalesce("label", "v").alias("label"), F.coalesce("component", "id").alias("component_id"))
+    with working_tables(docs.sparkSession) as written:
+        text = col(text_col)
+        rows = docs.select(col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("r"))
+        signed = written(signatures(rows), "signatures", keep=True)
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("r").alias("r")))
+        classes = written(signed.where("n > 0").groupBy("cls").agg(first.alias("f"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).select("cls", F.col("f.id").alias("id"), F.col("f.r").alias("r"), "n", "tokens", F.monotonically_increasing_id().alias("v")), "classes")
+
+        def sets_of(wanted: DataFrame) -> DataFrame:
+            """(v, shingles) of classes, from the text of the row that shows each. Few other texts travel."""
+            ids = written(classes.select("v", F.col("id").alias("id_"), F.col("r").alias("r_")).join(wanted, "v"), "wanted")
+            texts = likely_in(rows, ids.select(F.col("r_").alias("r")), "r")
+            shown = texts.join(ids, texts["id"].eqNullSafe(F.col("id_")) & (texts["r"] == F.col("r_"))).select("v", "text")
+            return written(shown.mapInArrow(_collect_sets, "v long, shingles binary"), "sets").dropDuplicates(["v"])
+
+        def links_of(alive: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
+            weight = alive.join(classes.select("v", F.col("n").alias("size")), "v").groupBy("t").agg(F.sum("size").alias("weight"))
+            nodes = written(alive.join(weight, "t"), "weighed")
+            fits = (F.col("n") <= LARGE) & (F.col("weight") <= LARGE_SHINGLES)
+            small, large = nodes.where(fits).select("t", "v", "label"), nodes.where(~fits)
+            if star:  # nodes of few, long sets are compared whole in the first tree too
+                cut = _blocks(large.where(F.col("n") <= LARGE), False).unionByName(_blocks(large.where(F.col("n") > LARGE), True))
+            else:
+                cut = _blocks(large, False)
+            return written(_links(small.unionByName(cut), sets), "links")
+
+        tokens, fresh = classes.select("v", "tokens"), F.lit("00" * ROOTS)
+        leaf, flags = leaves(tokens.withColumn("label", F.col("v")).withColumn("flags", fresh), ROOTS, written)
+        alive = written(sketch_survivors(leaf, False), "survivors")
+        sets = sets_of(alive.select("v").distinct())
+        one = links_of(alive, sets, True)
+        label = components(one, written)
+        tokens = tokens.join(label, "v", "left").join(flags, "v", "left")
+        tokens = tokens.withColumns({"label": F.coalesce("label", "v"), "flags": F.coalesce("flags", fresh)})
+        alive = written(sketch_survivors(leaves(written(tokens, "labelled"), TOKENS, written)[0], True), "survivors")
+        more = sets_of(alive.select("v").distinct().join(sets.select("v"), "v", "left_anti"))
+        # the links that are left join labels; a class without a link so far is its own label
+        rest = components(links_of(alive, sets.unionByName(more), False), written).select(F.col("v").alias("old"), F.col("label").alias("new"))
+        joined = label.join(rest, label["label"] == rest["old"], "left").select("v", F.coalesce("new", "label").alias("label"))
+        label = joined.unionByName(rest.join(label.select("v"), rest["old"] == label["v"], "left_anti").select(F.col("old").alias("v"), F.col("new").alias("label")))
+
+        joined = written(label.join(classes.select("v", "cls", "id"), "v"), "joined")
+        least = written(joined.groupBy("label").agg(F.min("id").alias("component")), "least")
+        grown = joined.join(least, "label").select("cls", "component", "label")
+        of_class = classes.select("cls", "id", "v").join(grown, "cls", "left").select("cls", F.coalesce("label", "v").alias("label"), F.coalesce("component", "id").alias("component_id"))
+        of_class = written(of_class, "of-class", keep=True)
     linked = signed.where("n > 0").join(of_class, "cls").select("id", "r", F.col("n").alias("n_shingles"), "label", "component_id")
     alone = signed.where("n = 0").select("id", "r", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
@@ -314,13 +331,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bounded_batches(docs.sparkSession)
     found = near_duplicates(docs, id_col, text_col).where("kept")
     # ids may repeat inside a component: one row of them stays; and across components: one row of each
-    some = found.where("n_shingles > 0").groupBy("label").agg(F.first("component_id").alias("component_id"), F.min("r").alias("r")).drop("label").withColumn("one", F.lit(True))
-    none = found.where("n_shingles = 0").select("component_id", "r").distinct().withColumn("one", F.lit(False))
-    keep = some.unionByName(none).select(F.col("component_id").alias("__fs_id"), F.col("r").alias("__fs_r"), F.col("one").alias("__fs_one"))
-    same = docs[id_col].eqNullSafe(F.col("__fs_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__fs_r"))
-    both = docs.join(keep.hint("shuffle_hash"), same)
-    copy = F.row_number().over(Window.partitionBy("__fs_id", "__fs_r").orderBy(F.lit(0)))
-    return both.withColumn("__fs_copy", copy).where("__fs_copy = 1 OR NOT __fs_one").select(*[F.col(f"`{c}`") for c in docs.columns])
+    each = found.where("n_shingles > 0").groupBy("label", "component_id", "r").agg(F.count(F.lit(1)).alias("n"))
+    some = each.groupBy("label").agg(F.min(F.struct("r", "component_id", "n")).alias("m")).select("m.component_id", "m.r", "m.n")
+    none = found.where("n_shingles = 0").select("component_id", "r").distinct().withColumn("n", F.lit(1).cast("long"))
+    key_id, key_r, key_n = free_names(docs, "id", "r", "n")
+    keep = written(some.unionByName(none).select(F.col("component_id").alias(key_id), F.col("r").alias(key_r), F.col("n").alias(key_n)), "keep")
+    columns = [col(c) for c in docs.columns]
+
+    def matched(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        return rows.join(keys, col(id_col).eqNullSafe(F.col(key_id)) & (F.xxhash64(col(text_col)) == F.col(key_r)))
+
+    kept = matched(docs, keep.where(F.col(key_n) == 1)).select(*columns)
+    again = keep.where(F.col(key_n) > 1)
+    if not again.isEmpty():  # equal rows of one id and text: one of them, by partial aggregates
+        (hashed,) = free_names(docs, "hash")
+        likely = likely_in(docs.withColumn(hashed, F.xxhash64(col(text_col))), again.select(F.col(key_r).alias(hashed)), hashed)
+        kept = kept.unionByName(matched(likely, again).dropDuplicates([key_id, key_r]).select(*columns))
+    return kept
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ UTF-8 bytes and code points give the same words. Windows never cross from one te
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,7 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+SEGMENT = 1 << 20  # bytes hashed at once
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -30,17 +32,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
+def _power() -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i <= SEGMENT."""
+    if not _powers:
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            x = np.full(max(n, 1 << 16), base, U)
+            x = np.full(SEGMENT + 1, base, U)
             x[0] = 1
             _powers[name] = np.cumprod(x, dtype=U)
     return _powers["up"], _powers["down"]
 
 
+def _long_sum(word: np.ndarray) -> np.ndarray:
+    """The sum of (byte + 1) * BASE**i over a word longer than SEGMENT."""
+    up, total = _power()[0], np.zeros(1, U)
+    for k in range(0, len(word), SEGMENT):
+        part = word[k : k + SEGMENT]
+        total += ((part.astype(U) + U(1)) * up[: len(part)]).sum(dtype=U) * U(pow(BASE, k, 1 << 64))
+    return total
+
+
 @dataclass
 class Words:
     data: np.ndarray  # the bytes of all texts, end to end
@@ -58,10 +68,21 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        up, down = _power(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        (up, down), out = _power(), np.empty(len(self), U)
+        i = 0
+        while i < len(self):  # words of one segment
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + SEGMENT, "right")))
+            at = self.start[i]
+            if self.end[j - 1] - at > SEGMENT:
+                out[i:j] = _long_sum(self.data[at : self.end[i]])
+            else:
+                part = self.data[at : self.end[j - 1]]
+                total = np.zeros(len(part) + 1, U)
+                np.cumsum((part.astype(U) + U(1)) * up[: len(part)], out=total[1:])
+                start = self.start[i:j] - at
+                out[i:j] = (total[self.end[i:j] - at] - total[start]) * down[start]
+            i = j
+        return mix(out + (self.end - self.start).astype(U))
 
     def windows(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first words of all windows of `size` words, and a hash of each window."""
@@ -113,3 +134,25 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     twice[order[1:]] = same
     twice[order[:-1]] |= same
     return twice
+
+
+def stretches(data: np.ndarray, overlap: int, lower: bool = False, most: int = SEGMENT) -> Iterator[tuple[int, Words]]:
+    """One long text as runs of its words, of about `most` bytes: the number of the run's first word, and the run.
+
+    Neighbours share `overlap` words, so that each window of overlap + 1 words lies in just one run.
+    """
+    at = number = 0
+    while True:
+        end = at + most
+        while end < len(data) and not len(white := np.flatnonzero(WHITE[data[end : end + most]])):
+            end += most  # a word longer than a stretch
+        end = len(data) if end >= len(data) else end + int(white[0])
+        words = words_of(data[at:end], np.array([0, end - at]), lower)
+        if end < len(data) and len(words) <= overlap:  # no window ends here yet
+            most = 2 * most
+            continue
+        yield number, words
+        if end >= len(data):
+            return
+        number += len(words) - overlap
+        at = at + int(words.start[len(words) - overlap]) if overlap else end
