@@ -3,8 +3,9 @@
 A data set is a folder:
 
 * `shard-PPPPP-SSS.ids`: the magic word, the width of an id in bytes (2 or 4), then nothing but ids,
-  little-endian, documents in ascending id order (null ids first), each ended by the end id. A shard is
-  closed at SHARD_BYTES, so long texts make more shards, not larger ones.
+  little-endian, documents in ascending id order (null ids first), each ended by the end id. Tasks take ranges of
+  about TASK_BYTES of text, or more where there would be over MAX_TASKS of them; a shard is closed at
+  SHARD_BYTES, so long texts and large tasks make more shards, not larger ones.
 * `keys/`: Parquet with the document ids of each shard, and which index file holds them.
 * `index-NNNNN.npz`: for the keys of one hash bucket (about KEYS_PER_INDEX), a minimal perfect hash
   function and, at each key's number, a 32-bit fingerprint, shard, offset and length. A look-up hashes
@@ -14,8 +15,8 @@ The key is the document id and its occurrence (0, 1, ... where ids repeat), so r
 ids keep entries of their own. Null and empty texts hold the end id alone; an empty table makes a data
 set without shards. Columns other than the id and the text are not read.
 
-Files are written under a name of the task attempt and then renamed, so a retried task replaces its own
-files. They go through pyarrow's file systems (file, hdfs, s3, gs), as Spark has no writer of raw bytes.
+Files are streamed under a name of the task attempt and then renamed, so a retried task replaces its own
+files. They go through pyarrow's file systems (file, hdfs, s3, s3a, gs), as Spark has no writer of raw bytes.
 """
 
 from __future__ import annotations
@@ -27,30 +28,45 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import bounded_batches, documents, new_folder, parts
-from figshelf.llm.tokens import Encoder, as_u32
+from figshelf.llm.common import bounded_batches, col, documents, parts, written
+from figshelf.llm.tokens import Encoder
 from figshelf.llm.words import U, mix
+from figshelf.sources.storage import attempt_name, new_folder, open_folder
 
 MAGIC, HEADER = b"FIGSIDS", 8
-DOCS_PER_TASK, SHARD_BYTES, KEYS_PER_INDEX, END_ID = 8192, 64 << 20, 50_000, 2
+TASK_BYTES, MAX_TASKS, SHARD_BYTES, KEYS_PER_INDEX, END_ID = 32 << 20, 20_000, 64 << 20, 50_000, 2
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    system, path = fs.FileSystem.from_uri(folder)
-    return system, path.rstrip("/")
+class Shards:
+    """Writes the shards of one task, one after the other."""
 
+    def __init__(self, folder: str, part: int, width: int, most: int):
+        self.system, self.path = open_folder(folder)
+        self.part, self.width, self.most = part, width, most
+        self.shard, self.size, self.out = 0, 0, None
 
-def _put(system: fs.FileSystem, path: str, data: bytes) -> None:
-    """Write path whole or not at all."""
-    attempt = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
-    with system.open_output_stream(attempt) as out:
-        out.write(data)
-    system.move(attempt, path)
+    def add(self, payload: bytes) -> tuple[int, int]:
+        """The shard that payload goes to, and how many ids stand before it there."""
+        if self.size and self.size + len(payload) > self.most:
+            self.close()
+        if self.out is None:
+            self.name = f"{self.path}/{shard_name(self.part, self.shard)}"
+            self.attempt = attempt_name(self.name)
+            self.out = self.system.open_output_stream(self.attempt)
+            self.out.write(MAGIC + bytes([self.width]))
+        self.out.write(payload)
+        self.size += len(payload)
+        return self.shard, (self.size - len(payload)) // self.width
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.system.move(self.attempt, self.name)
+            self.shard, self.size, self.out = self.shard + 1, 0, None
 
 
 def shard_name(part: int, shard: int) -> str:
@@ -134,46 +150,41 @@ class IndexFile:
         return number, known
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", docs_per_task: int = DOCS_PER_TASK, shard_bytes: int = SHARD_BYTES, keys_per_index: int = KEYS_PER_INDEX) -> int:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES, shard_bytes: int = SHARD_BYTES, keys_per_index: int = KEYS_PER_INDEX) -> int:
     """Write docs as a data set into folder (new or empty); the number of index files."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    n_docs = docs.count()
-    n_index = parts(n_docs, keys_per_index)
-    system, path = _open(folder)
+    two = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    n_docs, n_bytes = two.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_index, n_tasks = parts(n_docs, keys_per_index), min(MAX_TASKS, parts(n_bytes, task_bytes))
+    system, path = open_folder(folder)
     system.create_dir(path, recursive=True)
-    two = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = two.dtypes[0][1]
-    ordered = two.repartitionByRange(parts(n_docs, docs_per_task), F.asc_nulls_first("id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
+    ordered = two.repartitionByRange(n_tasks, F.asc_nulls_first("id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _open(folder)
         encoder = Encoder.of(tokenizer)
-        end, part, shard = np.array([end_id], encoder.dtype).tobytes(), TaskContext.get().partitionId(), 0
-        held, size = [], 0
-
-        def close() -> None:
-            nonlocal held, size, shard
-            if held:
-                _put(system, f"{path}/{shard_name(part, shard)}", MAGIC + bytes([encoder.width]) + b"".join(held))
-                held, size, shard = [], 0, shard + 1
-
+        part, end = TaskContext.get().partitionId(), np.array([end_id], encoder.dtype).tobytes()
+        shards = Shards(folder, part, encoder.width, shard_bytes)
         for batch in batches:
-            made = {"shard": [], "offset": [], "length": []}
-            for payload in encoder.encode_all([x or "" for x in batch.column(1).to_pylist()]):
-                payload += end
-                if size and size + len(payload) > shard_bytes:
-                    close()
-                for name, value in (("shard", shard), ("offset", size // encoder.width), ("length", len(payload) // encoder.width)):
-                    made[name].append(value)
-                held.append(payload)
-                size += len(payload)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * batch.num_rows, pa.int32()), *(pa.array(x, pa.int64()) for x in made.values())], ["id", "part", *made])
-        close()
-
-    entries = new_folder(spark, "token-entries")
-    ordered.mapInArrow(write, f"id {id_type}, part int, shard long, offset long, length long").write.parquet(entries)
-    placed = spark.read.parquet(entries).withColumn("occurrence", F.row_number().over(Window.partitionBy("id").orderBy("part", "shard", "offset")) - 1)
+            shard, offset, length = [], [], []
+            for ids in encoder.encode_column(batch.column(1)):
+                payload = ids.tobytes() + end
+                at = shards.add(payload)
+                shard.append(at[0])
+                offset.append(at[1])
+                length.append(len(payload) // encoder.width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * batch.num_rows, pa.int32()), *(pa.array(x, pa.int64()) for x in (shard, offset, length))], ["id", "part", "shard", "offset", "length"])
+        shards.close()
+
+    entries = written(ordered.mapInArrow(write, f"id {id_type}, part int, shard long, offset long, length long"), "token-entries")
+    # an id's rows stand together: they are numbered within each shard, then by the shards that the id goes over
+    placed = entries.withColumn("here", F.row_number().over(Window.partitionBy("id", "part", "shard").orderBy("offset")) - 1)
+    runs = entries.groupBy("id", "part", "shard").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("id").orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1))
+    later = runs.withColumn("before", earlier).where("before > 0").select(F.col("id").alias("id_"), F.col("part").alias("part_"), F.col("shard").alias("shard_"), "before")
+    same = placed["id"].eqNullSafe(F.col("id_")) & (placed["part"] == F.col("part_")) & (placed["shard"] == F.col("shard_"))
+    placed = placed.join(later, same, "left").select("id", "part", "shard", "offset", "length", (F.col("here") + F.coalesce("before", F.lit(0))).alias("occurrence"))
 
     def with_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,14 +192,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket_of(keys, n_index))], [*batch.schema.names, "bucket"])
 
     def index(table: pa.Table) -> pa.Table:
-        system, path = _open(folder)
+        system, path = open_folder(folder)
         keys = key_hashes(table["id"].to_pylist(), table["occurrence"].to_pylist())
         columns = (table[x].to_numpy() for x in ("part", "shard", "offset", "length"))
-        _put(system, f"{path}/index-{table['bucket'][0].as_py():05d}.npz", _index_bytes(keys, *columns))
+        name = f"{path}/index-{table['bucket'][0].as_py():05d}.npz"
+        with system.open_output_stream(attempt := attempt_name(name)) as out:
+            out.write(_index_bytes(keys, *columns))
+        system.move(attempt, name)
         return table.select(["id", "occurrence", "bucket", "part", "shard"])
 
-    bucketed = placed.mapInArrow(with_bucket, f"id {id_type}, part int, shard long, offset long, length long, occurrence int, bucket long")
-    keys = bucketed.groupBy("bucket").applyInArrow(index, f"id {id_type}, occurrence int, bucket long, part int, shard long")
+    bucketed = placed.mapInArrow(with_bucket, f"id {id_type}, part int, shard long, offset long, length long, occurrence long, bucket long")
+    keys = bucketed.groupBy("bucket").applyInArrow(index, f"id {id_type}, occurrence long, bucket long, part int, shard long")
     keys.write.parquet(f"{folder}/keys")
     return n_index
 
@@ -197,7 +211,7 @@ class TokenFiles:
     """Keyed access to a data set: get(id) reads one index file (kept) and one range of a shard."""
 
     def __init__(self, folder: str, n_index: int):
-        self.system, self.path = _open(folder)
+        self.system, self.path = open_folder(folder)
         self.n_index, self.files = n_index, {}
 
     def index(self, bucket: int) -> IndexFile:
@@ -236,11 +250,11 @@ def read_token_files(spark: SparkSession, folder: str, n_index: int) -> DataFram
             raise ValueError(f"index {bucket} does not know {int((~known).sum())} of its keys")
         return pa.table({"id": table["id"], "part": found.part[number], "shard": found.shard[number], "offset": found.offset[number], "length": found.length[number]})
 
-    found = keys.groupBy("bucket").applyInArrow(look_up, f"id {id_type}, part int, shard long, offset long, length long")
+    found = written(keys.groupBy("bucket").applyInArrow(look_up, f"id {id_type}, part int, shard long, offset long, length long"), "found")
     by_shard = found.repartition("part", "shard").sortWithinPartitions("part", "shard", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _open(folder)
+        system, path = open_folder(folder)
         now, f, width = None, None, 2
         for batch in batches:
             crc = []
@@ -251,14 +265,16 @@ def read_token_files(spark: SparkSession, folder: str, n_index: int) -> DataFram
                     if head[:7] != MAGIC:
                         raise ValueError(f"{shard_name(part, shard)} is not a shard of token ids")
                     width = head[7]
-                crc.append(zlib.crc32(as_u32(f.read_at(length * width, HEADER + offset * width), width)))
+                crc.append(zlib.crc32(np.frombuffer(f.read_at(length * width, HEADER + offset * width), f"<u{width}").astype("<u4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crc, pa.int64())], [*batch.schema.names, "crc"])
 
     each = by_shard.mapInArrow(read, f"id {id_type}, part int, shard long, offset long, length long, crc long")
-    # one row for each shard of SHARD_BYTES: few enough for one ordered window
-    sums = found.groupBy("part", "shard").agg(F.sum("length").alias("n"))
-    base = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return each.join(base.select("part", "shard", "base"), ["part", "shard"]).select("id", (F.col("base") + F.col("offset")).alias("start"), F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    # ids before each shard: sums over the tasks, of which there are at most MAX_TASKS, and over the shards of each
+    sums = written(found.groupBy("part", "shard").agg(F.sum("length").alias("n")), "shard-sizes")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = sums.groupBy("part").agg(F.sum("n").alias("n")).withColumn("base", before(Window.orderBy("part"))).drop("n")
+    base = sums.join(tasks, "part").withColumn("base", F.col("base") + before(Window.partitionBy("part").orderBy("shard"))).drop("n")
+    return each.join(base, ["part", "shard"]).select("id", (F.col("base") + F.col("offset")).alias("start"), F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,44 @@
-"""Token ids of whole texts by the tokenizers library, with words encoded once and remembered.
+"""Token ids of whole texts by the tokenizers library, with chunks of text encoded once and remembered.
 
-Where a tokenizer's pre-tokenizer never lets a token cross from one word into the next (the two kinds
-below), the ids of a text are the ids of its chunks in order, so each distinct chunk needs the library
-only once. Any other tokenizer, and any text with white space that libraries class differently or
-with the mark of a special token, is encoded whole.
+Where a tokenizer's pre-tokenizer never lets a token cross certain places (the two kinds below), the ids of a
+text are the ids of the chunks between these places in order, so the library sees each distinct chunk once.
+Texts are cut as byte arrays and numbered by Arrow's dictionary encoding; Python handles distinct chunks only.
+Any other tokenizer, and any text with white space that libraries class differently or with the mark of a
+special token, is encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-REMEMBERED, LONGEST, STRETCH = 700_000, 64, 1 << 20
-CHUNK = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-# White space of Python or Unicode other than the space and \\n.
-ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SPLIT_AT = re.compile(r"(?<=[^ \n]) (?=[^ \n])")
+from figshelf.llm.common import row_chunks, text_bytes
+from figshelf.llm.words import LOWER
+
+REMEMBERED, LONGEST, STRETCH, TOGETHER = 500_000, 64, 2 << 20, 400
+SPACE, LINE, QUOTE = 32, 10, 39
+# White space of Python or Unicode other than the space and \\n, in UTF-8.
+ODD_ASCII = [9, 11, 12, 13, 28, 29, 30, 31]
+ODD_WIDE = ["\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　"]
+IS_ODD = np.zeros(256, bool)
+IS_ODD[ODD_ASCII] = True
+LETTER, MARK, LATIN = (np.zeros(256, bool) for _ in range(3))
+LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+MARK[33:127] = ~LETTER[33:127]
+MARK[QUOTE] = False  # binds to what follows, as in 's
+LATIN[0xC3:0xC9] = True  # lead bytes of U+00C0 to U+023F, all letters but two
+
+
+def _rows_with(hits: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows one of the places `hits` lies in."""
+    found = np.zeros(len(offsets) - 1, bool)
+    if len(hits):
+        found[np.searchsorted(offsets, hits, "right") - 1] = True
+    return found
 
 
 class Encoder:
@@ -41,7 +60,11 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.spaces = self._spaces(json.loads(self.tokenizer.to_str()))
-        self.memo: dict[str, bytes] = {"": b""}
+        self.between = {"kept": "\n", "dropped": " | "}.get(self.spaces)
+        if self.between:
+            (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.memo: dict[bytes, int] = {}  # chunk -> its number
+        self.start, self.size, self.hits, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     @staticmethod
     def _spaces(made: dict) -> str | None:
@@ -54,62 +77,163 @@ class Encoder:
         if pre.get("type") == "Sequence" and len(both := pre["pretokenizers"]) == 2 and both[0]["type"] == "Split" and both[1]["type"] == "ByteLevel":
             split, steps = both[0], (made["normalizer"] or {}).get("normalizers", [])
             local = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} for x in steps)
+            local = local and "Lowercase" in {x["type"] for x in steps}
             if local and split["behavior"] == "Removed" and split["invert"] and not both[1]["use_regex"] and not both[1]["add_prefix_space"] and r"[^\s\p{L}\p{N}]+" in split["pattern"].get("Regex", ""):
                 return "dropped"
         return None
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _whole(self, text: str) -> bool:
-        """Whether a text must be encoded in one piece."""
-        return self.spaces is None or "<|" in text or self.spaces == "kept" and any(c in text for c in ODD_SPACE)
-
-    def _chunks(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self.spaces == "dropped" else CHUNK.findall(text)
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which rows must be encoded in one piece."""
+        if self.spaces is None:
+            return np.ones(len(offsets) - 1, bool)
+        hits = [np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))]
+        if self.spaces == "kept":
+            hits.append(np.flatnonzero(IS_ODD[data]))
+            leads = {}
+            for c in ODD_WIDE:
+                leads.setdefault(c.encode()[0], []).append(c.encode()[1:])
+            for lead, tails in leads.items():
+                at = np.flatnonzero(data[:-1] == lead)
+                for tail in tails if len(at) else ():
+                    here = at[at + len(tail) < len(data)]
+                    hits.append(here[np.logical_and.reduce([data[here + k + 1] == x for k, x in enumerate(tail)])])
+        return _rows_with(np.concatenate(hits), offsets)
 
     @staticmethod
-    def stretches(text: str) -> Iterator[str]:
-        """The text cut before single spaces between words, so that what is held stays small."""
-        at = 0
-        while len(text) - at > STRETCH and (cut := SPLIT_AT.search(text, at + STRETCH)):
-            yield text[at : cut.start()]
-            at = cut.start()
-        yield text[at:]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned integers of self.width bytes."""
-        if len(self.memo) > REMEMBERED:
-            self.memo = {"": b""}
-        memo, out = self.memo, []
-        todo = [None if self._whole(text) else [self._chunks(part) for part in self.stretches(text)] for text in texts]
-        seen: set[str] = set()
-        seen.update(*(chunks for parts in todo if parts for chunks in parts))
-        new = list(seen.difference(memo))
-        for lo in range(0, len(new), 10_000):
-            for chunk, made in zip(new[lo : lo + 10_000], self.tokenizer.encode_batch_fast(new[lo : lo + 10_000], add_special_tokens=False)):
-                memo[chunk] = self._bytes(made.ids)
-        for text, parts in zip(texts, todo):
-            if parts is None:
-                out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            else:
-                out.append(b"".join(b"".join(map(memo.__getitem__, chunks)) for chunks in parts))
-        for chunk in new:
-            if len(chunk) > LONGEST:
-                del memo[chunk]
+    def pieces(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray, most: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of stretches of about `most` bytes and the row of each: long rows are cut before single spaces."""
+        rows, cuts = [np.arange(len(offsets) - 1)], [offsets[:-1]]
+        for row in np.flatnonzero((np.diff(offsets) > 2 * most) & ~whole).tolist():
+            begin, end = int(offsets[row]), int(offsets[row + 1])
+            body = data[begin:end]
+            gap = (body[1:-1] == SPACE) & (body[:-2] != SPACE) & (body[:-2] != LINE) & (body[2:] != SPACE) & (body[2:] != LINE)
+            places = begin + 1 + np.flatnonzero(gap)
+            chosen = np.unique(np.searchsorted(places, np.arange(begin + most, end - most, most)))
+            chosen = places[chosen[chosen < len(places)]]
+            cuts.append(chosen)
+            rows.append(np.full(len(chosen), row))
+        row, cut = np.concatenate(rows), np.concatenate(cuts)
+        order = np.lexsort((cut, row))
+        return np.append(cut[order], offsets[-1]), row[order]
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Where chunks begin. No token of the library's crosses such a place."""
+        n = len(data)
+        first = np.zeros(n + 1, bool)
+        first[offsets] = True
+        first = first[:n]
+        white = (data == SPACE) | (data == LINE)
+        before = np.empty(n, bool)  # white space before, in the same row
+        before[0] = False
+        before[1:] = white[:-1]
+        before &= ~first
+        cut = white & ~before | first
+        word = np.flatnonzero(~white & before)
+        if self.spaces == "kept":  # the last space of a run goes to the word
+            cut[word - 1] = True
+            cut[word[data[word - 1] == LINE]] = True
+        else:
+            cut[word] = True
+        # between letters or digits and marks other than the quote
+        latin = np.zeros(n, bool)
+        latin[1:] = LATIN[data[:-1]] & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        ends_letter, begins_letter = LETTER[data] | latin, LETTER[data].copy()
+        begins_letter[:-1] |= latin[1:]
+        mark = MARK[data]
+        cut[1:] |= ends_letter[:-1] & mark[1:] | mark[:-1] & begins_letter[1:]
+        if whole.any():
+            cut[np.repeat(whole, np.diff(offsets))] = False
+            cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(cut)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _encoded(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """The ids of each chunk; chunks are handed to the library many at a time, parted by a text of one id."""
+        out: list[np.ndarray | None] = [None] * len(chunks)
+        mark = self.between.strip(" ").encode() if self.between else b""
+        together = [i for i, c in enumerate(chunks) if self.between and len(c) <= LONGEST and mark not in c and b"<|" not in c and c.strip(b" \n")]
+        groups = [together[k : k + TOGETHER] for k in range(0, len(together), TOGETHER)]
+        texts = [self.between.encode().join([chunks[i] for i in group]).decode() for group in groups]
+        for lo in range(0, len(texts), 16):
+            for group, made in zip(groups[lo : lo + 16], self.tokenizer.encode_batch_fast(texts[lo : lo + 16], add_special_tokens=False)):
+                ids = np.array(made.ids, self.dtype)
+                at = np.flatnonzero(ids == self.between_id)
+                if len(at) == len(group) - 1:
+                    for i, a, b in zip(group, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]):
+                        out[i] = ids[a:b]
+        for i, made in enumerate(out):
+            if made is None:
+                out[i] = self._ids(chunks[i].decode())
         return out
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """encode() over stretches of the list of about STRETCH characters."""
-        lo = size = 0
-        for hi, text in enumerate(texts):
-            size += len(text)
-            if size > STRETCH:
-                yield from self.encode(texts[lo : hi + 1])
-                lo, size = hi + 1, 0
-        yield from self.encode(texts[lo:])
-
-
-def as_u32(payload: bytes, width: int) -> bytes:
-    """The same ids as little-endian unsigned 32-bit integers."""
-    return payload if width == 4 else np.frombuffer(payload, "<u2").astype("<u4").tobytes()
+    def _forget(self) -> None:
+        """Keep what came back most, if too much is remembered."""
+        if len(self.size) <= REMEMBERED and len(self.flat) <= 16 * REMEMBERED:
+            return
+        keep = np.flatnonzero((self.hits > 1) & (self.size <= LONGEST))
+        if len(keep) > REMEMBERED // 2:
+            keep = np.sort(keep[np.argpartition(-self.hits[keep], REMEMBERED // 2)[: REMEMBERED // 2]])
+        flat = self._gather(keep)
+        number = np.full(len(self.size), -1)
+        number[keep] = np.arange(len(keep))
+        self.memo = {c: int(k) for c, i in self.memo.items() if (k := number[i]) >= 0}
+        self.size, self.hits, self.flat = self.size[keep], self.hits[keep] // 2, flat
+        self.start = np.cumsum(self.size) - self.size
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of chunks by their numbers, end to end."""
+        size = self.size[numbers]
+        total = int(size.sum())
+        shift = self.start[numbers] - (np.cumsum(size) - size)
+        return self.flat[np.repeat(shift, size) + np.arange(total)]
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each distinct chunk; new ones are encoded."""
+        get = self.memo.get
+        numbers = np.array([get(w, -1) for w in words], np.int64)
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            new = [words[i] for i in fresh.tolist()]
+            made = self._encoded(new)
+            base, size = len(self.size), np.array([len(x) for x in made], np.int64)
+            numbers[fresh] = base + np.arange(len(new))
+            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+            self.size, self.hits = np.concatenate((self.size, size)), np.concatenate((self.hits, np.zeros(len(new), np.int64)))
+            self.flat = np.concatenate((self.flat, *made))
+            self.memo.update((w, base + k) for k, w in enumerate(new) if len(w) <= LONGEST)
+        self.hits[numbers] += 1
+        return numbers
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows of UTF-8 end to end, and how many each row has."""
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(offsets) - 1, np.int64)
+        self._forget()
+        at = self._cuts(data, offsets, whole)
+        end = np.append(at[1:], len(data))
+        if self.spaces == "dropped":  # lower case comes to the same; white space gives no ids
+            plain = np.maximum.reduceat(data, at) < 128
+            in_whole = np.repeat(whole, np.diff(offsets))[at] if whole.any() else np.zeros(len(at), bool)
+            data = np.where(np.repeat(plain & ~in_whole, end - at), LOWER[data], data)
+        column = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = column.dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        before = np.append(0, np.cumsum(self.size[numbers]))
+        edges = before[np.searchsorted(at, offsets)]
+        return self._gather(numbers), np.diff(edges)
+
+    def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column; of null, none."""
+        data, offsets = text_bytes(column)
+        whole = self._whole(data, offsets)
+        cuts, row = self.pieces(data, offsets, whole)
+        held: list[np.ndarray] = []
+        for lo, hi in row_chunks(cuts, STRETCH):
+            ids, n = self.encode(data[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], whole[row[lo:hi]])
+            for k, part in zip(range(lo, hi), np.split(ids, np.cumsum(n)[:-1])):
+                held.append(part)
+                if k + 1 == len(row) or row[k + 1] != row[k]:
+                    yield held[0] if len(held) == 1 else np.concatenate(held)
+                    held = []
