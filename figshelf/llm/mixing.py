@@ -15,9 +15,11 @@ shared again by weight until none is above.
 4. In the last block documents are taken largest first while they fit, and one more if that comes
    nearer: a source's words miss its target by at most half of the smallest document left there.
 
-Null and empty texts have size 0 and are taken with their block, at no words. Rows with the same id and
-text share a block. With no words at all every target is 0. Reruns agree, whatever the partitioning.
-Counts of sources (not of documents) go through the driver; more than MAX_SOURCES is an error.
+Null and empty texts have size 0 and are taken with their block, at no words. Rows with the same id, text and
+source share a block and are one row with a count until the end, so a third of all rows may be alike. With no
+words at all every target is 0. Documents are ordered by size, hash of the text and id, never by arrival, so reruns
+agree whatever the partitioning. Blocks grow beyond BLOCK_WORDS where there would be more than MAX_BLOCKS of
+them. Counts of sources (not of documents) go through the driver; more than MAX_SOURCES is an error.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import bounded_batches, documents, parts, written
+from figshelf.llm.common import bounded_batches, col, documents, free_names, parts, working_tables, written
 from figshelf.llm.words import mix
 
 MOST_EPOCHS, BLOCK_WORDS, BLOCK_DOCS, BLOCKS_PER_SHARD, SEED, MAX_SOURCES = 3, 20_000, 2_000, 64, 20_240_501, 100_000
+MAX_BLOCKS = 200_000_000  # numpy's multivariate hypergeometric takes sums below 10**9, and a block has up to MOST_EPOCHS draws
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,6 +80,17 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int, draws: dict[int, np
     return out
 
 
+def fits(size: np.ndarray, count: np.ndarray, room: int) -> np.ndarray:
+    """How many of each kind of document fit into room words, in order, and one more of the last left out if that comes nearer."""
+    taken, left = np.zeros(len(size), np.int64), room
+    for i, (n, c) in enumerate(zip(size.tolist(), count.tolist())):
+        taken[i] = c if n == 0 else min(c, left // n)
+        left -= n * int(taken[i])
+    out = np.flatnonzero(taken < count)
+    if len(out) and size[out[-1]] - left < left:
+        taken[out[-1]] += 1
+    return taken
+
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_EPOCHS, block_words: int = BLOCK_WORDS, block_docs: int = BLOCK_DOCS, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """(id, r, source, size, source_size, target, shards): per row the shard of each time that it is taken.
@@ -83,28 +98,32 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     r is a hash of the row's text: ids may repeat.
     """
     bounded_batches(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("r"), F.col(f"`{source_col}`").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
-    sized = written(rows, "sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda x: (x["source"] is None, x["source"] or ""))
-    spark = docs.sparkSession
-    sizes = [x["size"] for x in found]
-    goals = targets(sizes, [1 + i % 3 for i in range(len(found))], most)
-    n_blocks = [max(parts(x["size"], block_words), parts(x["n"], block_docs)) for x in found]
-    epochs = [int(g // s) if s else 0 for g, s in zip(goals, sizes)]
-    rest = [int(g - e * s) for g, e, s in zip(goals, epochs, sizes)]
-    plan = [(i, x["source"], x["size"], float(g), n, e, r) for i, (x, g, n, e, r) in enumerate(zip(found, goals, n_blocks, epochs, rest))]
-    sources = spark.createDataFrame(plan, "s int, source string, source_size long, target double, n_blocks long, epochs long, rest long")
-    # at most MAX_SOURCES rows of some 60 bytes
-    known = F.broadcast(sources)
-    blocked = sized.join(known, sized["source"].eqNullSafe(known["source"])).select("s", "id", "r", "size", F.pmod(F.xxhash64(F.lit(seed), "id", "r"), F.col("n_blocks")).alias("block"))
+    text = col(text_col)
+    rows = docs.select(col(id_col).alias("id"), F.xxhash64(text).alias("r"), col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    with working_tables(docs.sparkSession) as written_here:
+        sized = written_here(rows, "sizes")
+        found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+        if len(found) > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources")
+        found.sort(key=lambda x: (x["source"] is None, x["source"] or ""))
+        spark = docs.sparkSession
+        sizes = [x["size"] for x in found]
+        goals = targets(sizes, [1 + i % 3 for i in range(len(found))], most)
+        block_words = max(block_words, parts(sum(sizes), MAX_BLOCKS))
+        block_docs = max(block_docs, parts(sum(x["n"] for x in found), MAX_BLOCKS))
+        n_blocks = [max(parts(x["size"], block_words), parts(x["n"], block_docs)) for x in found]
+        epochs = [int(g // s) if s else 0 for g, s in zip(goals, sizes)]
+        rest = [int(g - e * s) for g, e, s in zip(goals, epochs, sizes)]
+        plan = [(i, x["source"], x["size"], float(g), n, e, r) for i, (x, g, n, e, r) in enumerate(zip(found, goals, n_blocks, epochs, rest))]
+        sources = spark.createDataFrame(plan, "s int, source string, source_size long, target double, n_blocks long, epochs long, rest long")
+        # at most MAX_SOURCES rows of some 60 bytes
+        known = F.broadcast(sources)
+        alike = sized.groupBy("source", "id", "r", "size").agg(F.count(F.lit(1)).alias("count"))
+        blocked = written_here(alike.join(known, alike["source"].eqNullSafe(known["source"])).select("s", "id", "r", "size", "count", F.pmod(F.xxhash64(F.lit(seed), "id", "r"), F.col("n_blocks")).alias("block")), "blocked", keep=True)
 
     # words before each block: sums over runs of RUN blocks, then within the run, so that no window is long
     run = 1024
-    blocks = blocked.groupBy("s", "block").agg(F.sum("size").alias("words")).withColumn("run", F.floor(F.col("block") / run))
+    blocks = blocked.groupBy("s", "block").agg(F.sum(F.col("size") * F.col("count")).alias("words")).withColumn("run", F.floor(F.col("block") / run))
     runs = blocks.groupBy("s", "run").agg(F.sum("words").alias("run_words"))
     before = Window.partitionBy("s").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("run_before", F.coalesce(F.sum("run_words").over(before), F.lit(0))).drop("run_words")
@@ -143,43 +162,40 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     def fit(table: pa.Table) -> pa.Table:
         """Of the one block of a source that is cut short: its documents, largest first, while they fit."""
-        size, left = table["size"].to_numpy(), table["room"][0].as_py()
-        fits = np.zeros(len(size), bool)
-        order = np.lexsort((table["r"].to_numpy(), -size))
-        for i in order.tolist():
-            if size[i] <= left:
-                fits[i], left = True, left - int(size[i])
-        rest = [i for i in order.tolist() if not fits[i]]
-        if rest and size[rest[-1]] - left < left:  # one more comes nearer than none
-            fits[rest[-1]] = True
-        shards = [x if f else x[:-1] for x, f in zip(table["shards"].to_pylist(), fits.tolist())]
-        return table.drop_columns(["shards", "room"]).append_column("shards", pa.array(shards, pa.list_(pa.int64())))
-
-    cut = taken.where("room IS NOT NULL").select("s", "id", "r", "size", "room", "shards").groupBy("s").applyInArrow(fit, f"s int, id {sized.dtypes[0][1]}, r long, size long, shards array<long>")
-    all_ = taken.where("room IS NULL").select("s", "id", "r", "size", "shards").unionByName(cut)
-    return all_.join(F.broadcast(sources.select("s", "source", "source_size", "target")), "s").select("id", "r", "source", "size", "source_size", "target", "shards")
+        table = table.take(pc.sort_indices(table, [("size", "descending"), ("r", "ascending"), ("id", "ascending")]))
+        full = fits(table["size"].to_numpy(), table["count"].to_numpy(), table["room"][0].as_py())
+        return table.drop_columns(["room"]).append_column("full", pa.array(full))
+
+    each = "s int, id {}, r long, size long, count long, shards array<long>".format(sized.dtypes[0][1])
+    cut = taken.where("room IS NOT NULL").select("s", "id", "r", "size", "count", "room", "shards").groupBy("s").applyInArrow(fit, each + ", full long")
+    all_ = taken.where("room IS NULL").select("s", "id", "r", "size", "count", "shards", F.col("count").alias("full")).unionByName(cut)
+    # full of the rows alike take the last draw too
+    rows = all_.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    shards = F.when(F.col("copy") <= F.col("full"), F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.size("shards") - 1))
+    return rows.join(F.broadcast(sources.select("s", "source", "source_size", "target")), "s").select("id", "r", "source", "size", "source_size", "target", shards.alias("shards"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mix: rows of docs, each as often as it is taken, shard by shard and shuffled within each."""
     # equal rows of a source share a block, so their plans differ at most by the last draw, in the block cut short
     plan = mix_plan(docs, id_col, text_col, source_col, seed=seed).groupBy("id", "r", "source").agg(F.max("shards").alias("most"), F.min("shards").alias("least"), F.count(F.lit(1)).alias("n"), F.sum(F.size("shards")).alias("draws"))
-    full = F.col("draws") - F.col("n") * F.size("least")
-    plan = written(plan.where(F.size("most") > 0).select(*(F.col(c).alias(f"__fs_{c}") for c in ("id", "r", "source", "most", "least")), full.alias("__fs_full")), "plan")
-    keys = ["__fs_id", "__fs_r", "__fs_source"]
-    same = docs[id_col].eqNullSafe(F.col("__fs_id")) & (F.xxhash64(docs[text_col]) == F.col("__fs_r")) & docs[source_col].cast("string").eqNullSafe(F.col("__fs_source"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    even = docs.join(plan.where("__fs_most = __fs_least").hint("shuffle_hash"), same)
-    taken = even.select(*columns, "__fs_id", F.col("__fs_most").alias("__fs_shards"))
-    uneven = written(plan.where("__fs_most <> __fs_least"), "uneven")
+    key_id, key_r, key_source, most, least, full, shards, epoch, shard = free_names(docs, "id", "r", "source", "most", "least", "full", "shards", "epoch", "shard")
+    names = {"id": key_id, "r": key_r, "source": key_source, "most": most, "least": least}
+    in_full = F.col("draws") - F.col("n") * F.size("least")
+    plan = written(plan.where(F.size("most") > 0).select(*(F.col(c).alias(name) for c, name in names.items()), in_full.alias(full)), "plan")
+    same = col(id_col).eqNullSafe(F.col(key_id)) & (F.xxhash64(col(text_col)) == F.col(key_r)) & col(source_col).cast("string").eqNullSafe(F.col(key_source))
+    columns = [col(c) for c in docs.columns]
+    even = docs.join(plan.where(F.col(most) == F.col(least)), same)
+    taken = even.select(*columns, key_id, F.col(most).alias(shards))
+    uneven = written(plan.where(F.col(most) != F.col(least)), "uneven")
     if not uneven.isEmpty():  # repeated rows of a block cut short: as many of them as planned get the last draw
         others = F.to_json(F.struct(*columns))
-        copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(others)))
-        shards = F.when(copy <= F.col("__fs_full"), F.col("__fs_most")).otherwise(F.col("__fs_least"))
-        taken = taken.unionByName(docs.join(uneven, same).select(*columns, "__fs_id", shards.alias("__fs_shards")))
-    taken = taken.select(*columns, "__fs_id", F.posexplode("__fs_shards").alias("__fs_epoch", "__fs_shard"))
-    local = F.xxhash64(F.lit(seed), "__fs_id", "__fs_epoch")
-    return taken.repartition("__fs_shard").sortWithinPartitions("__fs_shard", local).select(*columns)
+        copy = F.row_number().over(Window.partitionBy(key_id, key_r, key_source).orderBy(F.xxhash64(others)))
+        mine = F.when(copy <= F.col(full), F.col(most)).otherwise(F.col(least))
+        taken = taken.unionByName(docs.join(uneven, same).select(*columns, key_id, mine.alias(shards)))
+    taken = taken.select(*columns, key_id, F.posexplode(shards).alias(epoch, shard))
+    local = F.xxhash64(F.lit(seed), key_id, epoch)
+    return taken.repartition(shard).sortWithinPartitions(shard, local).select(*columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
