@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from figshelf.llm.common import bounded_batches, documents
+from figshelf.llm.common import bounded_batches, col, documents, map_batches, quoted
 
 MAX_GAP = 3
 
@@ -60,6 +60,47 @@ SENTENCES = {
     "cc-by-4-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-name": "Distributed under the Boost Software License, Version 1.0.",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "mit-0-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "gpl2-name": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl2-only-grant": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program.",
+    "lgpl-free": "This library is free software;",
+    "lgpl21-grant": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl3-grant": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl2-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc-by-sa-4-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd-4-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-3-long": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "cc-by-sa-3-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "cc-by-nd-4": "Licensed under CC BY-ND 4.0.",
+    "cc0-long": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0-warranty": "This software is distributed without any warranty.",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-mpl2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-gpl2": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-gpl2-later": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "spdx-lgpl21": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx-agpl3": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "spdx-cc0": "SPDX-License-Identifier: CC0-1.0",
+    "spdx-unlicense": "SPDX-License-Identifier: Unlicense",
+    "spdx-zlib": "SPDX-License-Identifier: Zlib",
+    "spdx-boost": "SPDX-License-Identifier: BSL-1.0",
+    "spdx-epl2": "SPDX-License-Identifier: EPL-2.0",
     "spdx-mit": "SPDX-License-Identifier: MIT",
     "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
     "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-or-later",
@@ -67,9 +108,27 @@ SENTENCES = {
 }
 RULES = [
     ("MIT", "mit-grant mit-notice mit-warranty mit-liability"),
+    ("MIT-0", "mit-0-grant mit-warranty mit-liability"), ("MIT-0", "mit-0-grant"),
+    ("BSD-4-Clause", "bsd-grant bsd-source bsd-binary bsd-advertising bsd-name"),
+    ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-name bsd-warranty bsd-liability"),
+    ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary bsd-warranty bsd-liability"),
     ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-name"),
     ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary"),
-    ("ISC", "isc-grant isc-warranty"),
+    ("ISC", "isc-grant isc-warranty isc-liability"), ("ISC", "isc-grant isc-warranty"), ("ISC", "isc-grant"),
+    ("Zlib", "zlib-warranty zlib-liability zlib-grant"), ("Zlib", "zlib-grant"),
+    ("BSL-1.0", "boost-grant mit-warranty"), ("BSL-1.0", "boost-grant"), ("BSL-1.0", "boost-name"),
+    ("GPL-2.0-only", "gpl-free gpl2-only-grant gpl-warranty gpl-see gpl-copy"), ("GPL-2.0-only", "gpl-free gpl2-only-grant"),
+    ("GPL-3.0-or-later", "gpl-free gpl3-grant gpl-warranty gpl-see gpl-copy"),
+    ("GPL-2.0-or-later", "gpl-free gpl2-grant gpl-warranty gpl-see gpl-copy"),
+    ("LGPL-2.1-or-later", "lgpl-free lgpl21-grant lgpl-warranty lgpl-see"), ("LGPL-2.1-or-later", "lgpl-free lgpl21-grant"),
+    ("AGPL-3.0-or-later", "gpl-free agpl3-grant gpl-warranty agpl-see"), ("AGPL-3.0-or-later", "gpl-free agpl3-grant"),
+    ("MPL-2.0", "mpl2-grant mpl2-copy"), ("EPL-2.0", "epl2-grant"), ("Unlicense", "unlicense unlicense-grant"),
+    ("CC0-1.0", "cc0-long cc0-warranty"), ("CC0-1.0", "cc0-long"), ("GPL-2.0", "gpl2-name"),
+    ("CC-BY-SA-4.0", "cc-by-sa-4-long"), ("CC-BY-ND-4.0", "cc-by-nd-4-long"), ("CC-BY-ND-4.0", "cc-by-nd-4"),
+    ("CC-BY-3.0", "cc-by-3-long"), ("CC-BY-SA-3.0", "cc-by-sa-3-long"),
+    ("ISC", "spdx-isc"), ("BSD-2-Clause", "spdx-bsd2"), ("MPL-2.0", "spdx-mpl2"), ("GPL-2.0-only", "spdx-gpl2"), ("GPL-2.0-or-later", "spdx-gpl2-later"),
+    ("LGPL-2.1-or-later", "spdx-lgpl21"), ("AGPL-3.0-or-later", "spdx-agpl3"), ("CC0-1.0", "spdx-cc0"), ("Unlicense", "spdx-unlicense"),
+    ("Zlib", "spdx-zlib"), ("BSL-1.0", "spdx-boost"), ("EPL-2.0", "spdx-epl2"),
     ("Apache-2.0", "apache-grant apache-use apache-copy apache-warranty apache-see"),
     ("Apache-2.0", "apache-grant apache-use"),
     ("GPL-3.0-or-later", "gpl-free gpl3-grant gpl-warranty gpl-see"),
@@ -107,7 +166,7 @@ def fragments(text: str) -> Iterator[tuple[int, str]]:
 KNOWN = {" ".join(w for _, w in fragments(s)): name for name, s in SENTENCES.items()}
 SORTED = sorted(KNOWN)
 FIRST_WORDS = {s.split(" ")[0] for s in SORTED}
-ANCHORS = re.compile("licen[sc]|permission|redistribut|warrant|software|liable", re.I)  # each known sentence has one of these
+ANCHORS = re.compile("licen[sc]|permission|redistribut|warrant|software|liable|mpl|copyright", re.I)  # each known sentence has one of these
 ORDERED = sorted(((licence, ids.split()) for licence, ids in RULES), key=lambda r: -len(r[1]))
 
 
@@ -156,8 +215,8 @@ def licences(text: str) -> tuple[list[tuple[str, int, int]], int]:
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, n_matches, n_sentences in them, n_unmatched sentences, licences (distinct, sorted,
     joined by a comma), first_begin (code points before the first match, null if none)."""
-
     bounded_batches(docs.sparkSession)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = {"n_matches": [], "n_sentences": [], "n_unmatched": [], "licences": [], "first_begin": []}
@@ -167,8 +226,8 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string() if k == "licences" else pa.int64()) for k, x in made.items())], [id_col, *made])
 
-    two = docs.select(id_col, text_col)
-    return two.mapInArrow(scan, f"`{id_col}` {two.dtypes[0][1]}, n_matches long, n_sentences long, n_unmatched long, licences string, first_begin long")
+    two = docs.select(col(id_col), col(text_col))
+    return map_batches(two, scan, f"{quoted(id_col)} {two.dtypes[0][1]}, n_matches long, n_sentences long, n_unmatched long, licences string, first_begin long")
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

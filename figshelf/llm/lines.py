@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import bounded_batches, documents, text_bytes, written
+from figshelf.llm.common import bounded_batches, col, documents, free_names, map_batches, quoted, text_bytes, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -58,16 +58,18 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
                 rows += [row] * len(own)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(hashes, pa.binary())], ["id", "h"])
 
-    two = docs.select(id_col, text_col).where(F.col(f"`{id_col}`").isNotNull())
-    return two.mapInArrow(explode, f"id {two.dtypes[0][1]}, h binary")
+    two = docs.select(col(id_col), col(text_col)).where(col(id_col).isNotNull())
+    return map_batches(two, explode, f"id {two.dtypes[0][1]}, h binary")
 
 
 def dropped_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(__fs_id, __fs_drops): for each document that loses lines, the hashes of their keys."""
+    """(id, drops): for each document that loses lines, the hashes of their keys."""
     lines = written(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
     common = lines.groupBy("h").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    # as a table, so that both sides of the join come straight from a shuffle: Spark splits the rows of a hot line
+    common = written(common.select("h", "keeper"), "common-lines")
     lost = lines.join(common, "h").where(F.col("id") < F.col("keeper"))
-    return lost.groupBy(F.col("id").alias("__fs_id")).agg(F.collect_set("h").alias("__fs_drops"))
+    return lost.groupBy("id").agg(F.collect_set("h").alias("drops"))
 
 
 def without(text: bytes, drops: list[bytes] | None, min_chars: int) -> tuple[bytes, int, int]:
@@ -81,8 +83,10 @@ def without(text: bytes, drops: list[bytes] | None, min_chars: int) -> tuple[byt
 
 
 def _with_drops(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    drops = dropped_hashes(docs, id_col, text_col, min_chars, min_docs)
-    return docs.join(drops.hint("shuffle_hash"), docs[id_col] == drops["__fs_id"], "left").drop("__fs_id")
+    """docs with one more column at the end: the hashes of the keys whose lines go."""
+    key, hashes = free_names(docs, "id", "drops")
+    drops = dropped_hashes(docs, id_col, text_col, min_chars, min_docs).toDF(key, hashes)
+    return docs.join(drops, col(id_col) == F.col(key), "left").drop(key)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -104,23 +108,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns[chars] = pc.if_else(changed, pc.utf8_length(text).cast(pa.int64()), columns[chars])
             yield pa.RecordBatch.from_arrays(columns, names)
 
-
-
-    return _with_drops(docs, id_col, text_col, min_chars, min_docs).mapInArrow(rebuild, schema)
+    return map_batches(_with_drops(docs, id_col, text_col, min_chars, min_docs), rebuild, schema)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per row: its id, n_lines before, n_dropped, and the SHA-256 of the text that dedup_lines leaves."""
-
     bounded_batches(docs.sparkSession)
+
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [(n, gone, hashlib.sha256(text).hexdigest()) for text, n, gone in (without(t, d, min_chars) for t, d in zip(_texts(batch.column(1)), batch.column(2).to_pylist()))]
             columns = list(zip(*made)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], [id_col, "n_lines", "n_dropped", "kept_sha256"])
 
-    two = docs.select(id_col, text_col)
-    return _with_drops(two, id_col, text_col, min_chars, min_docs).mapInArrow(report, f"`{id_col}` {two.dtypes[0][1]}, n_lines long, n_dropped long, kept_sha256 string")
+    two = docs.select(col(id_col), col(text_col))
+    return map_batches(_with_drops(two, id_col, text_col, min_chars, min_docs), report, f"{quoted(id_col)} {two.dtypes[0][1]}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

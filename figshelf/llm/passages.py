@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import bounded_batches, documents, row_chunks, text_bytes, written
-from figshelf.llm.words import U, Words, words_of
+from figshelf.llm.common import CHUNK_BYTES, bounded_batches, col, documents, free_names, map_batches, quoted, row_chunks, text_bytes, working_tables
+from figshelf.llm.words import U, Words, stretches, words_of
 
 WINDOW, MINIMISER, HOT = 50, 20, 5000
 
@@ -63,10 +63,19 @@ def super_kmers(words: Words, window: int, size: int) -> tuple[np.ndarray, np.nd
     return at[first], np.diff(np.append(first, len(at))), least[first]
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, Words]]:
+def _chunks(column: pa.Array, window: int) -> Iterator[tuple[int, int, Words]]:
+    """Runs of words: the first row of each, the place of its first word in that row's text, and the words.
+
+    A long text comes in several runs, each window in one of them; so a super-k-mer may come in two parts.
+    """
     data, offsets = text_bytes(column)
     for lo, hi in row_chunks(offsets):
-        yield lo, words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        part = data[offsets[lo] : offsets[hi]]
+        if len(part) <= CHUNK_BYTES:
+            yield lo, 0, words_of(part, offsets[lo : hi + 1] - offsets[lo])
+        else:
+            for number, words in stretches(part, window - 1):
+                yield lo, number, words
 
 
 def minimisers(rows: DataFrame, window: int, size: int) -> DataFrame:
@@ -74,14 +83,14 @@ def minimisers(rows: DataFrame, window: int, size: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, words in _chunks(batch.column(1)):
+            for lo, _, words in _chunks(batch.column(1), window):
                 at, _, least = super_kmers(words, window, size)
                 text = words.text[at]
                 order = np.lexsort((least, text))
                 t, m = text[order], least[order]
                 first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (m[1:] != m[:-1])))) if len(t) else np.zeros(0, np.int64)
                 which = pa.array(lo + t[first])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(2).take(which), pa.array(m[first].view(np.int64)), pa.array(np.diff(np.append(first, len(t))))], ["id", "r", "m", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(2).take(which), pa.array(m[first].view(np.int64)), pa.array(np.diff(np.append(first, len(t))), pa.int64())], ["id", "r", "m", "n"])
 
     return rows.mapInArrow(emit, f"id {rows.dtypes[0][1]}, r long, m long, n long")
 
@@ -92,7 +101,7 @@ def _travelling(marked: DataFrame, window: int, size: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cold, hot = batch.column(3), batch.column(4)
-            for lo, words in _chunks(batch.column(1)):
+            for lo, before, words in _chunks(batch.column(1), window):
                 at, n, least = super_kmers(words, window, size)
                 row, ms, starts, packed, hashes = [], [], [], [], []
                 least = least.view(np.int64)
@@ -101,7 +110,7 @@ def _travelling(marked: DataFrame, window: int, size: int) -> DataFrame:
                 for t in range(len(words.first) - 1):
                     a, b = edges[t], edges[t + 1]
                     c, h = (np.asarray(x[lo + t].values, np.int64) for x in (cold, hot))
-                    first = int(words.first[t])
+                    first = int(words.first[t]) - before
                     for i in (a + np.flatnonzero(np.isin(least[a:b], c))).tolist():
                         row.append(lo + t)
                         ms.append(int(least[i]))
@@ -172,26 +181,29 @@ def _bucket_spans(travelling: DataFrame, window: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, size: int = MINIMISER, hot: int = HOT) -> DataFrame:
-    """(__fs_id, __fs_r, __fs_spans): of each row that loses words, the spans of words to remove.
+    """(id, r, spans): of each row that loses words, the spans of words to remove.
 
-    __fs_r is a hash of the row's text, as ids may repeat; null spans: all words go, if there is a window.
+    r is a hash of the row's text, as ids may repeat; null spans: all words go, if there is a window.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("r")).where("id IS NOT NULL AND text IS NOT NULL")
-    whole = written(rows.select("id", "r", F.xxhash64(F.lit(1), "text").alias("q")), "text-hashes")
-    first = whole.groupBy("r", "q").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    copies = written(whole.join(first, ["r", "q"]).where("id > least").select("id", "r").distinct(), "copies")
-    minis = written(minimisers(rows, window, size).join(copies, ["id", "r"], "left_anti"), "minimisers")
-    shared = minis.groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum("n").alias("total")).where("a < b").select("m", (F.col("total") > hot).alias("is_hot"))
-    lists = minis.join(shared, "m").groupBy("id", "r").agg(F.collect_set(F.when(~F.col("is_hot"), F.col("m"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("m"))).alias("hot"))
-    marked = rows.join(lists.hint("shuffle_hash"), ["id", "r"]).select("id", "text", "r", "cold", "hot")
-    travelling = written(_travelling(marked, window, size), "super-k-mers")
-    windows = travelling.where("h IS NOT NULL").select("id", "r", "start", "h")
-    least = windows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
+    with working_tables(docs.sparkSession) as written:
+        rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("r")).where("id IS NOT NULL AND text IS NOT NULL")
+        whole = written(rows.select("id", "r", F.xxhash64(F.lit(1), "text").alias("q")), "text-hashes")
+        first = whole.groupBy("r", "q").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+        copies = written(whole.join(first, ["r", "q"]).where("id > least").select("id", "r").distinct(), "copies", keep=True)
+        minis = written(minimisers(rows, window, size).join(copies, ["id", "r"], "left_anti"), "minimisers")
+        shared = minis.groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum("n").alias("total")).where("a < b").select("m", (F.col("total") > hot).alias("is_hot"))
+        shared = written(shared, "shared-minimisers")  # both sides of the join come straight from a shuffle, so Spark splits a hot key
+        lists = minis.join(shared, "m").groupBy("id", "r").agg(F.collect_set(F.when(~F.col("is_hot"), F.col("m"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("m"))).alias("hot"))
+        marked = rows.join(lists, ["id", "r"]).select("id", "text", "r", "cold", "hot")
+        travelling = written(_travelling(marked, window, size), "super-k-mers", keep=True)
+        windows = travelling.where("h IS NOT NULL").select("id", "r", "start", "h")
+        least = windows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
+        least = written(least, "shared-windows", keep=True)
     single = windows.join(least, "h").where("id > least").select("id", "r", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
     spans = _bucket_spans(travelling, window).unionByName(single)
     lists = spans.groupBy("id", "r").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     none = copies.withColumn("spans", F.lit(None).cast(lists.schema["spans"].dataType))
-    return lists.unionByName(none).select(F.col("id").alias("__fs_id"), F.col("r").alias("__fs_r"), F.col("spans").alias("__fs_spans"))
+    return lists.unionByName(none).select("id", "r", "spans")
 
 
 def kept_words(text: bytes, hit: bool, spans: list[dict] | None, window: int) -> tuple[list[bytes], int, int]:
@@ -211,9 +223,11 @@ def kept_words(text: bytes, hit: bool, spans: list[dict] | None, window: int) ->
 
 
 def _with_removals(docs: DataFrame, id_col: str, text_col: str, window: int, size: int, hot: int) -> DataFrame:
-    found = removals(docs, id_col, text_col, window, size, hot).withColumn("__fs_hit", F.lit(True))
-    same = (docs[id_col] == F.col("__fs_id")) & (F.xxhash64(docs[text_col]) == F.col("__fs_r"))
-    return docs.join(found.hint("shuffle_hash"), same, "left").drop("__fs_id", "__fs_r")
+    """docs with two more columns at the end: spans, and whether the row loses words."""
+    key_id, key_r, spans, hit = free_names(docs, "id", "r", "spans", "hit")
+    found = removals(docs, id_col, text_col, window, size, hot).toDF(key_id, key_r, spans).withColumn(hit, F.lit(True))
+    same = (col(id_col) == F.col(key_id)) & (F.xxhash64(col(text_col)) == F.col(key_r))
+    return docs.join(found, same, "left").drop(key_id, key_r)
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -237,21 +251,21 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns[place] = pa.array(out, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns[:-2], names)
 
-    return _with_removals(docs, id_col, text_col, window, size, hot).mapInArrow(rebuild, docs.schema)
+    return map_batches(_with_removals(docs, id_col, text_col, window, size, hot), rebuild, docs.schema)
 
 
 def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, size: int = MINIMISER, hot: int = HOT) -> DataFrame:
     """Per row: its id, n_words, n_removed, and the SHA-256 of the kept words joined by one space."""
-
     bounded_batches(docs.sparkSession)
+
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [(n, gone, hashlib.sha256(b" ".join(words)).hexdigest()) for words, n, gone in (kept_words(t, bool(h), s, window) for t, s, h in zip(_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()))]
             columns = list(zip(*made)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
 
-    two = docs.select(id_col, text_col)
-    return _with_removals(two, id_col, text_col, window, size, hot).mapInArrow(report, f"`{id_col}` {two.dtypes[0][1]}, n_words long, n_removed long, kept_sha256 string")
+    two = docs.select(col(id_col), col(text_col))
+    return map_batches(_with_removals(two, id_col, text_col, window, size, hot), report, f"{quoted(id_col)} {two.dtypes[0][1]}, n_words long, n_removed long, kept_sha256 string")
 
 
 def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

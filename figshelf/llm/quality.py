@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from figshelf.llm.common import bounded_batches, documents, row_chunks, text_bytes
+from figshelf.llm.common import bounded_batches, col, documents, map_batches, quoted, row_chunks, text_bytes
 from figshelf.llm.words import U, Words, covered, mix, repeated, words_of
 
 MIN_WORDS, WINDOW, MAX_REPEAT_WORDS = 10, 5, 20
@@ -136,15 +136,15 @@ def _scored(text: pa.Array) -> dict[str, np.ndarray]:
 
 def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id and FEATURES. A map over the rows: nothing is shuffled."""
-
     bounded_batches(docs.sparkSession)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (x := _scored(batch.column(1))).values())], [id_col, *x])
 
-    two = docs.select(id_col, text_col)
-    return two.mapInArrow(score, f"`{id_col}` {two.dtypes[0][1]}, {FEATURES}")
+    two = docs.select(col(id_col), col(text_col))
+    return map_batches(two, score, f"{quoted(id_col)} {two.dtypes[0][1]}, {FEATURES}")
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -157,7 +157,7 @@ def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(_scored(batch.column(place))["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
