@@ -12,7 +12,8 @@ backslashes there gets one more, so unescaping takes exactly one away.
 
 Each turn is rendered as it is, parsed again and compared with its source; if the parser fails or finds
 something else, the conflicting strings are escaped and the turn is parsed again. The loss mask is the
-span of TEXT of each assistant turn, in code points of the formatted conversation.
+span of TEXT of each assistant turn, in code points of the formatted conversation. Reading back parses the
+conversation as one text, whatever pieces it is stored in: what ends inside a turn is carried on to the next piece.
 
 Null texts are empty; a null role is the role "". Repeated rows are turns of their own; rows with a null
 id form one conversation. An empty table gives an empty one. Columns other than the four are not read.
@@ -31,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import bounded_batches, new_folder
+from figshelf.llm.common import bounded_batches, col
+from figshelf.sources.storage import new_folder
 
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")}
 OTHER, OTHER_END = "[ROLE ", " [/ROLE]"
@@ -53,21 +55,31 @@ def marks(role: str) -> tuple[str, str]:
     return f"{OTHER}{name}] ", OTHER_END
 
 
+class Unfinished(ValueError):
+    """The text ends inside a turn: with more of it there may be no error."""
+
+
 def parse_turn(text: str, at: int = 0) -> tuple[str, int, int, int]:
     """The turn that begins at `at`: its role, begin and end of its TEXT, and where the next one begins."""
     if text.startswith(OTHER, at):
-        role, end = json.JSONDecoder().raw_decode(text, at + len(OTHER))
+        try:
+            role, end = json.JSONDecoder().raw_decode(text, at + len(OTHER))
+        except ValueError:
+            raise ValueError(f"no role at {at}") if "] " in text[at:] else Unfinished(f"no end of a role at {at}") from None
+        if len(text) < end + 2:
+            raise Unfinished(f"no end of a role at {at}")
         if not isinstance(role, str) or not text.startswith("] ", end):
             raise ValueError(f"no role at {at}")
         begin, close = end + 2, OTHER_END
     else:
         role = next((r for r, (opening, _) in MARKS.items() if text.startswith(opening, at)), None)
         if role is None:
-            raise ValueError(f"no turn at {at}")
+            rest = text[at:]
+            raise (Unfinished if any(m.startswith(rest) for m in (OTHER, *(o for o, _ in MARKS.values()))) else ValueError)(f"no turn at {at}")
         begin, close = at + len(MARKS[role][0]), MARKS[role][1]
     end = text.find(close, begin)
     if end < 0:
-        raise ValueError(f"a turn that begins at {at} has no end")
+        raise Unfinished(f"a turn that begins at {at} has no end")
     if any(not m[2] for m in CONTROL.finditer(text, begin, end)):
         raise ValueError(f"a control string stands in the turn at {at}")
     return role, begin, end, end + len(close)
@@ -101,7 +113,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     A conversation's text is its `formatted` in order of seq; begin counts the code points before.
     """
     bounded_batches(turns.sparkSession)
-    rows = turns.select(F.col(f"`{id_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = turns.select(col(id_col).alias("conv"), col(turn_col).alias("turn"), F.coalesce(col(role_col), F.lit("")).alias("role"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +140,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
         now, state = None, None
 
         def row() -> dict:
-            n, turns, chars, loss, size = state
+            n, turns, chars, loss, size, rest = state
+            if rest:
+                raise ValueError(f"conversation {now} ends inside a turn")
             return {"conv": now, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": size}
 
         schema = None
@@ -139,10 +153,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 if state is None or conv != now:
                     if state:
                         done.append(row())
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, content in parse(text):
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, ""]
+                whole, at = state[5] + text, 0
+                while at < len(whole):
+                    try:
+                        role, first, last, after = parse_turn(whole, at)
+                    except Unfinished:  # the next piece may go on with it
+                        break
                     state[0] += 1
-                    state[1].update(f"{role}\n{content}\n".encode())
+                    state[1].update(f"{role}\n{unescape(whole[first:last])}\n".encode())
+                    at = after
+                state[5] = whole[at:]
                 if a is not None:
                     masked = unescape(text[a - begin : b - begin])
                     state[2] += len(masked)

@@ -13,8 +13,9 @@ Vectors that are null, empty, zero or hold a null or non-finite component take n
 Vectors of different lengths are not compared. A row repeated with the same id and vector counts once;
 rows with one id and different vectors are different rows. Ties go to the smaller id. Other columns are not read.
 
-Each cell holds at most about 2 * BLOCK vectors. The work grows as queries times rows, which is what the query asks;
-a candidate travels once per query block, so larger blocks move less.
+A block holds about BLOCK_BYTES of components, so its rows follow from the longest vector; there are at least as
+many candidate blocks as shuffle partitions, if that leaves LEAST rows in each. The work grows as queries times rows,
+which is what the query asks; a candidate travels once per query block, so larger blocks move less.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import bounded_batches, parts, written
+from figshelf.llm.common import bounded_batches, col, parts, written
 
-K, EVERY, BLOCK, TILE = 10, 100, 8192, 2048
+K, EVERY, BLOCK_BYTES, LEAST, TILE = 10, 100, 32 << 20, 1024, 2048
 
 
 class Quantised:
@@ -90,16 +91,18 @@ def nearest_in_cell(queries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: tu
     return [(n, -d, -v) for n, heap in enumerate(heaps) for d, v in heap]
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding", block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of every row whose id is divisible by `every`."""
     bounded_batches(vectors.sparkSession)
-    v = F.col(f"`{vector_col}`")
+    v = col(vector_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    good = vectors.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
+    good = vectors.where(col(id_col).isNotNull() & v.isNotNull() & fine).select(col(id_col).cast("long").alias("id"), v.alias("v"))
     rows = written(good.withColumn("h", F.xxhash64("v")).groupBy("id", "h").agg(F.first("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
     asked = rows.where(F.col("id") % every == 0)
-    n_rows, n_asked = rows.count(), asked.count()
-    n_cand, n_query = parts(n_rows, block), parts(n_asked, block)
+    n_rows, n_asked, longest = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0), F.max("dim")).first()
+    wide = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = block or max(LEAST, BLOCK_BYTES // (8 * (longest or 1)))
+    n_cand, n_query = max(parts(n_rows, most), min(wide, parts(n_rows, LEAST))), parts(n_asked, most)
     here = F.pmod(F.xxhash64("id", "h"), F.lit(n_cand))
     cands = rows.withColumn("cb", here).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))))
     asks = asked.withColumn("qb", F.pmod(F.xxhash64("id", "h"), F.lit(n_query))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cand - 1).cast("long"))))
