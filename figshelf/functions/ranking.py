@@ -3,55 +3,72 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that stand alone as tokens, and white space.
+# Characters that stand alone as tokens.
 PUNCTUATION = "\u2000-\u206f\u2e00-\u2e7f" + r"\\'!\"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~"
 WIDE = "\u0f00-\u0fff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
-ALONE = re.compile(f"[{PUNCTUATION}{WIDE}]")
+ALONE = f"[{PUNCTUATION}{WIDE}]"
 
 
 def tokens(query: str) -> list[str]:
     """Lower-cased tokens: parted by white space; punctuation and wide characters are tokens of their own."""
-    return re.findall(f"[{PUNCTUATION}{WIDE}]|[^\\s{PUNCTUATION}{WIDE}]+", query.lower())
+    return re.findall(f"{ALONE}|[^\\s{PUNCTUATION}{WIDE}]+", query.lower())
+
+
+def at_first_places(text: Column, parts: list[str], then: Callable[[Column], Column]) -> Column:
+    """`then` of where each part is found, from 0, each in the rest of the text after the one before; null if one is not found."""
+    none = F.array().cast("array<int>")
+
+    def look(state: Column, part: Column) -> Column:
+        place = F.call_function("locate", part, text, state["end"] + 1) - 1
+        grown = F.struct((place + F.length(part)).alias("end"), F.concat(state["places"], F.array(place)).alias("places"))
+        lost = F.struct(F.lit(-1).alias("end"), none.alias("places"))
+        return F.when((state["end"] >= 0) & (place >= 0), grown).otherwise(lost)
+
+    begin = F.struct(F.lit(0).alias("end"), none.alias("places"))
+    return F.aggregate(F.array(*map(F.lit, parts)), begin, look, lambda s: F.when(s["end"] >= 0, then(s["places"])))
+
+
+def begins_inside_word(text: Column, place: Column) -> Column:
+    """Whether the character at a place goes on with a word: a small letter after part of a word, or a capital after a capital.
+
+    Characters that stand alone, digits and letters without case never do.
+    """
+    here, before = F.substr(text, place + 1, F.lit(1)), F.substr(text, place, F.lit(1))
+    is_capital, is_small = (lambda c: F.lower(c) != c), (lambda c: F.upper(c) != c)
+    goes_on = F.when(is_capital(here), is_capital(before)).otherwise(F.lit(False)) | (is_small(here) & ~before.rlike(f"{ALONE}|\\s"))
+    return (place > 0) & ~here.rlike(ALONE) & goes_on
+
+
+def score_of(text: Column, places: Column, parts: list[str], query: str, count_inside: bool) -> Column:
+    """The score of parts found at these places.
+
+    Points go off for each further run (parts right after each other are one), for parts that begin inside a
+    word, for a span longer than the query, for a late start and for a long text. Places are code points.
+    """
+    lengths = F.array(*(F.lit(len(p)) for p in parts))
+    gap = F.transform(places, lambda p, k: (k > 0) & (p > F.get(places, k - 1) + F.get(lengths, k - 1)))
+    further_runs = F.size(F.filter(gap, lambda g: g))
+    inside = F.size(F.filter(places, lambda p: begins_inside_word(text, p))) if count_inside else F.lit(0)
+    start = F.get(places, F.lit(0))
+    too_long = F.get(places, F.lit(len(parts) - 1)) + len(parts[-1]) - start + 1 - len(query)
+    return -further_runs - inside / 10.0 - too_long / 100.0 - start / 1000.0 - F.length(text) / 10000.0
 
 
 def search_score(text: Column, query: str) -> Column:
-    """The score of a text, higher is better; null where the tokens do not all occur in this order.
+    """The score of a text, higher is better; null where the query is not found.
 
-    Tokens found right after each other form one run. Points go off for further runs, for tokens that begin
-    inside a word, for a span longer than the query, for a late start and for a long text. Places are code points.
+    Found are texts that hold the query's tokens in this order; failing that, those that hold all its characters in
+    this order, for which beginnings inside words cost nothing. An empty query scores 0 everywhere.
     """
-    low = F.lower(text)
-    at = lambda i: F.substr(text, i + 1, F.lit(1))  # noqa: E731  the character at a place counted from 0
-    alone = lambda c: c.rlike(f"[{PUNCTUATION}{WIDE}]")
-    stop = lambda c: c.rlike(f"[{PUNCTUATION}{WIDE}\\s]")
-
-    def inside(u: Column) -> Column:
-        h, p = at(u), at(u - 1)
-        upper = (F.lower(h) != h) & (F.lower(p) != p)
-        lower = (F.upper(h) != h) & ~stop(p)
-        return (u > 0) & ~alone(h) & (upper | lower)
-
-    state = F.struct(F.lit(0).alias("next"), F.lit(0).alias("runs"), F.lit(0).alias("mid"), F.lit(-1).alias("begin"), F.lit(True).alias("ok"))
-
-    def step(s: Column, token: Column) -> Column:
-        u = F.call_function("locate", token, low, s["next"] + 1) - 1
-        found = s["ok"] & (u >= 0)
-        new_run = (s["runs"] == 0) | (u > s["next"])
-        return F.when(
-            found,
-            F.struct((u + F.length(token)).alias("next"), (s["runs"] + new_run.cast("int")).alias("runs"), (s["mid"] + inside(u).cast("int")).alias("mid"), F.when(s["begin"] < 0, u).otherwise(s["begin"]).alias("begin"), F.lit(True).alias("ok")),
-        ).otherwise(F.struct(s["next"].alias("next"), s["runs"].alias("runs"), s["mid"].alias("mid"), s["begin"].alias("begin"), F.lit(False).alias("ok")))
-
-    def score(s: Column) -> Column:
-        span = s["next"] - s["begin"] + 1 - len(query)
-        value = -(s["runs"] - 1) - s["mid"] / 10.0 - span / 100.0 - s["begin"] / 1000.0 - F.length(text) / 10000.0
-        return F.when(s["ok"], value)
-
-    words = tokens(query)
-    if not words:
+    if not query:
+        return F.when(text.isNotNull(), F.lit(0.0))
+    low, words, letters = F.lower(text), tokens(query), list(query.lower())
+    if not words:  # nothing but white space: no token is missing
         return F.when(text.isNotNull(), F.lit(0.0))
-    return F.aggregate(F.array(*map(F.lit, words)), state, step, score)
+    by_word = at_first_places(low, words, lambda places: score_of(text, places, words, query, True))
+    return F.coalesce(by_word, at_first_places(low, letters, lambda places: score_of(text, places, letters, query, False)))

@@ -73,5 +73,10 @@ def documents_with_figures(annotations: DataFrame) -> DataFrame:
 
 
 def missing_images(annotations: DataFrame, cache: DataFrame) -> DataFrame:
-    """Image annotations without a rendered image; their distinct attachments are the work to do."""
+    """Image annotations without a rendered image."""
     return annotations.where("annotation_type = 'image'").join(cache.select("annotation_id"), "annotation_id", "left_anti")
+
+
+def attachments_to_render(annotations: DataFrame, cache: DataFrame) -> DataFrame:
+    """(attachment_id): the attachments with a missing image, each once: the work that a renderer has to do."""
+    return missing_images(annotations, cache).select("attachment_id").distinct()

@@ -15,15 +15,20 @@ def flip_regions(figures: DataFrame, doc_pages: DataFrame, per_page_height: bool
     """Regions measured from the top turned to ones measured from the bottom.
 
     The height is that of the document's page 0 (per_page_height: of the region's own page). Regions of
-    documents without that page go: nothing is known of them.
+    documents without that page stay, with no y1 and y2: unplaced() counts them.
     """
     heights = doc_pages.select("attachment_id", F.col("page").alias("__page"), F.col("vy2").alias("__height"))
     own = F.col("page") if per_page_height else F.lit(0)
-    joined = figures.join(heights.withColumnRenamed("attachment_id", "__id"), (figures["attachment_id"] == F.col("__id")) & (own == F.col("__page")))
+    joined = figures.join(heights.withColumnRenamed("attachment_id", "__id"), (figures["attachment_id"] == F.col("__id")) & (own == F.col("__page")), "left")
     flipped = joined.withColumns({"y1": F.col("__height") - F.col("y2"), "y2": F.col("__height") - F.col("y1")})
     return flipped.drop("__id", "__page", "__height")
 
 
+def unplaced(flipped: DataFrame) -> DataFrame:
+    """(attachment_id, n_regions, n_unplaced): how many regions of each document have no place, for want of the page."""
+    return flipped.groupBy("attachment_id").agg(F.count(F.lit(1)).alias("n_regions"), F.count_if(F.col("y1").isNull()).alias("n_unplaced"))
+
+
 def _dist(region: tuple, char: tuple):
     return rect_distance(tuple(map(F.col, char)), tuple(map(F.col, region)))
 
@@ -31,26 +36,26 @@ def _dist(region: tuple, char: tuple):
 def nearest_char(regions: DataFrame, chars: DataFrame) -> DataFrame:
     """(figure_id, offset): of each region the offset of the nearest character of its page; ties to the first.
 
-    chars has a row for each character. A region on a page without characters gets no row here.
+    chars has a row for each character. A region on a page without characters has offset 0.
     """
     keys = ["attachment_id", "page"]
-    pairs = regions.select("figure_id", *keys, *RECT).join(chars.select(*keys, "char_offset", *CHAR), keys)
+    pairs = regions.select("figure_id", *keys, *RECT).join(chars.select(*keys, "char_offset", *CHAR), keys, "left")
     best = F.min(F.struct(_dist(RECT, CHAR).alias("d"), F.col("char_offset").alias("offset")))
-    return pairs.groupBy("figure_id").agg(best.alias("m")).select("figure_id", F.col("m.offset").alias("offset"))
+    return pairs.groupBy("figure_id").agg(best.alias("m")).select("figure_id", F.coalesce("m.offset", F.lit(0)).alias("offset"))
 
 
 def nearest_char_by_page(regions: DataFrame, page_chars: DataFrame) -> DataFrame:
     """The same from one row a page: (attachment_id, page, chars), chars an array of structs of CHAR.
 
-    One row per page meets its regions, and the pairs are made after the join, inside the task: the
-    shuffle moves pages and regions, never pairs, and no group outgrows the characters of one page.
+    Only pages with regions travel; each region meets its page's row once, and its characters are looked
+    through inside that row: there is no row for a pair and no shuffle after the join.
     """
     keys = ["attachment_id", "page"]
-    per_page = regions.groupBy(*keys).agg(F.collect_list(F.struct("figure_id", *RECT)).alias("__regions"))
-    rows = page_chars.select(*keys, "chars").join(per_page, keys).select(F.explode("__regions").alias("g"), "chars")
-    rows = rows.select("g.*", F.posexplode("chars").alias("char_offset", "c")).select("figure_id", *RECT, "char_offset", *(F.col("c")[x].alias(x) for x in CHAR))
-    best = F.min(F.struct(_dist(RECT, CHAR).alias("d"), F.col("char_offset").alias("offset")))
-    return rows.groupBy("figure_id").agg(best.alias("m")).select("figure_id", F.col("m.offset").cast("int").alias("offset"))
+    pages = page_chars.select(*keys, "chars").join(regions.select(*keys).distinct(), keys, "left_semi")
+    region = tuple(map(F.col, RECT))
+    each = F.transform("chars", lambda c, i: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), i.alias("offset")))
+    rows = regions.select("figure_id", *keys, *RECT).join(pages, keys, "left")
+    return rows.select("figure_id", F.coalesce(F.array_min(each)["offset"], F.lit(0)).cast("int").alias("offset"))
 
 
 def _padded(number, width: int):

@@ -99,10 +99,26 @@ def note_html(groups: DataFrame, citations: DataFrame, versions: DataFrame, titl
     return rows.select("note_id", html.alias("html"))
 
 
-def create_notes(lines: DataFrame, attachments: DataFrame, items: DataFrame, citations: DataFrame, title: str = "图表") -> DataFrame:
-    """Notes from ordered lines (note_id, seq, annotation_id, attachment_id, annotation_type, comment, key). No lines are an error."""
+def note_places(lines: DataFrame, wishes: DataFrame) -> DataFrame:
+    """(note_id, library_id, parent_id, collection_id): where each note goes.
+
+    lines: (note_id, seq, library_id, ...); the library is that of a note's first annotation. wishes: (note_id,
+    parent_id, collection_id); a note with a parent goes under it and into no collection.
+    """
+    library = lines.groupBy("note_id").agg(F.min_by("library_id", "seq").alias("library_id"))
+    return library.join(wishes.select("note_id", "parent_id", "collection_id"), "note_id", "left").select(
+        "note_id", "library_id", "parent_id", F.when(F.col("parent_id").isNull(), F.col("collection_id")).alias("collection_id")
+    )
+
+
+def create_notes(lines: DataFrame, attachments: DataFrame, items: DataFrame, citations: DataFrame, title: str = "图表", wishes: DataFrame | None = None) -> DataFrame:
+    """Notes from ordered lines (note_id, seq, annotation_id, attachment_id, annotation_type, comment, key). No lines are an error.
+
+    With wishes (see note_places) each note has its place, and lines a library_id.
+    """
     if lines.isEmpty():
         raise ValueError("no annotations")
     resolved = resolve_parents(lines, attachments, items)
     groups = headings(runs(group_runs(resolved)), spans_items(resolved))
-    return note_html(groups, dedupe_citations(citations), note_schema_version(lines), title)
+    made = note_html(groups, dedupe_citations(citations), note_schema_version(lines), title)
+    return made if wishes is None else made.join(note_places(lines, wishes), "note_id")

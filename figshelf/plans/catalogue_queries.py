@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figshelf.functions import captions, extra
+from figshelf.functions import captions, extra, ranking
 from figshelf.functions.citations import encode_citations
 from figshelf.functions.geometry import bbox_paths, bbox_rects, flatten_chars, rect_distance, round_rects
 from figshelf.operators import annotate, catalogue, layout, notes
-from figshelf.plans.fixtures import duck, page_chars, scratch, view
+from figshelf.plans.fixtures import duck, page_chars, view
 from figshelf.sources import results
+from figshelf.sources.storage import new_folder
 from figshelf.streaming.annotate import annotate_stream, reader_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +43,7 @@ def flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ANY = "coalesce(regexp_matches(tag1, '^(Figure|Table)'), false) OR coalesce(regexp_matches(tag2, '^(Figure|Table)'), false)"
 FIRST = "annotation_type = 'image' AND coalesce(regexp_matches(tag1, '^(Figure|Table)'), false)"
-R = ", r AS (SELECT f.* EXCLUDE (y1, y2), p.vy2 - f.y2 AS y1, p.vy2 - f.y1 AS y2 FROM figures f JOIN doc_pages p ON f.attachment_id = p.attachment_id AND p.page = 0)"
+R = ", r AS (SELECT f.* EXCLUDE (y1, y2), p.vy2 - f.y2 AS y1, p.vy2 - f.y1 AS y2 FROM figures f LEFT JOIN doc_pages p ON f.attachment_id = p.attachment_id AND p.page = 0)"
 DIST = "sqrt(pow(greatest({a}x1 - {b}x2, {b}x1 - {a}x2, 0), 2) + pow(greatest({a}y1 - {b}y2, {b}y1 - {a}y2, 0), 2))"
 NEAR = (
     ", d AS (SELECT r.figure_id, char_offset, " + DIST.format(a="r.", b="c.c") + " AS d FROM r JOIN chars c ON r.attachment_id = c.attachment_id AND r.page = c.page),"
@@ -54,12 +55,13 @@ KEYS = (
     " lpad(CAST(CASE WHEN p.page IS NULL THEN 0 ELSE CAST(floor(greatest(p.vy2 - p.vy1 - r.y2, 0)) AS BIGINT) END AS VARCHAR), 5, '0') AS sort_key"
     " FROM r LEFT JOIN doc_pages p ON r.attachment_id = p.attachment_id AND r.page = p.page LEFT JOIN n ON r.figure_id = n.figure_id)"
 )
+NEAREST = " SELECT r.figure_id, coalesce(char_offset, 0) AS \"offset\" FROM r LEFT JOIN n ON r.figure_id = n.figure_id"
 FOUND = ", m AS (SELECT a.*, (SELECT min(f.file_name) FROM files f WHERE starts_with(f.file_name, a.attachment_key)) AS file_found FROM attachments a)"
 
 
 def _key(*columns: str) -> str:
     """The annotation key in DuckDB: hex digits by their place in the alphabet of hex digits."""
-    digest = "md5(" + " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in columns) + ")"
+    digest = "md5(concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in columns) + "))"
     digit = lambda i: f"(strpos('0123456789abcdef', substr({digest}, {i}, 1)) - 1)"
     group = lambda g: f"({digit(g)} * 4096 + {digit(g + 1)} * 256 + {digit(g + 2)} * 16 + {digit(g + 3)})"
     return " || ".join(f"substr('{annotate.ALPHABET}', {group(4 * i + 1)} % 33 + 1, 1)" for i in range(8))
@@ -71,14 +73,18 @@ FIGURE_ROW = "fig_type, name, page, caption, render_url, x1, y1, x2, y2"
 @query("a1_a9_result_files", duck("figures attachments", f"SELECT attachment_key || '.json' AS file_name, row_number() OVER (PARTITION BY f.attachment_id ORDER BY figure_id) - 1 AS figure_index, {FIGURE_ROW} FROM figures f JOIN attachments a ON f.attachment_id = a.attachment_id"))
 def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's figures written as its JSON file, and all files read again."""
-    path = scratch(spark, "result-files")
+    path = new_folder(spark, "result-files")
     results.write_figures(view(spark, sf_dir, "figures"), view(spark, sf_dir, "attachments"), path)
     return results.read_figures(spark, path).drop("path").withColumn("figure_index", F.col("figure_index").cast("long"))
 
 
-@query("a2_decode", "SELECT CAST(doc_id AS VARCHAR) AS path, md5(text) AS digest, length(text) AS n FROM documents WHERE text IS NOT NULL")
+@query("a2_decode", """SELECT CAST(doc_id AS VARCHAR) AS path, md5(t) AS digest, length(t) AS n
+  FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN '中' || text ELSE text END AS t FROM documents WHERE text IS NOT NULL) z""")
 def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    """Texts as UTF-8; those of odd documents that are ASCII begin with a character in GBK."""
+    in_gbk = (F.col("doc_id") % 2 == 1) & ~F.col("text").rlike("[^\\x00-\\x7F]")
+    content = F.concat(F.when(in_gbk, F.unhex(F.lit("D6D0"))).otherwise(F.unhex(F.lit(""))), F.encode("text", "UTF-8"))
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))
     return results.decode_with_fallback(files).select("path", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("n"))
 
 
@@ -114,6 +120,11 @@ def flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flipped(spark, sf_dir).select("figure_id", *layout.RECT)
 
 
+@query("b1_unplaced", duck("figures doc_pages", R + " SELECT attachment_id, count(*) AS n_regions, count(*) FILTER (y1 IS NULL) AS n_unplaced FROM r GROUP BY attachment_id"))
+def unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.unplaced(flipped(spark, sf_dir))
+
+
 @query("b2_round", duck("figures", "SELECT figure_id, round(x1 / 7, 3) AS x1, round(y1 / 7, 3) AS y1, round(x2 / 7, 3) AS x2, round(y2 / 7, 3) AS y2 FROM figures"))
 def round_(spark: SparkSession, sf_dir: str) -> DataFrame:
     rects = round_rects(F.array(F.array(*(F.col(c) / 7 for c in layout.RECT))))
@@ -159,7 +170,7 @@ def build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a8_saved_annotations", B6_SQL)
 def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations written twice: the replay adds nothing."""
-    path = scratch(spark, "annotations")
+    path = new_folder(spark, "annotations")
     made = annotations_of(spark, sf_dir)
     results.write_annotations(made, path)
     results.write_annotations(spark.read.parquet(path).drop("bucket"), path)
@@ -169,7 +180,7 @@ def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b7_figures", duck("figures doc_pages", R + """, c AS (SELECT *, coalesce(nullif(caption, ''), 'Untitled Figure/Table') AS cap FROM r)
   SELECT c.attachment_id, figure_id AS annotation_id, cap AS caption, coalesce(nullif(regexp_extract(cap, '([0-9]+)', 1), ''), '0') AS name, c.page, round(x1, 3) AS x1,
   p.vy2 - round(y2, 3) AS y1, round(x2, 3) AS x2, p.vy2 - round(y1, 3) AS y2, CASE WHEN regexp_matches(cap, '(?i)(fig|figure|图)') THEN 'Figure' ELSE 'Table' END AS fig_type
-  FROM c JOIN doc_pages p ON c.attachment_id = p.attachment_id AND p.page = 0"""))
+  FROM c LEFT JOIN doc_pages p ON c.attachment_id = p.attachment_id AND p.page = 0"""))
 def inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = flipped(spark, sf_dir)
     none = regions.select("figure_id", F.lit("").alias("sort_key"))
@@ -228,12 +239,12 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("figure_id", "other_id", rect_distance(tuple(map(F.col, layout.RECT)), tuple(F.col(f"o{c}") for c in layout.RECT)).alias("distance"))
 
 
-@query("d1_nearest_char", duck("figures doc_pages chars", R + NEAR + " SELECT figure_id, char_offset AS \"offset\" FROM n"))
+@query("d1_nearest_char", duck("figures doc_pages chars", R + NEAR + NEAREST))
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.nearest_char_by_page(flipped(spark, sf_dir), page_chars(spark, sf_dir))
 
 
-@query("d1_nearest_char_long", duck("figures doc_pages chars", R + NEAR + " SELECT figure_id, char_offset AS \"offset\" FROM n"))
+@query("d1_nearest_char_long", duck("figures doc_pages chars", R + NEAR + NEAREST))
 def nearest_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.nearest_char(flipped(spark, sf_dir), view(spark, sf_dir, "chars"))
 
@@ -262,6 +273,11 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.missing_images(tagged(spark, sf_dir), view(spark, sf_dir, "cache_images")).select("annotation_id", "attachment_id")
 
 
+@query("d3_attachments_to_render", duck("annotations cache_images", "SELECT DISTINCT attachment_id FROM annotations a WHERE annotation_type = 'image' AND NOT EXISTS (SELECT 1 FROM cache_images c WHERE c.annotation_id = a.annotation_id)"))
+def to_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.attachments_to_render(tagged(spark, sf_dir), view(spark, sf_dir, "cache_images"))
+
+
 @query("d4_with_figures", duck("annotations", f"SELECT attachment_id, bool_or({ANY}) AS has_figures FROM annotations GROUP BY attachment_id"))
 def with_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.documents_with_figures(tagged(spark, sf_dir))
@@ -305,7 +321,22 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "citations").select("note_id", "seq", F.array("u1", "u2").alias("uris"))
 
 
-@query("f2_dedupe_citations")
+#: One citation a turn in each note, in order, with the URIs of those kept so far.
+FOLD = """, c AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY seq) AS p FROM citations),
+  f AS (SELECT note_id, CAST(0 AS BIGINT) AS p, CAST([] AS VARCHAR[]) AS held, false AS keep FROM citations GROUP BY note_id
+  UNION ALL SELECT c.note_id, c.p, CASE WHEN list_has_any(held, [u1, u2]) THEN held ELSE list_concat(held, [u1, u2]) END, NOT list_has_any(held, [u1, u2]) FROM f JOIN c ON f.note_id = c.note_id AND f.p + 1 = c.p),
+  kept AS (SELECT c.* FROM c JOIN f ON c.note_id = f.note_id AND c.p = f.p WHERE keep)"""
+
+
+def _coded(fields: str) -> str:
+    """Kept citations of a note as percent-encoded JSON; url_encode leaves the tilde alone but not these marks."""
+    out = f"url_encode('[' || string_agg('{{' || {fields} || '\"uris\":[\"' || u1 || '\",\"' || u2 || '\"]}}', ',' ORDER BY seq) || ']')"
+    for code, mark in (("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2A", "*")):
+        out = f"replace({out}, '{code}', '{mark}')"
+    return out
+
+
+@query("f2_dedupe_citations", duck("citations", FOLD + " SELECT note_id, seq, u1 || ' ' || u2 AS uris FROM kept", recursive=True))
 def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.dedupe_citations(cited(spark, sf_dir)).select("note_id", F.explode("items").alias("i")).select("note_id", "i.seq", F.array_join("i.uris", " ").alias("uris"))
 
@@ -345,11 +376,33 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_order_key_by_page(flipped(spark, sf_dir), page_chars(spark, sf_dir), view(spark, sf_dir, "doc_pages"))
 
 
-@query("h3_ranked_search")
+def _ranked_sql(query: str, k: int) -> str:
+    """Parts (words, and letters for captions without the words) are found one a turn, each after the one before."""
+    words, letters, text = ranking.tokens(query), list(query.lower()), lambda x: x.replace("'", "''")
+    parts = ", ".join(f"('{way}', {i}, '{text(p)}')" for way, all_ in (("word", words), ("letter", letters)) for i, p in enumerate(all_, 1))
+    alone, stop = (lambda c: f"regexp_matches({c}, '{text(ranking.ALONE)}')"), (lambda c: f"regexp_matches({c}, '{text(ranking.ALONE)}|\\s')")
+    inside = f"way = 'word' AND u > 0 AND NOT {alone('h')} AND (lower(h) <> h AND lower(b) <> b OR upper(h) <> h AND NOT {stop('b')})"
+    return duck("figures", f""", q(way, k, part) AS (VALUES {parts}),
+      s AS (SELECT figure_id, caption, way, 0 AS k, 0 AS e, 0 AS runs, 0 AS mid, -1 AS start FROM figures, (VALUES ('word'), ('letter')) w(way) WHERE caption IS NOT NULL
+      UNION ALL SELECT figure_id, caption, way, k + 1, CAST(u + length(part) AS INTEGER), runs + CASE WHEN k = 0 OR u > e THEN 1 ELSE 0 END, mid + CASE WHEN {inside} THEN 1 ELSE 0 END, CASE WHEN k = 0 THEN CAST(u AS INTEGER) ELSE start END
+        FROM (SELECT *, substr(caption, CAST(u + 1 AS BIGINT), 1) AS h, substr(caption, CAST(u AS BIGINT), 1) AS b FROM (SELECT s.*, part, e + strpos(substr(lower(caption), e + 1), part) - 1 AS u, strpos(substr(lower(caption), e + 1), part) AS hit
+          FROM s JOIN q ON s.way = q.way AND s.k + 1 = q.k) y WHERE hit > 0) z),
+      scored AS (SELECT figure_id, caption, way, -(runs - 1) - mid / 10.0e0 - (e - start + 1 - {len(query)}) / 100.0e0 - start / 1000.0e0 - length(caption) / 10000.0e0 AS score
+        FROM s WHERE k = CASE way WHEN 'word' THEN {len(words)} ELSE {len(letters)} END)
+      SELECT figure_id, caption, coalesce(max(score) FILTER (way = 'word'), max(score)) AS score FROM scored GROUP BY figure_id, caption ORDER BY score DESC, figure_id LIMIT {k}""", recursive=True)
+
+
+@query("h3_ranked_search", _ranked_sql("fig 1 urg", 100))
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.ranked_search(view(spark, sf_dir, "figures"), "fig 1 urg", 100).select("figure_id", "caption", "score")
 
 
+@query("h3_abbreviated", _ranked_sql("t1rgn", 100))
+def abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that no caption holds as a word: its letters in order."""
+    return catalogue.ranked_search(view(spark, sf_dir, "figures"), "t1rgn", 100).select("figure_id", "caption", "score")
+
+
 CATALOGUE = "figure_id, caption"
 
 
@@ -382,7 +435,7 @@ def caption_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "figures").select("figure_id", captions.caption_number(c).alias("number"), captions.classify_caption(c).alias("kind"), captions.default_caption(c).alias("shown"), captions.short_caption(c, 15).alias("short"))
 
 
-@query("j5_encoded_citations")
+@query("j5_encoded_citations", duck("citations", FOLD + f""" SELECT note_id, {_coded("'\"seq\":' || CAST(seq AS VARCHAR) || ','")} AS encoded FROM kept GROUP BY note_id""", recursive=True))
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.dedupe_citations(cited(spark, sf_dir)).select("note_id", encode_citations(F.col("items")).alias("encoded"))
 
@@ -401,11 +454,24 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.create_notes(lines, view(spark, sf_dir, "attachments"), view(spark, sf_dir, "items"), cited(spark, sf_dir))
 
 
-@query("j6_notes")
+BODIES = """, b AS (SELECT note_id, string_agg(coalesce('<h2>' || item_heading || '</h2>' || chr(10), '') || coalesce('<h3>' || attachment_heading || '</h3>' || chr(10), '') || body || chr(10), '' ORDER BY run_no) AS body FROM h GROUP BY note_id),
+  ver AS (SELECT note_id, CASE WHEN bool_or(annotation_type = 'underline') THEN '10' ELSE '9' END AS v FROM l GROUP BY note_id)"""
+
+
+@query("j6_notes", duck(NOTES + " citations", L + RUNS + SPANS + GROUPS + HEADS + BODIES + FOLD + f""", coded AS (SELECT note_id, {_coded("''")} AS t FROM kept GROUP BY note_id)
+  SELECT b.note_id, '<div data-citation-items="' || coalesce(t, '%5B%5D') || '" data-schema-version="' || v || '"><h1>图表</h1>' || chr(10) || body || '</div>' AS html
+  FROM b JOIN ver ON b.note_id = ver.note_id LEFT JOIN coded ON b.note_id = coded.note_id""", recursive=True))
 def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _notes(spark, sf_dir)
 
 
+@query("j6_note_places", duck("note_lines libraries wishes", """SELECT n.note_id, arg_min(library_id, seq) AS library_id, any_value(parent_id) AS parent_id,
+  CASE WHEN any_value(parent_id) IS NULL THEN any_value(collection_id) END AS collection_id FROM note_lines n LEFT JOIN libraries b ON n.attachment_id = b.attachment_id LEFT JOIN wishes w ON n.note_id = w.note_id GROUP BY n.note_id"""))
+def note_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = view(spark, sf_dir, "note_lines").join(view(spark, sf_dir, "libraries"), "attachment_id", "left")
+    return notes.note_places(lines, view(spark, sf_dir, "wishes"))
+
+
 X = ", e AS (SELECT item_id, line, p FROM (SELECT item_id, unnest(string_split(extra, chr(10))) AS line, unnest(range(1, len(string_split(extra, chr(10))) + 1)) AS p FROM item_extra) z), q AS (SELECT item_id, line, p, strpos(line, ': ') AS c FROM e), kv AS (SELECT item_id, left(line, c - 1) AS key, substr(line, c + 2) AS value, p FROM q WHERE c > 1), free AS (SELECT item_id, string_agg(line, chr(10) ORDER BY p) AS text FROM q WHERE c <= 1 GROUP BY item_id), last AS (SELECT item_id, key, arg_max(value, p) AS value, min(p) AS p FROM kv GROUP BY item_id, key)"
 
 
@@ -432,7 +498,7 @@ def set_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(x1, 3) AS x1, round(y1, 3) AS y1, round(x2, 3) AS x2, round(y2, 3) AS y2 FROM r JOIN k ON r.figure_id = k.figure_id"""))
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result files of all documents taken up by the stream, and the annotations that it saves."""
-    files, out, checkpoint = (scratch(spark, f"stream-{x}") for x in ("files", "out", "state"))
+    files, out, checkpoint = (new_folder(spark, f"stream-{x}") for x in ("files", "out", "state"))
     attachments = view(spark, sf_dir, "attachments")
     results.write_figures(view(spark, sf_dir, "figures"), attachments, files)
     for _ in range(2):  # the second run finds nothing new

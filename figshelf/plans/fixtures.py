@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: @PAGES@ and @CHARS@ make a row for each page and character; the engines spell that differently.
@@ -36,6 +33,9 @@ VIEWS = {
         o_orderkey AS annotation_id, o_custkey AS attachment_id FROM {orders}""",
     "citations": """SELECT o_custkey % 300 AS note_id, o_orderkey AS seq, concat('u', CAST(o_orderkey % 23 AS STRING)) AS u1,
         concat('u', CAST(o_orderkey * 5 % 29 AS STRING)) AS u2 FROM {orders}""",
+    "libraries": "SELECT c_custkey AS attachment_id, c_custkey % 7 AS library_id FROM {customer}",
+    "wishes": """SELECT note_id, CASE WHEN note_id % 3 = 0 THEN note_id % 25 END AS parent_id, CASE WHEN note_id % 4 <> 1 THEN 'c' || CAST(note_id % 9 AS STRING) END AS collection_id
+        FROM (SELECT DISTINCT o_custkey % 300 AS note_id FROM {orders}) z""",
     "files": """SELECT concat('K', lpad(CAST(c_custkey AS STRING), 7, '0'), '.json') AS file_name FROM {customer} WHERE c_custkey % 19 <> 0
         UNION ALL SELECT concat('K', lpad(CAST(c_custkey AS STRING), 7, '0'), '-copy.json') AS file_name FROM {customer} WHERE c_custkey % 19 <> 0 AND c_custkey % 23 = 0""",
     "positions": """SELECT o_orderkey AS position_id, CAST(o_orderkey % 4 AS INT) AS page, r AS rect_no, 36 + (o_orderkey * 7 % 300) + r * 12.0e0 AS x1,
@@ -79,21 +79,10 @@ def page_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def duck(names: str, body: str) -> str:
+def duck(names: str, body: str, recursive: bool = False) -> str:
     """DuckDB SQL of a body over the views named."""
     made = [f"{n} AS ({_text(n, DUCK)})" for n in names.split()]
     out = f"WITH {', '.join(made)} {body}" if not body.lstrip().startswith(",") else f"WITH {', '.join(made)} {body.lstrip()}"
     for t in TABLES:
         out = out.replace(f"{{{t}}}", t)
-    return out
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; in local mode without one, a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="figshelf-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return out.replace("WITH", "WITH RECURSIVE", 1) if recursive else out

@@ -14,14 +14,19 @@ from pyspark.sql import SparkSession
 SAME_STORE = {"s3a": "s3", "s3n": "s3"}
 
 
-def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    """pyarrow's file system of a URI as Spark writes it (file, hdfs, viewfs, s3, s3a, gs), and the path in it."""
+def pyarrow_uri(uri: str) -> str:
+    """A URI as Hadoop writes it, as pyarrow writes it."""
     scheme, parted, rest = uri.partition("://")
     if parted and scheme in SAME_STORE:
-        uri = f"{SAME_STORE[scheme]}://{rest}"
-    elif not parted and uri.startswith("file:/"):  # as Hadoop prints it
-        uri = "file:///" + uri.removeprefix("file:").lstrip("/")
-    system, path = fs.FileSystem.from_uri(uri)
+        return f"{SAME_STORE[scheme]}://{rest}"
+    if not parted and uri.startswith("file:/"):
+        return "file:///" + uri.removeprefix("file:").lstrip("/")
+    return uri
+
+
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a folder (file, hdfs, viewfs, s3, s3a, gs), and the path in it."""
+    system, path = fs.FileSystem.from_uri(pyarrow_uri(uri))
     return system, path.rstrip("/")
 
 

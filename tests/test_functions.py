@@ -123,7 +123,10 @@ def test_nearest_and_sort_key(spark):
     # two characters at one distance: the first; a page that is not there: zeros; long numbers: leading digits; above the top: 0
     assert keys == {10: "00000|000001|00600", 11: "00007|000000|00000", 12: "12345|123456|00000"}
     by_page = chars.where("page = 0").groupBy("attachment_id", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("char_offset", "cx1", "cy1", "cx2", "cy2"))), lambda c: F.struct(c["cx1"].alias("cx1"), c["cy1"].alias("cy1"), c["cx2"].alias("cx2"), c["cy2"].alias("cy2"))).alias("chars"))
-    assert {r[0]: r[1] for r in layout.nearest_char_by_page(regions, by_page).collect()} == {10: 1}
+    assert {r[0]: r[1] for r in layout.nearest_char_by_page(regions, by_page).collect()} == {10: 1, 11: 0, 12: 0}  # pages without characters: 0
+    assert {r[0]: r[1] for r in layout.nearest_char(regions, chars.where("page = 0")).collect()} == {10: 1, 11: 0, 12: 0}
+    plan = layout.nearest_char_by_page(regions, by_page)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
 
 
 def test_flip_and_back(spark):
@@ -140,6 +143,27 @@ def test_flip_and_back(spark):
     assert (back["x1"], back["y1"], back["x2"], back["y2"], back["name"], back["fig_type"], back["page"]) == (1.0, 10.0, 30.0, 40.0, "2", "Figure", 1)
 
 
+def test_figures_without_their_page_stay(spark):
+    pages = spark.createDataFrame([(1, 0, 0.0, 0.0, 600.0, 800.0)], "attachment_id long, page int, vx1 double, vy1 double, vx2 double, vy2 double")
+    figures = spark.createDataFrame([(a, a, "Figure", "2", 0, "c", 1.0, 10.0, 30.0, 40.0) for a in (1, 2)], "attachment_id long, figure_id long, fig_type string, name string, page int, caption string, x1 double, y1 double, x2 double, y2 double")
+    flipped = layout.flip_regions(figures, pages)
+    assert {r["figure_id"]: (r["x1"], r["y1"], r["y2"]) for r in flipped.collect()} == {1: (1.0, 760.0, 790.0), 2: (1.0, None, None)}
+    assert {tuple(r) for r in layout.unplaced(flipped).collect()} == {(1, 1, 0), (2, 1, 1)}
+    chars = spark.createDataFrame([], "attachment_id long, page int, chars array<struct<cx1:double,cy1:double,cx2:double,cy2:double>>")
+    made = annotate.build_annotations(flipped, layout.reading_order_key_by_page(flipped, chars, pages), F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    assert {r["annotation_id"]: r["sort_index"] for r in made.collect()} == {1: "00000|000000|00010", 2: "00000|000000|00000"}
+    assert {r["annotation_id"]: r["y2"] for r in annotate.annotations_to_figures(made, pages).collect()} == {1: 40.0, 2: None}
+
+
+def test_work_and_places(spark):
+    marks = spark.createDataFrame([(1, 7, "image"), (2, 7, "image"), (3, 8, "image"), (4, 9, "highlight")], "annotation_id long, attachment_id long, annotation_type string")
+    cache = spark.createDataFrame([(3,)], "annotation_id long")
+    assert [r[0] for r in catalogue.attachments_to_render(marks, cache).collect()] == [7]
+    lines = spark.createDataFrame([(1, 5, 50), (1, 2, 20), (2, 1, 10), (3, 1, None)], "note_id long, seq long, library_id int")
+    wishes = spark.createDataFrame([(1, 4, "c"), (2, None, "c")], "note_id long, parent_id int, collection_id string")
+    assert {tuple(r) for r in notes.note_places(lines, wishes).collect()} == {(1, 20, 4, None), (2, 10, None, "c"), (3, None, None, None)}
+
+
 def test_note_headings(spark):
     lines = spark.createDataFrame([(1, i, 100 + i, a, "image", "c", "k") for i, a in enumerate((1, 1, 2, 1))], "note_id long, seq long, annotation_id long, attachment_id long, annotation_type string, comment string, key string")
     files = spark.createDataFrame([(1, "P.pdf", 9), (2, "Q.pdf", 9)], "attachment_id long, file_name string, parent_item_id int")
@@ -154,32 +178,49 @@ def test_note_headings(spark):
         notes.create_notes(lines.limit(0), files, items, none)
 
 
-def score(text, query):
-    """The search score of a text by a plain loop; None without a match."""
-    low, at, mid, spans = text.lower(), 0, 0, []
-    for token in ranking.tokens(query):
-        u = low.find(token, at)
-        if u < 0:
-            return None
-        h, p = text[u], text[u - 1] if u else ""
-        alone, stop = bool(ranking.ALONE.match(h)), p.isspace() or bool(p and ranking.ALONE.match(p))
-        if u and not alone and (h.lower() != h and p.lower() != p or h.upper() != h and not stop):
-            mid += 1
-        if spans and spans[-1][1] >= u:
-            spans[-1][1] = u + len(token)
+def pieces(query):
+    """The query cut at white space, with the marks that stand alone by themselves."""
+    out = [""]
+    for ch in query.lower():
+        if ch.isspace():
+            out.append("")
+        elif ch in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~" or "\u4e00" <= ch <= "\u9fff":
+            out += [ch, ""]
         else:
-            spans.append([u, u + len(token)])
-        at = u + len(token)
-    return -(len(spans) - 1) - mid / 10 - (spans[-1][1] - spans[0][0] + 1 - len(query)) / 100 - spans[0][0] / 1000 - len(text) / 10000
+            out[-1] += ch
+    return [x for x in out if x]
+
+
+def placings(text, parts, begin=0):
+    """Every way to find all parts in order."""
+    if not parts:
+        return [[]]
+    return [[at, *rest] for at in range(begin, len(text)) if text.startswith(parts[0], at) for rest in placings(text, parts[1:], at + len(parts[0]))]
+
+
+def score(text, query):
+    """The best-placed finding is the earliest; None without one."""
+    for parts, words in ((pieces(query), True), (list(query.lower()), False)):
+        if found := placings(text.lower(), parts):
+            break
+    else:
+        return None
+    at = min(found)
+    covered = {k for p, part in zip(at, parts) for k in range(p, p + len(part))}
+    islands = [k for k in covered if k - 1 not in covered]
+    kind = lambda c: "mark" if pieces(c) and not c.isalnum() or "\u4e00" <= c <= "\u9fff" else "space" if c.isspace() else "capital" if c.isupper() else "small" if c.islower() else "other"
+    inside = [p for p in at if p and words and (kind(text[p - 1]), kind(text[p])) in {("capital", "capital"), ("capital", "small"), ("small", "small"), ("other", "small")}]
+    return -(len(islands) - 1) - len(inside) / 10 - (max(covered) + 1 - min(covered) + 1 - len(query)) / 100 - min(covered) / 1000 - len(text) / 10000
 
 
 def test_ranked_search(spark):
-    texts = ["Figure 1: urgent", "configure one", "FIG fig", "a 图表 b", "table 1", "prefix fig-1", "", "f i g"]
+    texts = ["Figure 1: urgent", "configure one", "FIG fig", "a 图表 b", "table 1", "prefix fig-1", "", "f i g", "aFIg", "1fig", "figure fig 1x", "XFIG-11"]
     rows = spark.createDataFrame(list(enumerate(texts)), "figure_id long, caption string")
-    for query in ("fig 1", "图", "FIG", "e o", "-1"):
-        got = {r["figure_id"]: r["score"] for r in catalogue.ranked_search(rows, query, 10).collect()}
+    for query in ("fig 1", "图", "FIG", "e o", "-1", "fgr", "gi", "tb 1", "  fig"):
+        got = {r["figure_id"]: r["score"] for r in catalogue.ranked_search(rows, query, 20).collect()}
         want = {i: s for i, t in enumerate(texts) if (s := score(t, query)) is not None}
         assert got == pytest.approx(want), query
+    assert {r["figure_id"] for r in catalogue.ranked_search(rows, "fgr", 20).collect()} == {0, 1, 10}  # no word, but its letters in order
     assert catalogue.ranked_search(rows, "", 3).count() == 3
 
 
@@ -210,6 +251,31 @@ def test_keys_of_many_lengths_are_all_matched(spark):
     assert results.pending_attachments(owners, files).count() == 0
 
 
+def test_decoding_stays_in_the_jvm_for_utf8(spark):
+    text = "图 1: 中文"
+    rows = spark.createDataFrame([("a", bytearray(text.encode())), ("b", bytearray(text.encode("gbk"))), ("c", None), ("d", bytearray(b"")), ("e", bytearray("\ufffd".encode())), ("f", bytearray(b"\xff\xff"))], "path string, content binary")
+    want = {k: None if c is None else results.decode_text(bytes(c)) for k, c in rows.collect()}
+    assert {r["path"]: r["text"] for r in results.decode_with_fallback(rows).collect()} == want and want["b"] == text
+
+
+def test_saved_annotations_once_each(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 5, f"k{i % 7}", "x") for i in range(70)], "attachment_id long, key string, comment string")
+    out = f"file://{tmp_path}/saved"
+    for part in (rows.where("attachment_id < 3"), rows, rows):
+        results.write_annotations(part, out)
+    assert spark.read.parquet(out).count() == 35
+    assert {r[0] for r in results.saved_annotations(spark, out, rows.where("attachment_id = 2")).select("attachment_id").distinct().collect()} >= {2}
+
+
+def test_folders_by_their_names_in_spark():
+    from figshelf.sources.storage import open_folder, pyarrow_uri
+
+    assert [pyarrow_uri(x) for x in ("s3a://bucket/a", "hdfs://host/a", "file:/a b")] == ["s3://bucket/a", "hdfs://host/a", "file:///a b"]
+    for uri in ("file:///a/b/", "file:/a/b"):
+        system, path = open_folder(uri)
+        assert system.type_name == "local" and path == "/a/b"
+
+
 def test_images(spark):
     figures = spark.createDataFrame([(1, "data:image/png;base64,AA"), (2, "u"), (3, "u"), (4, "gone"), (5, None)], "figure_id long, render_url string")
     images = spark.createDataFrame([("u", bytearray(b"png"))], "path string, content binary")
