@@ -8,6 +8,12 @@ the next one's docs. All but the last return the columns of documents:
 3. near duplicates: of each group of near copies among the texts that are left one document stays
 4. mixing: sources are taken to their target weights; a document taken twice is two rows
 5. packing: the texts are encoded and placed into sequences of 2,048 ids
+
+An empty table gives an empty result. Null and empty texts have no words and go in stage 1. Rows with a null id are
+rows of their own in stages 1, 2 (which takes no lines from them), 4 and 5; in stage 3 a copy with an id stays before one without. Of
+rows that are repeated whole one stays after stage 3; ties there go to the smaller id, then to a hash of the text. A
+null source is a source of its own, the last. Texts of any length are taken whole. Further columns of documents, of any
+name, pass through to stage 4 unchanged (n_chars follows the text); packing reads the id and the text only.
 """
 
 from __future__ import annotations
