@@ -5,13 +5,18 @@ capacity ids, the first of them shorter if need be; others are one piece. Pieces
 sequences by themselves. The others are dealt by a hash into groups of about GROUP pieces, and each
 group is packed in one task of bounded size:
 
-1. best-fit decreasing gives a first packing;
-2. then bins that are not full exchange documents: a donor, the emptiest bin left, gives a document to
-   a fuller bin (move), trades one of its documents for a smaller one (one for one), two of its documents
-   for a smaller one, or one for two smaller ones (two for one); pairs count by their two sizes, of which
-   a bin has few, however many documents it has. Every step makes the fuller bin fuller, so the sum
-   of squared fills rises and the search ends; a donor that has nothing left is a bin saved. It stops
-   where no step is left, where STALE passes have saved no bin, or where a lower bound is met.
+1. the pieces are laid into sequences as they come (next fit), which wastes a good part of each;
+2. bins that are not full exchange documents: a donor, the emptiest bin left, gives a document to a fuller
+   bin (move), trades one of its documents for a smaller one (one for one), two of its documents for a smaller
+   one, or one for two smaller ones (two for one). Every step makes the fuller bin fuller, so the sum of
+   squared fills rises and the search ends; a donor that has nothing left is a bin saved;
+3. where no pass saves a bin, the emptiest bins and some others, SHAKEN for each bin above the lower bound and
+   as many again, are poured out, laid as in 1 and searched again; the better packing stays. It stops where the bound
+   is met, or after ROUNDS such rounds (more for groups of fewer documents, as these cost less).
+
+Sizes are small numbers, so the search keeps its books by size: bins by their room, and for each size the
+most room beside a document of it. Pairs are listed once a pass, one for each two sizes of a bin, and are
+looked at again before they are used.
 
 Null and empty texts are the end id alone. Repeated rows are packed each; ids may be null. An empty
 table gives an empty result. Other columns are not read.
@@ -21,17 +26,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figshelf.llm.common import bounded_batches, documents, parts, written
-from figshelf.llm.tokens import Encoder, as_u32
+from figshelf.llm.common import bounded_batches, col, documents, parts, written
+from figshelf.llm.tokens import Encoder
 
 CAPACITY, GROUP, END_ID = 2048, 16_384, 0
-STALE = 2  # passes in a row that may save no bin
+FEW = 16  # documents of a donor whose pairs are listed one by one
+SHAKEN, ROUNDS = 16, 80  # bins poured out for each one too many, and rounds for GROUP documents: more for fewer
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -88,84 +95,195 @@ def pairs_in(group: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return i, j, sizes[i] + sizes[j]
 
 
+def next_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers: each into the last bin if it has room, else into a new one."""
+    bins, free = [], -1
+    for i, size in enumerate(sizes):
+        if size > free:
+            bins.append([])
+            free = capacity
+        bins[-1].append(i)
+        free -= size
+    return bins
+
+
 class Search:
     """The local search over the bins that are not full."""
 
     def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
         self.sizes, self.capacity = sizes.astype(np.int64), capacity
-        self.bin_of = np.empty(len(sizes), np.int64)
-        for b, items in enumerate(bins):
-            self.bin_of[items] = b
-        self.fill = np.bincount(self.bin_of, self.sizes, len(bins)).astype(np.int64)
-        self.least = fewest(self.sizes, capacity)
+        self.size, self.bins = self.sizes.tolist(), [list(b) for b in bins]
+        self.fill = [sum(self.size[i] for i in b) for b in self.bins]
+        self.n_bins, self.least = sum(f > 0 for f in self.fill), fewest(self.sizes, capacity)
+        self.steps = {"move": 0, "one for one": 0, "two for one": 0, "one for two": 0}
+
+    def open(self) -> None:
+        """Books of the bins that may still be filled up in this pass: all that have something and are not full."""
+        self.room = [0] * len(self.fill)
+        self.with_room: list[dict[int, None]] = [{} for _ in range(self.capacity + 1)]
+        self.mask = 0  # bit r is set where some bin has room r
+        self.reach = np.full(self.capacity + 1, -1, np.int64)  # of each size: itself and the most room beside it, or more than that
+        self.heaps: list[list[tuple[int, int]]] = [[] for _ in range(self.capacity + 1)]  # (-room, bin), some of them outdated
+        self.pairs: dict[int, tuple[int, int, int]] | None = None
+        for b, fill in enumerate(self.fill):
+            if 0 < fill < self.capacity:
+                self._enter(b, self.capacity - fill)
+
+    def _enter(self, b: int, room: int) -> None:
+        self.room[b] = room
+        if room:
+            self.with_room[room][b] = None
+            self.mask |= 1 << room
+            for i in self.bins[b]:
+                heappush(self.heaps[n := self.size[i]], (-room, b))
+                if n + room > self.reach[n]:
+                    self.reach[n] = n + room
+
+    def close(self, b: int) -> None:
+        room = self.room[b]
+        if room:
+            del self.with_room[room][b]
+            if not self.with_room[room]:
+                self.mask &= ~(1 << room)
+        self.room[b] = 0
 
     def run(self) -> list[list[int]]:
-        better, stale = True, 0
-        while better and stale < STALE and self.n_bins() > self.least:
-            better, before = False, self.n_bins()
-            room = self.capacity - self.fill  # of the bins that may still be filled up in this pass
-            for donor in np.argsort(self.fill, kind="stable").tolist():
-                if self.n_bins() <= self.least:
+        self.search()
+        rng = np.random.default_rng(len(self.size))
+        for _ in range(min(4 * ROUNDS, ROUNDS * GROUP // max(1, len(self.size)))):
+            if self.n_bins <= self.least:
+                break
+            before = self.n_bins, [list(b) for b in self.bins], list(self.fill)
+            self.shake(rng)
+            self.search()
+            if self.n_bins > before[0]:
+                self.n_bins, self.bins, self.fill = before
+        return [b for b in self.bins if b]
+
+    def search(self) -> None:
+        """Passes over all donors, as long as they save bins."""
+        better = True
+        while better and self.n_bins > self.least:
+            before = self.n_bins
+            self.open()
+            for donor in sorted(range(len(self.fill)), key=self.fill.__getitem__):
+                if self.n_bins <= self.least:
                     break
                 if 0 < self.fill[donor] < self.capacity:
-                    room[donor] = 0  # those after it are at least as full, so each step makes the fuller one fuller
-                    while self.fill[donor] and self.step(donor, room):
-                        better = True
-                room[donor] = 0
-            stale = stale + 1 if self.n_bins() == before else 0
-        order = np.argsort(self.bin_of, kind="stable")
-        return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(self.bin_of[order])) + 1)] if len(order) else []
-
-    def n_bins(self) -> int:
-        return int(np.count_nonzero(self.fill))
-
-    def step(self, donor: int, room: np.ndarray) -> bool:
+                    self.close(donor)  # those after it are at least as full, so each step makes the fuller one fuller
+                    while self.fill[donor] and self.step(donor):
+                        pass
+            better = self.n_bins < before
+
+    def shake(self, rng: np.random.Generator) -> None:
+        """Pour out the emptiest bins and some others, and lay their documents anew as they come."""
+        used = sorted((b for b, f in enumerate(self.fill) if f), key=self.fill.__getitem__)
+        n = SHAKEN * (self.n_bins - self.least)
+        chosen = list(dict.fromkeys([*used[:n], *(used[k] for k in rng.choice(len(used), min(len(used), n), replace=False).tolist())]))
+        items = [i for b in chosen for i in self.bins[b]]
+        items = [items[k] for k in rng.permutation(len(items)).tolist()]
+        for b in chosen:
+            self.bins[b], self.fill[b] = [], 0
+        for laid in next_fit([self.size[i] for i in items], self.capacity):
+            self.bins.append([items[k] for k in laid])
+            self.fill.append(sum(self.size[i] for i in self.bins[-1]))
+        left = [b for b, f in enumerate(self.fill) if f]
+        self.bins, self.fill, self.n_bins = [self.bins[b] for b in left], [self.fill[b] for b in left], len(left)
+
+    def step(self, donor: int) -> bool:
         """Take the step that moves most ids out of the donor; False if there is none."""
-        own = np.flatnonzero(self.bin_of == donor)
-        for i in own[np.argsort(-self.sizes[own], kind="stable")].tolist():
-            if len(fit := np.flatnonzero(room >= self.sizes[i])):
-                return self._do(donor, int(fit[np.argmin(room[fit])]), [i], [], room)
-        singles = [([i], int(self.sizes[i])) for i in own.tolist()]
-        i, j, both = pairs_in(np.zeros(len(own), np.int64), self.sizes[own])
-        each = np.unique(both, return_index=True)[1]
-        doubles = [([a, b], n) for a, b, n in zip(own[i[each]].tolist(), own[j[each]].tolist(), both[each].tolist())]
-        if self._exchange(donor, singles + doubles, np.arange(len(self.sizes))[:, None], self.sizes, room):
-            return True
-        open_ = np.flatnonzero((room[self.bin_of] > 0) & (self.sizes < self.sizes[own].max()))
-        i, j, both = pairs_in(self.bin_of[open_], self.sizes[open_])
-        return self._exchange(donor, singles, np.stack([open_[i], open_[j]], 1), both, room)
-
-    def _exchange(self, donor: int, give: list[tuple[list[int], int]], back: np.ndarray, back_size: np.ndarray, room: np.ndarray) -> bool:
-        """The best trade of something in give for something smaller in back, a row of items of one bin each."""
-        back_room = room[self.bin_of[back[:, 0]]]
-        keep = (back_size < self.capacity) & (back_room > 0)
-        back, back_size, back_room = back[keep], back_size[keep], back_room[keep]
-        most = np.zeros(self.capacity + 1, np.int64)
-        np.maximum.at(most, back_size, back_room)  # the room beside the best-placed thing of each size
-        grows_to = np.where(most > 0, np.arange(len(most)) + most, -1)
-        gain, best = 0, None
-        for what, size in give:
-            possible = grows_to[1:size] >= size
-            if len(possible) and (y := int(np.argmax(possible)) + 1) and possible[y - 1] and size - y > gain:
-                gain, best = size - y, (what, y)
-        if best is None:
-            return False
-        k = int(np.flatnonzero((back_size == best[1]) & (back_room >= gain))[0])
-        return self._do(donor, int(self.bin_of[back[k, 0]]), best[0], back[k].tolist(), room)
-
-    def _do(self, donor: int, b: int, out: list[int], in_: list[int], room: np.ndarray) -> bool:
-        gain = int(self.sizes[out].sum() - self.sizes[in_].sum()) if in_ else int(self.sizes[out].sum())
-        self.bin_of[out] = b
-        self.bin_of[in_] = donor
+        own = sorted(self.bins[donor], key=lambda i: (-self.size[i], i))
+        for i in own:
+            if fits := self.mask >> self.size[i]:
+                room = self.size[i] + (fits & -fits).bit_length() - 1
+                return self._do("move", donor, next(iter(self.with_room[room])), [i], [])
+        singles = {self.size[i]: [i] for i in own}
+        if len(own) <= FEW:
+            doubles = {self.size[i] + self.size[j]: [i, j] for k, i in enumerate(own) for j in own[k + 1 :]}
+        else:
+            i, j, both = pairs_in(np.zeros(len(own), np.int64), self.sizes[own])
+            doubles = {n: [own[a], own[b]] for a, b, n in zip(i.tolist(), j.tolist(), both.tolist())}
+        return self._trade(donor, doubles | singles) or self._trade_pairs(donor, singles)
+
+    def _beside(self, n: int) -> int:
+        """The bin with most room that holds a document of size n, and books put right; -1 if there is none."""
+        heap = self.heaps[n]
+        while heap:
+            room, b = -heap[0][0], heap[0][1]
+            if self.room[b] == room and any(self.size[i] == n for i in self.bins[b]):
+                self.reach[n] = n + room
+                return b
+            heappop(heap)
+        self.reach[n] = -1
+        return -1
+
+    @staticmethod
+    def _best(sizes: np.ndarray, reach: np.ndarray) -> tuple[int, int]:
+        """Of given sizes and returned ones (smaller, and with enough room beside them) the two that differ most."""
+        back = np.maximum.accumulate(reach).searchsorted(sizes)
+        gain = sizes - back
+        k = gain.argmax()
+        return (int(sizes[k]), int(back[k])) if gain[k] > 0 else (0, 0)
+
+    def _trade(self, donor: int, give: dict[int, list[int]]) -> bool:
+        """Something in give for a single smaller document, such that most ids leave."""
+        sizes = np.array(list(give), np.int64)
+        while True:
+            size, n = self._best(sizes, self.reach)
+            if not size:
+                return False
+            b = self._beside(n)
+            if b >= 0 and n + self.room[b] >= size:
+                return self._do("one for one" if len(give[size]) == 1 else "two for one", donor, b, give[size], [next(i for i in self.bins[b] if self.size[i] == n)])
+
+    def _trade_pairs(self, donor: int, give: dict[int, list[int]]) -> bool:
+        """A document in give for two smaller ones of one bin, such that most ids leave."""
+        if self.pairs is None:
+            self.pairs, self.pair_reach = self._list_pairs()
+        sizes = np.array(list(give), np.int64)
+        while True:
+            size, n = self._best(sizes, self.pair_reach)
+            if not size:
+                return False
+            b, i, j = self.pairs[n]
+            if self.room[b] and i in self.bins[b] and j in self.bins[b]:
+                if n + self.room[b] >= size:
+                    return self._do("one for two", donor, b, give[size], [i, j])
+                self.pair_reach[n] = n + self.room[b]
+            else:
+                self.pair_reach[n] = -1
+
+    def _list_pairs(self) -> tuple[dict[int, tuple[int, int, int]], np.ndarray]:
+        """For each sum of two sizes of an open bin: the bin with most room, and the pair; and the sum with that room."""
+        reach = np.full(self.capacity + 1, -1, np.int64)
+        open_ = [(i, b) for b, items in enumerate(self.bins) if self.room[b] for i in items]
+        if not open_:
+            return {}, reach
+        item, bin_ = np.array(open_).T
+        i, j, both = pairs_in(bin_, self.sizes[item])
+        space = np.array(self.room)[bin_[i]]
+        order = np.lexsort((i, -space, both))
+        first = order[np.unique(both[order], return_index=True)[1]]
+        reach[both[first]] = both[first] + space[first]
+        return {n: (b, x, y) for n, b, x, y in zip(both[first].tolist(), bin_[i[first]].tolist(), item[i[first]].tolist(), item[j[first]].tolist())}, reach
+
+    def _do(self, kind: str, donor: int, b: int, out: list[int], back: list[int]) -> bool:
+        gain = sum(self.size[i] for i in out) - sum(self.size[i] for i in back)
+        room = self.room[b] - gain
+        self.close(b)
+        self.bins[donor] = [i for i in self.bins[donor] if i not in out] + back
+        self.bins[b] = [i for i in self.bins[b] if i not in back] + out
         self.fill[donor] -= gain
         self.fill[b] += gain
-        room[b] -= gain
+        self._enter(b, room)
+        self.n_bins -= not self.fill[donor]
+        self.steps[kind] += 1
         return True
 
 
 def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of item numbers, none over capacity."""
-    return Search(best_fit(sizes.tolist(), capacity), sizes, capacity).run()
+    return Search(next_fit(sizes.tolist(), capacity), sizes, capacity).run()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
@@ -173,12 +291,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
-        end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.width
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, made = [], {"piece": [], "start": [], "length": [], "crc": []}
             ids = []
-            for k, payload in enumerate(encoder.encode_all([x or "" for x in batch.column(1).to_pylist()])):
-                payload = as_u32(payload + end, width)
+            for k, found in enumerate(encoder.encode_column(batch.column(1))):
+                payload = found.astype("<u4").tobytes() + end
                 for piece, (at, n) in enumerate(cuts(len(payload) // 4, capacity)):
                     part = payload[4 * at : 4 * (at + n)]
                     row.append(k)
@@ -188,7 +306,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
             which = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(2).take(which), *(pa.array(made[x], t) for x, t in (("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()))), pa.array(ids, pa.binary())], ["id", "row", *made, "ids"])
 
-    three = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    three = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     return three.mapInArrow(cut, f"id {three.dtypes[0][1]}, row long, piece int, start long, length long, crc long, ids binary")
 
 

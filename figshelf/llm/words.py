@@ -47,7 +47,7 @@ def _long_sum(word: np.ndarray) -> np.ndarray:
     up, total = _power()[0], np.zeros(1, U)
     for k in range(0, len(word), SEGMENT):
         part = word[k : k + SEGMENT]
-        total += ((part.astype(U) + U(1)) * up[: len(part)]).sum(dtype=U) * U(pow(BASE, k, 1 << 64))
+        total += np.array([((part.astype(U) + U(1)) * up[: len(part)]).sum(dtype=U)]) * np.array([pow(BASE, k, 1 << 64)], U)
     return total
 
 

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from figshelf.llm import chat, licences, lines, mixing, near_duplicates, neighbours, packing, passages, quality, queries, token_files
+from figshelf.llm import chat, common, licences, lines, mixing, near_duplicates, neighbours, packing, passages, quality, queries, token_files, tokens, words
 from figshelf.llm.components import components
 from figshelf.llm.tokens import Encoder
 
@@ -257,18 +258,29 @@ def test_splitting_tree_adds_up():
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_encoder_equals_library(name):
+def test_encoder_equals_library(name, monkeypatch):
     e = Encoder(public.path(name))
     odd = ["a\tb \n\n  c's don't  x\n", "  ", "\n\n", " x  y", "a\x1c!\x1d b", "foo  <|endoftext|> bar", "é ́x", "AİB ΣΣ", "", "x" * 3000 + " y", "日本 語　x", " 12 345! ?", "a \n b", "!\x85! b", "Word, word. WORD! (word) 'word', 7. é, É. ... ,. a|b| |"]
     cases = [*texts().values(), *odd]
-    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode_all(cases)] == [x.ids for x in e.tokenizer.encode_batch(cases, add_special_tokens=False)]
-    assert "".join(e.stretches("ab cd " * 400_000)) == "ab cd " * 400_000
+    odd += ["it's, (o'clock). 'tis! rock'n'roll; a.'s x'.y 3.14e5 é,ñ ×a÷b Ǆ.x e\u0301.x J\u030c, ıI", "a" * 70 + "," + "b" * 70, "x_y-z/é.com?q=ñ&r", "\u2029x \u3000", "A\u00adB. C"]
+    for k in range(300):
+        odd.append("".join(random.Random(k).choice("aB9é'.,\n  Ö×|<\t\u0301日\xa0") for _ in range(40)))
+    cases = [*cases, *odd]
+    assert [x.tolist() for x in e.encode_column(pa.array([*cases, None]))] == [*(x.ids for x in e.tokenizer.encode_batch(cases, add_special_tokens=False)), []]
+    long = " ".join(random.Random(1).choice(["ab", "Cd,", "é.", "x\n", "7"]) for _ in range(3000))
+    monkeypatch.setattr(tokens, "STRETCH", 500)  # long texts in stretches, and little remembered
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    for _ in range(3):
+        assert [x.tolist() for x in e.encode_column(pa.array([long, "", long[:1500], *odd]))] == [x.ids for x in e.tokenizer.encode_batch([long, "", long[:1500], *odd], add_special_tokens=False)]
+    data, offsets = common.text_bytes(pa.array([long, "a"]))
+    cuts, row = e.pieces(data, offsets, np.zeros(2, bool), 500)
+    assert len(cuts) > 10 and row[-1] == 1 and (np.diff(row) >= 0).all()
 
 
 def test_token_files(docs, none, spark, tmp_path):
     tokenizer = public.path("word_bpe_49k.json")
     folder = f"file://{tmp_path}/a"
-    n = token_files.write_token_files(docs, folder, tokenizer, docs_per_task=10, shard_bytes=4000, keys_per_index=7)
+    n = token_files.write_token_files(docs, folder, tokenizer, task_bytes=3000, shard_bytes=4000, keys_per_index=7)
     got = {r["id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(spark, folder, n).collect()}
     library, start = Encoder(tokenizer).tokenizer, 0
     files = token_files.TokenFiles(folder, n)
@@ -278,7 +290,7 @@ def test_token_files(docs, none, spark, tmp_path):
         start += len(ids)
     assert files.get(10**9) is None and n > 3
     twice = docs.union(docs).withColumn("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id")))
-    n = token_files.write_token_files(twice, f"file://{tmp_path}/b", tokenizer, docs_per_task=10)
+    n = token_files.write_token_files(twice, f"file://{tmp_path}/b", tokenizer, task_bytes=3000, shard_bytes=2000)
     rows = token_files.read_token_files(spark, f"file://{tmp_path}/b", n).orderBy("start").collect()
     assert len(rows) == 2 * docs.count() and rows[0]["id"] is None and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:]))
     n = token_files.write_token_files(none, f"file://{tmp_path}/c", tokenizer)
@@ -318,9 +330,10 @@ def test_packing(docs, none):
 def test_local_search_saves_bins():
     rng = np.random.default_rng(2)
     sizes = rng.integers(500, 900, 600)
-    first, last = packing.best_fit(sizes.tolist(), 2048), packing.pack(sizes, 2048)
+    search = packing.Search(packing.next_fit(sizes.tolist(), 2048), sizes, 2048)
+    first, last = search.n_bins, search.run()
     assert sorted(i for b in last for i in b) == list(range(600)) and all(sizes[b].sum() <= 2048 for b in last)
-    assert packing.fewest(sizes, 2048) <= len(last) < len(first)
+    assert packing.fewest(sizes, 2048) <= len(last) < len(packing.best_fit(sizes.tolist(), 2048)) < first
     assert packing.pack(np.zeros(0, np.int64), 2048) == []
 
 
@@ -335,13 +348,28 @@ def test_pairs_of_every_two_sizes(n):
     assert set(got) == want and max(got.values()) == 1
 
 
+def test_search_packs_the_given_documents():
+    """From next fit to the lower bound on the given tables, by steps of each kind; best fit is the measure."""
+    import duckdb
+
+    encoder = Encoder.of(public.path("byte_bpe_50k.json"))
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").arrow().read_all()["text"]
+    lengths = [n for ids in encoder.encode_column(texts.combine_chunks()) for _, n in packing.cuts(len(ids) + 1, 2048) if n < 2048]
+    sizes = np.array(lengths, np.int64)
+    search = packing.Search(packing.next_fit(lengths, 2048), sizes, 2048)
+    first, last = search.n_bins, search.run()
+    assert packing.fewest(sizes, 2048) == len(last) <= len(packing.best_fit(lengths, 2048)) < first - 50
+    assert min(search.steps.values()) > 20
+
+
 def test_bins_of_many_pieces_exchange_pairs():
     # a 40 goes only in exchange for two 19s, which are in a bin of 14 pieces; then two 7s of such a bin only for a 12
-    for sizes, donor in ((np.array([40] * 2 + [19] * 2 + [5] * 12, np.int64), 2), (np.array([7] * 13 + [12, 86], np.int64), 13)):
-        search = packing.Search([list(range(donor)), list(range(donor, len(sizes)))], sizes, 100)
-        room = search.capacity - search.fill
-        room[0] = 0
-        assert search.step(0, room) and search.fill.max() == 100
+    for sizes, donor, kind in ((np.array([40] * 2 + [19] * 2 + [5] * 12, np.int64), 2, "one for two"), (np.array([7] * 17 + [12, 86], np.int64), 17, "two for one")):
+        search = packing.Search([list(range(donor)), list(range(donor, len(sizes)))], sizes, 100 if donor == 2 else 120)
+        search.capacity = 100
+        search.open()
+        search.close(0)
+        assert search.step(0) and max(search.fill[1:]) == 100 and search.steps[kind] == 1
 
 
 def test_neighbours(spark):
@@ -383,9 +411,18 @@ def test_chat(spark):
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"], got[c]["formatted_chars"]) == (len(spoken), sha("".join(f"{a}\n{b}\n" for a, b in spoken)), len(loss), sha(loss), len(whole[c]))
     for text in hard:
         assert chat.unescape(chat.escape(text)) == text and "</s>" not in chat.render_turn("user", text)[0]
-    for broken in ("x", "[INST] a", "<s>a[INST]</s>"):
+    for broken in ("x", "[INST] a", "<s>a[INST]</s>", "[ROLE x] a [/ROLE]", "[ROL", "<s>a</s>[IN"):
         with pytest.raises(ValueError):
             chat.parse(broken)
+    # the same conversations stored in pieces that end anywhere: marks and turns go over their ends
+    pieces = [(c, k, t[a:b], a, None, None) for c, t in whole.items() for k, (a, b) in enumerate((a, a + 7) for a in range(0, len(t), 7))]
+    again = {r["conv"]: r for r in chat.read_back(spark.createDataFrame(pieces, formatted.schema)).collect()}
+    assert all((again[c]["n_turns"], again[c]["turns_sha256"]) == (got[c]["n_turns"], got[c]["turns_sha256"]) for c in got)
+    with pytest.raises(Exception, match="ends inside a turn"):
+        chat.read_back(spark.createDataFrame(pieces[:-1], formatted.schema)).collect()
+    long = "a long turn [INST] </s> " * 200_000
+    row = chat.read_back(chat.format_conversations(spark.createDataFrame([(1, 1, "user", long), (1, 2, "assistant", long)], "conv_id long, turn long, role string, text string"))).first()
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (2, len(long), sha(long))
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
 
 
@@ -421,11 +458,58 @@ def test_pipeline(spark, tmp_path):
         seen.append(docs.collect())
         assert k == 4 or docs.columns == columns
     ids = [Counter(r["doc_id"] for r in rows) for rows in seen]
+    stays = Counter()  # quality rules, by counting windows
+    for r in corpus(5):
+        ws = WORD.findall(r[1] or "")
+        windows = lambda n, ws=ws: [tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)]
+        inside = lambda n, w=windows: {k + d for c in [Counter(w(n))] for k, x in enumerate(w(n)) if c[x] > 1 for d in range(n)}
+        failed = len(ws) < 10 or 100 * len(inside(5)) > 20 * len(ws)
+        repeats_ = 100 * sum(len(ws[k]) for k in inside(10)) > 20 * sum(map(len, ws)) or bool(inside(101))
+        stays[r[0]] += not failed and not repeats_
+    assert ids[0] == +stays and 0 < len(ids[0]) < len(corpus(5))
     assert ids[0] == ids[1]
+    before, after = ({r["doc_id"]: r["text"] for r in rows} for rows in seen[:2])
+    key = lambda x: x.strip(" \t\n\x0b\f\r").lower()
+    holders = defaultdict(set)
+    for i, t in before.items():
+        for x in t.split("\n"):
+            if len(key(x)) >= 40:
+                holders[key(x)].add(i)
+    gone = lambda i, x: len(holders[key(x)]) >= 5 and i < max(holders[key(x)])
+    assert after == {i: "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t in before.items()} != before
     sets = {r["doc_id"]: shingles(r["text"] or "") for r in seen[1]}
     label = linked_components(sets)
     assert ids[2] == Counter(i for i in sets if label[i] == i)
     assert set(ids[3]) <= set(ids[2]) and max(ids[3].values()) <= 3
+    source, size = {r["doc_id"]: r["source"] for r in seen[2]}, {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in seen[2]}
+    order = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    sizes = [sum(size[i] for i in size if source[i] == s) for s in order]
+    for s, goal in zip(order, brute_targets(sizes, [1 + k % 3 for k in range(len(order))])):
+        mine = [i for i in size if source[i] == s]
+        assert abs(sum(ids[3][i] * size[i] for i in mine) - goal) <= max(size[i] for i in mine)
     assert set(ids[4]) == set(ids[3]) and sum(r["piece"] == 0 for r in seen[4]) == len(seen[3])
+    library = Encoder.of(public.path("byte_bpe_50k.json")).tokenizer
+    for r in seen[3]:
+        n = len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        assert sum(x["length"] for x in seen[4] if x["doc_id"] == r["doc_id"]) == n * ids[3][r["doc_id"]]
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(map(tuple, got.select("doc_id", "piece", "length", "ids_crc32").collect())) == Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in seen[4])
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """No rows; then nulls in every column, repeated rows, empty texts and one long text."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = " ".join(f"w{k}" for k in range(60))
+    long = " ".join(f"v{k}" for k in range(300_000))
+    rows = [(None, None, None, None, None), (1, "", "", "", 0), (None, good, None, None, None), (None, good, None, None, None), (2, good + " more", "en", "a", 5), (3, long, "en", None, 7), (3, long, "en", None, 7)]
+    for name, table in (("none", []), ("odd", rows)):
+        spark.createDataFrame(table, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        made = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert made.columns[:3] == ["doc_id", "piece", "start"]
+        got = made.collect()
+        if not table:
+            assert got == []
+    # of the near copies, document 2 stays, which has an id; of the repeated long text one row
+    assert {r["doc_id"] for r in got} == {2, 3} and sum(r["piece"] == 0 for r in got if r["doc_id"] == 3) <= 3
