@@ -36,25 +36,28 @@ def _dist(region: tuple, char: tuple):
 def nearest_char(regions: DataFrame, chars: DataFrame) -> DataFrame:
     """(figure_id, offset): of each region the offset of the nearest character of its page; ties to the first.
 
-    chars has a row for each character. A region on a page without characters has offset 0.
+    chars has a row for each character. A region on a page without characters has offset 0. Pairs are made twice, for the least
+    distance and for the first character that has it: minima of plain numbers need no sort, and the shuffled characters serve both.
     """
     keys = ["attachment_id", "page"]
-    pairs = regions.select("figure_id", *keys, *RECT).join(chars.select(*keys, "char_offset", *CHAR), keys, "left")
-    best = F.min(F.struct(_dist(RECT, CHAR).alias("d"), F.col("char_offset").alias("offset")))
-    return pairs.groupBy("figure_id").agg(best.alias("m")).select("figure_id", F.coalesce("m.offset", F.lit(0)).alias("offset"))
+    places, letters = regions.select("figure_id", *keys, *RECT), chars.select(*keys, "char_offset", *CHAR).hint("merge")
+    least = places.join(letters, keys).groupBy("figure_id").agg(F.min(_dist(RECT, CHAR)).alias("__least"))
+    first = places.join(least, "figure_id").join(letters, keys).where(_dist(RECT, CHAR) == F.col("__least")).groupBy("figure_id").agg(F.min("char_offset").alias("offset"))
+    return places.select("figure_id").join(first, "figure_id", "left").select("figure_id", F.coalesce("offset", F.lit(0)).alias("offset"))
 
 
 def nearest_char_by_page(regions: DataFrame, page_chars: DataFrame) -> DataFrame:
     """The same from one row a page: (attachment_id, page, chars), chars an array of structs of CHAR.
 
     Only pages with regions travel; each region meets its page's row once, and its characters are looked
-    through inside that row: there is no row for a pair and no shuffle after the join.
+    through inside that row: there is no row for a pair and no shuffle after the join. Pages are joined by sorting, as
+    Spark takes an array for much smaller than it is and would broadcast them.
     """
     keys = ["attachment_id", "page"]
     pages = page_chars.select(*keys, "chars").join(regions.select(*keys).distinct(), keys, "left_semi")
     region = tuple(map(F.col, RECT))
     each = F.transform("chars", lambda c, i: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), i.alias("offset")))
-    rows = regions.select("figure_id", *keys, *RECT).join(pages, keys, "left")
+    rows = regions.select("figure_id", *keys, *RECT).join(pages.hint("merge"), keys, "left")
     return rows.select("figure_id", F.coalesce(F.array_min(each)["offset"], F.lit(0)).cast("int").alias("offset"))
 
 
