@@ -1,32 +1,44 @@
 """Extra fields: lines `key: value` in one text, as column expressions.
 
 Lines that are no pair (no ": ", or an empty key) are kept together under FREE. Where a key comes twice its
-last value counts, at its first place; this needs spark.sql.mapKeyDedupPolicy=LAST_WIN (see `last_wins`).
+last value counts, at its first place, whatever spark.sql.mapKeyDedupPolicy says.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FREE = "__nonStandard__"  # fixed value
 
 
-def last_wins(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-
-
 def _is_pair(line: Column) -> Column:
     return F.locate(": ", line) > 1
 
 
-def parse_extra(text: Column) -> Column:
-    """MAP<STRING, STRING> of the pairs, then FREE."""
+def _entries(text: Column) -> Column:
+    """Structs (key, value) of the pairs in order, then of FREE."""
     lines = F.split(text, "\n")
     pair = lambda s: F.struct(F.substring_index(s, ": ", 1).alias("key"), F.substr(s, F.locate(": ", s) + 2).alias("value"))
     pairs = F.transform(F.filter(lines, _is_pair), pair)
     free = F.array_join(F.filter(lines, lambda s: ~_is_pair(s)), "\n")
-    return F.map_from_entries(F.concat(pairs, F.array(F.struct(F.lit(FREE).alias("key"), free.alias("value")))))
+    return F.concat(pairs, F.array(F.struct(F.lit(FREE).alias("key"), free.alias("value"))))
+
+
+def _last_of_each(entries: Column) -> Column:
+    """A map of entries: each key at its first place, with its last value."""
+
+    def collect(all_: Column) -> Column:
+        keys = F.array_distinct(F.transform(all_, lambda e: e["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(all_, lambda e: e["key"] == k), -1)["value"]))
+
+    # inside transform the entries are a variable, worked out once
+    return F.get(F.transform(F.array(entries), collect), F.lit(0))
+
+
+def parse_extra(text: Column) -> Column:
+    """MAP<STRING, STRING> of the pairs, then FREE."""
+    return _last_of_each(_entries(text))
 
 
 def get_extra(text: Column, key: str) -> Column:
@@ -35,7 +47,7 @@ def get_extra(text: Column, key: str) -> Column:
 
 def set_extra(text: Column, key: str, value: Column) -> Column:
     """The text with one pair set: free lines first, then the pairs."""
-    fields = F.map_concat(parse_extra(text), F.create_map(F.lit(key), value))
+    fields = _last_of_each(F.concat(_entries(text), F.array(F.struct(F.lit(key).alias("key"), value.alias("value")))))
     pairs = F.filter(F.map_entries(fields), lambda e: e["key"] != FREE)
     free = F.try_element_at(fields, F.lit(FREE))
     made = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")

@@ -477,19 +477,16 @@ X = ", e AS (SELECT item_id, line, p FROM (SELECT item_id, unnest(string_split(e
 
 @query("j7_parse_extra", duck("item_extra", X + " SELECT item_id, key, value FROM last UNION ALL SELECT i.item_id, '__nonStandard__', coalesce(free.text, '') FROM item_extra i LEFT JOIN free ON i.item_id = free.item_id"))
 def parse_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra.last_wins(spark)
     return view(spark, sf_dir, "item_extra").select("item_id", F.explode(extra.parse_extra(F.col("extra"))))
 
 
 @query("j8_get_extra", duck("item_extra", X + " SELECT i.item_id, d.value AS doi, CAST(NULL AS VARCHAR) AS none FROM item_extra i LEFT JOIN last d ON i.item_id = d.item_id AND d.key = 'DOI'"))
 def get_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra.last_wins(spark)
     return view(spark, sf_dir, "item_extra").select("item_id", extra.get_extra(F.col("extra"), "DOI").alias("doi"), extra.get_extra(F.col("extra"), "none").alias("none"))
 
 
 @query("j9_set_extra", duck("item_extra", X + ", w AS (SELECT item_id, key, CASE WHEN key = 'DOI' THEN '10.2/new' ELSE value END AS value, p FROM last UNION ALL SELECT item_id, 'Place', 'shelf', 1000000 FROM item_extra) SELECT i.item_id, free.text || chr(10) || (SELECT string_agg(w.key || ': ' || w.value, chr(10) ORDER BY w.p) FROM w WHERE w.item_id = i.item_id) AS extra FROM item_extra i JOIN free ON i.item_id = free.item_id"))
 def set_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra.last_wins(spark)
     one = extra.set_extra(F.col("extra"), "DOI", F.lit("10.2/new"))
     return view(spark, sf_dir, "item_extra").select("item_id", extra.set_extra(one, "Place", F.lit("shelf")).alias("extra"))
 

@@ -70,7 +70,6 @@ def test_captions(spark):
 
 
 def test_extra(spark):
-    extra.last_wins(spark)
     text = "A: 1\nfree\nB: x: y\nA: 2\n: no key\nB:z"
     assert one(spark, extra.parse_extra(F.lit(text))) == {"A": "2", "B": "x: y", "__nonStandard__": "free\n: no key\nB:z"}
     assert list(one(spark, extra.parse_extra(F.lit(text)))) == ["A", "B", "__nonStandard__"]
@@ -319,6 +318,5 @@ def test_stream_saves_one_file_of_an_attachment(spark, tmp_path):
 
 def test_column_functions_run_without_python(spark):
     df = spark.createDataFrame([("A: 1", "Fig. 1", ["Figure 1"])], "extra string, caption string, tags array<string>")
-    extra.last_wins(spark)
     plan = df.select(extra.set_extra(F.col("extra"), "B", F.lit("2")), captions.short_caption(F.col("caption")), captions.is_figure_any_tag(F.col("tags")), ranking.search_score(F.col("caption"), "fig 1"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
