@@ -94,11 +94,6 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return numbered.mapInArrow(run, StructType([StructField(n, x.dataType) for n, x in zip(names, made)])).toDF(*made.fieldNames())
 
 
-def hash128(column) -> list:
-    """Two independent 64-bit hashes of a column; together the key of a group of equal values."""
-    return [F.xxhash64(column), F.xxhash64(F.lit(0x5DEECE66D), column)]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end and its n+1 row offsets; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
