@@ -249,6 +249,11 @@ def nearest_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.nearest_char(flipped(spark, sf_dir), view(spark, sf_dir, "chars"))
 
 
+@query("d1_nearest_char_in_row", duck("figures doc_pages chars", R + NEAR + NEAREST))
+def nearest_in_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.nearest_char_in_row(flipped(spark, sf_dir), page_chars(spark, sf_dir))
+
+
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = view(spark, sf_dir, "annotations").select("annotation_id", "annotation_type", "comment", "key")
     lines = view(spark, sf_dir, "note_lines").join(more, "annotation_id")

@@ -124,7 +124,8 @@ def test_nearest_and_sort_key(spark):
     by_page = chars.where("page = 0").groupBy("attachment_id", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("char_offset", "cx1", "cy1", "cx2", "cy2"))), lambda c: F.struct(c["cx1"].alias("cx1"), c["cy1"].alias("cy1"), c["cx2"].alias("cx2"), c["cy2"].alias("cy2"))).alias("chars"))
     assert {r[0]: r[1] for r in layout.nearest_char_by_page(regions, by_page).collect()} == {10: 1, 11: 0, 12: 0}  # pages without characters: 0
     assert {r[0]: r[1] for r in layout.nearest_char(regions, chars.where("page = 0")).collect()} == {10: 1, 11: 0, 12: 0}
-    plan = layout.nearest_char_by_page(regions, by_page)._jdf.queryExecution().optimizedPlan().toString()
+    assert {r[0]: r[1] for r in layout.nearest_char_in_row(regions, by_page).collect()} == {10: 1, 11: 0, 12: 0}
+    plan = layout.nearest_char_in_row(regions, by_page)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
 
 
