@@ -18,6 +18,13 @@ BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("2000", "-1"), "s
 CHUNK_BYTES = 1 << 20  # text handled by numpy at once inside a task
 
 
+#: In DuckDB, the unsigned CRC-32 of an integer's decimal digits: a byte at a time, and each of its bits.
+CRC32_SQL = (
+    "CASE WHEN {0} IS NULL THEN NULL ELSE xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),"
+    " lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) END"
+)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
