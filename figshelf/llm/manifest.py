@@ -103,14 +103,14 @@ def _sides(place: Column) -> Column:
     for k in range(LEVELS):
         left, right = beside(F.col(f"__l{k}"), F.floor(place / FAN**k).cast("int"))
         out.append(F.when(F.col("__depth") > k, F.struct(left.alias("left"), right.alias("right"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    return F.array_compact(F.array(*out))
 
 
 def tree(nodes: DataFrame, group: list[str], order: list[str], write: Writer, name: str) -> tuple[DataFrame, DataFrame]:
     """The trees of all groups of nodes (group, order, node, rest).
 
-    First (group, root): the node that remains of each. Second (group, node, rest, sides): each node with what stands beside it up to the
-    root, lowest first: an array of (left, right). rest is any struct, handed through.
+    First (group, root): the node that remains of each. Second the lowest blocks, with what stands beside each block's own node up to the root
+    (`above`, lowest first: an array of (left, right)); nodes_of makes them nodes again. rest is any struct, handed through.
     """
     tier = numbered(nodes.select(*dict.fromkeys([*group, *order, "node", "rest"])), group, order, write, name).select(*group, "__r", "__n", "node", "rest")
     tiers = []
@@ -121,22 +121,24 @@ def tree(nodes: DataFrame, group: list[str], order: list[str], write: Writer, na
         none = F.struct(F.lit(None).cast("string").alias("none"))
         tier = tiers[-1].select(*group, F.col("__b").alias("__r"), F.ceil(F.col("__n") / BLOCK).alias("__n"), F.col("__node").alias("node"), none.alias("rest"))
     top = tiers.pop()
-    roots, sides = top.select(*group, F.col("__node").alias("root")), _with_sides(top)
+    none_above = F.array().cast("array<struct<left:string,right:string>>")
+    roots, blocks = top.select(*group, F.col("__node").alias("root")), top.withColumn("above", none_above)
     for below in reversed(tiers):
-        above = sides.select(*(F.col(c).alias(f"__g{k}") for k, c in enumerate(group)), F.col("__r").alias("__q"), F.col("sides").alias("__above"))
+        upper = nodes_of(blocks, group, "__r").select(*(F.col(c).alias(f"__g{k}") for k, c in enumerate(group)), F.col("__r").alias("__q"), F.col("sides").alias("above"))
         same = F.col("__b") == F.col("__q")
         for k, c in enumerate(group):
             same &= F.col(c).eqNullSafe(F.col(f"__g{k}"))
-        sides = _with_sides(below.join(above, same), F.col("__above"))
-    return roots, sides.select(*group, "node", "rest", "sides")
+        blocks = below.join(upper, same).drop("__q", *(f"__g{k}" for k in range(len(group))))
+    return roots, blocks
 
 
-def _with_sides(blocks: DataFrame, above: Column | None = None) -> DataFrame:
-    each = blocks.withColumn("__x", F.explode("__rows"))
-    place = (F.col("__x.__r") - F.col("__b") * BLOCK).cast("int")
-    sides = _sides(place) if above is None else F.concat(_sides(place), above)
-    keep = [c for c in blocks.columns if not c.startswith("__")]
-    return each.select(*keep, F.col("__x.__r").alias("__r"), F.col("__x.node").alias("node"), F.col("__x.rest").alias("rest"), sides.alias("sides"))
+def nodes_of(blocks: DataFrame, keep: list[str], *more: str) -> DataFrame:
+    """The nodes of blocks: keep, the fields `more` of the node, node, rest and sides, what stands beside it up to the root.
+
+    All of a block's rows are made inside its own row, so that the long strings are not repeated for each.
+    """
+    made = F.transform("__rows", lambda x: F.struct(*(x[c].alias(c) for c in (*more, "node", "rest")), F.concat(_sides((x["__r"] - F.col("__b") * BLOCK).cast("int")), F.col("above")).alias("sides")))
+    return blocks.select(*keep, made.alias("__made")).select(*keep, F.inline("__made"))
 
 
 def folded(leaf: Column, sides: Column) -> Column:
@@ -163,9 +165,11 @@ def merkle_manifest(rows: DataFrame, id_col: str = "doc_id", group_col: str = "l
         # a group's name in front of its bytes: groups go by these, null first
         tops = subroots.select(F.lit(0).alias("all"), F.col("grp").cast("string").cast("binary").alias("by"), F.col("root").alias("node"), F.struct("grp").alias("rest"))
         roots, over = tree(tops, ["all"], ["by"], write, "manifest-top")
-    heads = over.select(F.col("rest.grp").alias("__grp"), F.col("node").alias("subroot"), F.col("sides").alias("__over"), "all").join(F.broadcast(roots), "all").select("__grp", "subroot", "__over", "root")
-    found = under.join(heads, F.col("grp").eqNullSafe(F.col("__grp")))
-    return found.select(F.col("rest.id").alias("id"), "grp", F.col("node").alias("leaf"), F.coalesce("rest.claim", "node").alias("claim"), "subroot", "root", F.concat("sides", "__over").alias("sides"))
+        heads = nodes_of(over, ["all"]).select(F.col("rest.grp").alias("__grp"), F.col("node").alias("subroot"), F.col("sides").alias("__over"), "all").join(roots, "all").select("__grp", "subroot", "__over", "root")
+    # groups' heads go to their blocks, of which there are few, and not to their rows
+    headed = under.join(heads, F.col("grp").eqNullSafe(F.col("__grp"))).withColumn("above", F.concat("above", "__over"))
+    found = nodes_of(headed, ["grp", "subroot", "root"])
+    return found.select(F.col("rest.id").alias("id"), "grp", F.col("node").alias("leaf"), F.coalesce("rest.claim", "node").alias("claim"), "subroot", "root", "sides")
 
 
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
