@@ -1,6 +1,7 @@
 """The catalogue of figures and annotations: upkeep, selection, search and order.
 
-Every function returns a new table; nothing is written over its input.
+Functions return a new table; nothing is written over its input. The three `save_` functions commit one to a table of versions: the
+versions before stay as they were, and of two changes that meet one raises Conflict.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from figshelf.functions import captions
 from figshelf.functions.ranking import search_score
+from figshelf.sources.snapshots import SnapshotTable
 
 
 def append_figures(catalogue: DataFrame, new: DataFrame) -> DataFrame:
@@ -27,6 +29,21 @@ def remove_figures(catalogue: DataFrame, keys: DataFrame) -> DataFrame:
     return catalogue.join(keys.select("figure_id"), "figure_id", "left_anti")
 
 
+def save_appended(table: SnapshotTable, new: DataFrame) -> int:
+    """Commit figures to be added; the version that has them. The files that are there stay."""
+    return table.append(new)
+
+
+def save_captions(table: SnapshotTable, edits: DataFrame) -> int:
+    """Commit new captions by figure_id, the table's key; only files that can hold one of the figures are written anew."""
+    return table.change(edits, lambda rows: update_captions(rows, edits), "update")
+
+
+def save_removed(table: SnapshotTable, keys: DataFrame) -> int:
+    """Commit the removal of figures by figure_id, the table's key; only files that can hold one of them are written anew."""
+    return table.change(keys, lambda rows: remove_figures(rows, keys), "remove")
+
+
 def clear_figure_annotations(annotations: DataFrame) -> DataFrame:
     """All but the figure annotations."""
     return annotations.where(~captions.is_figure_first_tag(F.col("annotation_type"), F.col("tags")))

@@ -13,8 +13,10 @@ from figshelf.functions.geometry import bbox_paths, bbox_rects, flatten_chars, r
 from figshelf.operators import annotate, catalogue, layout, notes
 from figshelf.plans.fixtures import duck, page_chars, view
 from figshelf.sources import results
+from figshelf.sources.snapshots import SnapshotTable
 from figshelf.sources.storage import new_folder
 from figshelf.streaming.annotate import annotate_stream, reader_events
+from figshelf.streaming.outcomes import outcome_stream, result_file_stream, save_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -173,8 +175,8 @@ def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "annotations")
     made = annotations_of(spark, sf_dir)
     results.write_annotations(made, path)
-    results.write_annotations(spark.read.parquet(path).drop("bucket"), path)
-    return flat(spark.read.parquet(path))
+    results.write_annotations(results.saved_annotations(spark, path), path)
+    return flat(results.saved_annotations(spark, path))
 
 
 @query("b7_figures", duck("figures doc_pages", R + """, c AS (SELECT *, coalesce(nullif(caption, ''), 'Untitled Figure/Table') AS cap FROM r)
@@ -505,12 +507,70 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     results.write_figures(view(spark, sf_dir, "figures"), attachments, files)
     for _ in range(2):  # the second run finds nothing new
         annotate_stream(spark, files, out, checkpoint, attachments, page_chars(spark, sf_dir), view(spark, sf_dir, "doc_pages"), STAMP).awaitTermination()
-    return flat(spark.read.parquet(out)).select("attachment_id", "sort_index", "comment", "tag", *layout.RECT)
+    return flat(results.saved_annotations(spark, out)).select("attachment_id", "sort_index", "comment", "tag", *layout.RECT)
 
 
-@query("k2_reader_events", duck("notifications", "SELECT event_id, event FROM notifications WHERE type = 'tab' AND id IS NOT NULL AND kind = 'reader'"))
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "notifications")
+@query("k1_outcomes_stream", ORACLE_SQL["a4_outcome"])
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of each attachment's request, from a stream of requests and a stream of result files; with a restart between the two.
+
+    Requests are made an hour before the files are written, and wait for three looks an hour apart; a clock then says that the time is over.
+    """
+    files, asked, ticks, out, checkpoint = (new_folder(spark, f"outcomes-{x}") for x in ("files", "asked", "clock", "out", "state"))
+    attachments = view(spark, sf_dir, "attachments")
+    hour = F.expr("INTERVAL 1 HOUR")
+    attachments.select("attachment_id", "attachment_key", (F.current_timestamp() - hour).alias("requested_at")).write.parquet(asked)
+    found = results.match_results(attachments, view(spark, sf_dir, "files")).where("file_found IS NOT NULL")
+    spark.createDataFrame([], "at timestamp").write.parquet(ticks)
+    streams = [spark.readStream.schema(x).parquet(f) for x, f in (("attachment_id long, attachment_key string, requested_at timestamp", asked), ("at timestamp", ticks))]
+    results.write_figures(view(spark, sf_dir, "figures"), found.limit(0), files)  # the folder has to be there
+    for turn in range(3):
+        if turn == 1:
+            results.write_figures(view(spark, sf_dir, "figures"), found, files)
+        if turn == 2:
+            spark.range(1).select((F.current_timestamp() + 24 * hour).alias("at")).write.mode("append").parquet(ticks)
+        made = outcome_stream(streams[0], result_file_stream(spark, files), pause=3600.0, clock=streams[1])
+        save_stream(made, SnapshotTable(spark, out, "attachment_id"), checkpoint).awaitTermination()
+    return SnapshotTable(spark, out, "attachment_id").read().select("attachment_id", "outcome", "n_figures")
+
+
+K2_SQL = duck("notifications", "SELECT event_id, event FROM notifications WHERE type = 'tab' AND id IS NOT NULL AND kind = 'reader'")
+
+
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.filter(F.array("id"), lambda x: x.isNotNull())
-    shaped = rows.select("event_id", "event", "type", ids.alias("ids"), F.create_map(F.coalesce("id", F.lit("")), F.struct(F.col("kind").alias("type"))).alias("extra"))
-    return reader_events(shaped).select("event_id", "event")
+    extra_data = F.create_map(F.coalesce("id", F.lit("")), F.struct(F.col("kind").alias("type")))
+    return view(spark, sf_dir, "notifications").select("event_id", "event", "type", ids.alias("ids"), extra_data.alias("extra"))
+
+
+@query("k2_reader_events", K2_SQL)
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reader_events(notifications(spark, sf_dir)).select("event_id", "event")
+
+
+@query("k2_reader_events_stream", K2_SQL)
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of batches, saved exactly once: the stream is stopped and run again."""
+    rows, out, checkpoint = (new_folder(spark, f"events-{x}") for x in ("rows", "out", "state"))
+    shaped = notifications(spark, sf_dir)
+    shaped.repartition(4, "event_id").write.parquet(rows)
+    table = SnapshotTable(spark, out, "event_id")
+    for _ in range(2):
+        stream = spark.readStream.schema(shaped.schema).option("maxFilesPerTrigger", 2).parquet(rows)
+        save_stream(reader_events(stream).select("event_id", "event"), table, checkpoint).awaitTermination()
+    return table.read()
+
+
+@query("i1_i3_versions", duck("figures edits", f"""SELECT 1 AS version, {CATALOGUE} FROM figures UNION ALL SELECT 2, {CATALOGUE} FROM figures UNION ALL SELECT 2, -figure_id, caption FROM figures
+  UNION ALL SELECT 3, f.figure_id, CASE WHEN e.figure_id IS NOT NULL THEN e.caption ELSE f.caption END FROM figures f LEFT JOIN edits e ON f.figure_id = e.figure_id UNION ALL SELECT 3, -figure_id, caption FROM figures
+  UNION ALL SELECT 4, figure_id, caption FROM figures f WHERE NOT EXISTS (SELECT 1 FROM edits e WHERE e.figure_id = f.figure_id) UNION ALL SELECT 4, -figure_id, caption FROM figures"""))
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved catalogue after figures are added, captions edited and figures removed; all four versions as they can still be read."""
+    have, edits = view(spark, sf_dir, "figures").select("figure_id", "caption"), view(spark, sf_dir, "edits")
+    table = SnapshotTable(spark, new_folder(spark, "catalogue"), "figure_id")
+    catalogue.save_appended(table, have)
+    catalogue.save_appended(table, have.withColumn("figure_id", -F.col("figure_id")))
+    catalogue.save_captions(table, edits)
+    catalogue.save_removed(table, edits)
+    made = [table.read(n).select(F.lit(n).alias("version"), "figure_id", "caption") for n in table.versions()]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])

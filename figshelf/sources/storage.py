@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
@@ -57,8 +59,62 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    system, at = _hadoop(spark, path)
+    system.delete(at, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it wants it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    system, at = _hadoop(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(at)] if system.exists(at) else []
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file, through Hadoop's file systems."""
+    system, at = _hadoop(spark, path)
+    stream = system.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def put_if_absent(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Make a small file whole and at once, unless it is there already; whether it was made.
+
+    The content goes to a name of its own first. A local file is then linked, elsewhere Hadoop renames without overwriting, which HDFS does
+    in one step; stores whose renames are copies are not for this.
+    """
+    system, at = _hadoop(spark, path)
+    folder = at.getParent()
+    system.mkdirs(folder)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f".{at.getName()}.{uuid.uuid4().hex}")
+    out = system.create(draft, False)
+    out.write(bytearray(content))
+    out.close()
+    try:
+        if system.getScheme() == "file":
+            os.link(draft.toUri().getPath(), at.toUri().getPath())
+            return True
+        jvm = spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(draft, at, none)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        system.delete(draft, False)
 
 
 def _remove_quietly(spark: SparkSession, path: str) -> None:

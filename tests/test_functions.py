@@ -263,7 +263,7 @@ def test_saved_annotations_once_each(spark, tmp_path):
     out = f"file://{tmp_path}/saved"
     for part in (rows.where("attachment_id < 3"), rows, rows):
         results.write_annotations(part, out)
-    assert spark.read.parquet(out).count() == 35
+    assert results.saved_annotations(spark, out).count() == 35
     assert {r[0] for r in results.saved_annotations(spark, out, rows.where("attachment_id = 2")).select("attachment_id").distinct().collect()} >= {2}
 
 
@@ -291,12 +291,12 @@ def test_stream_takes_up_new_files_and_replays_nothing(spark, tmp_path):
     run = lambda state: annotate_stream(spark, f"file://{src}", out, f"file://{tmp_path}/{state}", owners, chars, pages, "2024-01-01 00:00:00").awaitTermination()
     (src / "AAA.json").write_text(json.dumps([figure("a"), figure("b")]))
     run("s1")
-    assert spark.read.parquet(out).count() == 2
+    assert results.saved_annotations(spark, out).count() == 2
     (src / "BBB.json").write_text(json.dumps([figure("c")]))
     run("s1")
-    assert spark.read.parquet(out).count() == 3
+    assert results.saved_annotations(spark, out).count() == 3
     run("s2")  # a lost checkpoint: all files again, and the same keys
-    assert spark.read.parquet(out).count() == 3
+    assert results.saved_annotations(spark, out).count() == 3
 
 
 def test_stream_saves_one_file_of_an_attachment(spark, tmp_path):
@@ -306,7 +306,7 @@ def test_stream_saves_one_file_of_an_attachment(spark, tmp_path):
     src, out = tmp_path / "in", f"file://{tmp_path}/out"
     src.mkdir()
     run = lambda state: annotate_stream(spark, f"file://{src}", out, f"file://{tmp_path}/{state}", owners, chars, pages, "2024-01-01 00:00:00").awaitTermination()
-    saved = lambda: sorted(r["comment"] for r in spark.read.parquet(out).collect())
+    saved = lambda: sorted(r["comment"] for r in results.saved_annotations(spark, out).collect())
     (src / "AAA.json").write_text(json.dumps([figure("a"), figure("b")]))
     run("s1")
     (src / "AAA-copy.json").write_text(json.dumps([figure("copy")]))
