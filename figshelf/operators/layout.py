@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figshelf.functions.geometry import rect_distance
@@ -29,47 +29,123 @@ def unplaced(flipped: DataFrame) -> DataFrame:
     return flipped.groupBy("attachment_id").agg(F.count(F.lit(1)).alias("n_regions"), F.count_if(F.col("y1").isNull()).alias("n_unplaced"))
 
 
+#: Characters in a row, in reading order, that share a box.
+BOX = 64
+OUTER = ("ox1", "oy1", "ox2", "oy2")
+
+
 def _dist(region: tuple, char: tuple):
     return rect_distance(tuple(map(F.col, char)), tuple(map(F.col, region)))
 
 
-def nearest_char(regions: DataFrame, chars: DataFrame) -> DataFrame:
+def _no_number(*values: Column) -> Column:
+    """Whether one of the values is null or NaN, which counts as no gap: nothing is known of a box about it."""
+    total = sum(values[1:], values[0])
+    return total.isNull() | F.isnan(total)
+
+
+def char_boxes(chars: DataFrame, box: int = BOX) -> DataFrame:
+    """(attachment_id, page, box, OUTER, odd): the rectangle about each `box` characters in a row; odd where a number is missing."""
+    odd = F.bool_or(_no_number(*map(F.col, CHAR)))
+    return chars.groupBy("attachment_id", "page", F.floor(F.col("char_offset") / box).alias("box")).agg(
+        F.min("cx1").alias("ox1"), F.min("cy1").alias("oy1"), F.max("cx2").alias("ox2"), F.max("cy2").alias("oy2"), odd.alias("odd")
+    )
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """(figure_id, least, offset) of rows (figure_id, d, char_offset): the least distance, and the first character that has it."""
+    return rows.groupBy("figure_id").agg(F.min(F.struct("d", "char_offset")).alias("__m")).select("figure_id", F.col("__m.d").alias("least"), F.col("__m.char_offset").alias("offset"))
+
+
+def _searched(regions: DataFrame, chars: DataFrame, box: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(figure_id, least, offset), and the boxes and characters that distances were worked out to."""
+    page, keys = ["attachment_id", "page"], ["attachment_id", "page", "box"]
+    places = regions.select("figure_id", *page, *RECT)
+    letters = chars.select(*page, F.floor(F.col("char_offset") / box).alias("box"), "char_offset", *CHAR)
+    low = F.when(F.col("odd"), 0.0).otherwise(_dist(RECT, OUTER))
+    pairs = places.join(char_boxes(chars, box), page).withColumn("low", low)
+    by_low = Window.partitionBy("figure_id").orderBy("low", "box")
+    ranked = pairs.select("figure_id", *keys, "low", *RECT).withColumn("first", F.row_number().over(by_low) == 1)
+    near = ranked.where("first").join(letters, keys).select("figure_id", "box", _dist(RECT, CHAR).alias("d"), "char_offset")
+    found = _least(near).join(ranked.where("first").select("figure_id", F.col("box").alias("best")), "figure_id")
+    # a box that comes later cannot win by a tie
+    open_ = (F.col("low") < F.col("least")) | ((F.col("low") == F.col("least")) & (F.col("box") < F.col("best")))
+    rest = ranked.where("NOT first").join(found.select("figure_id", "least", "best"), "figure_id").where(open_)
+    more = rest.join(letters, keys).select("figure_id", "box", _dist(RECT, CHAR).alias("d"), "char_offset")
+    both = found.select("figure_id", F.col("least").alias("d"), F.col("offset").alias("char_offset")).unionByName(more.select("figure_id", "d", "char_offset"))
+    return _least(both), pairs, near.unionByName(more)
+
+
+def nearest_char(regions: DataFrame, chars: DataFrame, box: int = BOX) -> DataFrame:
     """(figure_id, offset): of each region the offset of the nearest character of its page; ties to the first.
 
-    chars has a row for each character. A region on a page without characters has offset 0. Pairs are made twice, for the least
-    distance and for the first character that has it: minima of plain numbers need no sort, and the shuffled characters serve both.
+    chars has a row for each character. A region on a page without characters has offset 0; a missing number is no
+    gap in its direction. Branch and bound: distances to the boxes about
+    characters in a row bound those to the characters; the characters of each region's nearest box are tried, then those of boxes that are
+    nearer than what that gives. Boxes are made where the characters are, and characters meet regions by their box.
     """
-    keys = ["attachment_id", "page"]
-    places, letters = regions.select("figure_id", *keys, *RECT), chars.select(*keys, "char_offset", *CHAR).hint("merge")
-    least = places.join(letters, keys).groupBy("figure_id").agg(F.min(_dist(RECT, CHAR)).alias("__least"))
-    first = places.join(least, "figure_id").join(letters, keys).where(_dist(RECT, CHAR) == F.col("__least")).groupBy("figure_id").agg(F.min("char_offset").alias("offset"))
-    return places.select("figure_id").join(first, "figure_id", "left").select("figure_id", F.coalesce("offset", F.lit(0)).alias("offset"))
+    found, _, _ = _searched(regions, chars, box)
+    return regions.select("figure_id").join(found, "figure_id", "left").select("figure_id", F.coalesce("offset", F.lit(0)).alias("offset"))
 
 
-def _wanted_pages(regions: DataFrame, page_chars: DataFrame) -> DataFrame:
-    keys = ["attachment_id", "page"]
-    return page_chars.select(*keys, "chars").join(regions.select(*keys).distinct(), keys, "left_semi")
+def search_work(regions: DataFrame, chars: DataFrame, box: int = BOX) -> DataFrame:
+    """One row (n_pairs, n_boxes, n_chars): pairs of regions and characters of their pages, and the distances that nearest_char works out to boxes and to characters."""
+    _, boxes, letters = _searched(regions, chars, box)
+    page = ["attachment_id", "page"]
+    pairs = regions.groupBy(*page).agg(F.count(F.lit(1)).alias("a")).join(chars.groupBy(*page).agg(F.count(F.lit(1)).alias("b")), page).agg(F.sum(F.col("a") * F.col("b")).alias("n_pairs"))
+    return pairs.join(boxes.agg(F.count(F.lit(1)).alias("n_boxes")), how="cross").join(letters.agg(F.count(F.lit(1)).alias("n_chars")), how="cross")
 
 
-def nearest_char_by_page(regions: DataFrame, page_chars: DataFrame) -> DataFrame:
-    """The same from one row a page: (attachment_id, page, chars), chars an array of structs of CHAR.
+def _boxed(chars: Column) -> Column:
+    """A box (OUTER, odd, chars) about characters that are structs of CHAR and offset."""
+    pick = lambda x: F.transform(chars, lambda c: c[x])
+    odd = F.exists(chars, lambda c: _no_number(*(c[x] for x in CHAR)))
+    hull = [F.array_min(pick("cx1")), F.array_min(pick("cy1")), F.array_max(pick("cx2")), F.array_max(pick("cy2"))]
+    return F.struct(*(x.alias(n) for x, n in zip(hull, OUTER)), odd.alias("odd"), chars.alias("chars"))
 
-    Only the characters of pages with regions travel. Plain rows let Spark compile the loop over pairs, which took half the time
-    of nearest_char_in_row at sf0.1; so this is the form that sort keys use.
-    """
-    each = _wanted_pages(regions, page_chars).select("attachment_id", "page", F.posexplode("chars").alias("char_offset", "c"))
-    return nearest_char(regions, each.select("attachment_id", "page", "char_offset", *(F.col("c")[x].alias(x) for x in CHAR)))
+
+def _numbered(chars: Column, first: Column, rect) -> Column:
+    return F.transform(chars, lambda c, i: F.struct(*(rect(c, k).alias(x) for k, x in enumerate(CHAR)), (first + i).cast("int").alias("offset")))
 
 
-def nearest_char_in_row(regions: DataFrame, page_chars: DataFrame) -> DataFrame:
-    """The same, each region looking through its page's array of characters: no row for a pair, no shuffle after the join.
+def boxed_pages(pages: DataFrame, box: int = BOX) -> DataFrame:
+    """(attachment_id, page, boxes) of pages that have one row each: the boxes of their characters, in reading order.
 
-    Pages are joined by sorting, as Spark takes an array for much smaller than it is and would broadcast them.
+    pages have `chars`, an array of structs of CHAR, which is boxed by `box` in a row; or `paragraphs`, the nested text of a page
+    (schema.PAGE_TEXT), whose lines are the boxes. A table of boxed pages can be written once and searched by every run.
+    """
+    if "boxes" in pages.columns:
+        return pages
+    if "paragraphs" in pages.columns:
+        lines = F.transform(F.flatten(F.transform("paragraphs", lambda p: p["lines"])), lambda x: F.flatten(F.transform(x["words"], lambda w: w["chars"])))
+        # where each line begins: the number of characters before it
+        starts = F.aggregate(lines, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x))))
+        rows = pages.select("attachment_id", "page", lines.alias("__lines"), starts.alias("__starts"))
+        cut = F.transform("__lines", lambda x, i: _boxed(_numbered(x, F.get("__starts", i), lambda c, k: F.get(c["rect"], F.lit(k)))))
+    else:
+        rows = pages.select("attachment_id", "page", "chars")
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("chars") / box).cast("int") - 1, F.lit(0))), lambda i: _boxed(_numbered(F.slice("chars", i * box + 1, F.lit(box)), i * box, lambda c, k: c[CHAR[k]])))
+    return rows.select("attachment_id", "page", cut.alias("boxes"))
+
+
+def nearest_char_by_page(regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """The same from pages as boxed_pages takes or gives them, each region looking through its page's boxes inside one row.
+
+    No row for a pair, no shuffle after the join. Only pages with regions are boxed and travel; they are joined by sorting, as Spark takes an array for much
+    smaller than it is and would broadcast them.
     """
     keys, region = ["attachment_id", "page"], tuple(map(F.col, RECT))
-    each = F.transform("chars", lambda c, i: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), i.alias("offset")))
-    rows = regions.select("figure_id", *keys, *RECT).join(_wanted_pages(regions, page_chars).hint("merge"), keys, "left")
-    return rows.select("figure_id", F.coalesce(F.array_min(each)["offset"], F.lit(0)).cast("int").alias("offset"))
+    wanted = boxed_pages(pages.join(regions.select(*keys).distinct(), keys, "left_semi"))
+    rows = regions.select("figure_id", *keys, *RECT).join(wanted.hint("merge"), keys, "left")
+    low = F.transform("boxes", lambda b: F.when(F.size(b["chars"]) > 0, F.when(b["odd"], 0.0).otherwise(rect_distance(tuple(b[x] for x in OUTER), region))))
+    each = lambda b: F.transform(b["chars"], lambda c: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), c["offset"].alias("offset")))
+    rows = rows.withColumn("__low", low).withColumn("__best", F.array_position("__low", F.array_min("__low")).cast("int") - 1)
+    rows = rows.withColumn("__m", F.array_min(each(F.get("boxes", F.col("__best")))))
+    here = F.col("__m.d")
+    wins = lambda b, i: (F.get("__low", i) < here) | ((F.get("__low", i) == here) & (i < F.col("__best")))
+    rest = F.flatten(F.transform(F.filter("boxes", wins), each))
+    least = F.least(F.col("__m"), F.coalesce(F.array_min(rest), F.col("__m")))
+    return rows.select("figure_id", F.coalesce(least["offset"], F.lit(0)).cast("int").alias("offset"))
 
 
 def _padded(number, width: int):
@@ -92,6 +168,6 @@ def reading_order_key(regions: DataFrame, chars: DataFrame, doc_pages: DataFrame
     return sort_keys(regions, nearest_char(regions, chars), doc_pages)
 
 
-def reading_order_key_by_page(regions: DataFrame, page_chars: DataFrame, doc_pages: DataFrame) -> DataFrame:
-    """Sort keys from one row of characters a page."""
-    return sort_keys(regions, nearest_char_by_page(regions, page_chars), doc_pages)
+def reading_order_key_by_page(regions: DataFrame, pages: DataFrame, doc_pages: DataFrame) -> DataFrame:
+    """Sort keys from pages in one row each: with their characters, their nested text or their boxes."""
+    return sort_keys(regions, nearest_char_by_page(regions, pages), doc_pages)

@@ -148,7 +148,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = flipped(spark, sf_dir)
-    order = layout.reading_order_key_by_page(regions, page_chars(spark, sf_dir), view(spark, sf_dir, "doc_pages"))
+    order = layout.reading_order_key(regions, view(spark, sf_dir, "chars"), view(spark, sf_dir, "doc_pages"))
     return annotate.build_annotations(regions, order, F.to_timestamp(F.lit(STAMP)))
 
 
@@ -243,17 +243,25 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d1_nearest_char", duck("figures doc_pages chars", R + NEAR + NEAREST))
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.nearest_char_by_page(flipped(spark, sf_dir), page_chars(spark, sf_dir))
+    return layout.nearest_char(flipped(spark, sf_dir), view(spark, sf_dir, "chars"))
 
 
 @query("d1_nearest_char_long", duck("figures doc_pages chars", R + NEAR + NEAREST))
 def nearest_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.nearest_char(flipped(spark, sf_dir), view(spark, sf_dir, "chars"))
+    """With boxes of a word's size."""
+    return layout.nearest_char(flipped(spark, sf_dir), view(spark, sf_dir, "chars"), box=16)
 
 
 @query("d1_nearest_char_in_row", duck("figures doc_pages chars", R + NEAR + NEAREST))
 def nearest_in_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.nearest_char_in_row(flipped(spark, sf_dir), page_chars(spark, sf_dir))
+    """From one row of characters a page."""
+    return layout.nearest_char_by_page(flipped(spark, sf_dir), page_chars(spark, sf_dir))
+
+
+@query("d1_nearest_char_text", duck("figures doc_pages chars", R + NEAR + NEAREST))
+def nearest_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the nested text of pages, whose lines are the boxes."""
+    return layout.nearest_char_by_page(flipped(spark, sf_dir), page_text(spark, sf_dir))
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,7 +388,7 @@ def by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h2_reading_order", duck("figures doc_pages chars", R + NEAR + KEYS + " SELECT figure_id, sort_key FROM k"))
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.reading_order_key_by_page(flipped(spark, sf_dir), page_chars(spark, sf_dir), view(spark, sf_dir, "doc_pages"))
+    return layout.reading_order_key(flipped(spark, sf_dir), view(spark, sf_dir, "chars"), view(spark, sf_dir, "doc_pages"))
 
 
 def _ranked_sql(query: str, k: int) -> str:
