@@ -3,8 +3,9 @@
 Where a tokenizer's pre-tokenizer never lets a token cross certain places (the two kinds below), the ids of a
 text are the ids of the chunks between these places in order, so the library sees each distinct chunk once.
 Texts are cut as byte arrays and numbered by Arrow's dictionary encoding; Python handles distinct chunks only.
-Any other tokenizer, and any text with white space that libraries class differently or with the mark of a
-special token, is encoded whole.
+White space that libraries class differently, and the mark of a special token, are encoded with what stands
+about them between two places that are safe whatever they are, and the rest of the text as ever; a text of any other tokenizer is
+encoded whole.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ ODD_ASCII = [9, 11, 12, 13, 28, 29, 30, 31]
 ODD_WIDE = ["\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　"]
 IS_ODD = np.zeros(256, bool)
 IS_ODD[ODD_ASCII] = True
-LETTER, MARK, LATIN = (np.zeros(256, bool) for _ in range(3))
+LETTER, MARK, LATIN, ENDS_WORD = (np.zeros(256, bool) for _ in range(4))
+STARTS_ODD = tuple(bytes([x]) for x in ODD_ASCII) + tuple(c.encode() for c in ODD_WIDE) + tuple(b" " + bytes([x]) for x in ODD_ASCII)
+ENDS_WORD[[9, 10, 11, 12, 13, SPACE]] = True
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 MARK[33:127] = ~LETTER[33:127]
 MARK[QUOTE] = False  # binds to what follows, as in 's
@@ -70,6 +73,8 @@ class Encoder:
     def _spaces(made: dict) -> str | None:
         """kept: byte-level chunks that begin with at most one space; dropped: white space only parts words."""
         pre, model = made["pre_tokenizer"] or {}, made["model"]
+        if any(not x["content"].startswith("<|") or len(x["content"].split()) != 1 or x["content"] != x["content"].strip() or x["lstrip"] or x["rstrip"] for x in made["added_tokens"]):
+            return None
         if model["type"] != "BPE" or made["post_processor"] and made["post_processor"]["type"] not in ("ByteLevel",) or model.get("dropout"):
             return None
         if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not made["normalizer"]:
@@ -82,10 +87,8 @@ class Encoder:
                 return "dropped"
         return None
 
-    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Which rows must be encoded in one piece."""
-        if self.spaces is None:
-            return np.ones(len(offsets) - 1, bool)
+    def _hits(self, data: np.ndarray) -> np.ndarray:
+        """Places of what libraries class differently, in order: what stands there is encoded with its surroundings, in one piece."""
         hits = [np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))]
         if self.spaces == "kept":
             hits.append(np.flatnonzero(IS_ODD[data]))
@@ -97,24 +100,48 @@ class Encoder:
                 for tail in tails if len(at) else ():
                     here = at[at + len(tail) < len(data)]
                     hits.append(here[np.logical_and.reduce([data[here + k + 1] == x for k, x in enumerate(tail)])])
-        return _rows_with(np.concatenate(hits), offsets)
+        return np.unique(np.concatenate(hits))
 
-    @staticmethod
-    def pieces(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray, most: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets of stretches of about `most` bytes and the row of each: long rows are cut before single spaces."""
-        rows, cuts = [np.arange(len(offsets) - 1)], [offsets[:-1]]
-        for row in np.flatnonzero((np.diff(offsets) > 2 * most) & ~whole).tolist():
+    def _safe(self, data: np.ndarray) -> np.ndarray:
+        """Places where a text can be cut in two whatever else is in it: white space that ends a word of ASCII letters or digits.
+
+        No token goes on from a letter into white space, and what follows is read from the white space on. Where white space only parts
+        words, a single space between two letters.
+        """
+        if self.spaces == "kept":
+            return 1 + np.flatnonzero(LETTER[data[:-1]] & ENDS_WORD[data[1:]])
+        return 1 + np.flatnonzero(LETTER[data[:-2]] & (data[1:-1] == SPACE) & LETTER[data[2:]])
+
+    def pieces(self, data: np.ndarray, offsets: np.ndarray, most: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets of pieces of the rows, the row of each, and whether it is to be encoded whole.
+
+        Rows of more than 2 * most bytes are cut into stretches before single spaces; about each hit a piece from one safe place to the next is
+        cut out, however long its row.
+        """
+        n = len(offsets) - 1
+        if self.spaces is None or not len(data):
+            return offsets, np.arange(n), np.ones(n, bool)
+        hits, chosen = self._hits(data), []
+        if len(hits):
+            safe = np.concatenate(([0], self._safe(data), [len(data)]))
+            k, j = np.searchsorted(safe, hits, "right"), np.searchsorted(offsets, hits, "right")
+            chosen += [np.maximum(safe[k - 1], offsets[j - 1]), np.minimum(safe[np.minimum(k, len(safe) - 1)], offsets[j])]
+        with_hits = _rows_with(hits, offsets)
+        for row in np.flatnonzero(np.diff(offsets) > 2 * most).tolist():
             begin, end = int(offsets[row]), int(offsets[row + 1])
             body = data[begin:end]
-            gap = (body[1:-1] == SPACE) & (body[:-2] != SPACE) & (body[:-2] != LINE) & (body[2:] != SPACE) & (body[2:] != LINE)
-            places = begin + 1 + np.flatnonzero(gap)
-            chosen = np.unique(np.searchsorted(places, np.arange(begin + most, end - most, most)))
-            chosen = places[chosen[chosen < len(places)]]
-            cuts.append(chosen)
-            rows.append(np.full(len(chosen), row))
-        row, cut = np.concatenate(rows), np.concatenate(cuts)
+            if with_hits[row]:
+                places = begin + self._safe(body)
+            else:
+                gap = (body[1:-1] == SPACE) & (body[:-2] != SPACE) & (body[:-2] != LINE) & (body[2:] != SPACE) & (body[2:] != LINE)
+                places = begin + 1 + np.flatnonzero(gap)
+            at = np.unique(np.searchsorted(places, np.arange(begin + most, end - most, most)))
+            chosen.append(places[at[at < len(places)]])
+        inner = np.setdiff1d(np.concatenate(chosen), offsets) if chosen else np.zeros(0, np.int64)
+        row, cut = np.concatenate((np.arange(n), np.searchsorted(offsets, inner, "right") - 1)), np.concatenate((offsets[:-1], inner))
         order = np.lexsort((cut, row))
-        return np.append(cut[order], offsets[-1]), row[order]
+        row, cuts = row[order], np.append(cut[order], offsets[-1])
+        return cuts, row, _rows_with(hits, cuts)
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
         """Where chunks begin. No token of the library's crosses such a place."""
@@ -146,14 +173,11 @@ class Encoder:
             cut[offsets[:-1][np.diff(offsets) > 0]] = True
         return np.flatnonzero(cut)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-
     def _encoded(self, chunks: list[bytes]) -> list[np.ndarray]:
         """The ids of each chunk; chunks are handed to the library many at a time, parted by a text of one id."""
         out: list[np.ndarray | None] = [None] * len(chunks)
         mark = self.between.strip(" ").encode() if self.between else b""
-        together = [i for i, c in enumerate(chunks) if self.between and len(c) <= LONGEST and mark not in c and b"<|" not in c and c.strip(b" \n")]
+        together = [i for i, c in enumerate(chunks) if self.between and len(c) <= LONGEST and mark not in c and b"<|" not in c and c.strip(b" \n") and not c.startswith(STARTS_ODD)]
         groups = [together[k : k + TOGETHER] for k in range(0, len(together), TOGETHER)]
         texts = [self.between.encode().join([chunks[i] for i in group]).decode() for group in groups]
         for lo in range(0, len(texts), 16):
@@ -163,9 +187,16 @@ class Encoder:
                 if len(at) == len(group) - 1:
                     for i, a, b in zip(group, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]):
                         out[i] = ids[a:b]
-        for i, made in enumerate(out):
-            if made is None:
-                out[i] = self._ids(chunks[i].decode())
+        rest = [i for i, made in enumerate(out) if made is None]
+        lo = 0
+        while lo < len(rest):  # many to a call, but not many long ones
+            hi, size = lo, 0
+            while hi < len(rest) and (hi == lo or hi - lo < TOGETHER and size < 1 << 16):
+                size += len(chunks[rest[hi]])
+                hi += 1
+            for i, made in zip(rest[lo:hi], self.tokenizer.encode_batch_fast([chunks[i].decode() for i in rest[lo:hi]], add_special_tokens=False)):
+                out[i] = np.array(made.ids, self.dtype)
+            lo = hi
         return out
 
     def _forget(self) -> None:
@@ -227,13 +258,15 @@ class Encoder:
     def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a string column; of null, none."""
         data, offsets = text_bytes(column)
-        whole = self._whole(data, offsets)
-        cuts, row = self.pieces(data, offsets, whole)
+        cuts, row, whole = self.pieces(data, offsets)
+        last = np.append(row[1:] != row[:-1], True)  # of a row's pieces
         held: list[np.ndarray] = []
         for lo, hi in row_chunks(cuts, STRETCH):
-            ids, n = self.encode(data[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], whole[row[lo:hi]])
-            for k, part in zip(range(lo, hi), np.split(ids, np.cumsum(n)[:-1])):
-                held.append(part)
-                if k + 1 == len(row) or row[k + 1] != row[k]:
-                    yield held[0] if len(held) == 1 else np.concatenate(held)
-                    held = []
+            ids, n = self.encode(data[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], whole[lo:hi])
+            ends = np.cumsum(n)[last[lo:hi]].tolist()  # of the rows that end here
+            for a, b in zip([0, *ends], ends):
+                held.append(ids[a:b])
+                yield held[0] if len(held) == 1 else np.concatenate(held)
+                held = []
+            if not last[hi - 1]:
+                held.append(ids[ends[-1] if ends else 0 :])
