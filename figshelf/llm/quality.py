@@ -4,8 +4,8 @@ Base rules (on words `[^\\x20\\x09-\\x0D]+`): a text fails with fewer than MIN_W
 more than MAX_REPEAT_WORDS per cent of its words lie in 5-word windows found twice or more.
 
 Suffix-array repetition: of every suffix (at a word) that shares at least REPEAT_WORDS words with
-another suffix of the same text, a suffix array is built by prefix doubling, and with it the longest
-common prefixes of neighbours. The LCP intervals that hold a suffix name the repeated substrings that
+another suffix of the same text, a suffix array is built by prefix doubling, and then the longest
+common prefixes of neighbours by halving over hashes of prefixes; no level of the doubling is kept. The LCP intervals that hold a suffix name the repeated substrings that
 begin there; all are prefixes of the deepest interval's, whose depth is the larger LCP of its two
 neighbours. So the union of the spans of all maximal repeats is the union of [p, p + depth(p)). A text
 is rejected if that union holds more than MAX_COVERED per cent of its words' characters, or if the
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from figshelf.llm.common import bounded_batches, col, documents, map_batches, quoted, row_chunks, text_bytes
-from figshelf.llm.words import U, Words, covered, mix, repeated, words_of
+from figshelf.llm.words import BASE, U, WHITE, Words, covered, mix, repeated, words_of
 
 MIN_WORDS, WINDOW, MAX_REPEAT_WORDS = 10, 5, 20
 REPEAT_WORDS, MAX_COVERED, MAX_LONGEST = 10, 20, 100
+PAIRS = 1 << 18  # pairs of suffixes compared at once
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_chars long, longest_repeat long, base_failed boolean, kept boolean"
@@ -39,45 +40,59 @@ def longest_repeats(words: Words, hashes: np.ndarray, at: np.ndarray, keys: np.n
     at, keys: the windows' first words and their keys, equal only for equal windows of one text.
     """
     twice = repeated(keys)
-    at, keys = at[twice], keys[twice]
-    n = len(at)
+    small = np.int32 if len(words) < 1 << 30 else np.int64
+    at, keys = at[twice].astype(small), keys[twice]
+    n, m = len(at), len(words)
     if not n:
         return at, np.zeros(0, np.int64)
     # rank[i] orders the prefixes of suffix i; suffixes outside `at` occur once and rank by place
-    place = np.full(len(words) + 1, -1, np.int64)
-    place[at] = np.arange(n)
-    rank = np.unique(keys, return_inverse=True)[1].astype(np.int64)
-    levels, length = [(size, rank)], size
+    place = np.full(m + 1, -1, small)
+    place[at] = np.arange(n, dtype=small)
+    rank, length = np.unique(keys, return_inverse=True)[1].astype(small), size
+    del keys, twice
     while True:
-        nxt = np.minimum(at + length, len(words))
-        there = place[nxt]
-        second = np.where(there >= 0, rank[there], n + nxt)
-        order = np.lexsort((second, rank))
-        new = np.empty(n, np.int64)
-        fresh = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
-        new[order] = np.concatenate(([0], np.cumsum(fresh)))
-        rank, length = new, 2 * length
-        if new.max() == n - 1:
+        both = np.minimum(at.astype(np.int64) + length, m)
+        there = place[both]
+        both = np.where(there >= 0, rank[there], n + both)
+        del there
+        both += rank.astype(np.int64) * (n + m + 1)
+        order = np.argsort(both, kind="stable").astype(small)
+        both = both[order]
+        rank[order] = np.append(0, np.cumsum(both[1:] != both[:-1])).astype(small)
+        if rank[order[-1]] == n - 1:  # all ranks differ: the suffix array
             break
-        levels.append((length, rank))
-    suffixes = order  # all ranks differ: the suffix array
-    a, b = at[suffixes[:-1]], at[suffixes[1:]]
-    lcp = np.zeros(n - 1, np.int64)
-    for length, rank in reversed(levels):
-        pa_, pb = place[np.minimum(a + lcp, len(words))], place[np.minimum(b + lcp, len(words))]
-        lcp += length * ((pa_ >= 0) & (pb >= 0) & (rank[pa_] == rank[pb]))
-    going, text = lcp > 0, np.append(words.text, -1)
-    one = np.append(hashes, U(0))
-    for _ in range(size - 1):
-        x, y = np.minimum(a + lcp, len(words)), np.minimum(b + lcp, len(words))
-        going &= (one[x] == one[y]) & (text[x] == text[a]) & (text[y] == text[b]) & (text[a] == text[b])
-        lcp += going
-    best = np.zeros(n, np.int64)
-    best[suffixes[:-1]] = lcp
-    best[suffixes[1:]] = np.maximum(best[suffixes[1:]], lcp)
+        length *= 2
+    del both, place, rank
+    lcp = _common(words, hashes, at[order[:-1]], at[order[1:]])
+    lcp[lcp < size] = 0
+    best = np.zeros(n, lcp.dtype)
+    best[order[:-1]] = lcp
+    best[order[1:]] = np.maximum(best[order[1:]], lcp)
     return at, best
 
 
+def _common(words: Words, hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words from a and from b on are equal, inside the text of each: halved over hashes of prefixes of all words."""
+    power = np.full(len(words) + 1, BASE, U)
+    power[0] = 1
+    np.cumprod(power, dtype=U, out=power)
+    sums = np.zeros(len(words) + 1, U)
+    np.cumsum(hashes * power[:-1], dtype=U, out=sums[1:])
+    out = np.zeros(len(a), np.int32 if len(words) < 1 << 31 else np.int64)
+    for k in range(0, len(a), PAIRS):
+        x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+        first, apart = np.minimum(x, y), np.abs(y - x)
+        low, high = np.zeros(len(x), np.int64), np.minimum(words.first[words.text[x] + 1] - x, words.first[words.text[y] + 1] - y)
+        high[words.text[x] != words.text[y]] = 0
+        while len(todo := np.flatnonzero(low < high)):
+            at, d, middle = first[todo], apart[todo], (low[todo] + high[todo] + 1) // 2
+            same = (sums[at + middle] - sums[at]) * power[d] == sums[at + d + middle] - sums[at + d]
+            low[todo[same]] = middle[same]
+            high[todo[~same]] = middle[~same] - 1
+        out[k : k + PAIRS] = low
+    return out
+
+
 def repeated_lines(text: bytes) -> int:
     """Lines with a word that equal an earlier line."""
     seen: set[bytes] = set()
@@ -95,9 +110,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     words = words_of(data, offsets)
     hashes, n_words = words.hashes(), words.per_text
-    starts = np.append(np.zeros(1, np.int64), np.cumsum((data & 0xC0 != 0x80) & ~np.isin(data, [9, 10, 11, 12, 13, 32])))
-    word_chars = starts[offsets[1:]] - starts[offsets[:-1]]
-    symbols = np.append(np.zeros(1, np.int64), np.cumsum(SYMBOL[data]))
+    small = np.int32 if len(data) < 1 << 31 else np.int64
+    starts = np.zeros(len(data) + 1, small)
+    np.cumsum((data & 0xC0 != 0x80) & ~WHITE[data], dtype=small, out=starts[1:])
+    word_chars = (starts[offsets[1:]] - starts[offsets[:-1]]).astype(np.int64)
+    symbols = np.searchsorted(np.flatnonzero(SYMBOL[data]), offsets)
     at, grams = words.windows(WINDOW, hashes)
     # the text's number goes into the key: windows of different texts are never equal
     keys = mix(grams + mix(words.text[at].astype(U) + U(1)))
@@ -112,17 +129,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     a = at[twice]
     a = a[a + half < len(words)]
     a = a[is_twice[a + half] & (words.text[a] == words.text[a + half])]
-    p, best = longest_repeats(words, hashes, a, mix(key_at[a] * U(0xD6E8FEB86659FD93) + key_at[a + half]), REPEAT_WORDS)
+    ten = mix(key_at[a] * U(0xD6E8FEB86659FD93) + key_at[a + half])
+    del at, grams, keys, twice, key_at, is_twice
+    p, best = longest_repeats(words, hashes, a, ten, REPEAT_WORDS)
     in_repeat = np.flatnonzero(covered(p, best, len(words)))
     n_covered = np.zeros(n, np.int64)
-    np.add.at(n_covered, words.text[in_repeat], starts[words.end[in_repeat]] - starts[words.start[in_repeat]])
+    np.add.at(n_covered, words.text[in_repeat], (starts[words.end[in_repeat]] - starts[words.start[in_repeat]]).astype(np.int64))
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, words.text[p], best)
     raw = data.tobytes()
     dup = np.array([repeated_lines(raw[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64)
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_WORDS * n_words)
     return {
-        "n_words": n_words, "word_chars": word_chars, "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
+        "n_words": n_words, "word_chars": word_chars, "n_symbols": np.diff(symbols),
         "n_dup_lines": dup, "n_repeat_words": n_repeat, "n_covered_chars": n_covered, "longest_repeat": longest,
         "base_failed": failed, "kept": ~failed & (100 * n_covered <= MAX_COVERED * word_chars) & (longest <= MAX_LONGEST),
     }
