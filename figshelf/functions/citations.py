@@ -12,9 +12,3 @@ def encode_citations(items: Column) -> Column:
     for made, wanted in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         out = F.replace(out, F.lit(made), F.lit(wanted))
     return out
-
-
-def keep_disjoint(items: Column) -> Column:
-    """Of structs with `uris`, in order, those that share no URI with one kept before."""
-    none = F.slice(items, 1, 0)
-    return F.aggregate(items, none, lambda kept, x: F.when(F.exists(kept, lambda k: F.arrays_overlap(k["uris"], x["uris"])), kept).otherwise(F.concat(kept, F.array(x))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +94,9 @@ def search_work(regions: DataFrame, chars: DataFrame, box: int = BOX) -> DataFra
     """One row (n_pairs, n_boxes, n_chars): pairs of regions and characters of their pages, and the distances that nearest_char works out to boxes and to characters."""
     _, boxes, letters = _searched(regions, chars, box)
     page = ["attachment_id", "page"]
-    pairs = regions.groupBy(*page).agg(F.count(F.lit(1)).alias("a")).join(chars.groupBy(*page).agg(F.count(F.lit(1)).alias("b")), page).agg(F.sum(F.col("a") * F.col("b")).alias("n_pairs"))
-    return pairs.join(boxes.agg(F.count(F.lit(1)).alias("n_boxes")), how="cross").join(letters.agg(F.count(F.lit(1)).alias("n_chars")), how="cross")
+    pairs = regions.groupBy(*page).agg(F.count(F.lit(1)).alias("a")).join(chars.groupBy(*page).agg(F.count(F.lit(1)).alias("b")), page).select((F.col("a") * F.col("b")).alias("n_pairs"))
+    counts = [pairs, boxes.select(F.lit(1).alias("n_boxes")), letters.select(F.lit(1).alias("n_chars"))]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), counts).agg(*(F.sum(c).alias(c) for c in ("n_pairs", "n_boxes", "n_chars")))
 
 
 def _boxed(chars: Column) -> Column:

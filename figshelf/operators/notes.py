@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figshelf.functions.citations import encode_citations, keep_disjoint
+from figshelf.functions.citations import encode_citations
+from figshelf.operators.ordered import AT, PART, keyed, running_sum, same_rows, sorted_ranges, with_before
+from figshelf.sources.storage import stored
+
+#: Citations of a note that are gone through in order; rounds over notes with more.
+FOLD, ROUNDS = 100_000, 40
 
 
 def resolve_parents(lines: DataFrame, attachments: DataFrame, items: DataFrame) -> DataFrame:
@@ -18,20 +27,43 @@ def resolve_parents(lines: DataFrame, attachments: DataFrame, items: DataFrame)
     return lines.join(files, "attachment_id", "left").join(titles, "item_id", "left")
 
 
+def _marked(lines: DataFrame) -> DataFrame:
+    """lines in ranges of (note_id, seq), each with what the line before it in its note has."""
+    columns = [c for c in ("attachment_id", "item_id") if c in lines.columns]
+    return with_before(sorted_ranges(lines, ["note_id"], ["seq"]), ["note_id"], columns)
+
+
+def _numbered(marked: DataFrame) -> DataFrame:
+    new = (F.col("__first") | ~F.col("__before_attachment_id").eqNullSafe(F.col("attachment_id"))).cast("long")
+    return running_sum(marked, ["note_id"], new, "run_no")
+
+
+def _unmarked(rows: DataFrame) -> DataFrame:
+    return rows.drop(PART, AT, "__first", "__before_attachment_id", "__before_item_id")
+
+
+def _changes(marked: DataFrame) -> DataFrame:
+    change = ~F.col("__first") & ~F.col("__before_item_id").eqNullSafe(F.col("item_id"))
+    return marked.groupBy("note_id").agg(F.bool_or(change).alias("spans_items"))
+
+
 def group_runs(lines: DataFrame) -> DataFrame:
-    """lines with run_no from 1: annotations of one attachment in a row; a later return begins a new run."""
-    order = Window.partitionBy("note_id").orderBy("seq")
-    before = F.lag("attachment_id").over(order)
-    first = F.row_number().over(order) == 1
-    new = (first | ~before.eqNullSafe(F.col("attachment_id"))).cast("long")
-    return lines.withColumn("__new", new).withColumn("run_no", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+    """lines with run_no from 1: annotations of one attachment in a row; a later return begins a new run.
+
+    A note's lines may go over any number of tasks (see ordered).
+    """
+    return _unmarked(_numbered(_marked(lines)))
 
 
 def spans_items(lines: DataFrame) -> DataFrame:
     """(note_id, spans_items): whether the top item changes between neighbours."""
-    order = Window.partitionBy("note_id").orderBy("seq")
-    change = (F.row_number().over(order) > 1) & ~F.lag("item_id").over(order).eqNullSafe(F.col("item_id"))
-    return lines.withColumn("__change", change).groupBy("note_id").agg(F.bool_or("__change").alias("spans_items"))
+    return _changes(_marked(lines))
+
+
+def runs_and_spans(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """group_runs and spans_items of the same lines, which are sorted once."""
+    marked = _marked(lines)
+    return _unmarked(_numbered(marked)), _changes(marked)
 
 
 def runs(lines: DataFrame) -> DataFrame:
@@ -52,12 +84,13 @@ def headings(groups: DataFrame, spans: DataFrame) -> DataFrame:
     An item's title heads a group if the note spans items, it is not empty and the group before is of
     another item. An attachment's title heads a group without an item, or of an item with more than one group.
     """
-    order = Window.partitionBy("note_id").orderBy("run_no")
-    first = F.row_number().over(order) == 1
-    other = F.when(first, F.col("item_id").isNotNull()).otherwise(~F.lag("item_id").over(order).eqNullSafe(F.col("item_id")))
+    seen = with_before(sorted_ranges(groups, ["note_id"], ["run_no"]), ["note_id"], ["item_id"])
+    other = F.when(F.col("__first"), F.col("item_id").isNotNull()).otherwise(~F.col("__before_item_id").eqNullSafe(F.col("item_id")))
     shown = F.col("spans_items") & (F.coalesce("item_title", F.lit("")) != "") & other
-    several = F.count(F.lit(1)).over(Window.partitionBy("note_id", "item_id")) > 1
-    return groups.join(spans, "note_id").withColumns({"item_heading": F.when(shown, F.col("item_title")), "attachment_heading": F.when(F.col("item_id").isNull() | several, F.col("attachment_title"))})
+    several = seen.where("item_id IS NOT NULL").groupBy("note_id", "item_id").agg((F.count(F.lit(1)) > 1).alias("__several"))
+    rows = _unmarked(seen.join(spans, "note_id").join(several, ["note_id", "item_id"], "left").withColumn("item_heading", F.when(shown, F.col("item_title"))))
+    named = F.when(F.col("item_id").isNull() | F.coalesce("__several", F.lit(False)), F.col("attachment_title"))
+    return rows.withColumn("attachment_heading", named).select(*groups.columns, "spans_items", "item_heading", "attachment_heading")
 
 
 def note_schema_version(lines: DataFrame) -> DataFrame:
@@ -75,13 +108,68 @@ def first_citations(citations: DataFrame) -> DataFrame:
     return first.unionByName(citations.where(~names).select("note_id", "seq", "uris"))
 
 
-def dedupe_citations(citations: DataFrame) -> DataFrame:
-    """(note_id, items): in order of seq, the citations that share no URI with one kept before.
+def kept_citations(citations: DataFrame, fold: int = FOLD) -> DataFrame:
+    """(note_id, seq, uris): in order of seq, the citations that share no URI with one kept before.
 
-    The fold depends on its order and runs over one note at a time, over its different lists of URIs.
+    Notes of up to `fold` different citations are gone through in order, a row at a time beside the set of URIs taken. Larger ones go in rounds,
+    over any number of tasks: an open citation that is the first of its note on each of its URIs is kept, and every open citation with one of these URIs
+    closes; what is left open goes on. Rounds end when no note has more than `fold` open citations, or after ROUNDS (of a chain, in which each citation
+    shares a URI with the next, a round settles two).
     """
-    items = F.sort_array(F.collect_list(F.struct("seq", "uris")))
-    return first_citations(citations).groupBy("note_id").agg(keep_disjoint(items).alias("items"))
+    rows = first_citations(citations)
+    named = rows.where(F.exists("uris", lambda u: u.isNotNull()))
+    kept = [rows.where(~F.coalesce(F.exists("uris", lambda u: u.isNotNull()), F.lit(False)))]
+    large = named.groupBy("note_id").count().where(F.col("count") > fold).select("note_id")
+    if not large.isEmpty():
+        large = keyed(stored(large, "large-notes"), ["note_id"])
+        named = stored(named, "citations")
+        open_ = named.join(large, same_rows(named, large, ["note_id"]), "left_semi")
+        named = named.join(large, same_rows(named, large, ["note_id"]), "left_anti")
+        for _ in range(ROUNDS):
+            winners, open_ = _round(open_)
+            kept.append(winners)
+            if open_.groupBy("note_id").count().where(F.col("count") > fold).isEmpty():
+                break
+        named = named.unionByName(open_)
+    return reduce(DataFrame.unionByName, kept, _folded(named))
+
+
+def _round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The citations that come first on all their URIs, and those that share none of these URIs."""
+    row, place = ["note_id", "seq", "uris"], ["note_id", "__uri"]
+    each = open_.withColumn("__uri", F.explode(F.array_distinct(F.filter("uris", lambda u: u.isNotNull()))))
+    first = keyed(each.groupBy(*place).agg(F.min(F.struct("seq", "uris")).alias("__min")), place)
+    wins = each.join(first, same_rows(each, first, place)).groupBy(*row).agg(F.bool_and(F.struct("seq", "uris").eqNullSafe(F.col("__min"))).alias("__wins"))
+    winners = stored(wins.where("__wins").select(*row), "kept-citations")
+    taken = keyed(winners.select("note_id", F.explode("uris").alias("__uri")).where("__uri IS NOT NULL"), place)
+    closed = keyed(each.join(taken, same_rows(each, taken, place), "left_semi").select(*row).distinct(), row)
+    return winners, stored(open_.join(closed, same_rows(open_, closed, row), "left_anti"), "open-citations")
+
+
+def _folded(citations: DataFrame) -> DataFrame:
+    """Notes in order, beside the set of URIs that the current one has taken."""
+    note, seq, uris = (f.dataType.simpleString() for f in citations.select("note_id", "seq", "uris").schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, taken = None, set()
+        for batch in batches:
+            keep = []
+            for n, names in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if n != current:
+                    current, taken = n, set()
+                names = {x for x in names if x is not None}
+                keep.append(taken.isdisjoint(names))
+                if keep[-1]:
+                    taken |= names
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    in_order = citations.select("note_id", "seq", "uris").repartition("note_id").sortWithinPartitions("note_id", "seq", "uris")
+    return in_order.mapInArrow(fold, f"note_id {note}, seq {seq}, uris {uris}")
+
+
+def dedupe_citations(citations: DataFrame) -> DataFrame:
+    """(note_id, items): the kept citations of each note, in order."""
+    return kept_citations(citations).groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("seq", "uris"))).alias("items"))
 
 
 def note_html(groups: DataFrame, citations: DataFrame, versions: DataFrame, title: str = "图表") -> DataFrame:
@@ -119,6 +207,7 @@ def create_notes(lines: DataFrame, attachments: DataFrame, items: DataFrame, cit
     if lines.isEmpty():
         raise ValueError("no annotations")
     resolved = resolve_parents(lines, attachments, items)
-    groups = headings(runs(group_runs(resolved)), spans_items(resolved))
+    lines_in_runs, spans = runs_and_spans(resolved)
+    groups = headings(runs(lines_in_runs), spans)
     made = note_html(groups, dedupe_citations(citations), note_schema_version(lines), title)
     return made if wishes is None else made.join(note_places(lines, wishes), "note_id")

@@ -353,7 +353,7 @@ def _coded(fields: str) -> str:
 
 @query("f2_dedupe_citations", duck("citations", FOLD + " SELECT note_id, seq, u1 || ' ' || u2 AS uris FROM kept", recursive=True))
 def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes.dedupe_citations(cited(spark, sf_dir)).select("note_id", F.explode("items").alias("i")).select("note_id", "i.seq", F.array_join("i.uris", " ").alias("uris"))
+    return notes.kept_citations(cited(spark, sf_dir)).select("note_id", "seq", F.array_join("uris", " ").alias("uris"))
 
 
 @query("g1_runs", duck(NOTES, L + RUNS + " SELECT note_id, seq, run_no FROM v"))
@@ -367,8 +367,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = resolved(spark, sf_dir)
-    return notes.headings(notes.runs(notes.group_runs(lines)), notes.spans_items(lines))
+    lines, spans_ = notes.runs_and_spans(resolved(spark, sf_dir))
+    return notes.headings(notes.runs(lines), spans_)
 
 
 @query("g3_g4_headings", duck(NOTES, L + RUNS + SPANS + GROUPS + HEADS + " SELECT note_id, run_no, n_lines, item_heading, attachment_heading FROM h"))

@@ -10,7 +10,7 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Hadoop's names of stores that pyarrow knows by another name.
 SAME_STORE = {"s3a": "s3", "s3n": "s3"}
@@ -63,6 +63,13 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(at, True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives a lost executor."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _hadoop(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path as it wants it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
