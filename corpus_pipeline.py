@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from figshelf.llm import common, lines, mixing, near_duplicates, packing, quality
+from figshelf.sources.storage import new_folder, remove
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -54,9 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    """The stages over documents. Each stage's table goes when the next one's is there: the last stage keeps one of its own."""
+    docs, before = common.documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        folder = None
         if k < len(STAGES) - 1:
-            docs = common.written(docs, f"stage-{k}")
+            folder = new_folder(spark, f"stage-{k}")
+            docs = common.written_to(docs, folder)
+        if before:
+            remove(spark, before)
+        before = folder
     return docs
