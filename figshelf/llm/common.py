@@ -41,10 +41,11 @@ Writer = Callable[..., DataFrame]
 
 def written(df: DataFrame, name: str, keep: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives a lost executor. Removed when the driver's Python ends."""
-    return _table(df, new_folder(df.sparkSession, name))
+    return written_to(df, new_folder(df.sparkSession, name))
 
 
-def _table(df: DataFrame, path: str) -> DataFrame:
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table in a folder of the caller's."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,7 +59,7 @@ def working_tables(spark: SparkSession) -> Iterator[Writer]:
         path = new_folder(spark, name)
         if not keep:
             made.append(path)
-        return _table(df, path)
+        return written_to(df, path)
 
     try:
         yield write
