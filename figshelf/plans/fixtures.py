@@ -68,15 +68,24 @@ def _text(name: str, spelling: dict[str, str]) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _text(name, SPARK)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
+    if name == "chars":
+        tables["documents"] = _dealt(tables["documents"])
+    return spark.sql(text, **tables)
+
+
+def _dealt(documents: DataFrame) -> DataFrame:
+    """Documents dealt out before they become thousands of rows each, as one small file is one task. By a number, as Spark would put few bytes together again."""
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return documents.select("doc_id", "n_chars").repartition(parts, "doc_id")
 
 
 def page_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The characters of `chars` as one row a page; the documents are dealt out first, as one small file is one task."""
+    """The characters of `chars` as one row a page."""
     text = """SELECT doc_id AS attachment_id, p AS page, transform(sequence(CAST(0 AS BIGINT), least(3000, n_chars - p * 3000) - 1), o -> named_struct(
         'cx1', 36.0e0 + (o % 60) * 9, 'cy1', 746.0e0 - ((o - o % 60) / 60) * 14, 'cx2', 44.0e0 + (o % 60) * 9, 'cy2', 756.0e0 - ((o - o % 60) / 60) * 14)) AS chars
         FROM (SELECT doc_id, n_chars, explode(sequence(0, CAST((n_chars - 1) DIV 3000 AS INT))) AS p FROM {documents} WHERE n_chars > 0) z"""
-    return spark.sql(text, documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars").repartition("doc_id"))
+    return spark.sql(text, documents=_dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def duck(names: str, body: str, recursive: bool = False) -> str:
