@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figshelf.functions.geometry import rect_distance
+from figshelf.sources.storage import stored
 
 RECT = ("x1", "y1", "x2", "y2")
 CHAR = ("cx1", "cy1", "cx2", "cy2")
@@ -33,6 +34,7 @@ def unplaced(flipped: DataFrame) -> DataFrame:
 
 #: Characters in a row, in reading order, that share a box.
 BOX = 64
+SENT = 250_000  # regions, or boxes for them, of some 80 bytes each that are broadcast: 20 MB
 OUTER = ("ox1", "oy1", "ox2", "oy2")
 
 
@@ -68,12 +70,19 @@ def _searched(regions: DataFrame, chars: DataFrame, box: int) -> tuple[DataFrame
     pairs = places.join(char_boxes(chars, box), page).withColumn("low", low)
     by_low = Window.partitionBy("figure_id").orderBy("low", "box")
     ranked = pairs.select("figure_id", *keys, "low", *RECT).withColumn("first", F.row_number().over(by_low) == 1)
-    near = ranked.where("first").join(letters, keys).select("figure_id", "box", _dist(RECT, CHAR).alias("d"), "char_offset")
+    if few := regions.limit(SENT + 1).count() <= SENT:
+        ranked = stored(ranked, "boxes")  # small, as a box is; characters are read again rather than shuffled
+    tried = lambda of, sent: (F.broadcast(of) if sent else of).join(letters, keys).select("figure_id", "box", _dist(RECT, CHAR).alias("d"), "char_offset")
+    near = tried(ranked.where("first"), few)
     found = _least(near).join(ranked.where("first").select("figure_id", F.col("box").alias("best")), "figure_id")
+    if few:
+        found = stored(found, "found")
     # a box that comes later cannot win by a tie
     open_ = (F.col("low") < F.col("least")) | ((F.col("low") == F.col("least")) & (F.col("box") < F.col("best")))
     rest = ranked.where("NOT first").join(found.select("figure_id", "least", "best"), "figure_id").where(open_)
-    more = rest.join(letters, keys).select("figure_id", "box", _dist(RECT, CHAR).alias("d"), "char_offset")
+    if few:
+        rest = stored(rest, "rest")
+    more = tried(rest, few and rest.limit(SENT + 1).count() <= SENT)
     both = found.select("figure_id", F.col("least").alias("d"), F.col("offset").alias("char_offset")).unionByName(more.select("figure_id", "d", "char_offset"))
     return _least(both), pairs, near.unionByName(more)
 
@@ -84,7 +93,8 @@ def nearest_char(regions: DataFrame, chars: DataFrame, box: int = BOX) -> DataFr
     chars has a row for each character. A region on a page without characters has offset 0; a missing number is no
     gap in its direction. Branch and bound: distances to the boxes about
     characters in a row bound those to the characters; the characters of each region's nearest box are tried, then those of boxes that are
-    nearer than what that gives. Boxes are made where the characters are, and characters meet regions by their box.
+    nearer than what that gives. Boxes are made where the characters are. Up to SENT regions (counted) and boxes to look into are sent to all tasks, and
+    characters stay where they are; more of them meet the characters by a join, for which these are shuffled once.
     """
     found, _, _ = _searched(regions, chars, box)
     return regions.select("figure_id").join(found, "figure_id", "left").select("figure_id", F.coalesce("offset", F.lit(0)).alias("offset"))
@@ -99,16 +109,17 @@ def search_work(regions: DataFrame, chars: DataFrame, box: int = BOX) -> DataFra
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), counts).agg(*(F.sum(c).alias(c) for c in ("n_pairs", "n_boxes", "n_chars")))
 
 
-def _boxed(chars: Column) -> Column:
-    """A box (OUTER, odd, chars) about characters that are structs of CHAR and offset."""
+def _boxed(chars: Column, first: Column) -> Column:
+    """A box (OUTER, odd, first, chars) about characters that are structs of CHAR, in a row from the offset `first` on."""
     pick = lambda x: F.transform(chars, lambda c: c[x])
     odd = F.exists(chars, lambda c: _no_number(*(c[x] for x in CHAR)))
     hull = [F.array_min(pick("cx1")), F.array_min(pick("cy1")), F.array_max(pick("cx2")), F.array_max(pick("cy2"))]
-    return F.struct(*(x.alias(n) for x, n in zip(hull, OUTER)), odd.alias("odd"), chars.alias("chars"))
+    return F.struct(*(x.alias(n) for x, n in zip(hull, OUTER)), odd.alias("odd"), first.cast("int").alias("first"), chars.alias("chars"))
 
 
-def _numbered(chars: Column, first: Column, rect) -> Column:
-    return F.transform(chars, lambda c, i: F.struct(*(rect(c, k).alias(x) for k, x in enumerate(CHAR)), (first + i).cast("int").alias("offset")))
+def _by_name(chars: Column) -> Column:
+    """Characters that hold an array rect as structs of CHAR."""
+    return F.transform(chars, lambda c: F.struct(*(F.get(c["rect"], F.lit(k)).alias(x) for k, x in enumerate(CHAR))))
 
 
 def boxed_pages(pages: DataFrame, box: int = BOX) -> DataFrame:
@@ -124,10 +135,10 @@ def boxed_pages(pages: DataFrame, box: int = BOX) -> DataFrame:
         # where each line begins: the number of characters before it
         starts = F.aggregate(lines, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x))))
         rows = pages.select("attachment_id", "page", lines.alias("__lines"), starts.alias("__starts"))
-        cut = F.transform("__lines", lambda x, i: _boxed(_numbered(x, F.get("__starts", i), lambda c, k: F.get(c["rect"], F.lit(k)))))
+        cut = F.transform("__lines", lambda x, i: _boxed(_by_name(x), F.get("__starts", i)))
     else:
         rows = pages.select("attachment_id", "page", "chars")
-        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("chars") / box).cast("int") - 1, F.lit(0))), lambda i: _boxed(_numbered(F.slice("chars", i * box + 1, F.lit(box)), i * box, lambda c, k: c[CHAR[k]])))
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("chars") / box).cast("int") - 1, F.lit(0))), lambda i: _boxed(F.slice("chars", i * box + 1, F.lit(box)), i * box))
     return rows.select("attachment_id", "page", cut.alias("boxes"))
 
 
@@ -141,7 +152,7 @@ def nearest_char_by_page(regions: DataFrame, pages: DataFrame) -> DataFrame:
     wanted = boxed_pages(pages.join(regions.select(*keys).distinct(), keys, "left_semi"))
     rows = regions.select("figure_id", *keys, *RECT).join(wanted.hint("merge"), keys, "left")
     low = F.transform("boxes", lambda b: F.when(F.size(b["chars"]) > 0, F.when(b["odd"], 0.0).otherwise(rect_distance(tuple(b[x] for x in OUTER), region))))
-    each = lambda b: F.transform(b["chars"], lambda c: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), c["offset"].alias("offset")))
+    each = lambda b: F.transform(b["chars"], lambda c, i: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), (b["first"] + i).alias("offset")))
     rows = rows.withColumn("__low", low).withColumn("__best", F.array_position("__low", F.array_min("__low")).cast("int") - 1)
     rows = rows.withColumn("__m", F.array_min(each(F.get("boxes", F.col("__best")))))
     here = F.col("__m.d")

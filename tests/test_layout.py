@@ -57,8 +57,9 @@ def made(spark):
     return spark.createDataFrame(regions, REGION), chars, all_, want
 
 
-@pytest.mark.parametrize("box", [1, 7, 64, 10_000])
-def test_long_form(made, box):
+@pytest.mark.parametrize("box, sent", [(1, 10**6), (7, 0), (64, 10**6), (64, 0), (64, 400), (10_000, 0)])
+def test_long_form(made, box, sent, monkeypatch):
+    monkeypatch.setattr(layout, "SENT", sent)
     regions, chars, _, want = made
     assert {r["figure_id"]: r["offset"] for r in layout.nearest_char(regions, chars, box).collect()} == want
 
@@ -98,8 +99,9 @@ def test_few_distances(spark):
     assert 0 < work["n_boxes"] + work["n_chars"] < work["n_pairs"] / 10
 
 
-def test_characters_are_shuffled_once(spark, tmp_path):
+def test_characters_are_shuffled_once(spark, tmp_path, monkeypatch):
     """Characters whose boxes are looked for twice come from one shuffle; boxes are summed before theirs."""
+    monkeypatch.setattr(layout, "SENT", 0)
     sf_dir = "/root/testdata/sf0.001"
     view(spark, sf_dir, "chars").write.parquet(f"file://{tmp_path}/chars")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -113,3 +115,13 @@ def test_characters_are_shuffled_once(spark, tmp_path):
     final = plan.split("== Initial Plan ==")[0]
     moved = [x for x in final.splitlines() if "Exchange" in x and "char_offset" in x or "Exchange hashpartitioning(attachment_id" in x and ", box" in x]
     assert "ReusedExchange" in final and sum("char_offset" in x for x in moved) <= 1
+
+
+def test_characters_stay_where_they_are(spark, tmp_path):
+    """With few regions no character is shuffled."""
+    sf_dir = "/root/testdata/sf0.001"
+    view(spark, sf_dir, "chars").write.parquet(f"file://{tmp_path}/chars")
+    df = layout.nearest_char(flipped(spark, sf_dir), spark.read.parquet(f"file://{tmp_path}/chars"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and "box" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
