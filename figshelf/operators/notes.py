@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figshelf.functions.citations import encode_citations
-from figshelf.operators.ordered import AT, PART, keyed, running_sum, same_rows, sorted_ranges, with_before
+from figshelf.operators.ordered import AT, PART, has_large, keyed, running_sum, same_rows, sorted_ranges, with_before
 from figshelf.sources.storage import stored
 
 #: Citations of a note that are gone through in order; rounds over notes with more.
@@ -27,15 +27,17 @@ def resolve_parents(lines: DataFrame, attachments: DataFrame, items: DataFrame)
     return lines.join(files, "attachment_id", "left").join(titles, "item_id", "left")
 
 
-def _marked(lines: DataFrame) -> DataFrame:
-    """lines in ranges of (note_id, seq), each with what the line before it in its note has."""
+def _marked(lines: DataFrame, large: bool | None) -> DataFrame:
+    """lines, each with what the line before it in its note has; in ranges of (note_id, seq) if notes are large."""
     columns = [c for c in ("attachment_id", "item_id") if c in lines.columns]
-    return with_before(sorted_ranges(lines, ["note_id"], ["seq"]), ["note_id"], columns)
+    if has_large(lines, ["note_id"]) if large is None else large:
+        lines = sorted_ranges(lines, ["note_id"], ["seq"])
+    return with_before(lines, ["note_id"], ["seq"], columns)
 
 
 def _numbered(marked: DataFrame) -> DataFrame:
     new = (F.col("__first") | ~F.col("__before_attachment_id").eqNullSafe(F.col("attachment_id"))).cast("long")
-    return running_sum(marked, ["note_id"], new, "run_no")
+    return running_sum(marked, ["note_id"], ["seq"], new, "run_no")
 
 
 def _unmarked(rows: DataFrame) -> DataFrame:
@@ -47,22 +49,22 @@ def _changes(marked: DataFrame) -> DataFrame:
     return marked.groupBy("note_id").agg(F.bool_or(change).alias("spans_items"))
 
 
-def group_runs(lines: DataFrame) -> DataFrame:
+def group_runs(lines: DataFrame, large: bool | None = None) -> DataFrame:
     """lines with run_no from 1: annotations of one attachment in a row; a later return begins a new run.
 
-    A note's lines may go over any number of tasks (see ordered).
+    A large note's lines go over any number of tasks (see ordered). large: whether there are such notes, if that is known.
     """
-    return _unmarked(_numbered(_marked(lines)))
+    return _unmarked(_numbered(_marked(lines, large)))
 
 
-def spans_items(lines: DataFrame) -> DataFrame:
+def spans_items(lines: DataFrame, large: bool | None = None) -> DataFrame:
     """(note_id, spans_items): whether the top item changes between neighbours."""
-    return _changes(_marked(lines))
+    return _changes(_marked(lines, large))
 
 
-def runs_and_spans(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def runs_and_spans(lines: DataFrame, large: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """group_runs and spans_items of the same lines, which are sorted once."""
-    marked = _marked(lines)
+    marked = _marked(lines, large)
     return _unmarked(_numbered(marked)), _changes(marked)
 
 
@@ -78,19 +80,21 @@ def runs(lines: DataFrame) -> DataFrame:
     )
 
 
-def headings(groups: DataFrame, spans: DataFrame) -> DataFrame:
+def headings(groups: DataFrame, spans: DataFrame, large: bool | None = None) -> DataFrame:
     """groups with item_heading and attachment_heading: shown where they say something new.
 
     An item's title heads a group if the note spans items, it is not empty and the group before is of
     another item. An attachment's title heads a group without an item, or of an item with more than one group.
     """
-    seen = with_before(sorted_ranges(groups, ["note_id"], ["run_no"]), ["note_id"], ["item_id"])
+    if has_large(groups, ["note_id"]) if large is None else large:
+        groups = sorted_ranges(groups, ["note_id"], ["run_no"])
+    seen = with_before(groups, ["note_id"], ["run_no"], ["item_id"])
     other = F.when(F.col("__first"), F.col("item_id").isNotNull()).otherwise(~F.col("__before_item_id").eqNullSafe(F.col("item_id")))
     shown = F.col("spans_items") & (F.coalesce("item_title", F.lit("")) != "") & other
     several = seen.where("item_id IS NOT NULL").groupBy("note_id", "item_id").agg((F.count(F.lit(1)) > 1).alias("__several"))
     rows = _unmarked(seen.join(spans, "note_id").join(several, ["note_id", "item_id"], "left").withColumn("item_heading", F.when(shown, F.col("item_title"))))
     named = F.when(F.col("item_id").isNull() | F.coalesce("__several", F.lit(False)), F.col("attachment_title"))
-    return rows.withColumn("attachment_heading", named).select(*groups.columns, "spans_items", "item_heading", "attachment_heading")
+    return rows.withColumn("attachment_heading", named).select(*(c for c in groups.columns if c not in (PART, AT)), "spans_items", "item_heading", "attachment_heading")
 
 
 def note_schema_version(lines: DataFrame) -> DataFrame:
@@ -207,7 +211,8 @@ def create_notes(lines: DataFrame, attachments: DataFrame, items: DataFrame, cit
     if lines.isEmpty():
         raise ValueError("no annotations")
     resolved = resolve_parents(lines, attachments, items)
-    lines_in_runs, spans = runs_and_spans(resolved)
-    groups = headings(runs(lines_in_runs), spans)
+    large = has_large(lines, ["note_id"])
+    lines_in_runs, spans = runs_and_spans(resolved, large)
+    groups = headings(runs(lines_in_runs), spans, large)
     made = note_html(groups, dedupe_citations(citations), note_schema_version(lines), title)
     return made if wishes is None else made.join(note_places(lines, wishes), "note_id")

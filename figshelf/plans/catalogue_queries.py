@@ -11,6 +11,7 @@ from figshelf.functions import captions, extra, ranking
 from figshelf.functions.citations import encode_citations
 from figshelf.functions.geometry import bbox_paths, bbox_rects, flatten_chars, rect_distance, round_rects
 from figshelf.operators import annotate, catalogue, layout, notes
+from figshelf.operators.ordered import has_large
 from figshelf.plans.fixtures import duck, page_chars, view
 from figshelf.sources import results
 from figshelf.sources.snapshots import SnapshotTable
@@ -367,8 +368,9 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, spans_ = notes.runs_and_spans(resolved(spark, sf_dir))
-    return notes.headings(notes.runs(lines), spans_)
+    large = has_large(view(spark, sf_dir, "note_lines"), ["note_id"])
+    lines, spans_ = notes.runs_and_spans(resolved(spark, sf_dir), large)
+    return notes.headings(notes.runs(lines), spans_, large)
 
 
 @query("g3_g4_headings", duck(NOTES, L + RUNS + SPANS + GROUPS + HEADS + " SELECT note_id, run_no, n_lines, item_heading, attachment_heading FROM h"))

@@ -51,7 +51,9 @@ def lines_of(spark, rows):
     return spark.createDataFrame(rows, "note_id long, seq long, attachment_id long, item_id long, attachment_title string, item_title string, comment string, key string").repartition(5)
 
 
-def test_one_note_of_a_third_of_all_lines(spark):
+@pytest.mark.parametrize("whole", [0, 1_000, 10**6])
+def test_one_note_of_a_third_of_all_lines(spark, whole, monkeypatch):
+    monkeypatch.setattr(ordered, "WHOLE", whole)
     rng, rows = random.Random(6), []
     for n, size in ((1, 3000), *((k, rng.randrange(0, 400)) for k in range(2, 32)), (None, 300)):
         a = 0
@@ -91,8 +93,8 @@ def test_ranges_split_a_large_note(spark):
     sizes = sorted(r["count"] for r in ranges.groupBy(ordered.PART).count().collect())
     assert len(sizes) == 8 and sizes[-1] < 2 * sizes[len(sizes) // 2]
     assert ranges.where("note_id = 1").select(ordered.PART).distinct().count() > 1
-    seen = ordered.with_before(ranges, ["note_id"], ["seq"])
+    seen = ordered.with_before(ranges, ["note_id"], ["seq"], ["seq"])
     gaps = seen.where("NOT __first AND note_id = 1").selectExpr("max(seq - __before_seq)", "count(*)").first()
     assert gaps[0] <= 3 and gaps[1] == rows.where("note_id = 1").count() - 1
-    summed = ordered.running_sum(ranges, ["note_id"], F.lit(1), "n").groupBy("note_id").agg(F.max("n").alias("n"), F.countDistinct("n").alias("d"), F.count(F.lit(1)).alias("c"))
+    summed = ordered.running_sum(ranges, ["note_id"], ["seq"], F.lit(1), "n").groupBy("note_id").agg(F.max("n").alias("n"), F.countDistinct("n").alias("d"), F.count(F.lit(1)).alias("c"))
     assert summed.where("n <> d OR n <> c").count() == 0
