@@ -27,6 +27,7 @@ from figshelf.llm.common import CRC32_SQL, Writer, col, documents, working_table
 FAN, LEVELS = 8, 4
 BLOCK = FAN**LEVELS  # nodes of a block: its lowest level has 256 KB
 HEX = 64
+SENT = 2_000  # groups' heads that are broadcast: up to 10 KB each
 LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -166,8 +167,10 @@ def merkle_manifest(rows: DataFrame, id_col: str = "doc_id", group_col: str = "l
         tops = subroots.select(F.lit(0).alias("all"), F.col("grp").cast("string").cast("binary").alias("by"), F.col("root").alias("node"), F.struct("grp").alias("rest"))
         roots, over = tree(tops, ["all"], ["by"], write, "manifest-top")
         heads = nodes_of(over, ["all"]).select(F.col("rest.grp").alias("__grp"), F.col("node").alias("subroot"), F.col("sides").alias("__over"), "all").join(roots, "all").select("__grp", "subroot", "__over", "root")
-    # groups' heads go to their blocks, of which there are few, and not to their rows
-    headed = under.join(heads, F.col("grp").eqNullSafe(F.col("__grp"))).withColumn("above", F.concat("above", "__over"))
+    # groups' heads go to their blocks, of which there are few, and not to their rows. A group may have a third of all blocks: heads of a
+    # counted number are broadcast, and more of them meet the blocks by a join of two shuffles, which Spark can split
+    few = subroots.limit(SENT + 1).count() <= SENT
+    headed = under.join(F.broadcast(heads) if few else heads, F.col("grp").eqNullSafe(F.col("__grp"))).withColumn("above", F.concat("above", "__over"))
     found = nodes_of(headed, ["grp", "subroot", "root"])
     return found.select(F.col("rest.id").alias("id"), "grp", F.col("node").alias("leaf"), F.coalesce("rest.claim", "node").alias("claim"), "subroot", "root", "sides")
 

@@ -227,6 +227,7 @@ MANIFEST = "doc_id long, text string, lang string, source string, n_chars long,
 def test_manifest(spark, tmp_path, monkeypatch, levels):
     monkeypatch.setattr(manifest, "LEVELS", levels)
     monkeypatch.setattr(manifest, "BLOCK", 8**levels)
+    monkeypatch.setattr(manifest, "SENT", 0 if levels == 2 else 2_000)
     langs = ["en"] * 150 + ["de"] * 65 + [None] * 9 + ["fr"] * 8 + ["日"] + ["Z"] * 7 + [f"l{k}" for k in range(5)]
     rows = [(i, f"Text {i} ÄÖ Ab" * (i % 4), g, None if i % 5 == 0 else f"s{i % 3}", None if i % 7 == 0 else i, "n", 1) for i, g in enumerate(langs)]
     rows += [(3, "other", "en", "s", 1, "n", 1), rows[4], rows[4], (None, "A", "en", None, None, "n", 1), (None, None, None, None, None, None, None), (7, None, "en", "", 0, "n", 1), (-5, "", "en", "x", 2, "n", 1)]
