@@ -143,13 +143,19 @@ def boxed_pages(pages: DataFrame, box: int = BOX) -> DataFrame:
 
 
 def nearest_char_by_page(regions: DataFrame, pages: DataFrame) -> DataFrame:
-    """The same from pages as boxed_pages takes or gives them, each region looking through its page's boxes inside one row.
+    """The same from pages as boxed_pages takes or gives them, each region looking through its page inside one row.
 
-    No row for a pair, no shuffle after the join. Only pages with regions are boxed and travel; they are joined by sorting, as Spark takes an array for much
+    Boxes, stored or of nested text, are searched as in nearest_char; pages that have only `chars` are gone through, as to make boxes for a few
+    regions costs more than that. No row for a pair, no shuffle after the join. Only pages with regions are boxed and travel; they are joined by sorting, as Spark takes an array for much
     smaller than it is and would broadcast them.
     """
     keys, region = ["attachment_id", "page"], tuple(map(F.col, RECT))
-    wanted = boxed_pages(pages.join(regions.select(*keys).distinct(), keys, "left_semi"))
+    wanted = pages.join(regions.select(*keys).distinct(), keys, "left_semi")
+    if not {"boxes", "paragraphs"} & set(pages.columns):
+        rows = regions.select("figure_id", *keys, *RECT).join(wanted.select(*keys, "chars").hint("merge"), keys, "left")
+        all_ = F.transform("chars", lambda c, i: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), i.alias("offset")))
+        return rows.select("figure_id", F.coalesce(F.array_min(all_)["offset"], F.lit(0)).cast("int").alias("offset"))
+    wanted = boxed_pages(wanted)
     rows = regions.select("figure_id", *keys, *RECT).join(wanted.hint("merge"), keys, "left")
     low = F.transform("boxes", lambda b: F.when(F.size(b["chars"]) > 0, F.when(b["odd"], 0.0).otherwise(rect_distance(tuple(b[x] for x in OUTER), region))))
     each = lambda b: F.transform(b["chars"], lambda c, i: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), (b["first"] + i).alias("offset")))

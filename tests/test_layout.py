@@ -64,11 +64,11 @@ def test_long_form(made, box, sent, monkeypatch):
     assert {r["figure_id"]: r["offset"] for r in layout.nearest_char(regions, chars, box).collect()} == want
 
 
-@pytest.mark.parametrize("box", [1, 64])
+@pytest.mark.parametrize("box", [1, 64, None])
 def test_in_row(made, spark, box):
     regions, _, all_, want = made
     rows = spark.createDataFrame([(p % 3, p, cs) for p, cs in enumerate(all_)], "attachment_id long, page int, chars array<struct<cx1:double,cy1:double,cx2:double,cy2:double>>")
-    assert {r["figure_id"]: r["offset"] for r in layout.nearest_char_by_page(regions, layout.boxed_pages(rows, box)).collect()} == want
+    assert {r["figure_id"]: r["offset"] for r in layout.nearest_char_by_page(regions, layout.boxed_pages(rows, box) if box else rows).collect()} == want
 
 
 def test_nested_text(made, spark, tmp_path):
