@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from figshelf.functions import captions, extra, ranking
 from figshelf.functions.citations import encode_citations
 from figshelf.functions.geometry import bbox_paths, bbox_rects, flatten_chars, rect_distance, round_rects
-from figshelf.operators import annotate, catalogue, layout, notes
+from figshelf.operators import annotate, catalogue, layout, notes, search_index
 from figshelf.operators.ordered import has_large
 from figshelf.plans.fixtures import duck, page_chars, view
 from figshelf.sources import results
@@ -420,6 +420,28 @@ def abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.ranked_search(view(spark, sf_dir, "figures"), "t1rgn", 100).select("figure_id", "caption", "score")
 
 
+ALONE_SQL = ranking.ALONE.replace("'", "''")
+WORD_SQL = ranking.ALONE.replace("'", "''") + "|[^\\s" + (ranking.PUNCTUATION + ranking.WIDE).replace("'", "''") + "]+"
+
+
+@query("h3_ranked_searches", duck("figures searches", f""", t AS (SELECT DISTINCT caption FROM figures WHERE caption IS NOT NULL),
+  q AS (SELECT query, way, parts FROM (SELECT DISTINCT query FROM searches) z, LATERAL (SELECT 'word' AS way, regexp_extract_all(lower(query), '{WORD_SQL}') AS parts UNION ALL SELECT 'letter', string_split(lower(query), '')) w),
+  s AS (SELECT caption, query, way, parts, 0 AS k, 0 AS e, 0 AS runs, 0 AS mid, -1 AS start FROM t, q WHERE trim(query) <> ''
+  UNION ALL SELECT caption, query, way, parts, k + 1, CAST(u + length(part) AS INTEGER), runs + CASE WHEN k = 0 OR u > e THEN 1 ELSE 0 END,
+    mid + CASE WHEN way = 'word' AND u > 0 AND NOT regexp_matches(h, '{ALONE_SQL}') AND (lower(h) <> h AND lower(b) <> b OR upper(h) <> h AND NOT regexp_matches(b, '{ALONE_SQL}|\\s')) THEN 1 ELSE 0 END, CASE WHEN k = 0 THEN CAST(u AS INTEGER) ELSE start END
+    FROM (SELECT *, substr(caption, CAST(u + 1 AS BIGINT), 1) AS h, substr(caption, CAST(u AS BIGINT), 1) AS b FROM (SELECT s.*, parts[k + 1] AS part, e + strpos(substr(lower(caption), e + 1), parts[k + 1]) - 1 AS u FROM s
+      WHERE k < len(parts) AND strpos(substr(lower(caption), e + 1), parts[k + 1]) > 0) y) z),
+  scored AS (SELECT caption, query, way, -(runs - 1) - mid / 10.0e0 - (e - start + 1 - length(query)) / 100.0e0 - start / 1000.0e0 - length(caption) / 10000.0e0 AS score FROM s WHERE k = len(parts) AND k > 0),
+  best AS (SELECT caption, query, coalesce(max(score) FILTER (way = 'word'), max(score)) AS score FROM scored GROUP BY caption, query
+    UNION ALL SELECT caption, query, 0.0e0 FROM t, (SELECT DISTINCT query FROM searches) z WHERE trim(query) = ''),
+  firsts AS (SELECT caption, figure_id FROM figures WHERE caption IS NOT NULL QUALIFY row_number() OVER (PARTITION BY caption ORDER BY figure_id) <= 10),
+  ranked AS (SELECT query, figure_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, figure_id) AS rank FROM best JOIN firsts ON best.caption = firsts.caption QUALIFY rank <= 10)
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, figure_id, score FROM searches JOIN ranked ON searches.query = ranked.query""", recursive=True))
+def ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for each customer, all of them through one index."""
+    return search_index.ranked_searches(view(spark, sf_dir, "figures"), view(spark, sf_dir, "searches"), 10).withColumnRenamed("key", "figure_id")
+
+
 CATALOGUE = "figure_id, caption"
 
 

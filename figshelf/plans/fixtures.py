@@ -47,6 +47,10 @@ VIEWS = {
         CASE WHEN c_custkey % 3 = 0 THEN concat(chr(10), 'DOI: replaced') ELSE '' END) AS extra FROM {customer}""",
     "filters": """SELECT c_custkey AS filter_id, CASE WHEN c_custkey % 4 = 0 THEN c_name END AS author, CASE WHEN c_custkey % 6 = 0 THEN '#d2d8e2' END AS color,
         CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment END AS tag, CASE WHEN c_custkey % 14 = 0 THEN 'fig' ELSE '' END AS query FROM {customer}""",
+    "searches": """SELECT c_custkey AS query_id, CASE WHEN c_custkey % 50 = 0 THEN ' ' WHEN c_custkey % 6 = 0 THEN concat('fig ', CAST(c_custkey % 21 AS STRING))
+        WHEN c_custkey % 6 = 1 THEN concat('Table ', CAST(c_custkey % 23 AS STRING), ': ', CAST(c_custkey % 5 + 1 AS STRING))
+        WHEN c_custkey % 6 = 2 THEN concat(CASE WHEN c_custkey % 4 = 0 THEN 't' ELSE 'f' END, CAST(c_custkey % 20 AS STRING), 'm')
+        WHEN c_custkey % 6 = 3 THEN substr(c_mktsegment, 1, 2 + CAST(c_custkey % 3 AS INT)) WHEN c_custkey % 6 = 4 THEN concat('high ', CAST(c_custkey % 9 AS STRING)) ELSE 'not spec' END AS query FROM {customer}""",
     "edits": "SELECT figure_id, concat('edited ', CAST(figure_id AS STRING)) AS caption FROM @figures@ f WHERE figure_id % 5 = 0",
     "notifications": """SELECT event_id, CASE WHEN event_type = 'click' THEN 'select' ELSE 'add' END AS event, CASE WHEN user_id % 2 = 0 THEN 'tab' ELSE 'item' END AS type,
         CASE WHEN event_id % 10 <> 0 THEN CAST(event_id AS STRING) END AS id, CASE WHEN event_id % 3 <> 0 THEN 'reader' ELSE 'library' END AS kind FROM {events}""",
