@@ -26,14 +26,18 @@ def _entries(text: Column) -> Column:
 
 
 def _last_of_each(entries: Column) -> Column:
-    """A map of entries: each key at its first place, with its last value."""
+    """A map of entries: each key at its first place, with its last value. By sorting, so any number of keys will do."""
 
     def collect(all_: Column) -> Column:
-        keys = F.array_distinct(F.transform(all_, lambda e: e["key"]))
-        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(all_, lambda e: e["key"] == k), -1)["value"]))
+        other = lambda i, j: ~F.coalesce(F.get(all_, i)["key"] == F.get(all_, j)["key"], F.lit(False))
+        firsts = F.filter(all_, lambda e, i: other(i, i - 1))
+        lasts = F.filter(all_, lambda e, i: other(i, i + 1))
+        kept = F.sort_array(F.zip_with(firsts, lasts, lambda a, b: F.struct(a["place"].alias("place"), a["key"].alias("key"), b["value"].alias("value"))))
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
 
+    by_key = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))))
     # inside transform the entries are a variable, worked out once
-    return F.get(F.transform(F.array(entries), collect), F.lit(0))
+    return F.get(F.transform(F.array(by_key), collect), F.lit(0))
 
 
 def parse_extra(text: Column) -> Column:

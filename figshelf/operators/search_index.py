@@ -173,8 +173,12 @@ def _not_below(candidates: DataFrame, proof: DataFrame) -> DataFrame:
 
 
 def search_many(index: SearchIndex, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, key, score): the k best rows for each of queries (query_id, query), the first at rank 1."""
-    hits = _search(index, queries, k).scored.where("score IS NOT NULL")
+    """(query_id, rank, key, score): the k best rows for each of queries (query_id, query), the first at rank 1.
+
+    Equal queries are searched for once.
+    """
+    asked = queries.where("query IS NOT NULL").select(F.col("query").alias("query_id"), "query").distinct()
+    hits = _search(index, asked, k).scored.where("score IS NOT NULL")
     # a text below k others, each with a better row, has none of the k best rows
     of_texts = Window.partitionBy("query_id").orderBy(F.desc("score"), "least_key")
     texts = stored(hits.withColumn("place", F.row_number().over(of_texts)).where(F.col("place") <= k).select("query_id", "text_id", "score"), "search-texts")
@@ -182,11 +186,12 @@ def search_many(index: SearchIndex, queries: DataFrame, k: int) -> DataFrame:
     mine = index.members.join(texts.select("text_id").distinct(), "text_id")
     mine = mine.withColumn("place", F.row_number().over(Window.partitionBy("text_id").orderBy("key"))).where(F.col("place") <= k)
     rows = texts.join(mine.select("text_id", "key"), "text_id").select("query_id", "key", "score")
-    blank = queries.where(F.trim(F.regexp_replace("query", r"(?U)[\s\x1c-\x1f]", "")) == "").select("query_id")
+    blank = asked.where(F.regexp_replace("query", r"(?U)[\s\x1c-\x1f]", "") == "").select("query_id")
     least = index.members.orderBy("key").limit(k).select("key", F.lit(0.0).alias("score"))
     rows = rows.unionByName(blank.join(F.broadcast(least), F.lit(True)).select("query_id", "key", "score"))  # k rows for each blank query, as asked
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "key", "score")
+    best = rows.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("query_id", "query")
+    return queries.select("query_id", "query").join(best, "query").select("query_id", "rank", "key", "score")
 
 
 def search_work(index: SearchIndex, queries: DataFrame, k: int) -> DataFrame:

@@ -14,6 +14,7 @@ from figshelf.operators import annotate, catalogue, layout, notes, search_index
 from figshelf.operators.ordered import has_large
 from figshelf.plans.fixtures import duck, page_chars, view
 from figshelf.sources import results
+from figshelf.sources.images import ImageStore
 from figshelf.sources.snapshots import SnapshotTable
 from figshelf.sources.storage import new_folder
 from figshelf.streaming.annotate import annotate_stream, reader_events
@@ -118,6 +119,13 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.attach_images(view(spark, sf_dir, "figures"), view(spark, sf_dir, "images")).select("figure_id", "image")
 
 
+@query("a7_image_store", duck("figures images", "SELECT figure_id, sha256(content) AS image_digest, 'data:image/png;base64,' || to_base64(content) AS image FROM figures JOIN images ON render_url = path"))
+def stored_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure's image, by way of a store of images by digest."""
+    store = ImageStore(spark, new_folder(spark, "images"))
+    return results.attach_stored_images(view(spark, sf_dir, "figures"), view(spark, sf_dir, "images"), store).select("figure_id", "image_digest", "image")
+
+
 @query("b1_flip", duck("figures doc_pages", R + " SELECT figure_id, x1, y1, x2, y2 FROM r"))
 def flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flipped(spark, sf_dir).select("figure_id", *layout.RECT)

@@ -1,7 +1,9 @@
 """Hand-written cases of the column functions and sources."""
 
+import hashlib
 import json
 import math
+import os
 import random
 import urllib.parse
 
@@ -13,6 +15,7 @@ from figshelf.functions.citations import encode_citations
 from figshelf.functions.geometry import bbox, bbox_paths, bbox_rects, rect_distance
 from figshelf.operators import annotate, catalogue, layout, notes
 from figshelf.sources import results
+from figshelf.sources.images import ImageStore
 from figshelf.streaming.annotate import annotate_stream
 
 
@@ -211,6 +214,14 @@ def score(text, query):
     return -(len(islands) - 1) - len(inside) / 10 - (max(covered) + 1 - min(covered) + 1 - len(query)) / 100 - min(covered) / 1000 - len(text) / 10000
 
 
+def test_extra_with_many_keys(spark):
+    lines = [f"k{i % 7000}: {i}" for i in range(10_000)] + ["free"]
+    got = one(spark, extra.parse_extra(F.lit("\n".join(lines))))
+    in_order = one(spark, F.map_keys(extra.parse_extra(F.lit("\n".join(lines)))))
+    assert in_order == [f"k{i}" for i in range(7000)] + ["__nonStandard__"]
+    assert got["k0"] == "7000" and got["k2999"] == "9999" and got["k3000"] == "3000" and got["__nonStandard__"] == "free"
+
+
 def test_ranked_search(spark):
     texts = ["Figure 1: urgent", "configure one", "FIG fig", "a 图表 b", "table 1", "prefix fig-1", "", "f i g", "aFIg", "1fig", "figure fig 1x", "XFIG-11"]
     rows = spark.createDataFrame(list(enumerate(texts)), "figure_id long, caption string")
@@ -249,6 +260,23 @@ def test_keys_of_many_lengths_are_all_matched(spark):
     assert results.pending_attachments(owners, files).count() == 0
 
 
+def test_keys_and_names_sorted_together(spark):
+    """Keys inside each other, repeated, empty, null, before and after all names, over several ranges."""
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("ab图-K1") for _ in range(rng.randint(1, 12))) + ".json" for _ in range(400)})
+    keys = [n[: rng.randint(1, len(n))] for n in names] + ["K1", "K12", "", None, "!", "\U0001f600", "a" * 5000, "K1"]
+    owners = spark.createDataFrame([(i, k, i) for i, k in enumerate(keys)], "attachment_id long, attachment_key string, word long")
+    files = spark.createDataFrame([(n,) for n in [*names, None, names[0]]], "file_name string")
+    want = {i: min((n for n in names if k is not None and n.startswith(k)), default=None) for i, k in enumerate(keys)}
+    assert {r["attachment_id"]: r["file_found"] for r in results.match_results(owners, files).collect()} == want
+    assert {r["file_found"] for r in results.match_results(owners, files.where("false")).collect()} == {None}
+    plan = results._first_by_order(owners, files)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row a beginning
+    few = owners.where("attachment_key IN ('K1', 'K12', '') OR attachment_key IS NULL")
+    by_order = {r["__key"]: r["file_found"] for r in results._first_by_order(few, files).collect()}
+    assert by_order == {r["attachment_key"]: r["file_found"] for r in results.match_results(few, files).where("file_found IS NOT NULL").collect()}
+
+
 def test_decoding_stays_in_the_jvm_for_utf8(spark):
     text = "图 1: 中文"
     rows = spark.createDataFrame([("a", bytearray(text.encode())), ("b", bytearray(text.encode("gbk"))), ("c", None), ("d", bytearray(b"")), ("e", bytearray("\ufffd".encode())), ("f", bytearray(b"\xff\xff"))], "path string, content binary")
@@ -280,6 +308,32 @@ def test_images(spark):
     assert {r["figure_id"]: r["image"] for r in results.attach_images(figures, images).collect()} == {1: "data:image/png;base64,AA", 2: "data:image/png;base64,cG5n", 3: "data:image/png;base64,cG5n", 4: None, 5: None}
 
 
+def test_stored_images(spark, tmp_path):
+    store = ImageStore(spark, f"file://{tmp_path}/store")
+    figures = spark.createDataFrame([(1, "data:image/png;base64,AA"), (2, "u"), (3, "v"), (4, "gone"), (5, None), (6, "empty"), (7, "null")], "figure_id long, render_url string")
+    images = spark.createDataFrame([("u", bytearray(b"png")), ("v", bytearray(b"png")), ("empty", bytearray(b"")), ("null", None), ("unused", bytearray(b"x"))], "path string, content binary")
+    same = {r["figure_id"]: r["image"] for r in results.attach_images(figures, images).collect()}
+    for _ in range(2):  # the second time all images are there
+        rows = results.attach_stored_images(figures, images, store)
+        assert rows.columns == [*figures.columns, "image_digest", "image"]
+        assert {r["figure_id"]: r["image"] for r in rows.collect()} == same
+    files = [f for f in (tmp_path / "store").rglob("*") if f.is_file() and not f.name.endswith(".crc")]
+    assert len(files) == 3 and all(hashlib.sha256(f.read_bytes()).hexdigest() == f.stem for f in files)
+    lost = store.get(spark.createDataFrame([("ab" * 32,), (None,)], "digest string")).collect()
+    assert [tuple(r) for r in lost] == [("ab" * 32, None)]
+    assert store.put(images.where("false")).count() == 0
+
+
+def test_an_image_is_not_shuffled_to_be_stored(spark, tmp_path):
+    """A megabyte that 200 paths share: one file, and only names and digests in the written table."""
+    images = spark.range(200).select(F.concat(F.lit("p"), "id").alias("path"), F.encode(F.repeat(F.lit("x"), 1_000_000), "UTF-8").alias("content"))
+    store = ImageStore(spark, f"file://{tmp_path}/store")
+    names = store.put(images)
+    assert names.select("digest").distinct().count() == 1 and names.count() == 200
+    assert sum(f.stat().st_size for f in (tmp_path / "store").rglob("*.png")) == 1_000_000
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in names.inputFiles()) < 100_000
+
+
 def test_stream_takes_up_new_files_and_replays_nothing(spark, tmp_path):
     owners = spark.createDataFrame([(1, "AAA"), (2, "BBB")], "attachment_id long, attachment_key string")
     pages = spark.createDataFrame([(i, 0, 0.0, 0.0, 600.0, 800.0) for i in (1, 2)], "attachment_id long, page int, vx1 double, vy1 double, vx2 double, vy2 double")
