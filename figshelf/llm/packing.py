@@ -12,7 +12,8 @@ group is packed in one task of bounded size:
    squared fills rises and the search ends; a donor that has nothing left is a bin saved;
 3. where no pass saves a bin, the emptiest bins and some others, SHAKEN for each bin above the lower bound and
    as many again, are poured out, laid as in 1 and searched again; the better packing stays. It stops where the bound
-   is met, or after ROUNDS such rounds (more for groups of fewer documents, as these cost less).
+   is met, after ROUNDS such rounds, or when they have gone through EFFORT documents for each document of the group: those in bins
+   that are not full or poured out. So the most that a document costs is the same in groups of any size.
 
 Sizes are small numbers, so the search keeps its books by size: bins by their room, and for each size the
 most room beside a document of it. Pairs are listed once a pass, one for each two sizes of a bin, and are
@@ -38,7 +39,7 @@ from figshelf.llm.tokens import Encoder
 
 CAPACITY, GROUP, END_ID = 2048, 16_384, 0
 FEW = 16  # documents of a donor whose pairs are listed one by one
-SHAKEN, ROUNDS = 16, 80  # bins poured out for each one too many, and rounds for GROUP documents: more for fewer
+SHAKEN, ROUNDS, EFFORT = 16, 160, 20  # bins poured out for each one too many; most rounds; documents that rounds go through, for each one there is
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -150,11 +151,12 @@ class Search:
     def run(self) -> list[list[int]]:
         self.search()
         rng = np.random.default_rng(len(self.size))
-        for _ in range(min(4 * ROUNDS, ROUNDS * GROUP // max(1, len(self.size)))):
-            if self.n_bins <= self.least:
+        self.effort = 0
+        for _ in range(ROUNDS):
+            if self.n_bins <= self.least or self.effort >= EFFORT * len(self.size):
                 break
             before = self.n_bins, [list(b) for b in self.bins], list(self.fill)
-            self.shake(rng)
+            self.effort += self.shake(rng) + sum(len(b) for b, fill in zip(self.bins, self.fill) if fill < self.capacity)
             self.search()
             if self.n_bins > before[0]:
                 self.n_bins, self.bins, self.fill = before
@@ -175,8 +177,8 @@ class Search:
                         pass
             better = self.n_bins < before
 
-    def shake(self, rng: np.random.Generator) -> None:
-        """Pour out the emptiest bins and some others, and lay their documents anew as they come."""
+    def shake(self, rng: np.random.Generator) -> int:
+        """Pour out the emptiest bins and some others, and lay their documents anew as they come; how many these are."""
         used = sorted((b for b, f in enumerate(self.fill) if f), key=self.fill.__getitem__)
         n = SHAKEN * (self.n_bins - self.least)
         chosen = list(dict.fromkeys([*used[:n], *(used[k] for k in rng.choice(len(used), min(len(used), n), replace=False).tolist())]))
@@ -189,6 +191,7 @@ class Search:
             self.fill.append(sum(self.size[i] for i in self.bins[-1]))
         left = [b for b, f in enumerate(self.fill) if f]
         self.bins, self.fill, self.n_bins = [self.bins[b] for b in left], [self.fill[b] for b in left], len(left)
+        return len(items)
 
     def step(self, donor: int) -> bool:
         """Take the step that moves most ids out of the donor; False if there is none."""
