@@ -5,7 +5,7 @@ and share 100 % of all words; a target stops at MOST_EPOCHS times its source's s
 shared again by weight until none is above.
 
 1. Each source's documents are dealt, by a hash of their ids, into blocks of about BLOCK_WORDS words;
-   the order of its blocks is therefore a random one. A source's quota is a number of block draws: its
+   whole epochs go through them in an order of their own, by a keyed permutation. A source's quota is a number of block draws: its
    whole epochs, the blocks that fit into the rest, and one block of which only some documents fit.
 2. A binary tree over the output shards splits the vector of all quotas: a node gives its left half a
    multivariate hypergeometric draw and its right half the rest, so the leaves add up exactly. A draw
@@ -80,6 +80,28 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int, draws: dict[int, np
     return out
 
 
+def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each x below n in the order that its key gives: for each n and key a bijection of 0 ... n - 1.
+
+    A Feistel network of four rounds on an even number of bits, repeated while its value is not below n.
+    """
+    u = np.uint64
+    half = np.array([max(1, (int(k) - 1).bit_length() + 1 >> 1) for k in n], u)
+    low = (u(1) << half) - u(1)
+
+    def network(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+        left, right = y >> half[at], y & low[at]
+        for turn in range(4):
+            left, right = right, left ^ mix(right + mix(key[at].astype(u) + u(turn))) & low[at]
+        return left << half[at] | right
+
+    out, open_ = np.asarray(x, u), np.arange(len(x))
+    while len(open_):
+        out[open_] = network(out[open_], open_)
+        open_ = open_[out[open_] >= n[open_].astype(u)]
+    return out.astype(np.int64)
+
+
 def fits(size: np.ndarray, count: np.ndarray, room: int) -> np.ndarray:
     """How many of each kind of document fit into room words, in order, and one more of the last left out if that comes nearer."""
     taken, left = np.zeros(len(size), np.int64), room
@@ -143,11 +165,12 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         for batch in batches:
             s, block, whole_epochs, n, again = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1, 2, 3, 4))
             again = again.astype(bool) | np.asarray(batch.column(5).is_valid())
-            # the order of a source's blocks is turned by a hash in each epoch but the last, which ends at the rest
+            # a source's blocks have an order of their own in each epoch but the last, which ends at the rest
             row = np.repeat(np.arange(len(s)), whole_epochs + again)
             epoch = np.arange(len(row)) - np.repeat(np.cumsum(whole_epochs + again) - (whole_epochs + again), whole_epochs + again)
-            turn = mix((seed + 1000 * s[row] + epoch).astype(np.uint64)) % np.maximum(n[row], 1).astype(np.uint64)
-            at = epoch * n[row] + np.where(epoch < whole_epochs[row], (block[row] + turn.astype(np.int64)) % np.maximum(n[row], 1), block[row])
+            place, whole = block[row], np.flatnonzero(epoch < whole_epochs[row])
+            place[whole] = permuted(place[whole], n[row][whole], mix((seed + 1000 * s[row] + epoch).astype(np.uint64))[whole])
+            at = epoch * n[row] + place
             shard = np.empty(len(row), np.int64)
             order = np.lexsort((at, s[row]))
             edges = np.searchsorted(s[row][order], np.arange(len(quotas) + 1))
@@ -186,15 +209,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     same = col(id_col).eqNullSafe(F.col(key_id)) & (F.xxhash64(col(text_col)) == F.col(key_r)) & col(source_col).cast("string").eqNullSafe(F.col(key_source))
     columns = [col(c) for c in docs.columns]
     even = docs.join(plan.where(F.col(most) == F.col(least)), same)
-    taken = even.select(*columns, key_id, F.col(most).alias(shards))
+    taken = even.select(*columns, key_id, key_r, F.col(most).alias(shards))
     uneven = written(plan.where(F.col(most) != F.col(least)), "uneven")
     if not uneven.isEmpty():  # repeated rows of a block cut short: as many of them as planned get the last draw
         others = F.to_json(F.struct(*columns))
         copy = F.row_number().over(Window.partitionBy(key_id, key_r, key_source).orderBy(F.xxhash64(others)))
         mine = F.when(copy <= F.col(full), F.col(most)).otherwise(F.col(least))
-        taken = taken.unionByName(docs.join(uneven, same).select(*columns, key_id, mine.alias(shards)))
-    taken = taken.select(*columns, key_id, F.posexplode(shards).alias(epoch, shard))
-    local = F.xxhash64(F.lit(seed), key_id, epoch)
+        taken = taken.unionByName(docs.join(uneven, same).select(*columns, key_id, key_r, mine.alias(shards)))
+    taken = taken.select(*columns, key_id, key_r, F.posexplode(shards).alias(epoch, shard))
+    # by text too, as ids may be null or repeated
+    local = F.xxhash64(F.lit(seed), key_id, key_r, epoch)
     return taken.repartition(shard).sortWithinPartitions(shard, local).select(*columns)
 
 

@@ -247,6 +247,17 @@ def test_mixing_takes_each_repeated_row_by_its_own_plan(spark):
     assert any(n % 101 for n in some) and len({n for k, n in want.items() if k[0] in range(40)}) > 1
 
 
+def test_blocks_are_permuted_anew_in_each_epoch():
+    for n in (1, 2, 3, 17, 1000):
+        orders = [mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key)) for key in (1, 2)]
+        assert all(sorted(x.tolist()) == list(range(n)) for x in orders)
+        neighbours = [set(zip(x.tolist(), x[1:].tolist())) for x in (np.argsort(o) for o in orders)]
+        if n == 1000:  # the same two blocks hardly follow each other twice
+            assert len(neighbours[0] & neighbours[1]) < 10
+    n = np.array([5, 9, 70_000_000_000])
+    assert (mixing.permuted(np.array([4, 8, 69_999_999_999]), n, np.array([1, 2, 3])) < n).all()
+
+
 def test_splitting_tree_adds_up():
     quotas = np.array([50, 0, 7, 200])
     draws = {s: np.arange(q) for s, q in enumerate(quotas.tolist()) if q}
@@ -337,6 +348,16 @@ def test_local_search_saves_bins():
     assert packing.pack(np.zeros(0, np.int64), 2048) == []
 
 
+@pytest.mark.parametrize("n", [50, 2000])
+def test_effort_per_document_has_a_bound(n):
+    """Sizes that cannot fill bins: rounds end by what they went through, in groups of any size."""
+    sizes = np.random.default_rng(n).integers(500, 1100, n)
+    search = packing.Search(packing.next_fit(sizes.tolist(), 2048), sizes, 2048)
+    last = search.run()
+    assert sorted(i for b in last for i in b) == list(range(n)) and len(last) <= len(packing.best_fit(sizes.tolist(), 2048))
+    assert search.effort <= (packing.EFFORT + 2) * n
+
+
 @pytest.mark.parametrize("n", [2, 13, 40])
 def test_pairs_of_every_two_sizes(n):
     rng = np.random.default_rng(n)
