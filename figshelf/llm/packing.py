@@ -39,7 +39,7 @@ from figshelf.llm.tokens import Encoder
 
 CAPACITY, GROUP, END_ID = 2048, 16_384, 0
 FEW = 16  # documents of a donor whose pairs are listed one by one
-SHAKEN, ROUNDS, EFFORT = 16, 160, 20  # bins poured out for each one too many; most rounds; documents that rounds go through, for each one there is
+SHAKEN, ROUNDS, EFFORT = 16, 80, 20  # bins poured out for each one too many; most rounds; documents that rounds go through, for each one there is
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
