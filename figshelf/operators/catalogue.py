@@ -18,15 +18,15 @@ def append_figures(catalogue: DataFrame, new: DataFrame) -> DataFrame:
     return catalogue.unionByName(new)
 
 
-def update_captions(catalogue: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits: (figure_id, caption), one a figure; a null caption in an edit clears the caption."""
-    new = edits.select(F.col("figure_id").alias("__id"), F.col("caption").alias("__caption"), F.lit(True).alias("__hit"))
-    rows = catalogue.join(new, catalogue["figure_id"] == F.col("__id"), "left")
-    return rows.withColumn("caption", F.when(F.col("__hit"), F.col("__caption")).otherwise(F.col("caption"))).drop("__id", "__caption", "__hit")
+def update_captions(catalogue: DataFrame, edits: DataFrame, by: tuple[str, ...] = ("figure_id",)) -> DataFrame:
+    """edits: (*by, caption), one a figure; a null caption in an edit clears the caption. by: the columns that tell figures apart."""
+    new = edits.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("caption").alias("__caption"), F.lit(True).alias("__hit"))
+    rows = catalogue.join(new, [catalogue[c] == new[f"__{c}"] for c in by], "left")
+    return rows.withColumn("caption", F.when(F.col("__hit"), F.col("__caption")).otherwise(F.col("caption"))).drop("__caption", "__hit", *(f"__{c}" for c in by))
 
 
-def remove_figures(catalogue: DataFrame, keys: DataFrame) -> DataFrame:
-    return catalogue.join(keys.select("figure_id"), "figure_id", "left_anti")
+def remove_figures(catalogue: DataFrame, keys: DataFrame, by: tuple[str, ...] = ("figure_id",)) -> DataFrame:
+    return catalogue.join(keys.select(*by), list(by), "left_anti")
 
 
 def save_appended(table: SnapshotTable, new: DataFrame) -> int:
@@ -34,14 +34,14 @@ def save_appended(table: SnapshotTable, new: DataFrame) -> int:
     return table.append(new)
 
 
-def save_captions(table: SnapshotTable, edits: DataFrame) -> int:
-    """Commit new captions by figure_id, the table's key; only files that can hold one of the figures are written anew."""
-    return table.change(edits, lambda rows: update_captions(rows, edits), "update")
+def save_captions(table: SnapshotTable, edits: DataFrame, by: tuple[str, ...] = ("figure_id",)) -> int:
+    """Commit new captions by figure_id, the table's key, or by more columns; only files that can hold one of the figures are written anew."""
+    return table.change(edits, lambda rows: update_captions(rows, edits, by), "update")
 
 
-def save_removed(table: SnapshotTable, keys: DataFrame) -> int:
-    """Commit the removal of figures by figure_id, the table's key; only files that can hold one of them are written anew."""
-    return table.change(keys, lambda rows: remove_figures(rows, keys), "remove")
+def save_removed(table: SnapshotTable, keys: DataFrame, by: tuple[str, ...] = ("figure_id",)) -> int:
+    """Commit the removal of figures by figure_id, the table's key, or by more columns; only files that can hold one of them are written anew."""
+    return table.change(keys, lambda rows: remove_figures(rows, keys, by), "remove")
 
 
 def clear_figure_annotations(annotations: DataFrame) -> DataFrame:
