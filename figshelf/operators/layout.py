@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from figshelf.functions.geometry import rect_distance
+from figshelf.functions.geometry import flatten_chars, rect_distance
 from figshelf.sources.storage import stored
 
 RECT = ("x1", "y1", "x2", "y2")
@@ -35,6 +39,7 @@ def unplaced(flipped: DataFrame) -> DataFrame:
 #: Characters in a row, in reading order, that share a box.
 BOX = 64
 SENT = 250_000  # regions, or boxes for them, of some 80 bytes each that are broadcast: 20 MB
+DISTANCES = 1_000_000  # that a task holds at once
 OUTER = ("ox1", "oy1", "ox2", "oy2")
 
 
@@ -142,30 +147,67 @@ def boxed_pages(pages: DataFrame, box: int = BOX) -> DataFrame:
     return rows.select("attachment_id", "page", cut.alias("boxes"))
 
 
+def _characters(pages: DataFrame) -> Column:
+    """The characters of a page in reading order, from whichever form the page has: structs of CHAR, or of an array rect."""
+    if "boxes" in pages.columns:
+        return F.flatten(F.transform("boxes", lambda b: b["chars"]))
+    return flatten_chars(F.col("paragraphs")) if "paragraphs" in pages.columns else F.col("chars")
+
+
+def _sides(structs: pa.Array) -> list[np.ndarray]:
+    """The four numbers of each character or region, NaN where one is missing."""
+    if structs.type.get_field_index("rect") < 0:
+        names = CHAR if structs.type.get_field_index(CHAR[0]) >= 0 else RECT
+        return [pc.struct_field(structs, x).cast("double").to_numpy(zero_copy_only=False) for x in names]
+    rects = pc.struct_field(structs, "rect")
+    sizes = pc.fill_null(pc.list_value_length(rects), 0).to_numpy()
+    values = np.append(rects.values.cast("double").to_numpy(zero_copy_only=False), np.nan)
+    begins = rects.offsets.to_numpy()[:-1]
+    return [values[np.where(sizes > k, begins + k, len(values) - 1)] for k in range(4)]
+
+
+def _bounds(lists: pa.Array) -> np.ndarray:
+    """Where each list begins in what they flatten to, and the end."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+
+
+def _first_nearest(region: list[np.ndarray], char: list[np.ndarray]) -> np.ndarray:
+    """For each region the place of the first character than which none is nearer, by geometry.rect_distance: a number that is missing is no gap."""
+    with np.errstate(invalid="ignore"):
+        gap = lambda k: np.fmax(np.fmax(char[k] - region[k + 2][:, None], region[k][:, None] - char[k + 2]), 0.0)
+        dx, dy = gap(0), gap(1)
+    return np.sqrt(dx * dx + dy * dy).argmin(axis=1)
+
+
+def _search_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(figure_id, offset) for pages with (regions, characters): DISTANCES distances at once at most, or those of one region."""
+    for batch in batches:
+        regions, chars = batch.columns
+        r_at, c_at, of = _bounds(regions), _bounds(chars), regions.flatten()
+        region, char, offsets = _sides(of), _sides(chars.flatten()), np.zeros(len(of), dtype=np.int32)
+        for r, r_end, c, c_end in zip(r_at, r_at[1:], c_at, c_at[1:]):
+            if c < c_end:
+                here, step = [x[c:c_end] for x in char], max(1, DISTANCES // (c_end - c))
+                for k in range(r, r_end, step):
+                    offsets[k : min(k + step, r_end)] = _first_nearest([x[k : min(k + step, r_end)] for x in region], here)
+        yield pa.RecordBatch.from_arrays([pc.struct_field(of, "figure_id"), pa.array(offsets)], ["figure_id", "offset"])
+
+
 def nearest_char_by_page(regions: DataFrame, pages: DataFrame) -> DataFrame:
-    """The same from pages as boxed_pages takes or gives them, each region looking through its page inside one row.
+    """The same from pages that have one row each: flat characters, nested text or boxes, as boxed_pages takes or gives them.
 
-    Boxes, stored or of nested text, are searched as in nearest_char; pages that have only `chars` are gone through, as to make boxes for a few
-    regions costs more than that. No row for a pair, no shuffle after the join. Only pages with regions are boxed and travel; they are joined by sorting, as Spark takes an array for much
-    smaller than it is and would broadcast them.
+    A page's regions meet its characters in one row, and numpy works out their distances, all of them: that takes less than to choose among boxes.
+    Up to SENT regions (counted) are sent to all tasks and pages stay where they are; more of them are hashed a partition at a time, and pages stream by them
+    without being sorted, shuffled once at most (not if they are dealt by attachment_id and page).
     """
-    keys, region = ["attachment_id", "page"], tuple(map(F.col, RECT))
-    wanted = pages.join(regions.select(*keys).distinct(), keys, "left_semi")
-    if not {"boxes", "paragraphs"} & set(pages.columns):
-        rows = regions.select("figure_id", *keys, *RECT).join(wanted.select(*keys, "chars").hint("merge"), keys, "left")
-        all_ = F.transform("chars", lambda c, i: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), i.alias("offset")))
-        return rows.select("figure_id", F.coalesce(F.array_min(all_)["offset"], F.lit(0)).cast("int").alias("offset"))
-    wanted = boxed_pages(wanted)
-    rows = regions.select("figure_id", *keys, *RECT).join(wanted.hint("merge"), keys, "left")
-    low = F.transform("boxes", lambda b: F.when(F.size(b["chars"]) > 0, F.when(b["odd"], 0.0).otherwise(rect_distance(tuple(b[x] for x in OUTER), region))))
-    each = lambda b: F.transform(b["chars"], lambda c, i: F.struct(rect_distance(tuple(c[x] for x in CHAR), region).alias("d"), (b["first"] + i).alias("offset")))
-    rows = rows.withColumn("__low", low).withColumn("__best", F.array_position("__low", F.array_min("__low")).cast("int") - 1)
-    rows = rows.withColumn("__m", F.array_min(each(F.get("boxes", F.col("__best")))))
-    here = F.col("__m.d")
-    wins = lambda b, i: (F.get("__low", i) < here) | ((F.get("__low", i) == here) & (i < F.col("__best")))
-    rest = F.flatten(F.transform(F.filter("boxes", wins), each))
-    least = F.least(F.col("__m"), F.coalesce(F.array_min(rest), F.col("__m")))
-    return rows.select("figure_id", F.coalesce(least["offset"], F.lit(0)).cast("int").alias("offset"))
+    keys = ["attachment_id", "page"]
+    here = regions.groupBy(*keys).agg(F.collect_list(F.struct("figure_id", *RECT)).alias("__regions"))
+    rows, kind = pages.select(*keys, _characters(pages).alias("__chars")), regions.schema["figure_id"].dataType.simpleString()
+    search = lambda df: df.select("__regions", "__chars").mapInArrow(_search_pages, f"figure_id {kind}, offset int")
+    if regions.limit(SENT + 1).count() > SENT:
+        return search(rows.join(here.hint("shuffle_hash"), keys, "right"))
+    without = regions.join(pages.select(*keys), keys, "left_anti").select("figure_id", F.lit(0).alias("offset"))
+    return search(rows.join(F.broadcast(here), keys)).unionByName(without)
 
 
 def _padded(number, width: int):
