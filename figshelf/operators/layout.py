@@ -66,32 +66,64 @@ def _least(rows: DataFrame) -> DataFrame:
     return rows.groupBy("figure_id").agg(F.min(F.struct("d", "char_offset")).alias("__m")).select("figure_id", F.col("__m.d").alias("least"), F.col("__m.char_offset").alias("offset"))
 
 
+def _low() -> Column:
+    """The least that a region can be from the characters in a box."""
+    return F.when(F.col("odd"), 0.0).otherwise(_dist(RECT, OUTER))
+
+
 def _searched(regions: DataFrame, chars: DataFrame, box: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(figure_id, least, offset), and the boxes and characters that distances were worked out to."""
+    if regions.limit(SENT + 1).count() > SENT:
+        return _searched_many(regions, chars, box)
     page, keys = ["attachment_id", "page"], ["attachment_id", "page", "box"]
     places = regions.select("figure_id", *page, *RECT)
     letters = chars.select(*page, F.floor(F.col("char_offset") / box).alias("box"), "char_offset", *CHAR)
-    low = F.when(F.col("odd"), 0.0).otherwise(_dist(RECT, OUTER))
-    pairs = places.join(char_boxes(chars, box), page).withColumn("low", low)
+    pairs = places.join(char_boxes(chars, box), page).withColumn("low", _low())
     by_low = Window.partitionBy("figure_id").orderBy("low", "box")
     ranked = pairs.select("figure_id", *keys, "low", *RECT).withColumn("first", F.row_number().over(by_low) == 1)
-    if few := regions.limit(SENT + 1).count() <= SENT:
-        ranked = stored(ranked, "boxes")  # small, as a box is; characters are read again rather than shuffled
+    ranked = stored(ranked, "boxes")  # small, as a box is; characters are read again rather than shuffled
     tried = lambda of, sent: (F.broadcast(of) if sent else of).join(letters, keys).select("figure_id", "box", _dist(RECT, CHAR).alias("d"), "char_offset")
-    near = tried(ranked.where("first"), few)
-    found = _least(near).join(ranked.where("first").select("figure_id", F.col("box").alias("best")), "figure_id")
-    if few:
-        found = stored(found, "found")
+    near = tried(ranked.where("first"), True)
+    found = stored(_least(near).join(ranked.where("first").select("figure_id", F.col("box").alias("best")), "figure_id"), "found")
     # a box that comes later cannot win by a tie
     open_ = (F.col("low") < F.col("least")) | ((F.col("low") == F.col("least")) & (F.col("box") < F.col("best")))
-    rest = ranked.where("NOT first").join(found.select("figure_id", "least", "best"), "figure_id").where(open_)
-    if few:
-        rest = stored(rest, "rest")
-    more = tried(rest, few and rest.limit(SENT + 1).count() <= SENT)
+    rest = stored(ranked.where("NOT first").join(found.select("figure_id", "least", "best"), "figure_id").where(open_), "rest")
+    more = tried(rest, rest.limit(SENT + 1).count() <= SENT)
     both = found.select("figure_id", F.col("least").alias("d"), F.col("offset").alias("char_offset")).unionByName(more.select("figure_id", "d", "char_offset"))
     return _least(both), pairs, near.unionByName(more)
 
 
+def _searched_many(regions: DataFrame, chars: DataFrame, box: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for more regions than can be sent to all tasks: they are hashed by page, a partition at a time, and boxes and characters stream by them.
+
+    Nothing is broadcast, and nothing that has a row for a character or a pair is sorted or shuffled, if characters are dealt by attachment_id and page (else they are
+    shuffled as they are). Distances are summed up first (a number, which is hashed), and the first character that has the least one is looked for then.
+    """
+    page, figure = ["attachment_id", "page"], ["attachment_id", "page", "figure_id", *RECT]
+    letters, boxes = chars.select(*page, "char_offset", *CHAR), char_boxes(chars, box)
+    meet = lambda many, few: many.join(few.hint("shuffle_hash"), page)
+    # the characters of a box by their offsets: an equal number of the box would be another key to shuffle by
+    inside = (F.col("char_offset") >= F.col("box") * box) & (F.col("char_offset") < (F.col("box") + 1) * box)
+    tried = lambda of: meet(letters, of).where(inside).withColumn("d", _dist(RECT, CHAR))
+    pairs = meet(boxes, regions.select(*figure)).withColumn("low", _low())
+    first = pairs.groupBy(*figure).agg(F.min(F.struct("low", "box")).alias("__m")).select(*figure, "__m.low", "__m.box")
+    first = stored(first, "boxes")
+    near = tried(first)
+    found = stored(near.groupBy(*figure, "low", "box").agg(F.min("d").alias("least")), "found")
+    # a box that comes later cannot win by a tie
+    open_ = (F.col("low") < F.col("least")) | ((F.col("low") == F.col("least")) & (F.col("box") < F.col("best")))
+    rest = meet(boxes, found.select(*figure, "least", F.col("box").alias("best"))).withColumn("low", _low()).where((F.col("box") != F.col("best")) & open_)
+    rest = stored(rest.select(*figure, "low", "box", "least"), "rest")
+    more = tried(rest)
+    nearer = more.groupBy(*page, "figure_id").agg(F.min("d").alias("nearer"))
+    nearer = found.select("figure_id", "least").unionByName(nearer.select("figure_id", F.col("nearer").alias("least"))).groupBy("figure_id").agg(F.min("least").alias("least"))
+    left = found.unionByName(rest).drop("least").join(nearer.hint("merge"), "figure_id").where("low <= least")
+    last = tried(left)
+    made = last.where("d = least").groupBy(*page, "figure_id").agg(F.min("least").alias("least"), F.min("char_offset").alias("offset"))
+    columns = ["figure_id", "d", "char_offset"]
+    return made.select("figure_id", "least", "offset"), pairs, near.select(*columns).unionByName(more.select(*columns)).unionByName(last.select(*columns))
+
+
 def nearest_char(regions: DataFrame, chars: DataFrame, box: int = BOX) -> DataFrame:
     """(figure_id, offset): of each region the offset of the nearest character of its page; ties to the first.
 
@@ -99,10 +131,10 @@ def nearest_char(regions: DataFrame, chars: DataFrame, box: int = BOX) -> DataFr
     gap in its direction. Branch and bound: distances to the boxes about
     characters in a row bound those to the characters; the characters of each region's nearest box are tried, then those of boxes that are
     nearer than what that gives. Boxes are made where the characters are. Up to SENT regions (counted) and boxes to look into are sent to all tasks, and
-    characters stay where they are; more of them meet the characters by a join, for which these are shuffled once.
+    characters stay where they are; more of them meet the characters by a join, for which these are shuffled (not if they are dealt by attachment_id and page).
     """
     found, _, _ = _searched(regions, chars, box)
-    return regions.select("figure_id").join(found, "figure_id", "left").select("figure_id", F.coalesce("offset", F.lit(0)).alias("offset"))
+    return regions.select("figure_id").join(found.hint("merge"), "figure_id", "left").select("figure_id", F.coalesce("offset", F.lit(0)).alias("offset"))
 
 
 def search_work(regions: DataFrame, chars: DataFrame, box: int = BOX) -> DataFrame:

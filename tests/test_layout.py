@@ -125,3 +125,20 @@ def test_characters_stay_where_they_are(spark, tmp_path):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "BroadcastHashJoin" in plan and "box" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_many_regions_are_not_broadcast(spark, monkeypatch):
+    """More regions than can be sent: nothing is broadcast, and dealt characters are neither shuffled nor sorted, but stream by the regions."""
+    monkeypatch.setattr(layout, "SENT", 0)
+    sf_dir = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10g")
+    try:
+        regions = flipped(spark, sf_dir).localCheckpoint()
+        found, _, _ = layout._searched(regions, view(spark, sf_dir, "chars"), layout.BOX)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "REPARTITION_BY_NUM" not in x and "char_offset" in x]
