@@ -6,6 +6,8 @@ last value counts, at its first place, whatever spark.sql.mapKeyDedupPolicy says
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +18,17 @@ def _is_pair(line: Column) -> Column:
     return F.locate(": ", line) > 1
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once however often `then` names it: inside transform it is a variable."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _entries(text: Column) -> Column:
     """Structs (key, value) of the pairs in order, then of FREE."""
-    lines = F.split(text, "\n")
+    return _once(F.split(text, "\n"), _parted)
+
+
+def _parted(lines: Column) -> Column:
     pair = lambda s: F.struct(F.substring_index(s, ": ", 1).alias("key"), F.substr(s, F.locate(": ", s) + 2).alias("value"))
     pairs = F.transform(F.filter(lines, _is_pair), pair)
     free = F.array_join(F.filter(lines, lambda s: ~_is_pair(s)), "\n")
@@ -36,8 +46,7 @@ def _last_of_each(entries: Column) -> Column:
         return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
 
     by_key = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))))
-    # inside transform the entries are a variable, worked out once
-    return F.get(F.transform(F.array(by_key), collect), F.lit(0))
+    return _once(by_key, collect)
 
 
 def parse_extra(text: Column) -> Column:
@@ -52,6 +61,10 @@ def get_extra(text: Column, key: str) -> Column:
 def set_extra(text: Column, key: str, value: Column) -> Column:
     """The text with one pair set: free lines first, then the pairs."""
     fields = _last_of_each(F.concat(_entries(text), F.array(F.struct(F.lit(key).alias("key"), value.alias("value")))))
+    return _once(fields, _text)
+
+
+def _text(fields: Column) -> Column:
     pairs = F.filter(F.map_entries(fields), lambda e: e["key"] != FREE)
     free = F.try_element_at(fields, F.lit(FREE))
     made = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")

@@ -373,3 +373,11 @@ def test_column_functions_run_without_python(spark):
     df = spark.createDataFrame([("A: 1", "Fig. 1", ["Figure 1"])], "extra string, caption string, tags array<string>")
     plan = df.select(extra.set_extra(F.col("extra"), "B", F.lit("2")), captions.short_caption(F.col("caption")), captions.is_figure_any_tag(F.col("tags")), ranking.search_score(F.col("caption"), "fig 1"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_extra_is_parsed_once_for_each_pair_set(spark):
+    """Setting two pairs, one on top of the other, splits two texts: not each of them again wherever the result is named."""
+    df = spark.createDataFrame([("a: 1\nfree",), (None,), ("",)], "extra string")
+    two = df.select(extra.set_extra(extra.set_extra(F.col("extra"), "a", F.lit("2")), "b", F.lit("3")).alias("x"))
+    assert two._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert [r["x"] for r in two.collect()] == ["free\na: 2\nb: 3", "b: 3", "a: 2\nb: 3"]
