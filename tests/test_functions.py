@@ -381,3 +381,11 @@ def test_extra_is_parsed_once_for_each_pair_set(spark):
     two = df.select(extra.set_extra(extra.set_extra(F.col("extra"), "a", F.lit("2")), "b", F.lit("3")).alias("x"))
     assert two._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
     assert [r["x"] for r in two.collect()] == ["free\na: 2\nb: 3", "b: 3", "a: 2\nb: 3"]
+
+
+def test_small_result_files_share_tasks(spark, tmp_path):
+    """600 small files are a task for each core, not one for every 32."""
+    for k in range(600):
+        (tmp_path / f"K{k:07}.json").write_text("[]")
+    files = results.result_files(spark, f"file://{tmp_path}")
+    assert files.rdd.getNumPartitions() <= 10 and files.count() == 600
