@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figshelf.functions.citations import encode_citations
@@ -35,9 +35,16 @@ def _marked(lines: DataFrame, large: bool | None) -> DataFrame:
     return with_before(lines, ["note_id"], ["seq"], columns)
 
 
+def _new_run() -> Column:
+    return F.col("__first") | ~F.col("__before_attachment_id").eqNullSafe(F.col("attachment_id"))
+
+
+def _change() -> Column:
+    return ~F.col("__first") & ~F.col("__before_item_id").eqNullSafe(F.col("item_id"))
+
+
 def _numbered(marked: DataFrame) -> DataFrame:
-    new = (F.col("__first") | ~F.col("__before_attachment_id").eqNullSafe(F.col("attachment_id"))).cast("long")
-    return running_sum(marked, ["note_id"], ["seq"], new, "run_no")
+    return running_sum(marked, ["note_id"], ["seq"], _new_run().cast("long"), "run_no")
 
 
 def _unmarked(rows: DataFrame) -> DataFrame:
@@ -45,8 +52,7 @@ def _unmarked(rows: DataFrame) -> DataFrame:
 
 
 def _changes(marked: DataFrame) -> DataFrame:
-    change = ~F.col("__first") & ~F.col("__before_item_id").eqNullSafe(F.col("item_id"))
-    return marked.groupBy("note_id").agg(F.bool_or(change).alias("spans_items"))
+    return marked.groupBy("note_id").agg(F.bool_or(_change()).alias("spans_items"))
 
 
 def group_runs(lines: DataFrame, large: bool | None = None) -> DataFrame:
@@ -68,18 +74,33 @@ def runs_and_spans(lines: DataFrame, large: bool | None = None) -> tuple[DataFra
     return _unmarked(_numbered(marked)), _changes(marked)
 
 
+def _paragraph() -> Column:
+    """An annotation's line of text; none without a key."""
+    return F.concat(F.lit("<p>"), F.coalesce("comment", F.lit("")), F.lit(" ["), F.col("key"), F.lit("]</p>\n"))
+
+
 def runs(lines: DataFrame) -> DataFrame:
     """One row a run: (note_id, run_no, attachment_id, item_id, both titles, n_lines, body). lines: group_runs of resolve_parents.
 
     body: a line of text for each annotation, its comment and key, in order.
     """
-    line = F.struct("seq", F.concat(F.lit("<p>"), F.coalesce("comment", F.lit("")), F.lit(" ["), F.col("key"), F.lit("]</p>\n")).alias("p"))
+    line = F.struct("seq", _paragraph().alias("p"))
     return lines.groupBy("note_id", "run_no").agg(
         F.first("attachment_id").alias("attachment_id"), F.first("item_id").alias("item_id"), F.first("attachment_title").alias("attachment_title"), F.first("item_title").alias("item_title"),
         F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["p"]), "").alias("body"),
     )
 
 
+def _item_heading() -> Column:
+    """Of a group, or of the line that begins it, with that before it."""
+    other = F.when(F.col("__first"), F.col("item_id").isNotNull()).otherwise(~F.col("__before_item_id").eqNullSafe(F.col("item_id")))
+    return F.when(F.col("spans_items") & (F.coalesce("item_title", F.lit("")) != "") & other, F.col("item_title"))
+
+
+def _attachment_heading() -> Column:
+    return F.when(F.col("item_id").isNull() | F.coalesce("__several", F.lit(False)), F.col("attachment_title"))
+
+
 def headings(groups: DataFrame, spans: DataFrame, large: bool | None = None) -> DataFrame:
     """groups with item_heading and attachment_heading: shown where they say something new.
 
@@ -89,12 +110,48 @@ def headings(groups: DataFrame, spans: DataFrame, large: bool | None = None) ->
     if has_large(groups, ["note_id"]) if large is None else large:
         groups = sorted_ranges(groups, ["note_id"], ["run_no"])
     seen = with_before(groups, ["note_id"], ["run_no"], ["item_id"])
-    other = F.when(F.col("__first"), F.col("item_id").isNotNull()).otherwise(~F.col("__before_item_id").eqNullSafe(F.col("item_id")))
-    shown = F.col("spans_items") & (F.coalesce("item_title", F.lit("")) != "") & other
     several = seen.where("item_id IS NOT NULL").groupBy("note_id", "item_id").agg((F.count(F.lit(1)) > 1).alias("__several"))
-    rows = _unmarked(seen.join(spans, "note_id").join(several, ["note_id", "item_id"], "left").withColumn("item_heading", F.when(shown, F.col("item_title"))))
-    named = F.when(F.col("item_id").isNull() | F.coalesce("__several", F.lit(False)), F.col("attachment_title"))
-    return rows.withColumn("attachment_heading", named).select(*(c for c in groups.columns if c not in (PART, AT)), "spans_items", "item_heading", "attachment_heading")
+    rows = _unmarked(seen.join(spans, "note_id").join(several, ["note_id", "item_id"], "left").withColumn("item_heading", _item_heading()))
+    return rows.withColumn("attachment_heading", _attachment_heading()).select(*(c for c in groups.columns if c not in (PART, AT)), "spans_items", "item_heading", "attachment_heading")
+
+
+def _with_note(marked: DataFrame) -> DataFrame:
+    """marked, with spans_items, __several (whether the line's item has more than one run in its note) and __place (order in the note).
+
+    By windows over notes in one task each; of ranges, by sums of each note and item.
+    """
+    marked = marked.withColumns({"__new": _new_run(), "__change": _change()})
+    note, place = Window.partitionBy("note_id"), ["note_id", "item_id"]
+    if PART not in marked.columns:
+        in_order = marked.withColumn("__place", F.row_number().over(note.orderBy(F.col("seq").asc_nulls_first())))
+        spans = in_order.withColumn("spans_items", F.bool_or("__change").over(note))
+        return spans.withColumn("__several", F.sum(F.col("__new").cast("long")).over(Window.partitionBy(*place)) > 1)
+    sums = marked.groupBy(*place).agg((F.sum(F.col("__new").cast("long")) > 1).alias("__several"), F.bool_or("__change").alias("__changes"))
+    sums = keyed(sums.select(*place, "__several", F.bool_or("__changes").over(note).alias("spans_items")), place)
+    return marked.withColumn("__place", F.struct(PART, AT)).join(sums, same_rows(marked, sums, place))
+
+
+def bodies(lines: DataFrame, large: bool | None = None) -> DataFrame:
+    """(note_id, body): each note's runs with their headings, a line of text for each annotation and an empty line after each run. lines: resolve_parents.
+
+    The text is that of headings(runs(...)), but a heading goes with the line that begins its run, so that lines are sorted once and put together once.
+    """
+    rows = _with_note(_marked(lines.where("note_id IS NOT NULL"), large))
+    tagged = lambda tag, text: F.coalesce(F.when(F.col("__new"), F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>\n"))), F.lit(""))
+    gap = F.when(F.col("__new") & ~F.col("__first"), "\n").otherwise("")
+    piece = F.concat(gap, tagged("h2", _item_heading()), tagged("h3", _attachment_heading()), F.coalesce(_paragraph(), F.lit("")))
+    in_order = F.sort_array(F.collect_list(F.struct("__place", piece.alias("p"))))
+    return rows.groupBy("note_id").agg(F.concat(F.array_join(F.transform(in_order, lambda x: x["p"]), ""), F.lit("\n")).alias("body"))
+
+
+def note_bodies(lines: DataFrame, attachments: DataFrame, items: DataFrame) -> DataFrame:
+    """(note_id, body): bodies of ordered lines as create_notes takes them, without citations and version."""
+    return bodies(_resolved(lines, attachments, items))
+
+
+def _resolved(lines: DataFrame, attachments: DataFrame, items: DataFrame) -> DataFrame:
+    """resolve_parents as a written table: sizes of notes are counted, ranges sampled and lines sorted from it, and joins are made once."""
+    return stored(resolve_parents(lines, attachments, items), "note-lines")
 
 
 def note_schema_version(lines: DataFrame) -> DataFrame:
@@ -176,15 +233,11 @@ def dedupe_citations(citations: DataFrame) -> DataFrame:
     return kept_citations(citations).groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("seq", "uris"))).alias("items"))
 
 
-def note_html(groups: DataFrame, citations: DataFrame, versions: DataFrame, title: str = "图表") -> DataFrame:
-    """(note_id, html): title, headings and bodies inside one div with citations and version.
+def note_html(bodies: DataFrame, citations: DataFrame, versions: DataFrame, title: str = "图表") -> DataFrame:
+    """(note_id, html): title and body inside one div with citations and version.
 
-    groups: from headings(). citations: from dedupe_citations(); a note without them has an empty list.
+    bodies: from bodies(). citations: from dedupe_citations(); a note without them has an empty list.
     """
-    h2 = F.when(F.col("item_heading").isNotNull(), F.concat(F.lit("<h2>"), "item_heading", F.lit("</h2>\n"))).otherwise("")
-    h3 = F.when(F.col("attachment_heading").isNotNull(), F.concat(F.lit("<h3>"), "attachment_heading", F.lit("</h3>\n"))).otherwise("")
-    part = F.struct("run_no", F.concat(h2, h3, F.col("body"), F.lit("\n")).alias("p"))
-    bodies = groups.groupBy("note_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["p"]), "").alias("body"))
     coded = citations.select("note_id", encode_citations(F.transform("items", lambda x: F.struct(x["uris"].alias("uris")))).alias("coded"))
     rows = bodies.join(versions, "note_id").join(coded, "note_id", "left")
     html = F.concat(F.lit('<div data-citation-items="'), F.coalesce("coded", F.lit("%5B%5D")), F.lit('" data-schema-version="'), F.col("schema_version").cast("string"), F.lit(f'"><h1>{title}</h1>\n'), "body", F.lit("</div>"))
@@ -208,11 +261,8 @@ def create_notes(lines: DataFrame, attachments: DataFrame, items: DataFrame, cit
 
     With wishes (see note_places) each note has its place, and lines a library_id.
     """
-    if lines.isEmpty():
+    resolved = _resolved(lines, attachments, items)
+    if resolved.isEmpty():
         raise ValueError("no annotations")
-    resolved = resolve_parents(lines, attachments, items)
-    large = has_large(lines, ["note_id"])
-    lines_in_runs, spans = runs_and_spans(resolved, large)
-    groups = headings(runs(lines_in_runs), spans, large)
-    made = note_html(groups, dedupe_citations(citations), note_schema_version(lines), title)
-    return made if wishes is None else made.join(note_places(lines, wishes), "note_id")
+    made = note_html(bodies(resolved), dedupe_citations(citations), note_schema_version(resolved), title)
+    return made if wishes is None else made.join(note_places(resolved, wishes), "note_id")

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from figshelf.operators import notes, ordered
+from figshelf.plans.catalogue_queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
 CITED = "note_id long, seq long, uris array<string>"
 
 
@@ -98,3 +100,29 @@ def test_ranges_split_a_large_note(spark):
     assert gaps[0] <= 3 and gaps[1] == rows.where("note_id = 1").count() - 1
     summed = ordered.running_sum(ranges, ["note_id"], ["seq"], F.lit(1), "n").groupBy("note_id").agg(F.max("n").alias("n"), F.countDistinct("n").alias("d"), F.count(F.lit(1)).alias("c"))
     assert summed.where("n <> d OR n <> c").count() == 0
+
+
+@pytest.mark.parametrize("whole", [0, 10**6])
+def test_bodies_are_the_runs_under_their_headings(spark, whole, monkeypatch):
+    monkeypatch.setattr(ordered, "WHOLE", whole)
+    rng, rows = random.Random(7), []
+    for n in (*range(1, 30), None):
+        for i in range(rng.randrange(1, 40)):
+            a = rng.randrange(7)
+            title = None if a in (3, 6) else f"t{a}"
+            rows.append((n, i if i else None, None if a == 4 else a, None if a == 5 else a // 2, title, ["", "I", None, "J"][a // 2] if a != 5 else None, rng.choice([None, "", "c\n"]), rng.choice([None, "k", "l"])))
+    lines = lines_of(spark, rows)
+    in_runs, spans = notes.runs_and_spans(lines)
+    want = {}
+    for g in notes.headings(notes.runs(in_runs), spans).orderBy("note_id", "run_no").collect():
+        tags = "".join(f"<{t}>{g[c]}</{t}>\n" for t, c in (("h2", "item_heading"), ("h3", "attachment_heading")) if g[c] is not None)
+        want[g["note_id"]] = want.get(g["note_id"], "") + tags + g["body"] + "\n"
+    assert len(want) == 29 and {r["note_id"]: r["body"] for r in notes.bodies(lines).collect()} == want
+    assert notes.bodies(lines.limit(0)).count() == 0
+
+
+def test_bodies_leave_citations_and_join_lines_once(spark, monkeypatch):
+    """The bodies have no use for citations; what is left after the lines are written is one shuffle by note, without joins."""
+    monkeypatch.setattr(notes, "kept_citations", lambda *_: pytest.fail("citations are not asked for"))
+    plan = QUERIES["j6_note_bodies"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
