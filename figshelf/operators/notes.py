@@ -233,11 +233,19 @@ def dedupe_citations(citations: DataFrame) -> DataFrame:
     return kept_citations(citations).groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("seq", "uris"))).alias("items"))
 
 
-def note_html(bodies: DataFrame, citations: DataFrame, versions: DataFrame, title: str = "图表") -> DataFrame:
-    """(note_id, html): title and body inside one div with citations and version.
+def note_html(groups: DataFrame, citations: DataFrame, versions: DataFrame, title: str = "图表") -> DataFrame:
+    """(note_id, html): title, headings and bodies inside one div with citations and version.
 
-    bodies: from bodies(). citations: from dedupe_citations(); a note without them has an empty list.
+    groups: from headings(). citations: from dedupe_citations(); a note without them has an empty list.
     """
+    h2 = F.when(F.col("item_heading").isNotNull(), F.concat(F.lit("<h2>"), "item_heading", F.lit("</h2>\n"))).otherwise("")
+    h3 = F.when(F.col("attachment_heading").isNotNull(), F.concat(F.lit("<h3>"), "attachment_heading", F.lit("</h3>\n"))).otherwise("")
+    part = F.struct("run_no", F.concat(h2, h3, F.col("body"), F.lit("\n")).alias("p"))
+    made = groups.groupBy("note_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["p"]), "").alias("body"))
+    return _html(made, citations, versions, title)
+
+
+def _html(bodies: DataFrame, citations: DataFrame, versions: DataFrame, title: str) -> DataFrame:
     coded = citations.select("note_id", encode_citations(F.transform("items", lambda x: F.struct(x["uris"].alias("uris")))).alias("coded"))
     rows = bodies.join(versions, "note_id").join(coded, "note_id", "left")
     html = F.concat(F.lit('<div data-citation-items="'), F.coalesce("coded", F.lit("%5B%5D")), F.lit('" data-schema-version="'), F.col("schema_version").cast("string"), F.lit(f'"><h1>{title}</h1>\n'), "body", F.lit("</div>"))
@@ -264,5 +272,5 @@ def create_notes(lines: DataFrame, attachments: DataFrame, items: DataFrame, cit
     resolved = _resolved(lines, attachments, items)
     if resolved.isEmpty():
         raise ValueError("no annotations")
-    made = note_html(bodies(resolved), dedupe_citations(citations), note_schema_version(resolved), title)
+    made = _html(bodies(resolved), dedupe_citations(citations), note_schema_version(resolved), title)
     return made if wishes is None else made.join(note_places(resolved, wishes), "note_id")

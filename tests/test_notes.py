@@ -126,3 +126,14 @@ def test_bodies_leave_citations_and_join_lines_once(spark, monkeypatch):
     monkeypatch.setattr(notes, "kept_citations", lambda *_: pytest.fail("citations are not asked for"))
     plan = QUERIES["j6_note_bodies"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_notes_of_lines_and_of_groups_are_the_same(spark):
+    lines = spark.createDataFrame([(n, i, i, (i * n) % 4, "image", "c", f"k{i}") for n in (1, 2, 3) for i in range(20)], "note_id long, seq long, annotation_id long, attachment_id long, annotation_type string, comment string, key string")
+    files = spark.createDataFrame([(0, "P.pdf", 9), (1, "Q.pdf", 8), (2, "R.pdf", None)], "attachment_id long, file_name string, parent_item_id int")
+    items = spark.createDataFrame([(9, "Item"), (8, "Other")], "item_id int, title string")
+    cited = spark.createDataFrame([(1, 1, ["a"])], CITED)
+    resolved = notes.resolve_parents(lines, files, items)
+    in_runs, spans = notes.runs_and_spans(resolved)
+    want = notes.note_html(notes.headings(notes.runs(in_runs), spans), notes.dedupe_citations(cited), notes.note_schema_version(lines))
+    assert sorted(notes.create_notes(lines, files, items, cited).collect()) == sorted(want.collect())
