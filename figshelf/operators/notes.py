@@ -165,7 +165,8 @@ def first_citations(citations: DataFrame) -> DataFrame:
     Citations that name no URI are never rejected and all stay.
     """
     names = F.coalesce(F.exists("uris", lambda u: u.isNotNull()), F.lit(False))
-    first = citations.where(names).groupBy("note_id", "uris").agg(F.min(F.struct("seq")).alias("first")).select("note_id", F.col("first.seq").alias("seq"), "uris")
+    least = F.when(~F.bool_or(F.col("seq").isNull()), F.min("seq"))  # null comes first; the least of structs would sort all citations
+    first = citations.where(names).groupBy("note_id", "uris").agg(least.alias("seq")).select("note_id", "seq", "uris")
     return first.unionByName(citations.where(~names).select("note_id", "seq", "uris"))
 
 

@@ -137,3 +137,10 @@ def test_notes_of_lines_and_of_groups_are_the_same(spark):
     in_runs, spans = notes.runs_and_spans(resolved)
     want = notes.note_html(notes.headings(notes.runs(in_runs), spans), notes.dedupe_citations(cited), notes.note_schema_version(lines))
     assert sorted(notes.create_notes(lines, files, items, cited).collect()) == sorted(want.collect())
+
+
+def test_first_citations_are_found_without_a_sort(spark):
+    df = spark.createDataFrame([(1, 2, ["a"]), (1, 1, ["a"]), (2, 3, ["a"]), (2, None, ["a"])], CITED)
+    first = notes.first_citations(df)
+    assert {(r["note_id"], r["seq"]) for r in first.collect()} == {(1, 1), (2, None)}
+    assert "Sort" not in first._jdf.queryExecution().executedPlan().toString()
