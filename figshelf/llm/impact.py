@@ -8,10 +8,11 @@ into at most LEVELS segments of equal width of values: the quantised impact. Cou
 negative: from its greatest), what a posting adds to a score is never negative, and its segment says between which two numbers it lies.
 
 The search is score-at-a-time: the segments of all components are processed by descending quantised impact (the query's number times the
-segment's), each adding its lower bound to the accumulators of its postings. At any time a candidate's score lies between its accumulator and
+segment's), each adding its lower bound to the accumulators of its postings. Queries of a block go through it together (ACCUMULATORS rows times queries at once): a
+segment's impact is the greatest that it has for one of them, and a posting adds to the accumulators of all in one row. At any time a candidate's score lies between its accumulator and
 that plus, for each component, the most that is still to come: the greatest impact not yet processed, or the width of a segment where that is more. Candidates
 whose upper bound is below the k-th greatest accumulator are proved to be no members. Processing stops when the possible members
-are few (FEW for each of k) or when no segment is left; then the possible members, however many, are rescored from their whole
+are few (FEW for each of k, over the queries that go together) or when no segment is left; then the possible members, however many, are rescored from their whole
 integers. So results are exact at any number of segments and wherever it stops. Each query's best of all blocks are merged by a window.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do null ids. Vectors of different lengths are not compared; empty ones
@@ -25,6 +26,7 @@ different candidates and are dealt out by their ids as well.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 
 from figshelf.llm.common import bounded_batches, col, parts, written
 
-K, EVERY, LEVELS, FEW, BLOCK_BYTES, LEAST = 10, 100, 64, 8, 32 << 20, 1024
+K, EVERY, LEVELS, FEW, BLOCK_BYTES, LEAST = 10, 100, 64, 8, 4 << 20, 4096
+#: Accumulators that a task holds at once (rows of a block times queries), postings that are added at once, and accumulators of which one stands for all in a bar.
+ACCUMULATORS, POSTINGS, GROUP = 2 << 20, 512, 16
 SCALE = 1024
 LONG = np.iinfo(np.int64)
 INDEX = "dim int, cb long, component int, postings array<int>, ends array<int>, values array<long>"
@@ -114,68 +118,112 @@ class Block:
         numbers = lambda name, k: index[name][k].values.to_numpy()
         self.ids, self.hashes = numbers("values", at[IDS]), numbers("values", at[HASHES])
         self.components = [Component(*(numbers(name, at[c]) for name in ("postings", "ends", "values"))) for c in range(len(at) - 2)]
+        self.by_id = np.argsort(self.ids, kind="stable")
         self.least = [c.least for c in self.components]
         self.most = [c.most for c in self.components]
         self.width = [c.width for c in self.components]
 
+    def rows_of(self, i: int, h: int) -> np.ndarray:
+        """The rows with this id and hash."""
+        a, b = (np.searchsorted(self.ids, i, side, sorter=self.by_id) for side in ("left", "right"))
+        rows = self.by_id[a:b]
+        return rows[self.hashes[rows] == h]
+
     def greatest(self, query: list[int]) -> int:
         """No accumulator, bound or score of this query exceeds this."""
         return sum(2 * abs(q) * max(abs(a), abs(b), 1) + abs(q) * w for q, a, b, w in zip(query, self.least, self.most, self.width))
 
-    def score(self, query: list[int], rows: np.ndarray, kind: type) -> np.ndarray:
-        """Whole inner products of some rows."""
-        out = np.zeros(len(rows), kind)
-        for q, c in zip(query, self.components):
-            if q:
-                out += c.values[rows].astype(kind) * q
-        return out
-
     def best(self, query: list[int], k: int, own: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and scores of the k best but for own, best first, and how many rows were rescored."""
-        greatest = self.greatest(query)
-        kind = np.int64 if greatest < LONG.max // 2 else object
-        n = len(self.ids)
-        wanted = min(k, n - len(own))
-        if wanted <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, kind), 0
-        acc = np.zeros(n, kind)
-        acc[own] = -1 - greatest  # it stays negative; others never are
-        used = [c for c, q in enumerate(query) if q and self.most[c] > self.least[c]]
-        # a posting's segment, counted from the query's worse end, times this is the least that it adds
-        steps = {c: abs(query[c]) * self.width[c] for c in used}
-        slack = {c: abs(query[c]) * (self.width[c] - 1) for c in used}
-        done = {c: len(self.components[c].ends) for c in used}  # segments from here up are processed
-        top = max((steps[c] * (done[c] - 1) for c in used), default=0)
-        possible = np.arange(n)
+        return next(iter(self.best_of_many([query], k, [own], few)))[1:]
+
+    def best_of_many(self, queries: list[list[int]], k: int, own: list[np.ndarray], few: int = FEW) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(place of the query, then what `best` gives) for each query. Queries go together that have numbers of one kind, as many as ACCUMULATORS allow."""
+        greatest = [self.greatest(q) for q in queries]
+        for kind, over, limit in ((np.int32, -1, 1 << 30), (np.int64, 1 << 30, LONG.max // 2), (object, LONG.max // 2, None)):
+            places = [j for j, g in enumerate(greatest) if g >= over and (limit is None or g < limit)]
+            step = max(1, ACCUMULATORS // (len(self.ids) * (1 if kind is not object else 8)))
+            for at in range(0, len(places), step):
+                here = places[at : at + step]
+                found = self._batch([queries[j] for j in here], k, [own[j] for j in here], few, kind, max(greatest[j] for j in here))
+                yield from ((j, *x) for j, x in zip(here, found))
+
+    def _batch(self, queries: list[list[int]], k: int, own: list[np.ndarray], few: int, kind: type, greatest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """What `best` gives for some queries: a posting's impact is the greatest that it has for one of them, and a segment adds to the accumulators of all."""
+        n, m, whole = len(self.ids), len(queries), object if kind is object else np.int64
+        acc = np.zeros((n, m), kind)
+        for j, rows in enumerate(own):
+            acc[rows, j] = -1 - greatest  # it stays negative; others never are
+        used = [SharedList(x, [q[c] for q in queries], kind) for c, x in enumerate(self.components) if self.most[c] > self.least[c] and any(q[c] for q in queries)]
+        top, added = max((int(max(x.impact)) for x in used), default=0), 0
         while True:
-            for c in used:  # all segments of an impact of top or more that are left
-                x, until = self.components[c], done[c]
-                first = min(until, max(1, -(-top // steps[c])))  # the lowest segment adds 0
-                if first < until:
-                    self._add(acc, x, query[c], first, until, steps[c], kind)
-                    done[c] = first
-            to_come = sum(max(slack[c], steps[c] * done[c] - abs(query[c])) if done[c] > 1 else slack[c] for c in used)
-            bar = np.partition(acc, n - wanted)[n - wanted]
-            possible = np.flatnonzero((acc + to_come >= bar) & (acc >= 0))
-            if len(possible) <= few * k or top <= 0:
-                break
-            top = top // 2 if top > 1 else 0
-        scores = self.score(query, possible, kind)
-        order = np.lexsort((self.ids[possible], -scores))[:wanted] if kind is np.int64 else np.array(sorted(range(len(possible)), key=lambda i: (-scores[i], self.ids[possible[i]]))[:wanted])
-        return possible[order], scores[order], len(possible)
-
-    @staticmethod
-    def _add(acc: np.ndarray, x: Component, q: int, first: int, until: int, step: int, kind: type) -> None:
-        """Add to the accumulators what the segments first .. until - 1, counted from the query's worse end, are sure to add."""
-        segments = len(x.ends)
-        a, b = (first, until) if q > 0 else (segments - until, segments - first)  # as they lie in the index
-        at = np.append(0, x.ends)[a : b + 1]
-        level = np.arange(a, b) if q > 0 else segments - 1 - np.arange(a, b)
-        low = level.astype(kind) * step
-        if q < 0:  # the greatest value need not end its segment: what is sure there is less
-            low = low - abs(q) * (x.least + segments * x.width - 1 - x.most)
-            low = np.maximum(low, 0)
-        acc[x.postings[at[0] : at[-1]]] += np.repeat(low, np.diff(at))
+            for x in used:  # all segments of an impact of top or more that are left
+                added += x.add(acc, top)
+            last = top <= 1
+            if last or 4 * added >= n * len(used):
+                added = 0
+                bars = best_bars(acc, min(k, n))
+                mask = acc >= np.maximum(bars - sum((x.to_come() for x in used), np.zeros(m, kind)), 0)
+                if last or np.count_nonzero(mask) <= few * k * m:
+                    break
+            top //= 2
+        at, rows = np.nonzero(mask.T)
+        numbers = np.array(queries, whole).reshape(m, -1)
+        scores = np.zeros(len(rows), whole)
+        for c, x in enumerate(self.components):
+            scores += x.values[rows].astype(whole) * numbers[at, c]
+        ends = np.searchsorted(at, np.arange(m + 1))
+        for a, b in zip(ends, ends[1:]):
+            possible, s = rows[a:b], scores[a:b]
+            order = np.lexsort((self.ids[possible], -s))[:k] if whole is not object else np.array(sorted(range(b - a), key=lambda i: (-s[i], self.ids[possible[i]]))[:k], np.int64)
+            yield possible[order], s[order], int(b - a)
+
+
+class SharedList:
+    """One component's postings as several queries go through them: from the greatest value down and, for queries whose number is negative, from the least up."""
+
+    def __init__(self, x: Component, numbers: list[int], kind: type):
+        self.list, self.segments, span = x, len(x.ends), x.most - x.least
+        exact = object if kind is object else np.int64
+        q = np.array(numbers, exact)
+        up, down = np.maximum(q, 0), np.maximum(-q, 0)
+        # the least and most that a segment's values lie above the least value, and below the greatest
+        above = [(s * x.width, min(span, (s + 1) * x.width - 1)) for s in range(self.segments)]
+        column = lambda values: np.array(values, exact)[:, None]
+        low_up, high_up = (column([a[i] for a in above]) for i in (0, 1))
+        low_down, high_down = (column([max(0, span - a[i]) for a in above]) for i in (1, 0))
+        self.low = (low_up * up + low_down * down).astype(kind)
+        self.high = (high_up * up + high_down * down).astype(kind)
+        self.slack = ((x.width - 1) * np.abs(q)).astype(kind)
+        self.impact = self.low.max(axis=1)
+        self.level = np.repeat(np.arange(self.segments), np.diff(np.append(0, x.ends)))
+        self.left = (0, self.segments)  # the segments that are not processed are neighbours: impact falls and then rises
+
+    def add(self, acc: np.ndarray, top: int) -> int:
+        """Add to the accumulators what the segments of an impact of top or more are sure to add; how many postings they have."""
+        a, b = self.left
+        under = a + np.flatnonzero(self.impact[a:b] < max(top, 1))
+        first, end = (int(under[0]), int(under[-1]) + 1) if len(under) else (b, b)
+        self.left, at, added = (first, end), np.append(0, self.list.ends), 0
+        for lo, hi in ((at[a], at[first]), (at[end], at[b])):
+            added += int(hi - lo)
+            for k in range(lo, hi, POSTINGS):
+                until = min(k + POSTINGS, hi)
+                acc[self.list.postings[k:until]] += self.low[self.level[k:until]]
+        return added
+
+    def to_come(self) -> np.ndarray:
+        """The most that this component can still add to each query's accumulators."""
+        a, b = self.left
+        return np.maximum(self.slack, np.maximum(self.high[a], self.high[b - 1])) if a < b else self.slack
+
+
+def best_bars(acc: np.ndarray, wanted: int) -> np.ndarray:
+    """For each query a number that at least `wanted` accumulators reach: of whole accumulators or, where there are many, of the greatest of every GROUP."""
+    n, m = acc.shape
+    if n >= GROUP * wanted * 8:
+        acc = acc[: n // GROUP * GROUP].reshape(-1, GROUP, m).max(axis=1)
+    return np.partition(acc, len(acc) - wanted, axis=0)[len(acc) - wanted]
 
 
 def search_block(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
@@ -183,10 +231,10 @@ def search_block(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
     ids, hashes, found, scores = [], [], [], []
     if queries.num_rows and index.num_rows:
         block = Block(index)
-        for i, h, v in zip(queries["id"].to_pylist(), queries["h"].to_pylist(), queries["v"].to_pylist()):
-            rows, s, _ = block.best(v, k, np.flatnonzero((block.ids == i) & (block.hashes == h)))
-            ids += [i] * len(rows)
-            hashes += [h] * len(rows)
+        asked = list(zip(queries["id"].to_pylist(), queries["h"].to_pylist()))
+        for j, rows, s, _ in block.best_of_many(queries["v"].to_pylist(), k, [block.rows_of(*x) for x in asked]):
+            ids += [asked[j][0]] * len(rows)
+            hashes += [asked[j][1]] * len(rows)
             found += block.ids[rows].tolist()
             scores += [min(max(int(x), LONG.min), LONG.max) for x in s]
     return pa.table({"query_id": pa.array(ids, pa.int64()), "h": pa.array(hashes, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.int64())})

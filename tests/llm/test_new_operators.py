@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -159,6 +160,27 @@ def test_impact_search_stops_on_proof():
     assert max(rescored) < 500
 
 
+def test_impact_search_of_many_queries():
+    """Queries of a block share the way through its postings: numbers of all sizes, and 400 queries in far less than 400 times one."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-600, 600, (1024, 64))
+    table = pa.table({"dim": pa.array([64] * 1024, pa.int32()), "cb": pa.array([0] * 1024, pa.int64()), "id": pa.array(np.arange(1024)), "h": pa.array(np.arange(1024)), "v": pa.array(v.tolist(), pa.list_(pa.int64()))})
+    index, asked = impact.block_index(table, impact.LEVELS), table.slice(0, 400).select(["id", "h", "v"])
+    began = time.perf_counter()
+    got = impact.search_block(asked, index, 10)
+    took = time.perf_counter() - began
+    scores = v[:400] @ v.T
+    want = [(i, int(j), int(scores[i, j])) for i in range(400) for j in [x for x in np.lexsort((np.arange(1024), -scores[i])) if x != i][:10]]
+    assert list(zip(*(got[c].to_pylist() for c in ("query_id", "vec_id", "score")))) == want
+    assert took < 2.5
+    small, kinds = v[:300, :5], [1, 10**9, 10**18]
+    queries = [[int(x) * kinds[j % 3] for x in v[j, :5]] for j in range(30)]
+    found = {j: (rows.tolist(), [int(x) for x in s]) for j, rows, s, _ in block_of(small, 7).best_of_many(queries, 10, [np.array([j]) if j % 2 else np.zeros(0, np.int64) for j in range(30)])}
+    for j, q in enumerate(queries):
+        ranked = sorted((-sum(a * b for a, b in zip(q, w)), i) for i, w in enumerate(small.tolist()) if i != j or j % 2 == 0)[:10]
+        assert found[j] == ([i for _, i in ranked], [-s for s, _ in ranked])
+
+
 @pytest.mark.parametrize("block", [None, 3])
 def test_exact_top(spark, block):
     nan, inf = float("nan"), float("inf")
