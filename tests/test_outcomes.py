@@ -4,6 +4,7 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from figshelf.plans.catalogue_queries import notifications
 from figshelf.sources.snapshots import SnapshotTable
@@ -101,6 +102,50 @@ def test_order_of_arrival_does_not_matter(spark, tmp_path):
     assert got[0] == got[1] and {x[1] for x in got[0]} == {"parsed", "empty", "not_found"} and len(got[0]) == 20
 
 
+def test_keys_that_share_a_group(spark, tmp_path):
+    """Groups by the first letters of keys give what keys by themselves give, over restarts; keys' files do not meet other keys of the group."""
+    got = []
+    for turn, how in enumerate(({}, {"shared": 1}, {"shared": 2})):
+        w = World(spark, tmp_path / str(turn))
+        w.ask(*[(k, f"K{k:02}", T + k * S) for k in range(12)], (50, None, T), (51, "K0", T), (52, "K031", T), (53, "K03", T + 2 * S))
+        w.come(*[(f"K{k:02}.json", k % 3, T + (2 * k - 5) * S) for k in range(0, 12, 2)], ("K0", 1, T), ("K031.json", 7, T + 4 * S), ("K03", 0, T + 5 * S), ("K02.json", 9, T + 9 * S))
+        steps = [w.run(**how)]
+        for t in (6, 500):
+            w.tick(T + t * S)
+            steps.append(w.run(**how))
+        w.ask((60, "K02", T + 600 * S))
+        w.tick(T + 900 * S)
+        got.append([*steps, w.run(**how)])
+    assert got[0] == got[1] == got[2] and len(got[0][-1]) == 17 and len({x[1] for x in got[0][-1]}) == 3
+    with pytest.raises(ValueError):
+        w.run(shared=4)
+
+
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    spark.range(0, 50, 1, 2).write.parquet(f"file://{tmp_path}/in")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.readStream.schema("id long").parquet(f"file://{tmp_path}/in").select(counted("id").alias("id"))
+    table = SnapshotTable(spark, f"file://{tmp_path}/out", "id")
+    save_stream(rows, table, f"file://{tmp_path}/state").awaitTermination()
+    assert table.read().count() == 50 and seen.value == 50
+
+
+def test_many_files_are_looked_up_by_few_tasks(spark, tmp_path):
+    """A stream of files asks for some tens of tasks to look them up, not one for each; what a session has set itself stays."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for have, want in (("10000", 64), ("7", 7)):
+        spark.conf.set(key, have)
+        result_file_stream(spark, f"file://{tmp_path}")
+        assert int(spark.conf.get(key)) == want
+    spark.conf.unset(key)
+
+
 def test_a_stream_of_result_files(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
