@@ -351,6 +351,26 @@ def test_stream_takes_up_new_files_and_replays_nothing(spark, tmp_path):
     assert results.saved_annotations(spark, out).count() == 3
 
 
+def test_a_batch_of_the_stream_makes_only_its_own_pages(spark, tmp_path):
+    """Of 3,000 pages the two that the batch's figures are on, and sizes of pages likewise, are worked out."""
+    owners = spark.createDataFrame([(1, "AAA"), (2, "BBB")], "attachment_id long, attachment_key string")
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return float(x)
+
+    chars = spark.range(3000).select(F.col("id").alias("attachment_id"), F.lit(0).alias("page"), F.array(F.struct(counted("id").alias("cx1"), F.lit(0.0).alias("cy1"), F.lit(1.0).alias("cx2"), F.lit(1.0).alias("cy2"))).alias("chars"))
+    sizes = spark.range(3000).selectExpr("id AS attachment_id", "0 AS page", "0.0D AS vx1", "0.0D AS vy1", "600.0D AS vx2", "800.0D AS vy2")
+    src, out = tmp_path / "in", f"file://{tmp_path}/out"
+    src.mkdir()
+    for name in ("AAA", "BBB"):
+        (src / f"{name}.json").write_text(json.dumps([figure("a"), figure("b")]))
+    annotate_stream(spark, f"file://{src}", out, f"file://{tmp_path}/state", owners, chars, sizes, "2024-01-01 00:00:00").awaitTermination()
+    assert results.saved_annotations(spark, out).count() == 4 and 0 < made.value < 10
+
+
 def test_stream_saves_one_file_of_an_attachment(spark, tmp_path):
     owners = spark.createDataFrame([(1, "AAA"), (2, "BBB")], "attachment_id long, attachment_key string")
     pages = spark.createDataFrame([(i, 0, 0.0, 0.0, 600.0, 800.0) for i in (1, 2)], "attachment_id long, page int, vx1 double, vy1 double, vx2 double, vy2 double")
