@@ -403,6 +403,18 @@ def test_extra_is_parsed_once_for_each_pair_set(spark):
     assert [r["x"] for r in two.collect()] == ["free\na: 2\nb: 3", "b: 3", "a: 2\nb: 3"]
 
 
+def test_result_files_are_not_listed_by_the_driver(spark, tmp_path):
+    """Names are rows of a table; the same files, in folders below and with odd names, as Spark's own reader finds."""
+    for name in ("AAA.json", "a b,%20é#?.json", "s u%20b/deep/B.json", "sub/C.JSON", ".hidden.json", "_x.json", "_x=1.json", ".dir/D.json", "E.txt", "empty.json"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"" if "empty" in name else name.encode())
+    (tmp_path / "in" / "hollow.json").mkdir()
+    got = results.result_files(spark, f"file://{tmp_path}/in").select("path", "content")
+    want = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(f"file://{tmp_path}/in").select("path", "content")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+    assert "in/AAA.json" not in "".join(got.inputFiles()) and results.result_files(spark, f"{tmp_path}/in/AAA.json").count() == 1
+
+
 def test_small_result_files_share_tasks(spark, tmp_path):
     """600 small files are a task for each core, not one for every 32."""
     for k in range(600):
